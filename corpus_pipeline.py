@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import quality_rules, sharding, simhash
+from ledgerflow.llm import decontamination, mixing, quality_rules, sharding, simhash
 from ledgerflow.llm.common import read_table, written
 
 
@@ -19,13 +19,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).filter("representative").select(docs.columns)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    items = read_table(spark, sf_dir, "benchmark")
+    return decontamination.add_matches(docs, items).filter("size(matches) = 0").select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it; sources weigh 3, 1, 2, repeating."""
+    return mixing.mix_sources(docs).filter("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+
+
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its shard and slot."""
     keys = [F.col("doc_id"), F.length("text"), F.crc32(F.col("text").cast("binary"))]
     return sharding.shard_rows(docs, keys, n_shards=8)
 
 
-STAGES = [("quality rules", rules), ("near duplicates", near_dedup), ("sharding", shards)]
+STAGES = [("quality rules", rules), ("near duplicates", near_dedup), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shards)]
 
 ORACLE_SQL = None
 
