@@ -18,7 +18,9 @@ from .common import words, written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: By feature: the least room above (and for the word length below) the quartiles, in bins.
-SLACK = {"symbols": 100, "dup_lines": 100, "repeats": 150, "word_length": 200}
+#: The room for ratios is the cutoff that rules with fixed cutoffs commonly use (0.1 symbols
+#: a word, 0.3 of lines or words repeated), so no threshold is stricter than those.
+SLACK = {"symbols": 100, "dup_lines": 300, "repeats": 300, "word_length": 200}
 #: Fences stand so many interquartile ranges outside the quartiles.
 RANGES = 3
 #: Larger values share the last bin.
