@@ -85,7 +85,8 @@ def map_grid_rows(merged: DataFrame) -> DataFrame:
     w = merged.withColumn("wide", F.max(F.size("cells")).over(Window.partitionBy(*TABLE))).filter(~is_header_row(F.col("cells")))
     w = w.withColumn("source_row", F.row_number().over(Window.partitionBy("file_id").orderBy("page_no", "table_no", "row_no")))
     cell = lambda k: F.coalesce(F.get("cells", F.lit(k)), F.lit(""))
-    dated = [s.parse_date(cell(k)) for k in range(4)]
+    w = w.withColumn("dates", F.transform(F.slice("cells", 1, 4), s.parse_date))
+    dated = [F.get("dates", F.lit(k)) for k in range(4)]
     w = w.withColumn("date_col", F.coalesce(*[F.when(d.isNotNull(), F.lit(k)) for k, d in enumerate(dated)])).filter("date_col < 2")
     kind = F.when(F.col("date_col") == 1, "second").when(F.col("wide") >= 7, "7col").when(F.col("wide") == 6, "6col").otherwise("5col")
     w = w.withColumn("kind", kind)
