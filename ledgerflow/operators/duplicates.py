@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..functions.helpers import sequence_ratio
+from ..functions.staging import staged
 
 # Fixed values.
 REVERSAL_WORDS = ("REV", "REVERSAL", "RETURN", "BOUNCE", "DISHONOUR")
@@ -147,7 +148,7 @@ def near_candidates(rows: DataFrame, days: int = 3) -> DataFrame:
 def near_duplicate_pairs(rows: DataFrame, similarity: float = 0.90, days: int = 3) -> DataFrame:
     """Pairs whose lower-case narrations are alike by ``sequence_ratio``; equal ones need no comparison."""
     a, b = F.lower("i_narration_raw"), F.lower("j_narration_raw")
-    p = near_candidates(rows, days)
+    p = staged(near_candidates(rows, days))
     same = p.filter(a == b).withColumn("similarity", F.lit(1.0))
     rest = p.filter(a != b)
     texts = rest.select(a.alias("_a"), b.alias("_b")).distinct().withColumn("similarity", sequence_ratio(F.col("_a"), F.col("_b"))).filter(F.col("similarity") >= similarity)

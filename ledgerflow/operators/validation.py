@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from ..functions.staging import staged
 from . import duplicates as d
 from .balance import check_balance, statement_order
 
@@ -69,7 +70,7 @@ def check_date_gaps(txns: DataFrame, most: int = 7) -> DataFrame:
 
 def check_duplicates(txns: DataFrame) -> DataFrame:
     """Reversals, exact, probable and near duplicates; the issue is the earlier row's and names the later one."""
-    rows = d.prepared(txns)
+    rows = staged(d.prepared(txns))
 
     def of(pairs: DataFrame, code: str, severity: str, text: str, required: bool = False) -> DataFrame:
         p = pairs.select(F.col("i_statement_id").alias("statement_id"), F.col("i_id").alias("id"), "j_id", "j_source_row")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as s
+from ..functions.staging import staged
 from ..operators import balance, beneficiary, counterparties, duplicates, export, ledger, ocr, review, validation
 from ..sources import files
 from ..streaming import ingest
@@ -104,7 +105,7 @@ issues AS (
 
 
 def issues_without_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.run_all_checks(adapters.ledger(spark, sf_dir)).filter("code <> 'NEAR_DUPLICATE'")
+    return staged(validation.run_all_checks(staged(adapters.ledger(spark, sf_dir))).filter("code <> 'NEAR_DUPLICATE'"))
 
 
 def statement_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
