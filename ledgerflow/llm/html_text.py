@@ -27,13 +27,17 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold main text.
 SKIPPED = frozenset("script style noscript template head title nav header footer aside form menu dialog button select option textarea input label iframe svg math object canvas audio video map".split())
-#: The words of a class, id or role that mark an element as boilerplate.
+#: Words of a class, id or role that mark an element as boilerplate.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|sidebar|side|footer|header|masthead|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|"
+    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|sidebar|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|"
     r"ads?|advert(?:s|isement|ising)?|adsense|sponsor(?:ed|s)?|promo(?:tion)?s?|comments?|disqus|respond|replies|reactions|related|recommended|share|sharing|social|breadcrumbs?|"
-    r"pagination|pager|toolbar|widget|login|search|complementary|contentinfo|dialog|skip|tags|copyright|disclaimer|outbrain|taboola)(?:$|[\s_-])",
+    r"pagination|pager|toolbar|widget|login|search|complementary|contentinfo|dialog|skip|copyright|disclaimer|outbrain|taboola)(?:$|[\s_-])"
+    r"|(?:^|\s)(?:(?:site|page|main|global|top|bottom)[_-])?(?:header|footer|masthead|banner)(?:$|\s)",
     re.I,
 )
+#: Classes that begin so tell of something elsewhere on the page.
+TELLING = ("has-", "with-", "no-", "is-", "not-")
+UNENDED = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
 #: Elements whose end is left out where the next begins.
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -82,7 +86,7 @@ class Lines(HTMLParser):
             return
         self.count += 1
         held = bool(self.open and self.open[-1][2])
-        marks = " ".join(v for a, v in attrs if a in ("class", "id", "role") and v)
+        marks = " ".join(c for a, v in attrs if a in ("class", "id", "role") and v for c in v.split() if not c.startswith(TELLING))
         hidden = any(a == "hidden" or a == "aria-hidden" and v == "true" or a == "style" and v and re.search(r"display\s*:\s*none", v, re.I) for a, v in attrs)
         bad = held or tag in SKIPPED or tag not in ("html", "body", "main", "article") and bool(marks and MARKED.search(marks)) or tag == "article" and bool(re.search(r"comment", marks, re.I)) or hidden
         if bad and not held and tag not in BLOCKS and self.text:
@@ -134,6 +138,8 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5, most
     """
     p = Lines()
     p.feed(html or "")
+    if UNENDED.match(p.rawdata):  # a tag or comment that the page's end cuts off isn't text
+        p.rawdata = ""
     p.close()
     p.flush()
     if not p.lines:

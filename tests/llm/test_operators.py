@@ -204,6 +204,11 @@ def test_html_article():
     assert html_text.main_text(PAGE.replace("article>", "div>")) == want
 
 
+def test_html_marks():
+    body = '<div class="page-header">Site</div><div class="content with-sidebar"><div class="post-header"><h1>Title</h1></div><p>Some text of the page that is long enough</p><div class="share-links">Share</div></div><div id="sidebar">Side</div>'
+    assert html_text.main_text(body) == "Title\nSome text of the page that is long enough"
+
+
 @pytest.mark.parametrize("html", [None, "", "<p>", "<!-- x", "<script>if (a<b) {}</script>", "&", "<nav>menu</nav>"])
 def test_html_without_text(html):
     assert html_text.main_text(html) in ("", "&")
