@@ -107,7 +107,7 @@ def fences(sketches: DataFrame, keys: list[str], ranges: int = RANGES) -> DataFr
     return q.groupBy(*keys).agg(F.max("size").alias("size"), F.map_from_entries(F.collect_list(F.struct("feature", "fence"))).alias("fences"))
 
 
-def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_rows: int = MIN_ROWS, ranges: int = RANGES) -> DataFrame:
+def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_rows: int = MIN_ROWS, ranges: int = RANGES, carry_text: bool = True) -> DataFrame:
     """Adds the counts, ``base_failed``, ``failed_rules`` array<string> and ``kept``.
 
     ``base_failed``: fewer than 50 words, or over half of them in repeated windows.
@@ -119,7 +119,8 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source:
     """
     own = [*COUNTS, "base_failed", "failed_rules", "kept"]
     df = df.drop(*[c for c in own if c not in (text, lang, source)])
-    counted = written(count_features(df, text))
+    counted = count_features(df, text)
+    counted = written(counted if carry_text else counted.drop(text))
     group = counted.select(F.col(lang).alias("_lf_lang"), F.col(source).alias("_lf_source"), *COUNTS, "_lf_lines").filter("n_words > 0")
     fine = sketch(group, ["_lf_lang", "_lf_source"])
     by_lang = merged(fine, ["_lf_lang"])
@@ -136,7 +137,8 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source:
             F.when(F.col("f.size") >= min_rows, F.col("f.fences")).when(F.col("g.size") >= min_rows, F.col("g.fences")).otherwise(F.col("h.fences")).alias("_lf_fences"),
         )
     )
-    joined = counted.join(chosen, F.col(lang).eqNullSafe(F.col("_lf_lang")) & F.col(source).eqNullSafe(F.col("_lf_source")), "left").drop("_lf_lang", "_lf_source")
+    # One row a group, written so that its size is known before the join is planned.
+    joined = counted.join(written(chosen), F.col(lang).eqNullSafe(F.col("_lf_lang")) & F.col(source).eqNullSafe(F.col("_lf_source")), "left").drop("_lf_lang", "_lf_source")
     base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     fence = lambda k: F.col("_lf_fences")[k]
     bins = feature_bins()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, lm_scores, mixing, sharding, simhash, suffix_dedup, token_counts, url_filters
+from . import decontamination, html_text, lm_scores, mixing, oracle, sharding, simhash, suffix_dedup, token_counts, url_filters
 from . import quality_rules as rules
 from .common import read_table
 
@@ -101,7 +101,7 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    out = rules.quality_rules(docs)
+    out = rules.quality_rules(docs, carry_text=False)
     return out.select("doc_id", *rules.COUNTS, "base_failed", "kept")
 
 
@@ -111,4 +111,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
