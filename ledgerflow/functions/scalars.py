@@ -216,6 +216,15 @@ def balance_type_ocr(raw: Column) -> Column:
     )
 
 
+def percent(part: Column, whole: Column) -> Column:
+    """``part`` of ``whole`` in percent with one decimal, halves to the even digit; ``0%`` of nothing."""
+    n = part * 1000
+    tenths, rest = F.call_function("div", n, whole), n % whole * 2
+    up = (rest > whole) | ((rest == whole) & (tenths % 2 == 1))
+    tenths = tenths + F.when(up, 1).otherwise(0)
+    return F.when(whole > 0, F.format_string("%d.%d%%", F.call_function("div", tenths, F.lit(10)), tenths % 10)).otherwise("0%")
+
+
 def quality_flag(flag: Column, narration: Column) -> Column:
     """The parser's flag if any, else LOW_NARRATION for fewer than three characters, else ''."""
     low = F.length(strip(F.coalesce(narration, F.lit("")))) < 3

@@ -180,4 +180,4 @@ def engine_statistics(cascaded: DataFrame) -> DataFrame:
     """By statement: eligible, identified by each layer, pending, and the rate in percent."""
     n = lambda k: F.count_if(F.col("status") == k)
     out = cascaded.groupBy("statement_id").agg(F.count(F.lit(1)).alias("eligible"), n("IDENTIFIED_LAYER1").alias("layer1"), n("IDENTIFIED_LAYER2").alias("layer2"), n("REVIEW").alias("pending"))
-    return out.withColumn("rate", F.format_string("%.1f%%", (F.col("layer1") + F.col("layer2")) * 100.0 / F.col("eligible")))
+    return out.withColumn("rate", s.percent(F.col("layer1") + F.col("layer2"), F.col("eligible")))

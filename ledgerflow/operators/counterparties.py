@@ -106,8 +106,7 @@ def identification_stats(txns: DataFrame, ledger: DataFrame) -> DataFrame:
     """By statement (with ``counterparty`` set where identified): counterparties, identified, total, rate, pending."""
     t = txns.groupBy("statement_id").agg(F.count_if(F.col("counterparty").isNotNull()).alias("identified"), F.count(F.lit(1)).alias("total"))
     out = t.join(ledger.groupBy("statement_id").agg(F.count(F.lit(1)).alias("counterparties")), "statement_id", "left").fillna(0, ["counterparties"])
-    rate = F.when(F.col("total") > 0, F.format_string("%.1f%%", F.col("identified") * 100.0 / F.col("total"))).otherwise("0%")
-    return out.withColumn("rate", rate).withColumn("pending", F.col("total") - F.col("identified"))
+    return out.withColumn("rate", s.percent(F.col("identified"), F.col("total"))).withColumn("pending", F.col("total") - F.col("identified"))
 
 
 def ledger_summary(ledger: DataFrame) -> DataFrame:
