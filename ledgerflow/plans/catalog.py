@@ -810,3 +810,125 @@ def r3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("r2_stream_progress", "SELECT statement_id, count(*) AS rows_so_far, max(source_row) AS last_row FROM ledger GROUP BY 1")
 def r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.stream_progress(adapters.ledger(spark, sf_dir))
+
+
+# --- Scalars over texts made from the ledger ---------------------------------------------------------
+
+
+@query("x2_parse_time", "SELECT id, lpad((id % 24)::VARCHAR, 2, '0') || ':' || lpad((id % 60)::VARCHAR, 2, '0') || ':' || CASE WHEN id % 2 = 0 THEN lpad((id % 59)::VARCHAR, 2, '0') ELSE '00' END AS txn_time FROM ledger")
+def x2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id")
+    text = F.concat_ws(":", (i % 24).cast("string"), (i % 60).cast("string"), F.when(i % 2 == 0, (i % 59).cast("string")))
+    return adapters.ledger(spark, sf_dir).select("id", s.parse_time(F.concat(F.lit(" "), text)).alias("txn_time"))
+
+
+@query(
+    "x6_x8_mode_and_counterparty_ocr",
+    r"""SELECT id, CASE WHEN regexp_matches(t, '(?i)NEFT[A-Z]?|NEETO|NEVTO|NESTO|NRETO|NEPIO|NEET[^A-Z]') THEN 'NEFT' WHEN regexp_matches(t, '(?i)RTGS[A-Z]?|RIGS|RUGS|RYGS|ATGS') THEN 'RTGS' WHEN regexp_matches(t, '(?i)\bIMPS\b') THEN 'IMPS'
+  WHEN regexp_matches(t, '(?i)\bUPI\b') THEN 'UPI' WHEN regexp_matches(t, '(?i)\bCASH\b') THEN 'CASH' WHEN regexp_matches(t, '(?i)\bCHQ\b|\bCHEQUE\b') THEN 'CHQ' ELSE '' END AS mode,
+  CASE WHEN regexp_matches(p, '(?i)charges\s+for|customer|^$') THEN '' ELSE p END AS party
+  FROM (SELECT id, replace(narration_raw, 'NEFT', 'NEETO') AS t, trim(regexp_replace(narration_raw, '(?i)^(?:NEFT[O-Z]?|RTGS[O-Z]?|IMPS|UPI)[:\s\-]*', '')) AS p FROM ledger)""",
+)
+def x6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("narration_raw")
+    return adapters.ledger(spark, sf_dir).select("id", s.extract_mode_ocr(F.replace(text, F.lit("NEFT"), F.lit("NEETO"))).alias("mode"), s.extract_counterparty_ocr(text).alias("party"))
+
+
+@query("x11_numeric_narration", r"SELECT id, regexp_full_match(replace(narration_raw, ' ', ''), '\d+') AS numeric FROM ledger")
+def x11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.ledger(spark, sf_dir).select("id", s.is_numeric_narration(F.col("narration_raw")).alias("numeric"))
+
+
+@query(
+    "x12_x15_misread_dates",
+    "SELECT id, CASE WHEN year(d) BETWEEN 2015 AND 2030 THEN d::VARCHAR END AS read_date, CASE WHEN year(d) BETWEEN 2010 AND 2030 THEN strftime(d, '%d-%m-%Y') ELSE '' END AS token_date FROM (SELECT id, txn_date + INTERVAL 18 YEAR AS dt, CAST(txn_date + INTERVAL 18 YEAR AS DATE) AS d FROM ledger WHERE txn_date IS NOT NULL)",
+)
+def x12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_format(F.add_months("txn_date", 18 * 12), "dd-MM-yyyy")
+    t = adapters.ledger(spark, sf_dir).filter("txn_date is not null")
+    return t.select("id", s.extract_ocr_date(F.concat(F.translate(day, "05-", "OS~"), F.lit(" NEFT 1.00"))).alias("read_date"), s.fuzzy_date(F.concat(F.translate(day, "0158-", "Olsb~"), F.lit("REF"))).alias("token_date"))
+
+
+@query(
+    "x14_x17_x18_misread_amounts",
+    "SELECT id, balance::DOUBLE AS balance, 'Dr' AS balance_type, abs(coalesce(debit, credit))::DOUBLE AS amount, balance::DOUBLE AS cell_balance, 'DR' AS cell_type FROM ledger WHERE balance > 0 AND coalesce(debit, credit) IS NOT NULL AND NOT contains(format('{:,}', balance::BIGINT), '0000')",
+)
+def x14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = adapters.ledger(spark, sf_dir).filter("balance > 0 and coalesce(debit, credit) is not null")
+    b, a = F.format_number("balance", 2), F.format_number(F.abs(F.coalesce("debit", "credit")), 2)
+    x = s.extract_ocr_amounts(F.concat_ws(" ", F.lit("NEFT ALPHA"), a, F.concat(b, F.lit("pr"))))
+    cell = F.concat(F.regexp_replace(b, r"\.(..)$", "-$1"), F.lit(" dr"))
+    return t.select("id", x["balance"].alias("balance"), x["balance_type"].alias("balance_type"), x["txn_amount"].alias("amount"), s.parse_amount_ocr(cell).alias("cell_balance"), s.balance_type_ocr(cell).alias("cell_type"))
+
+
+@query("b2_b4_names", r"SELECT id, length(narration_raw) BETWEEN 2 AND 100 AND regexp_matches(narration_raw, '\p{L}') AND length(regexp_replace(narration_raw, '\D', '', 'g')) = 0 AND (contains(trim(narration_raw), ' ') OR length(narration_raw) <= 20) AND narration_raw NOT IN ('TRANSFER') AS valid, trim(regexp_replace(upper(narration_raw), '\s+', ' ', 'g')) AS normal FROM ledger WHERE length(regexp_replace(narration_raw, '\D', '', 'g')) = 0")
+def b2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = adapters.ledger(spark, sf_dir).filter(~F.col("narration_raw").rlike(r"\d"))
+    return t.select("id", beneficiary.is_valid_name(F.col("narration_raw")).alias("valid"), beneficiary.normalize_name(F.col("narration_raw")).alias("normal"))
+
+
+@query("b7_normalize_for_matching", "SELECT id, trim(regexp_replace(upper(narration_raw), '[^A-Z0-9]+', ' ', 'g')) AS normal FROM ledger")
+def b7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.ledger(spark, sf_dir).select("id", s.normalize_for_matching(F.col("narration_raw")).alias("normal"))
+
+
+# --- More sources ------------------------------------------------------------------------------------
+
+
+@query(
+    "s2_csv_rows",
+    "SELECT statement_id::VARCHAR AS file_id, txn_date::VARCHAR AS txn_date, trim(narration_raw) AS narration_raw, nullif(debit, 0)::DOUBLE AS debit, nullif(credit, 0)::DOUBLE AS credit, balance::DOUBLE AS balance, reference, source_row + 1 AS source_row FROM ledger",
+)
+def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    money = lambda c: F.format_number(F.col(c), 2)
+    raw = adapters.ledger(spark, sf_dir).select(
+        F.col("statement_id").cast("string").alias("file_id"),
+        F.col("source_row").alias("_lf_no"),
+        F.date_format("txn_date", "dd/MM/yyyy").alias("Date"),
+        F.col("narration_raw").alias("Narration"),
+        money("debit").alias("Withdrawal Amt."),
+        money("credit").alias("Deposit Amt."),
+        money("balance").alias("Closing Balance"),
+        F.col("reference").alias("Chq No"),
+    )
+    out = files.csv_rows(raw, ["Date", "Narration", "Withdrawal Amt.", "Deposit Amt.", "Closing Balance", "Chq No"])
+    return out.select("file_id", "txn_date", "narration_raw", "debit", "credit", "balance", "reference", "source_row")
+
+
+@query("s4_detect_format", "SELECT statement_id::VARCHAR AS file_id, CASE statement_id % 4 WHEN 0 THEN 'pipe' WHEN 1 THEN 'tab' WHEN 2 THEN 'multispace' ELSE 'generic' END AS format FROM (SELECT DISTINCT statement_id FROM ledger)")
+def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = adapters.ledger(spark, sf_dir)
+    k = F.col("statement_id") % 4
+    text = F.coalesce(*[F.when(k == n, F.concat_ws(sep, F.lit("01/04/2023"), F.lit("TEXT"), F.col("balance").cast("string"))) for n, sep in enumerate((" | ", "\t", "   ", " "))])
+    lines = t.select(F.col("statement_id").cast("string").alias("file_id"), F.col("source_row").alias("line_no"), text.alias("text"))
+    rows = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    whole = lines.groupBy("file_id").agg(F.transform(rows, lambda x: x["text"]).alias("lines"))
+    return whole.select("file_id", files.detect_rpt_format(F.col("lines")).alias("format"))
+
+
+@query(
+    "w9_x19_x20_parse_grid",
+    "SELECT statement_id::VARCHAR AS file_id, txn_date::VARCHAR AS txn_date, CASE WHEN regexp_matches(narration_raw, '[0-9/]$') THEN narration_raw || '/PART TWO' ELSE trim(narration_raw || ' /PART TWO') END AS narration_raw, debit::DOUBLE AS debit, credit::DOUBLE AS credit, balance::DOUBLE AS balance FROM ledger WHERE txn_date IS NOT NULL AND length(narration_raw) > 3",
+)
+def w9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import grids
+
+    t = adapters.ledger(spark, sf_dir).filter("txn_date is not null and length(narration_raw) > 3")
+    money = lambda c: F.coalesce(F.format_number(F.col(c), 2), F.lit(""))
+    row = F.array(F.date_format("txn_date", "dd-MM-yyyy"), F.lit("REFERENCE"), F.col("narration_raw"), money("debit"), money("credit"), money("balance"))
+    wrapped = F.array(F.lit(None).cast("string"), F.lit(""), F.lit("/PART\n TWO"), F.lit(""), F.lit(""), F.lit(""))
+    cells = t.select(F.col("statement_id").cast("string").alias("file_id"), F.lit(1).alias("page_no"), F.lit(1).alias("table_no"), F.col("source_row"), F.posexplode(F.array(row, wrapped)).alias("p", "cells"))
+    cells = cells.select("file_id", "page_no", "table_no", (F.col("source_row") * 2 + F.col("p")).alias("row_no"), "cells")
+    return grids.parse_grid(cells).select("file_id", "txn_date", "narration_raw", "debit", "credit", "balance")
+
+
+@query("t5_counterparty_history", NAMES + "SELECT id, txn_date::VARCHAR AS txn_date, 'LAYER_1' AS layer_identified FROM named WHERE statement_id = (SELECT min(statement_id) FROM named WHERE beneficiary_name = 'DEPOSIT') AND beneficiary_name = 'DEPOSIT'")
+def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = assigned_by_name(spark, sf_dir)
+    first = t.filter("counterparty = 'DEPOSIT'").agg(F.min("statement_id")).first()[0]
+    return counterparties.counterparty_history(t, counterparties.identification_audit(t), first, "DEPOSIT").select("id", "txn_date", "layer_identified")
+
+
+@query("r1_latest_rows", "SELECT statement_id, source_row, substr(narration_raw, 1, 60) AS narration_raw, place FROM (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY source_row DESC) AS place FROM ledger) WHERE place <= 5")
+def r1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.latest_rows(adapters.ledger(spark, sf_dir)).select("statement_id", "source_row", "narration_raw", "place")

@@ -176,14 +176,14 @@ def test_llm_layer_and_queue(spark):
 
 
 def test_names_merge_in_order(spark):
-    names = ["NIRMAL LIFESTYLE LIM", "NIRMAL BI FESTYLE LIM", "nirmal-lifestyle  lim", "OMEGA", "OMEGA CRANES", "OMEGA CRANE"]
+    names = ["ORBITAL LIFESTYLE LIM", "ORBITAL BI FESTYLE LIM", "orbital-lifestyle  lim", "OMEGA", "OMEGA CRANES", "OMEGA CRANE"]
     t = make(spark, [(k, 1, None, n, D(1), None, None, "", k) for k, n in enumerate(names)]).withColumns({"beneficiary_name": F.col("narration_raw"), "beneficiary_type": F.lit("X"), "layer": F.lit("LAYER_1"), "confidence": F.lit(0.9), "basis": F.lit("b")})
     merged = {r.beneficiary_name: r.counterparty for r in counterparties.merge_counterparties(counterparties.distinct_names(t)).collect()}
     norm = [" ".join(re.sub("[^A-Z0-9]+", " ", n.upper()).split()) for n in names]
     assert merged == dict(zip(names, helpers.leader_cluster(names, norm, 0.82), strict=True))
-    assert merged["NIRMAL BI FESTYLE LIM"] == merged["nirmal-lifestyle  lim"] == "NIRMAL LIFESTYLE LIM" and merged["OMEGA CRANE"] == "OMEGA CRANES"
+    assert merged["ORBITAL BI FESTYLE LIM"] == merged["orbital-lifestyle  lim"] == "ORBITAL LIFESTYLE LIM" and merged["OMEGA CRANE"] == "OMEGA CRANES"
     book = counterparties.build_ledger(counterparties.assign_counterparties(t, counterparties.merge_counterparties(counterparties.distinct_names(t))))
-    assert {r.counterparty: r.transaction_count for r in book.collect()} == {"NIRMAL LIFESTYLE LIM": 3, "OMEGA": 1, "OMEGA CRANES": 2}
+    assert {r.counterparty: r.transaction_count for r in book.collect()} == {"ORBITAL LIFESTYLE LIM": 3, "OMEGA": 1, "OMEGA CRANES": 2}
     assert export.counterparty_export(book).count() == 3
 
 
