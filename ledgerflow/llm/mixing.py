@@ -93,7 +93,8 @@ def mix_sources(
     plan = ends.groupBy(F.col("g._lf_source").alias("_lf_source")).agg(
         edge.alias("_lf_edge"), *[F.first(c).alias(c) for c in ("source_size", "target", "_lf_full", "_lf_left")]
     )
-    w = w.join(plan, F.col(source).eqNullSafe(F.col("_lf_source"))).drop("_lf_source")
+    # One row a source, written so that its size is known before the join is planned.
+    w = w.join(written(plan), F.col(source).eqNullSafe(F.col("_lf_source"))).drop("_lf_source")
     at = F.coalesce(F.col("_lf_edge.b"), F.lit(buckets))
     sure = w.filter(F.col("_lf_b") != at).withColumn("_lf_more", (F.col("_lf_b") < at).cast("int"))
     order = Window.partitionBy(source).orderBy("_lf_key", "_lf_h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
