@@ -10,10 +10,11 @@ saves time; every length comes from the library.
 
 from __future__ import annotations
 
-import re
+import json
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -27,38 +28,28 @@ CACHED = 200_000
 LONGEST = 64
 
 
-def unsure_characters() -> re.Pattern:
-    """Matches what ``unicodedata`` has as unassigned.
-
-    Newer tables class some of those as letters or digits, others don't, so ``regex``
-    and the library may split them differently.
-    """
-    runs, last = [], -2
-    for c in range(0x110000):
-        if unicodedata.category(chr(c)) == "Cn":
-            if c != last + 1:
-                runs.append([c, c])
-            runs[-1][1] = last = c
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level models write for each byte: itself if it prints, else the next one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
 class Lengths(dict):
     """Token lengths of pre-tokens: the broadcast table, then a bounded cache of this worker."""
 
     def __init__(self, path: str, table: dict[str, int]):
-        from tokenizers import Tokenizer
-
         super().__init__(table)
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = library(path)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.table, self.room = table, CACHED
-        self.unsure = unsure_characters()
+        self.table, self.room, self.sure = table, CACHED, set()
 
     def length(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, piece: str) -> int:
-        n = self.length(piece)
+        n = len(self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters)))
         if len(piece) <= LONGEST:
             if self.room <= 0:
                 self.clear()
@@ -68,15 +59,39 @@ class Lengths(dict):
             self.room -= 1
         return n
 
+    def unsure(self, text: str) -> bool:
+        """Whether a text holds a character that ``unicodedata`` has as unassigned.
+
+        Newer tables class some of those as letters or digits, others don't, so ``regex`` and
+        the library may split them differently.
+        """
+        new = set(text) - self.sure
+        odd = {c for c in new if unicodedata.category(c) == "Cn"}
+        self.sure |= new - odd
+        return bool(odd)
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if not text.isascii() and self.unsure.search(text) or any(s in text for s in self.special):
+        if not text.isascii() and self.unsure(text) or any(s in text for s in self.special):
             return self.length(text)
         return sum(map(self.__getitem__, PIECES.findall(text)))
 
 
-def frequent_pieces(df: DataFrame, text: str, table_size: int, per_task: int = 8192) -> dict[str, int]:
+@lru_cache(maxsize=4)
+def library(path: str):
+    """The library's tokenizer, which has to split and spell texts as byte-level models do."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    steps = made["pre_tokenizer"] or {}
+    if steps.get("type") != "ByteLevel" or not steps.get("use_regex", True) or steps.get("add_prefix_space") or made["normalizer"]:
+        raise ValueError(f"{path} isn't a plain byte-level tokenizer")
+    return Tokenizer.from_file(path)
+
+
+def frequent_pieces(df: DataFrame, text: str, table_size: int, per_task: int = 32_768) -> dict[str, int]:
     """The most frequent pre-tokens of all texts and their counts, ``table_size`` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,8 +99,8 @@ def frequent_pieces(df: DataFrame, text: str, table_size: int, per_task: int = 8
         for b in batches:
             for t in b.column(0).to_pylist():
                 seen.update(PIECES.findall(t or ""))
-                if len(seen) > 32 * per_task:
-                    seen = Counter(dict(seen.most_common(8 * per_task)))
+                if len(seen) > 16 * per_task:
+                    seen = Counter(dict(seen.most_common(4 * per_task)))
         top = [(p, n) for p, n in seen.most_common(per_task) if len(p) <= LONGEST]
         yield pa.RecordBatch.from_pydict({"piece": pa.array([p for p, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
 
@@ -93,7 +108,7 @@ def frequent_pieces(df: DataFrame, text: str, table_size: int, per_task: int = 8
     return {r.piece: r.n for r in tops.orderBy(F.desc("n"), "piece").limit(table_size).collect()}
 
 
-def add_token_counts(df: DataFrame, tokenizer_path: str, text: str = "text", table_size: int = 65_536, carry_text: bool = True) -> DataFrame:
+def add_token_counts(df: DataFrame, tokenizer_path: str, text: str = "text", table_size: int = 131_072, carry_text: bool = True) -> DataFrame:
     """Adds ``n_tokens`` long: the tokens of the whole text as the library gives them.
 
     Without begin, end or added special tokens, truncation or padding; special strings
