@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerflow.llm import components, decontamination, html_text, lm_scores, mixing, quality_rules, sharding, simhash, suffix_dedup, token_counts, url_filters
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-DOCS = "doc_id long, text string, lang string, source string, shard string, matches int, simhash string, kept string, copies string, spans string, n_tokens string"
+DOCS = "doc_id long, text string, lang string, source string, shard string, matches int, simhash string, kept string, copies string, spans string, n_tokens string, row string, start string, n string"
 
 
 def words(t):
@@ -46,7 +46,7 @@ AWKWARD = [(None, None, None, None), (None, "", "en", "a"), (7, " \n\t ", "en",
 
 def frame(spark, rows, extra=True):
     if extra:  # input columns with the names of results
-        return spark.createDataFrame([(*r, "s", 1, "h", "k", "c", "p", "t") for r in rows], DOCS).repartition(3)
+        return spark.createDataFrame([(*r, "s", 1, "h", "k", "c", "p", "t", "r", "a", "n") for r in rows], DOCS).repartition(3)
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
 
 
