@@ -200,16 +200,15 @@ def repeated_spans(df: DataFrame, text: str = "text", least: int = 51, gram: int
     """
     df = df.drop("n_words", "repeated_words", "spans")
     spark = df.sparkSession
-    docs = written(df.withColumn("_lf_row", F.monotonically_increasing_id()))
+    docs = written(df.withColumn("n_words", F.size(words(F.col(text)))).withColumn("_lf_row", F.monotonically_increasing_id()))
     found = written(emit_anchors(docs, text, least, gram))
     twice = written(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
-    places = found.join(twice, "gram").groupBy("row").agg(F.collect_list("at").alias("_lf_at"))  # of one document
-    near = docs.join(places, F.col("_lf_row") == F.col("row")).select("_lf_row", "_lf_at", text)
+    places = found.join(twice, "gram").groupBy(F.col("row").alias("_lf_row")).agg(F.collect_list("at").alias("_lf_at"))  # of one document
+    near = docs.select("_lf_row", text).join(places, "_lf_row").select("_lf_row", "_lf_at", text)
     runs = emit_suffixes(near, text, least, gram)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = written(runs).repartitionByRange(n, "run", "row", "start").sortWithinPartitions("run", "row", "start")
     starts = equal_neighbours(ordered).groupBy("row").agg(F.collect_list("start").alias("starts"))  # of one document
-    out = docs.join(join_spans(starts, least), F.col("_lf_row") == F.col("row"), "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
-    out = out.withColumn("n_words", F.size(words(F.col(text))))
-    out = out.withColumn("repeated_words", F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"])).drop("row", "_lf_row")
-    return out if carry_text else out.drop(text)
+    out = docs if carry_text else docs.drop(text)
+    out = out.join(join_spans(starts, least).withColumnRenamed("row", "_lf_row"), "_lf_row", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+    return out.withColumn("repeated_words", F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"])).drop("_lf_row")
