@@ -104,8 +104,21 @@ issues AS (
 )
 
 
-def issues_without_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(validation.run_all_checks(staged(adapters.ledger(spark, sf_dir))).filter("code <> 'NEAR_DUPLICATE'"))
+def all_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(validation.run_all_checks(staged(adapters.ledger(spark, sf_dir))))
+
+
+def issue_query(name: str, sql: str) -> Callable[[Callable[[SparkSession, str, DataFrame], DataFrame]], None]:
+    """Registers ``{name}_with_near`` over all issues, and ``name`` over those its SQL lists.
+
+    The SQL has no sequence ratio and so no near duplicates. The whole job is ``{name}_with_near``.
+    """
+
+    def register(f: Callable[[SparkSession, str, DataFrame], DataFrame]) -> None:
+        query(name, sql)(lambda spark, sf_dir: f(spark, sf_dir, all_issues(spark, sf_dir).filter("code <> 'NEAR_DUPLICATE'")))
+        query(f"{name}_with_near")(lambda spark, sf_dir: f(spark, sf_dir, all_issues(spark, sf_dir)))
+
+    return register
 
 
 def statement_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,24 +197,24 @@ def v10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.run_all_checks(adapters.ledger(spark, sf_dir)).select("issue_id", "statement_id", "transaction_id", "severity", "code", "message", "resolution_required")
 
 
-@query(
+@issue_query(
     "a5_issue_counts",
     ISSUES + "SELECT statement_id, count(*) AS unresolved, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium FROM issues GROUP BY 1",
 )
-def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.issue_counts(issues_without_near(spark, sf_dir))
+def a5(spark: SparkSession, sf_dir: str, issues: DataFrame) -> DataFrame:
+    return validation.issue_counts(issues)
 
 
-@query(
+@issue_query(
     "a6_issue_summary",
     ISSUES
     + """, c AS (SELECT statement_id, code, count(*) AS n FROM issues GROUP BY 1, 2), m AS (SELECT statement_id, string_agg(code || '=' || n, ',' ORDER BY code) AS by_code FROM c GROUP BY 1)
 SELECT i.statement_id, count(*) AS total, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium,
   count(*) FILTER (severity NOT IN ('CRITICAL', 'HIGH', 'MEDIUM')) AS info, any_value(by_code) AS by_code FROM issues i JOIN m USING (statement_id) GROUP BY 1""",
 )
-def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
+def a6(spark: SparkSession, sf_dir: str, issues: DataFrame) -> DataFrame:
     entries = F.transform(F.array_sort(F.map_entries("by_code")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
-    return validation.issue_summary(issues_without_near(spark, sf_dir)).withColumn("by_code", F.array_join(entries, ","))
+    return validation.issue_summary(issues).withColumn("by_code", F.array_join(entries, ","))
 
 
 RATED = (
@@ -213,29 +226,29 @@ rating AS (SELECT *, CASE WHEN critical + high + medium = 0 THEN 'CLEAN' WHEN cr
 )
 
 
-@query("v11_reliability_rating", RATED + "SELECT statement_id, unresolved, critical, high, medium, rating FROM rating")
-def v11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.reliability_rating(statement_ids(spark, sf_dir), issues_without_near(spark, sf_dir))
+@issue_query("v11_reliability_rating", RATED + "SELECT statement_id, unresolved, critical, high, medium, rating FROM rating")
+def v11(spark: SparkSession, sf_dir: str, issues: DataFrame) -> DataFrame:
+    return validation.reliability_rating(statement_ids(spark, sf_dir), issues)
 
 
 @query("v12_exportable", RATED + "SELECT statement_id, held = 0 AS exportable FROM rating")
 def v12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.exportable(statement_ids(spark, sf_dir), issues_without_near(spark, sf_dir))
+    return validation.exportable(statement_ids(spark, sf_dir), all_issues(spark, sf_dir))
 
 
-@query(
+@issue_query(
     "v13_approve_validation",
     RATED + "SELECT statement_id, CASE WHEN statement_id % 4 = 0 AND rating = 'UNRELIABLE' THEN 'QUALIFIED' ELSE rating END AS rating, CASE WHEN statement_id % 4 = 0 THEN 7::BIGINT END AS validation_reviewed_by FROM rating",
 )
-def v13(spark: SparkSession, sf_dir: str) -> DataFrame:
+def v13(spark: SparkSession, sf_dir: str, issues: DataFrame) -> DataFrame:
     ids = statement_ids(spark, sf_dir)
-    rated = validation.reliability_rating(ids, issues_without_near(spark, sf_dir))
+    rated = validation.reliability_rating(ids, issues)
     return validation.approve_validation(rated, ids.filter("statement_id % 4 = 0").withColumn("user_id", F.lit(7).cast("long"))).select("statement_id", "rating", "validation_reviewed_by")
 
 
 @query("v14_validation_state", RATED + "SELECT statement_id, rating <> 'UNRELIABLE' AS fully_validated, critical > 0 AS has_unresolved_critical FROM rating")
 def v14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids, issues = statement_ids(spark, sf_dir), issues_without_near(spark, sf_dir)
+    ids, issues = statement_ids(spark, sf_dir), all_issues(spark, sf_dir)
     return validation.validation_state(validation.reliability_rating(ids, issues), issues).select("statement_id", "fully_validated", "has_unresolved_critical")
 
 
@@ -555,29 +568,29 @@ def j2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p3_filter_issues", ISSUES + PLAIN_ISSUES + " WHERE severity = 'CRITICAL' AND required")
 def p3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.filter_issues(issues_without_near(spark, sf_dir), "CRITICAL", "required").select("statement_id", "transaction_id", "severity", "code", "resolution_required")
+    return review.filter_issues(all_issues(spark, sf_dir), "CRITICAL", "required").select("statement_id", "transaction_id", "severity", "code", "resolution_required")
 
 
-@query(
+@issue_query(
     "j3_attach_issues",
     ISSUES
     + "SELECT l.id, CASE WHEN i.transaction_id IS NULL THEN 'Clean' ELSE 'Flagged' END AS status, coalesce(codes, '') AS issue_codes FROM ledger l LEFT JOIN (SELECT transaction_id, string_agg(code, ', ' ORDER BY code) AS codes FROM issues WHERE transaction_id IS NOT NULL GROUP BY 1) i ON l.id = i.transaction_id",
 )
-def j3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.attach_issues(adapters.ledger(spark, sf_dir), issues_without_near(spark, sf_dir)).select("id", "status", "issue_codes")
+def j3(spark: SparkSession, sf_dir: str, issues: DataFrame) -> DataFrame:
+    return review.attach_issues(adapters.ledger(spark, sf_dir), issues).select("id", "status", "issue_codes")
 
 
-@query("j13_issues_by_transaction", ISSUES + "SELECT i.statement_id, i.transaction_id, code, source_row, i.transaction_id IS NULL AS statement_level FROM issues i LEFT JOIN ledger l ON i.transaction_id = l.id")
-def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.issues_by_transaction(issues_without_near(spark, sf_dir), adapters.ledger(spark, sf_dir)).select("statement_id", "transaction_id", "code", "source_row", "statement_level")
+@issue_query("j13_issues_by_transaction", ISSUES + "SELECT i.statement_id, i.transaction_id, code, source_row, i.transaction_id IS NULL AS statement_level FROM issues i LEFT JOIN ledger l ON i.transaction_id = l.id")
+def j13(spark: SparkSession, sf_dir: str, issues: DataFrame) -> DataFrame:
+    return review.issues_by_transaction(issues, adapters.ledger(spark, sf_dir)).select("statement_id", "transaction_id", "code", "source_row", "statement_level")
 
 
-@query(
+@issue_query(
     "s8_cleaned_ledger",
     RATED + "SELECT l.id, l.statement_id, nullif(debit, 0)::DOUBLE AS debit, nullif(credit, 0)::DOUBLE AS credit, EXISTS (SELECT 1 FROM issues i WHERE i.transaction_id = l.id) AS flagged FROM ledger l JOIN rating r ON l.statement_id = r.statement_id WHERE held = 0",
 )
-def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = export.cleaned_ledger(adapters.ledger(spark, sf_dir), issues_without_near(spark, sf_dir))
+def s8(spark: SparkSession, sf_dir: str, issues: DataFrame) -> DataFrame:
+    out = export.cleaned_ledger(adapters.ledger(spark, sf_dir), issues)
     return out.select("id", "statement_id", "debit", "credit", (F.col("status") == "Flagged").alias("flagged"))
 
 
@@ -586,12 +599,11 @@ def decisions(issues: DataFrame) -> DataFrame:
     return issues.filter("transaction_id % 2 = 0").select("issue_id", F.lit("accepted").alias("action"), F.lit(1).cast("long").alias("user_id"), F.lit("2024-01-02 00:00:00").cast("timestamp").alias("ts"))
 
 
-@query(
+@issue_query(
     "j10_resolve_issues",
     ISSUES + "SELECT statement_id, count(*) FILTER (NOT coalesce(transaction_id % 2 = 0, false)) AS unresolved, count(*) FILTER (coalesce(transaction_id % 2 = 0, false)) AS resolved FROM issues GROUP BY 1",
 )
-def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    issues = issues_without_near(spark, sf_dir)
+def j10(spark: SparkSession, sf_dir: str, issues: DataFrame) -> DataFrame:
     out = review.resolve_issues(issues, decisions(issues))
     return out.groupBy("statement_id").agg(F.count_if(~F.col("resolved")).alias("unresolved"), F.count_if("resolved").alias("resolved"))
 
