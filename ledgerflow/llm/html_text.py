@@ -88,7 +88,7 @@ class Lines(HTMLParser):
         held = bool(self.open and self.open[-1][2])
         marks = " ".join(c for a, v in attrs if a in ("class", "id", "role") and v for c in v.split() if not c.startswith(TELLING))
         hidden = any(a == "hidden" or a == "aria-hidden" and v == "true" or a == "style" and v and re.search(r"display\s*:\s*none", v, re.I) for a, v in attrs)
-        bad = held or tag in SKIPPED or tag not in ("html", "body", "main", "article") and bool(marks and MARKED.search(marks)) or tag == "article" and bool(re.search(r"comment", marks, re.I)) or hidden
+        bad = held or tag in SKIPPED or tag not in ("html", "body", "main") and bool(marks and MARKED.search(marks)) or tag == "article" and bool(re.search(r"comment", marks, re.I)) or hidden
         if bad and not held and tag not in BLOCKS and self.text:
             # An inline element that doesn't count mustn't end the line it stands in.
             self.text.append(" ")
@@ -133,7 +133,7 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5, most
 
     Lines whose smoothed ratio reaches ``threshold`` times the mean are clusters; the
     region is the smallest element with ``most`` of their text. ``article`` and ``main`` count as
-    one region with what they hold. Character references are decoded, white space
+    one region if they hold as much of it together. Character references are decoded, white space
     becomes one space. Broken markup is read as far as it goes; nothing is cut.
     """
     p = Lines()
@@ -148,16 +148,18 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5, most
     ratio = smoothed(size / np.array([max(1, n) for _, n, _ in p.lines]), sigma)
     content = ratio >= threshold * ratio.mean()
     held: dict[int, float] = defaultdict(float)
-    explicit: dict[int, float] = defaultdict(float)
+    regions: set[int] = set()
+    explicit = 0.0
     for keep, n, (_, _, path) in zip(content, size, p.lines, strict=True):
         for e in path:
             if p.kinds[e] in HOLDERS and keep:
                 held[e] += n
-            if p.kinds[e] in ("article", "main"):
-                explicit[e] += n
+        named = [e for e in path if p.kinds[e] in ("article", "main")]
+        regions.update(named)
+        if named and keep:
+            explicit += n
     whole = float(size[content].sum())
-    regions = {e for e in explicit if explicit[e] > 0}
-    if not regions:
+    if explicit < most * whole:
         fit = [e for e in held if held[e] >= most * whole]
         # Deeper elements have higher numbers along a path.
         regions = {max(fit)} if fit else set()
