@@ -26,7 +26,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold main text.
-SKIPPED = frozenset("script style noscript template head title nav header footer aside form menu dialog button select option textarea input label iframe svg math object canvas audio video map".split())
+SKIPPED = frozenset("script style noscript template head title nav header footer aside menu dialog button select option textarea input label iframe svg math object canvas audio video map".split())
 #: Words of a class, id or role that mark an element as boilerplate.
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|sidebar|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|"
@@ -44,32 +44,64 @@ CLOSED_BY = {
 }
 HOLDERS = frozenset("article main section div td body html blockquote".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that may stand in a head; any other one ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 
 
 class Lines(HTMLParser):
-    """Lines of a page: (text, tags, path of open elements), boilerplate left out."""
+    """Lines of a page: (text, tags, path of open elements, marked ones of these), skipped elements left out.
+
+    A form or an element with a marked class, id or role is only noted here: whether its lines
+    count is known when all have been read.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # name, number, boilerplate
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.open: list[tuple[str, int, bool, bool]] = []  # name, number, skipped with all it holds, begins what is skipped or marked
+        self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
         self.kinds: dict[int, str] = {}
-        self.text: list[str] = []
+        self.path: tuple[int, ...] = ()
+        self.marks: tuple[int, ...] = ()
+        self.text: list[tuple[str, tuple[int, ...], tuple[int, ...]]] = []  # piece, path, marks
         self.tags = self.count = 0
 
     def flush(self) -> None:
-        text = " ".join("".join(self.text).split())
-        if text and not (self.open and self.open[-1][2]):
-            self.lines.append((text, self.tags, tuple(n for _, n, _ in self.open)))
-        if text or self.text:
+        """Ends the line. What inline marked elements hold in it is a line of its own."""
+        by_marks: dict[tuple[int, ...], tuple[list[str], tuple[int, ...]]] = {}
+        for piece, path, marks in self.text:
+            by_marks.setdefault(marks, ([], path))[0].append(piece)
+        for marks, (pieces, path) in by_marks.items():
+            text = " ".join("".join(pieces).split())
+            if text:
+                self.lines.append((text, self.tags, path, marks))
+        if self.text:
             self.tags = 0
         self.text = []
 
+    def add(self, piece: str) -> None:
+        if not (self.open and self.open[-1][2]):
+            self.text.append((piece, self.path, self.marks))
+
     def close_to(self, k: int) -> None:
         del self.open[k:]
+        self.path = self.path[:k]
+        last = self.path[-1] if self.path else 0
+        while self.marks and self.marks[-1] > last:
+            self.marks = self.marks[:-1]
+
+    def end_head(self, everything: bool) -> None:
+        """A head whose end tag is left out ends at the body and before anything that can't stand in it."""
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == "head":
+                self.close_to(k)
+                return
+            if not everything:
+                return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        if tag not in IN_HEAD:
+            self.end_head(tag == "body")
         if tag in BLOCKS:
             self.flush()
             # A paragraph ends where a block begins; so do list items and cells.
@@ -78,28 +110,35 @@ class Lines(HTMLParser):
                 if name == "p" or name in HEADINGS and tag in HEADINGS or tag in CLOSED_BY and name in CLOSED_BY[tag]:
                     self.close_to(k)
                     break
-                if name in BLOCKS:
+                # Blocks in an inline element that doesn't count belong to it; a new paragraph or item ends it.
+                if name in BLOCKS or self.open[k][3] and tag != "p" and tag not in HEADINGS and tag not in CLOSED_BY:
                     break
         if tag in VOID:
             if tag == "br":
-                self.text.append(" ")
+                self.add(" ")
             return
         self.count += 1
         held = bool(self.open and self.open[-1][2])
         marks = " ".join(c for a, v in attrs if a in ("class", "id", "role") and v for c in v.split() if not c.startswith(TELLING))
         hidden = any(a == "hidden" or a == "aria-hidden" and v == "true" or a == "style" and v and re.search(r"display\s*:\s*none", v, re.I) for a, v in attrs)
-        bad = held or tag in SKIPPED or tag not in ("html", "body", "main") and bool(marks and MARKED.search(marks)) or tag == "article" and bool(re.search(r"comment", marks, re.I)) or hidden
-        if bad and not held and tag not in BLOCKS and self.text:
+        skipped = held or tag in SKIPPED or hidden
+        marked = not skipped and (
+            tag == "form" or tag not in ("html", "body", "main") and bool(marks and MARKED.search(marks)) or tag == "article" and bool(re.search(r"comment", marks, re.I))
+        )
+        if (skipped and not held or marked) and tag not in BLOCKS and self.text:
             # An inline element that doesn't count mustn't end the line it stands in.
-            self.text.append(" ")
-        self.open.append((tag, self.count, bad))
+            self.add(" ")
+        self.open.append((tag, self.count, skipped, skipped and not held or marked))
+        self.path = (*self.path, self.count)
+        if marked:
+            self.marks = (*self.marks, self.count)
         self.kinds[self.count] = tag
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in VOID:
             if tag == "br":
-                self.text.append(" ")
+                self.add(" ")
             return
         if tag in BLOCKS:
             self.flush()
@@ -116,8 +155,9 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
-        if not (self.open and self.open[-1][2]):
-            self.text.append(data)
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.end_head(False)
+        self.add(data)
 
 
 def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -128,12 +168,21 @@ def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(x, g)[mid] / np.convolve(np.ones(len(x)), g)[mid]
 
 
+def clusters(lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]], sigma: float, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The lines' lengths, and which of them are in clusters."""
+    size = np.array([len(t) for t, *_ in lines], dtype=float)
+    ratio = smoothed(size / np.array([max(1, n) for _, n, *_ in lines]), sigma)
+    return size, ratio >= threshold * ratio.mean()
+
+
 def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5, most: float = 0.8) -> str:
     """The blocks of the main text, joined by line feeds.
 
     Lines whose smoothed ratio reaches ``threshold`` times the mean are clusters; the
     region is the smallest element with ``most`` of their text. ``article`` and ``main`` count as
-    one region if they hold as much of it together. Character references are decoded, white space
+    one region if they hold as much of it together. Marked elements and forms are left out
+    unless they hold more than half of the clusters' text, or more than ``most`` of it where
+    an ``article`` or ``main`` stands beside them. Character references are decoded, white space
     becomes one space. Broken markup is read as far as it goes; nothing is cut.
     """
     p = Lines()
@@ -142,15 +191,30 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5, most
         p.rawdata = ""
     p.close()
     p.flush()
-    if not p.lines:
+    lines = p.lines
+    if not lines:
         return ""
-    size = np.array([len(t) for t, _, _ in p.lines], dtype=float)
-    ratio = smoothed(size / np.array([max(1, n) for _, n, _ in p.lines]), sigma)
-    content = ratio >= threshold * ratio.mean()
+    size, content = clusters(lines, sigma, threshold)
+    if any(marks for _, _, _, marks in lines):
+        # A mark on an element with most of the page's cluster text is on a wrapper of the page.
+        marked: dict[int, float] = defaultdict(float)
+        beside: set[int] = set()
+        for keep, n, (_, _, path, marks) in zip(content, size, lines, strict=True):
+            for e in marks if keep else ():
+                marked[e] += n
+            if not marks:
+                beside.update(e for e in path if p.kinds[e] in ("article", "main"))
+        around = {e: {*path} for _, _, path, marks in lines for e in marks}
+        whole = float(size[content].sum())
+        wrappers = {e for e, n in marked.items() if n > (most if beside - around[e] else 0.5) * whole}
+        lines = [x for x in lines if wrappers.issuperset(x[3])]
+        if not lines:
+            return ""
+        size, content = clusters(lines, sigma, threshold)
     held: dict[int, float] = defaultdict(float)
     regions: set[int] = set()
     explicit = 0.0
-    for keep, n, (_, _, path) in zip(content, size, p.lines, strict=True):
+    for keep, n, (_, _, path, _) in zip(content, size, lines, strict=True):
         for e in path:
             if p.kinds[e] in HOLDERS and keep:
                 held[e] += n
@@ -163,7 +227,7 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5, most
         fit = [e for e in held if held[e] >= most * whole]
         # Deeper elements have higher numbers along a path.
         regions = {max(fit)} if fit else set()
-    kept = [t for t, _, path in p.lines if not regions or regions.intersection(path)]
+    kept = [t for t, _, path, _ in lines if not regions or regions.intersection(path)]
     return "\n".join(kept)
 
 

@@ -19,3 +19,25 @@ def test_article_marked_as_promotion():
 
 def test_article_that_holds_the_text():
     assert main_text(f"<body><div>Site of all sites</div><main><article>{STORY}</article></main>") == WHOLE
+
+
+def test_head_without_end_tag():
+    assert main_text(f"<html><head><title>T</title><meta charset=x><body><div>{STORY}</div>") == WHOLE
+    assert main_text(f"<html><head><title>T</title><div>{STORY}</div>") == WHOLE
+
+
+def test_marked_wrapper_of_the_page():
+    for mark in ("content right-sidebar", "layout-sidebar", "elementor-widget-text-editor"):
+        assert main_text(f'<body><div class="{mark}"><div>{STORY}</div><div class=ad><p>Buy now</p></div></div>') == WHOLE
+    assert main_text(f"<body><form id=aspnet><div>{STORY}</div></form>") == WHOLE
+    assert main_text("<body><form class=login><p>Name and password, please</p></form>" + f"<div>{STORY}</div>") == WHOLE
+
+
+def test_text_before_an_inline_advert():
+    page = f"<body><div>{STORY}<p>Before <span class=ad><div>x</div></span></div>"
+    assert main_text(page) == WHOLE + "\nBefore"
+    assert main_text(f"<body><div>{STORY}<p>One <span class=share>Share</span> two</p></div>") == WHOLE + "\nOne two"
+
+
+def test_advert_longer_than_the_article():
+    assert main_text("<body><div class=ad>An advert with more words</div><article><h1>A few words of text</h1></article>") == "A few words of text"
