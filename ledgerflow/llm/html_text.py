@@ -4,7 +4,7 @@ The standard library's streaming parser turns a page into lines, one a block ele
 each with its text, its number of tags and the elements that hold it. The ratio of text
 to tags by line (Weninger et al., "CETR", 2010) is smoothed by a Gaussian over
 neighbouring lines and lines above a threshold form the content clusters. The smallest
-element that holds nearly all text of the clusters is the content region, and its
+element that holds all clusters is the content region, and its
 lines, without boilerplate elements, are the result.
 """
 
@@ -42,7 +42,7 @@ UNENDED = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
-HOLDERS = frozenset("article main section div td body html blockquote".split())
+HOLDERS = frozenset("article main section div td body html".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that may stand in a head; any other one ends it.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
@@ -168,19 +168,20 @@ def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(x, g)[mid] / np.convolve(np.ones(len(x)), g)[mid]
 
 
-def clusters(lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]], sigma: float, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The lines' lengths, and which of them are in clusters."""
+def clusters(lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]], sigma: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines' lengths, which of them are in clusters, and which would be without their neighbours."""
     size = np.array([len(t) for t, *_ in lines], dtype=float)
-    ratio = smoothed(size / np.array([max(1, n) for _, n, *_ in lines]), sigma)
-    return size, ratio >= threshold * ratio.mean()
+    own = size / np.array([max(1, n) for _, n, *_ in lines])
+    ratio = smoothed(own, sigma)
+    return size, ratio >= threshold * ratio.mean(), own >= threshold * own.mean()
 
 
 def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5, most: float = 0.8) -> str:
     """The blocks of the main text, joined by line feeds.
 
     Lines whose smoothed ratio reaches ``threshold`` times the mean are clusters; the
-    region is the smallest element with ``most`` of their text. ``article`` and ``main`` count as
-    one region if they hold as much of it together. Marked elements and forms are left out
+    region is the smallest element with all of them and the headings above them. ``article`` and ``main``
+    are one region, with the headings above, if they hold ``most`` of the clusters' text together. Marked elements and forms are left out
     unless they hold more than half of the clusters' text, or more than ``most`` of it where
     an ``article`` or ``main`` stands beside them. Character references are decoded, white space
     becomes one space. Broken markup is read as far as it goes; nothing is cut.
@@ -194,7 +195,7 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5, most
     lines = p.lines
     if not lines:
         return ""
-    size, content = clusters(lines, sigma, threshold)
+    size, content, strong = clusters(lines, sigma, threshold)
     if any(marks for _, _, _, marks in lines):
         # A mark on an element with most of the page's cluster text is on a wrapper of the page.
         marked: dict[int, float] = defaultdict(float)
@@ -210,25 +211,35 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5, most
         lines = [x for x in lines if wrappers.issuperset(x[3])]
         if not lines:
             return ""
-        size, content = clusters(lines, sigma, threshold)
-    held: dict[int, float] = defaultdict(float)
-    regions: set[int] = set()
+        size, content, strong = clusters(lines, sigma, threshold)
+    named: set[int] = set()
+    full: set[int] = set()
     explicit = 0.0
-    for keep, n, (_, _, path, _) in zip(content, size, lines, strict=True):
-        for e in path:
-            if p.kinds[e] in HOLDERS and keep:
-                held[e] += n
-        named = [e for e in path if p.kinds[e] in ("article", "main")]
-        regions.update(named)
-        if named and keep:
+    for keep, own, n, (_, _, path, _) in zip(content, strong, size, lines, strict=True):
+        found = [e for e in path if p.kinds[e] in ("article", "main")]
+        named.update(found)
+        if own:
+            full.update(found)
+        if found and keep:
             explicit += n
-    whole = float(size[content].sum())
-    if explicit < most * whole:
-        fit = [e for e in held if held[e] >= most * whole]
-        # Deeper elements have higher numbers along a path.
-        regions = {max(fit)} if fit else set()
-    kept = [t for t, _, path, _ in lines if not regions or regions.intersection(path)]
-    return "\n".join(kept)
+    # An article that is in a cluster by its neighbours alone is a teaser; a heading belongs to the content that follows it.
+    wanted = np.array([keep and full.issuperset(named.intersection(path)) for keep, (_, _, path, _) in zip(content, lines, strict=True)])
+    for k in range(len(lines) - 2, -1, -1):
+        wanted[k] |= wanted[k + 1] and any(p.kinds[e] in HEADINGS for e in lines[k][2])
+    if explicit >= most * float(size[content].sum()):
+        inside = [bool(named.intersection(path)) for _, _, path, _ in lines]
+        # So does the title right above an article.
+        for k in range(len(lines) - 2, -1, -1):
+            inside[k] |= inside[k + 1] and any(p.kinds[e] in HEADINGS for e in lines[k][2])
+        return "\n".join(x[0] for x, ok in zip(lines, inside, strict=True) if ok)
+    common: set[int] | None = None
+    for keep, (_, _, path, _) in zip(wanted, lines, strict=True):
+        if keep:
+            around = {e for e in path if p.kinds[e] in HOLDERS}
+            common = around if common is None else common & around
+    # Deeper elements have higher numbers along a path.
+    region = max(common) if common else None
+    return "\n".join(t for t, _, path, _ in lines if region is None or region in path)
 
 
 def add_main_text(df: DataFrame, html: str = "html", carry_html: bool = False) -> DataFrame:

@@ -41,3 +41,20 @@ def test_text_before_an_inline_advert():
 
 def test_advert_longer_than_the_article():
     assert main_text("<body><div class=ad>An advert with more words</div><article><h1>A few words of text</h1></article>") == "A few words of text"
+
+
+def test_title_outside_the_body():
+    assert main_text(f"<body><div><h1>Title</h1><div>{STORY}</div></div>") == "Title\n" + WHOLE
+    assert main_text(f"<body><h1>Title</h1><article>{STORY}</article>") == "Title\n" + WHOLE
+
+
+def test_article_in_two_sections():
+    long, short = "".join(f"<p>{x}</p>" for x in PARAS * 2), f"<p>{PARAS[0]}</p><ul><li>one</ul>"
+    assert main_text(f"<body><div><section>{long}</section><section>{short}</section></div>") == f"{WHOLE}\n{WHOLE}\n{PARAS[0]}\none"
+
+
+def test_long_quotation():
+    quote = "".join(f"<p>{x}</p>" for x in PARAS * 3)
+    for tag in ("blockquote>", "td>"):
+        got = main_text(f"<body><div><p>{PARAS[0]}</p><{tag}{quote}</{tag}<p>{PARAS[1]}</p></div>")
+        assert got == "\n".join([PARAS[0], *PARAS * 3, PARAS[1]])
