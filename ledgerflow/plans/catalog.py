@@ -720,6 +720,12 @@ def w5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.correct_from_balance(t, ("statement_id",)).join(empty, "id", "left_semi").select("id", "debit")
 
 
+@query("w5_correct_from_balance_all_rows")
+def w5_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row by all rules; the SQL of ``w5_correct_from_balance`` has the fill rule only."""
+    return balance.correct_from_balance(adapters.ledger(spark, sf_dir), ("statement_id",)).select("id", "debit", "credit", "correction")
+
+
 @query("w6_reconcile_running_balance", ", v AS (SELECT *, CASE WHEN coalesce(debit, credit) IS NOT NULL THEN balance END AS valid FROM ledger), p AS (SELECT *, last_value(valid IGNORE NULLS) OVER (PARTITION BY statement_id ORDER BY source_row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM v) SELECT statement_id::VARCHAR AS file_id, source_row AS page, CASE WHEN valid IS NULL THEN 'no_amount' WHEN prev IS NULL THEN 'first' WHEN valid = prev THEN 'zero_delta' WHEN abs(abs(valid - prev) - coalesce(debit, credit)) <= 0.05 THEN 'ok' ELSE 'CHECK' END AS \"check\" FROM p")
 def w6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.reconcile_running_balance(read_rows(spark, sf_dir)).select("file_id", "page", "check")
@@ -876,9 +882,19 @@ def x14(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("b2_b4_names", r"SELECT id, length(narration_raw) BETWEEN 2 AND 100 AND regexp_matches(narration_raw, '\p{L}') AND length(regexp_replace(narration_raw, '\D', '', 'g')) = 0 AND (contains(trim(narration_raw), ' ') OR length(narration_raw) <= 20) AND narration_raw NOT IN ('TRANSFER') AS valid, trim(regexp_replace(upper(narration_raw), '\s+', ' ', 'g')) AS normal FROM ledger WHERE length(regexp_replace(narration_raw, '\D', '', 'g')) = 0")
 def b2(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = adapters.ledger(spark, sf_dir).filter(~F.col("narration_raw").rlike(r"\d"))
+    return names_of(t)
+
+
+def names_of(t: DataFrame) -> DataFrame:
     return t.select("id", beneficiary.is_valid_name(F.col("narration_raw")).alias("valid"), beneficiary.normalize_name(F.col("narration_raw")).alias("normal"))
 
 
+@query("b2_b4_names_all_rows")
+def b2_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every narration; the SQL of ``b2_b4_names`` has those without digits only."""
+    return names_of(adapters.ledger(spark, sf_dir))
+
+
 @query("b7_normalize_for_matching", "SELECT id, trim(regexp_replace(upper(narration_raw), '[^A-Z0-9]+', ' ', 'g')) AS normal FROM ledger")
 def b7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.ledger(spark, sf_dir).select("id", s.normalize_for_matching(F.col("narration_raw")).alias("normal"))
@@ -923,15 +939,24 @@ def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT statement_id::VARCHAR AS file_id, txn_date::VARCHAR AS txn_date, CASE WHEN regexp_matches(narration_raw, '[0-9/]$') THEN narration_raw || '/PART TWO' ELSE trim(narration_raw || ' /PART TWO') END AS narration_raw, debit::DOUBLE AS debit, credit::DOUBLE AS credit, balance::DOUBLE AS balance FROM ledger WHERE txn_date IS NOT NULL AND length(narration_raw) > 3",
 )
 def w9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_of(adapters.ledger(spark, sf_dir).filter("txn_date is not null and length(narration_raw) > 3")).drop("reference")
+
+
+def grid_of(t: DataFrame) -> DataFrame:
     from ..sources import grids
 
-    t = adapters.ledger(spark, sf_dir).filter("txn_date is not null and length(narration_raw) > 3")
     money = lambda c: F.coalesce(F.format_number(F.col(c), 2), F.lit(""))
     row = F.array(F.date_format("txn_date", "dd-MM-yyyy"), F.lit("REFERENCE"), F.col("narration_raw"), money("debit"), money("credit"), money("balance"))
     wrapped = F.array(F.lit(None).cast("string"), F.lit(""), F.lit("/PART\n TWO"), F.lit(""), F.lit(""), F.lit(""))
     cells = t.select(F.col("statement_id").cast("string").alias("file_id"), F.lit(1).alias("page_no"), F.lit(1).alias("table_no"), F.col("source_row"), F.posexplode(F.array(row, wrapped)).alias("p", "cells"))
     cells = cells.select("file_id", "page_no", "table_no", (F.col("source_row") * 2 + F.col("p")).alias("row_no"), "cells")
-    return grids.parse_grid(cells).select("file_id", "txn_date", "narration_raw", "debit", "credit", "balance")
+    return grids.parse_grid(cells).select("file_id", "txn_date", "narration_raw", "debit", "credit", "balance", "reference")
+
+
+@query("w9_x19_x20_parse_grid_all_rows")
+def w9_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of every row: those without a date are left out by the grid, short narrations are folded to the left."""
+    return grid_of(adapters.ledger(spark, sf_dir))
 
 
 @query("t5_counterparty_history", NAMES + "SELECT id, txn_date::VARCHAR AS txn_date, 'LAYER_1' AS layer_identified FROM named WHERE statement_id = (SELECT min(statement_id) FROM named WHERE beneficiary_name = 'DEPOSIT') AND beneficiary_name = 'DEPOSIT'")
