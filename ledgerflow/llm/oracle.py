@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import LAST_BIN, MIN_ROWS, RANGES, SLACK
+from .quality_rules import BITS, PRIOR, RANGES, SCALE, STEPS
 from .sharding import PRIME, ROUNDS
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -77,9 +77,25 @@ listed AS (SELECT row, sum(b - a)::BIGINT AS repeated_words, count(*) AS n_spans
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(repeated_words, 0) AS repeated_words, coalesce(n_spans, 0) AS n_spans, coalesce(spans, '') AS spans FROM worded LEFT JOIN listed USING (row)
 """
 
-FEATURES = {"symbols": "1000 * n_symbols // greatest(n_words, 1)", "dup_lines": "1000 * n_dup_lines // greatest(n_lines, 1)", "repeats": "1000 * n_repeat_words // greatest(n_words, 1)", "word_length": "100 * word_chars // greatest(n_words, 1)"}
-BINS = ", ".join(f"least({e}, {LAST_BIN}) AS {k}" for k, e in FEATURES.items())
-ROOM = "CASE feature " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SLACK.items()) + " END"
+VALUES = {
+    "symbols": f"{SCALE} * n_symbols // greatest(n_words, 1)",
+    "dup_lines": f"{SCALE} * n_dup_lines // greatest(n_lines, 1)",
+    "repeats": f"{SCALE} * n_repeat_words // greatest(n_words, 1)",
+    "word_length": f"{SCALE} * word_chars // greatest(n_words, 1)",
+    "words": "n_words",
+    "lines": "n_lines",
+}
+SIZES = {"n_words": "words", "lines": "lines"}
+
+
+def quartile_mix(k: int) -> str:
+    """Quartile k of a group, its language's and all documents', the latter two as a prior."""
+    lang = f"(g.n * g.q{k} + {float(PRIOR)}::DOUBLE * h.q{k}) / (g.n + {float(PRIOR)}::DOUBLE)"
+    return f"(f.n * f.q{k} + {float(PRIOR)}::DOUBLE * ({lang})) / (f.n + {float(PRIOR)}::DOUBLE) AS q{k}"
+
+
+STEP = "CASE c.feature " + " ".join(f"WHEN '{k}' THEN {float(n * SCALE)}::DOUBLE / greatest(max(c.q2) FILTER (c.feature = '{SIZES[size]}') OVER w, 1::DOUBLE)" for k, (n, size) in STEPS.items()) + " END"
+WIDE = f"{float(2 * RANGES + 1)}::DOUBLE"
 QUALITY = f"""
 WITH worded AS (SELECT row_number() OVER () AS row, doc_id, lang, source, {WORDS} AS w, length(regexp_replace(coalesce(text, ''), '{SPACE}', '', 'g')) AS word_chars,
   length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')) AS n_symbols, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
@@ -88,16 +104,17 @@ again AS (SELECT row, i FROM grams QUALIFY count(*) OVER (PARTITION BY row, g) >
 covered AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY 1),
 counted AS (SELECT row, doc_id, lang, source, len(w)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines
   FROM worded LEFT JOIN covered USING (row)),
-binned AS (SELECT *, {BINS} FROM counted),
-long AS (SELECT lang, source, feature, bin FROM (SELECT lang, source, {", ".join(FEATURES)} FROM binned WHERE n_words > 0) UNPIVOT (bin FOR feature IN ({", ".join(FEATURES)}))),
-levels AS (SELECT 0 AS level, lang, source, feature, bin FROM long UNION ALL SELECT 1, lang, NULL, feature, bin FROM long UNION ALL SELECT 2, NULL, NULL, feature, bin FROM long),
+valued AS (SELECT *, {", ".join(f"{e} AS {k}" for k, e in VALUES.items())} FROM counted),
+long AS (SELECT lang, source, feature, v, greatest(length(bin(v)) - {BITS}, 0)::INTEGER AS past FROM (SELECT lang, source, {", ".join(VALUES)} FROM valued WHERE n_words > 0) UNPIVOT (v FOR feature IN ({", ".join(VALUES)}))),
+levels AS (SELECT 0 AS level, lang, source, feature, (v >> past) << past AS bin FROM long UNION ALL SELECT 1, lang, NULL, feature, (v >> past) << past FROM long UNION ALL SELECT 2, NULL, NULL, feature, (v >> past) << past FROM long),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY level, lang, source, feature ORDER BY bin) AS r, count(*) OVER (PARTITION BY level, lang, source, feature) AS n FROM levels),
-quartiles AS (SELECT level, lang, source, feature, max(n) AS n, min(bin) FILTER (r * 4 >= n) AS q1, min(bin) FILTER (r * 4 >= 3 * n) AS q3 FROM ordered GROUP BY ALL),
-fences AS (SELECT level, lang, source, feature, n, q1 - {RANGES} * (q3 - q1) - {ROOM} AS lo, q3 + {RANGES} * (q3 - q1) + {ROOM} AS hi FROM quartiles),
-chosen AS (SELECT f.lang, f.source, f.feature, CASE WHEN f.n >= {MIN_ROWS} THEN f.lo WHEN g.n >= {MIN_ROWS} THEN g.lo ELSE h.lo END AS lo, CASE WHEN f.n >= {MIN_ROWS} THEN f.hi WHEN g.n >= {MIN_ROWS} THEN g.hi ELSE h.hi END AS hi
-  FROM fences f JOIN fences g ON g.level = 1 AND f.lang IS NOT DISTINCT FROM g.lang AND f.feature = g.feature JOIN fences h ON h.level = 2 AND f.feature = h.feature WHERE f.level = 0),
+quartiles AS (SELECT level, lang, source, feature, max(n)::DOUBLE AS n, (min(bin) FILTER (r * 4 >= n))::DOUBLE AS q1, (min(bin) FILTER (r * 4 >= 2 * n))::DOUBLE AS q2, (min(bin) FILTER (r * 4 >= 3 * n))::DOUBLE AS q3 FROM ordered GROUP BY ALL),
+shrunk AS (SELECT f.lang, f.source, f.feature, {", ".join(quartile_mix(k) for k in (1, 2, 3))}
+  FROM quartiles f JOIN quartiles g ON g.level = 1 AND f.lang IS NOT DISTINCT FROM g.lang AND f.feature = g.feature JOIN quartiles h ON h.level = 2 AND f.feature = h.feature WHERE f.level = 0),
+stepped AS (SELECT *, {STEP} AS step FROM shrunk c WINDOW w AS (PARTITION BY lang, source)),
+chosen AS (SELECT lang, source, feature, q2 - greatest(q3 - q2, step) * {WIDE} AS lo, q2 + greatest(q2 - q1, step) * {WIDE} AS hi FROM stepped WHERE step IS NOT NULL),
 judged AS (SELECT b.row, bool_or(CASE c.feature WHEN 'symbols' THEN symbols > hi WHEN 'dup_lines' THEN dup_lines > hi WHEN 'repeats' THEN repeats > hi ELSE word_length > hi OR word_length < lo END) AS failed
-  FROM binned b JOIN chosen c ON b.lang IS NOT DISTINCT FROM c.lang AND b.source IS NOT DISTINCT FROM c.source GROUP BY 1)
+  FROM valued b JOIN chosen c ON b.lang IS NOT DISTINCT FROM c.lang AND b.source IS NOT DISTINCT FROM c.source GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(failed, false) AS kept FROM counted LEFT JOIN judged USING (row)
 """

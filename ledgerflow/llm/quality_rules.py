@@ -1,12 +1,12 @@
 """Quality rules with thresholds that adapt to language and source.
 
-Counts per document come from array functions over its words. Each ratio is put
-into bins of fixed width (a thousandth), and the counts of the bins by language
-and source are a quantile sketch that merges by addition: adding up the sketches
-of a language's sources gives the language's. From the quartiles of the sketch come
-outer fences; a join brings them to the documents.
+Counts per document come from array functions over its words. Each feature is rounded
+down to ten significant bits, and the counts of the rounded values by language and source are
+a log-linear quantile sketch (relative error below 1 / 512, no largest value) that merges by
+addition: the sketches of a language's sources add up to the language's. Fences follow
+from the quartiles of the sketch alone; a join brings them to the documents.
 
-Only DataFrame functions; nothing but bin counts is shuffled.
+Only DataFrame functions; nothing but counts of rounded values is shuffled.
 """
 
 from __future__ import annotations
@@ -17,16 +17,16 @@ from pyspark.sql import functions as F
 from .common import words, written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: By feature: the least room above (and for the word length below) the quartiles, in bins.
-#: The room for ratios is the cutoff that rules with fixed cutoffs commonly use (0.1 symbols
-#: a word, 0.3 of lines or words repeated), so no threshold is stricter than those.
-SLACK = {"symbols": 100, "dup_lines": 300, "repeats": 300, "word_length": 200}
 #: Fences stand so many interquartile ranges outside the quartiles.
 RANGES = 3
-#: Larger values share the last bin.
-LAST_BIN = 10_000
-#: A sketch of fewer documents is replaced by its language's, then by that of all.
-MIN_ROWS = 100
+#: The parent's quartiles count as much as those of so many documents of the group's own.
+PRIOR = 20
+#: Significant bits that the sketch keeps of a value.
+BITS = 10
+#: Millionths: the scale of the ratios.
+SCALE = 1_000_000
+#: By ratio: the count its least step stands for (a repeated window of three words adds six) and the size it is divided by.
+STEPS = {"symbols": (1, "n_words"), "dup_lines": (1, "lines"), "repeats": (6, "n_words"), "word_length": (1, "n_words")}
 
 
 def count_features(df: DataFrame, text: str = "text") -> DataFrame:
@@ -70,24 +70,31 @@ def count_features(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def feature_bins() -> dict[str, Column]:
-    """Integer bins: thousandths of a ratio, hundredths of a character."""
+def feature_values() -> dict[str, Column]:
+    """Whole numbers: ratios in millionths, and the two sizes that they are taken of."""
 
-    def bin_of(a: str, b: str, scale: int) -> Column:
-        ratio = F.call_function("div", F.col(a) * scale, F.greatest(F.col(b), F.lit(1)))
-        return F.least(ratio, F.lit(LAST_BIN)).cast("int")
+    def ratio(a: str, b: str) -> Column:
+        return F.call_function("div", F.col(a) * SCALE, F.greatest(F.col(b), F.lit(1)))
 
     return {
-        "symbols": bin_of("n_symbols", "n_words", 1000),
-        "dup_lines": bin_of("n_dup_lines", "_lf_lines", 1000),
-        "repeats": bin_of("n_repeat_words", "n_words", 1000),
-        "word_length": bin_of("word_chars", "n_words", 100),
+        "symbols": ratio("n_symbols", "n_words"),
+        "dup_lines": ratio("n_dup_lines", "_lf_lines"),
+        "repeats": ratio("n_repeat_words", "n_words"),
+        "word_length": ratio("word_chars", "n_words"),
+        "n_words": F.col("n_words"),
+        "lines": F.col("_lf_lines"),
     }
 
 
+def rounded(v: Column, bits: int = BITS) -> Column:
+    """A whole number rounded down to its ``bits`` leading binary digits."""
+    past = F.greatest(F.length(F.bin(v)) - bits, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", v, past), past)
+
+
 def sketch(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Bin counts of each feature by key: one row each of keys, feature, bin, n."""
-    bins = F.array(*[F.struct(F.lit(k).alias("feature"), b.alias("bin")) for k, b in feature_bins().items()])
+    """Counts of each feature's rounded values by key: one row each of keys, feature, bin, n."""
+    bins = F.array(*[F.struct(F.lit(k).alias("feature"), rounded(v).alias("bin")) for k, v in feature_values().items()])
     return df.select(*keys, F.inline(bins)).groupBy(*keys, "feature", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -95,24 +102,63 @@ def merged(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "feature", "bin").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, keys: list[str], ranges: int = RANGES) -> DataFrame:
-    """By key: ``size`` and a map from feature to its fences ``lo`` and ``hi``."""
+def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """By key and feature: ``size`` and the quartiles ``q1``, ``q2``, ``q3``, all double."""
     by = Window.partitionBy(*keys, "feature")
     cum = sketches.withColumn("c", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
-    at = lambda num: F.min(F.when(F.col("c") * 4 >= F.col("all") * num, F.col("bin")))
-    q = cum.groupBy(*keys, "feature").agg(F.max("all").alias("size"), at(1).alias("q1"), at(3).alias("q3"))
-    slack = F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])[F.col("feature")]
-    room = (F.col("q3") - F.col("q1")) * ranges + slack
-    q = q.withColumn("fence", F.struct((F.col("q1") - room).alias("lo"), (F.col("q3") + room).alias("hi")))
-    return q.groupBy(*keys).agg(F.max("size").alias("size"), F.map_from_entries(F.collect_list(F.struct("feature", "fence"))).alias("fences"))
+    at = lambda num: F.min(F.when(F.col("c") * 4 >= F.col("all") * num, F.col("bin"))).cast("double")
+    return cum.groupBy(*keys, "feature").agg(F.max("all").cast("double").alias("size"), *[at(k).alias(f"q{k}") for k in (1, 2, 3)])
+
+
+def shrunk(own: DataFrame, parent: DataFrame, keys: list[str], shared: list[str], prior: float) -> DataFrame:
+    """``own`` with its quartiles drawn to the parent's by a weight that falls as the group grows."""
+    o, p = own.alias("o"), parent.alias("p")
+    same = F.col("o.feature") == F.col("p.feature")
+    for k in shared:
+        same = same & F.col(f"o.{k}").eqNullSafe(F.col(f"p.{k}"))
+    size = F.col("o.size")
+    mixed = [((size * F.col(f"o.q{k}") + F.lit(float(prior)) * F.col(f"p.q{k}")) / (size + F.lit(float(prior)))).alias(f"q{k}") for k in (1, 2, 3)]
+    return o.join(p, same).select(*[F.col(f"o.{k}").alias(k) for k in keys], F.col("o.feature").alias("feature"), size.alias("size"), *mixed)
+
+
+def fences(q: DataFrame, keys: list[str], ranges: float = RANGES) -> DataFrame:
+    """By key: a map from feature to its fences ``lo`` and ``hi``.
+
+    A fence stands ``2 * ranges + 1`` times the distance between the median and the
+    quartile on its other side away from the median: Tukey's fence where a group is
+    symmetric, and unmoved by outliers on the fence's own side until they are half of the group. The
+    distance is at least one step of the ratio in a document of the group's median size.
+    """
+    found = q.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("q1", "q2", "q3")))).alias("q"))
+    wide = float(2 * ranges + 1)
 
+    def fence(feature: str) -> Column:
+        count, size = STEPS[feature]
+        v = F.col("q")[feature]
+        step = F.lit(float(count * SCALE)) / F.greatest(F.col("q")[size]["q2"], F.lit(1.0))
+        lo = v["q2"] - F.greatest(v["q3"] - v["q2"], step) * wide
+        hi = v["q2"] + F.greatest(v["q2"] - v["q1"], step) * wide
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
 
-def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_rows: int = MIN_ROWS, ranges: int = RANGES, carry_text: bool = True) -> DataFrame:
+    return found.select(*keys, F.create_map(*[x for k in STEPS for x in (F.lit(k), fence(k))]).alias("fences"))
+
+
+def thresholds(counted: DataFrame, ranges: float = RANGES, prior: float = PRIOR) -> DataFrame:
+    """(_lf_lang, _lf_source, fences) of documents with their counts: sketches, merged upwards, then shrunk downwards."""
+    fine = written(sketch(counted.filter("n_words > 0"), ["_lf_lang", "_lf_source"]))
+    by_lang = merged(fine, ["_lf_lang"])
+    lang = shrunk(quartiles(by_lang, ["_lf_lang"]), quartiles(merged(by_lang, []), []), ["_lf_lang"], [], prior)
+    return fences(shrunk(quartiles(fine, ["_lf_lang", "_lf_source"]), lang, ["_lf_lang", "_lf_source"], ["_lf_lang"], prior), ["_lf_lang", "_lf_source"], ranges)
+
+
+def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", prior: float = PRIOR, ranges: float = RANGES, carry_text: bool = True) -> DataFrame:
     """Adds the counts, ``base_failed``, ``failed_rules`` array<string> and ``kept``.
 
     ``base_failed``: fewer than 50 words, or over half of them in repeated windows.
     The adaptive rules judge what is left: a ratio above its upper fence, or a word
-    length outside its fences, fails. Thresholds come from all documents with a word.
+    length outside its fences, fails. Thresholds come from all documents with a word;
+    the quartiles of a group of n documents weigh n, those of its language ``prior``
+    (and a language's n against ``prior`` for all).
     Null languages and sources are groups of their own; repeated rows count as often
     as they occur; an empty table gives an empty one. Input columns with the names of
     results are replaced.
@@ -121,29 +167,15 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source:
     df = df.drop(*[c for c in own if c not in (text, lang, source)])
     counted = count_features(df, text)
     counted = written(counted if carry_text else counted.drop(text))
-    group = counted.select(F.col(lang).alias("_lf_lang"), F.col(source).alias("_lf_source"), *COUNTS, "_lf_lines").filter("n_words > 0")
-    fine = sketch(group, ["_lf_lang", "_lf_source"])
-    by_lang = merged(fine, ["_lf_lang"])
-    of_all = merged(by_lang.withColumn("_lf_one", F.lit(1)), ["_lf_one"])
-    f = fences(fine, ["_lf_lang", "_lf_source"], ranges).alias("f")
-    g = fences(by_lang, ["_lf_lang"], ranges).alias("g")
-    h = fences(of_all, ["_lf_one"], ranges).alias("h")
-    chosen = (
-        f.join(g, F.col("f._lf_lang").eqNullSafe(F.col("g._lf_lang")), "left")
-        .join(h, F.lit(1) == F.col("h._lf_one"), "left")
-        .select(
-            F.col("f._lf_lang").alias("_lf_lang"),
-            F.col("f._lf_source").alias("_lf_source"),
-            F.when(F.col("f.size") >= min_rows, F.col("f.fences")).when(F.col("g.size") >= min_rows, F.col("g.fences")).otherwise(F.col("h.fences")).alias("_lf_fences"),
-        )
-    )
+    group = counted.select(F.col(lang).alias("_lf_lang"), F.col(source).alias("_lf_source"), *COUNTS, "_lf_lines")
     # One row a group, written so that its size is known before the join is planned.
-    joined = counted.join(written(chosen), F.col(lang).eqNullSafe(F.col("_lf_lang")) & F.col(source).eqNullSafe(F.col("_lf_source")), "left").drop("_lf_lang", "_lf_source")
+    chosen = written(thresholds(group, ranges, prior)).withColumnRenamed("fences", "_lf_fences")
+    joined = counted.join(chosen, F.col(lang).eqNullSafe(F.col("_lf_lang")) & F.col(source).eqNullSafe(F.col("_lf_source")), "left").drop("_lf_lang", "_lf_source")
     base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     fence = lambda k: F.col("_lf_fences")[k]
-    bins = feature_bins()
-    rules = [F.when(b > fence(k)["hi"], F.lit(k)) for k, b in bins.items()]
-    rules.append(F.when(bins["word_length"] < fence("word_length")["lo"], F.lit("word_length_low")))
+    values = feature_values()
+    rules = [F.when(values[k] > fence(k)["hi"], F.lit(k)) for k in STEPS]
+    rules.append(F.when(values["word_length"] < fence("word_length")["lo"], F.lit("word_length_low")))
     return (
         joined.withColumn("base_failed", base)
         .withColumn("failed_rules", F.array_compact(F.array(*rules)))

@@ -448,7 +448,7 @@ def brute_counts(t):
 
 def test_quality_counts(spark, rows):
     rows = rows + [(90, "a b c a b c a b c d\na b c\n\na b c\n x", "en", "a"), (91, "###  $$ | \n###  $$ | ", None, None)]
-    got = quality_rules.quality_rules(frame(spark, rows), min_rows=5).collect()
+    got = quality_rules.quality_rules(frame(spark, rows), prior=5).collect()
     want = Counter((r[0], *brute_counts(r[1])) for r in rows)
     assert Counter((r.doc_id, *(r[c] for c in quality_rules.COUNTS)) for r in got) == want
     for r in got:
@@ -463,10 +463,48 @@ def test_quality_thresholds_adapt(spark):
     text = lambda marks: " ".join(("#" if rnd.random() < marks else "") + "".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(120))
     docs = [(i, text(0.0), "en", "plain") for i in range(150)] + [(200 + i, text(0.3 + 0.2 * rnd.random()), "en", "tags") for i in range(150)]
     docs += [(500, text(0.45), "en", "plain"), (501, text(0.45), "en", "tags")]
-    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(frame(spark, docs), min_rows=100).collect()}
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(frame(spark, docs)).collect()}
     assert not got[500] and got[501] and all(got[i] for i in range(150)) and all(got[200 + i] for i in range(150))
 
 
+def test_rounding_keeps_ten_bits(spark):
+    values = [0, 1, 1023, 1024, 1025, 2047, 2049, 10**6, 10**12 + 7, 2**62 + 5]
+    got = [r.b for r in spark.createDataFrame([(v,) for v in values], "v long").select(quality_rules.rounded(F.col("v")).alias("b")).collect()]
+    assert got == [v if v < 1024 else v >> (v.bit_length() - 10) << (v.bit_length() - 10) for v in values]
+
+
+def test_quality_fences_by_hand(spark):
+    """The fences of one group, whose language and whole table are itself, from its sorted values."""
+    rnd = random.Random(8)
+    docs = [(i, " ".join("ab"[rnd.randint(0, 1)] * rnd.randint(3, 7) + f"{i}x{k}" + "$" * (rnd.random() < 0.2) for k in range(60 + i)), "en", "a") for i in range(40)]
+    counted = quality_rules.count_features(frame(spark, docs, extra=False)).select(F.col("lang").alias("_lf_lang"), F.col("source").alias("_lf_source"), *quality_rules.COUNTS, "_lf_lines")
+    got = quality_rules.thresholds(counted).first().fences
+    cut = lambda v: v if v < 1024 else v >> (v.bit_length() - 10) << (v.bit_length() - 10)
+    rows = counted.collect()
+    at = lambda vs, k: sorted(vs)[-(-len(vs) * k // 4) - 1]
+    median = at([r.n_words for r in rows], 2)
+    for name, count, step in (("symbols", "n_symbols", 1), ("repeats", "n_repeat_words", 6), ("word_length", "word_chars", 1)):
+        vs = [cut(10**6 * r[count] // r.n_words) for r in rows]
+        room = step * 1e6 / median
+        assert math.isclose(got[name].hi, at(vs, 2) + 7 * max(at(vs, 2) - at(vs, 1), room), rel_tol=1e-9)
+        assert math.isclose(got[name].lo, at(vs, 2) - 7 * max(at(vs, 3) - at(vs, 2), room), rel_tol=1e-9)
+
+
+def test_spam_up_to_half_of_a_source_moves_no_fence(spark):
+    rnd = random.Random(3)
+    text = lambda marks: " ".join(f"{rnd.randint(0, 9**9)}" + "#" * marks for _ in range(100))
+    docs = [(i, text(0 if i % 5 < 3 else 2), "en", "a") for i in range(200)]
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(frame(spark, docs)).collect()}
+    assert all(got[i] == (i % 5 < 3) for i in range(200))
+
+
+def test_verdicts_differ_from_fixed_cutoffs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = quality_rules.quality_rules(docs, carry_text=False).filter("not base_failed")
+    fixed = (F.col("n_symbols") <= F.col("n_words") * 0.1) & (F.col("n_repeat_words") <= F.col("n_words") * 0.3)
+    assert got.filter(F.col("kept") != fixed).count() > 20
+
+
 def test_sketches_merge(spark, rows):
     counted = quality_rules.count_features(frame(spark, rows, extra=False)).select("lang", "source", *quality_rules.COUNTS, "_lf_lines").filter("n_words > 0")
     a = quality_rules.merged(quality_rules.sketch(counted, ["lang", "source"]), ["lang"])
