@@ -189,6 +189,36 @@ def test_repeated_spans(spark, rows, least, gram, parts):
     assert suffix_dedup.repeated_spans(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_repeated_spans_of_few_words(spark, seed):
+    """Two words only, so places have many partners that match on one side each."""
+    rnd = random.Random(seed)
+    texts = [" ".join(rnd.choice("ab") for _ in range(rnd.randint(0, 60))) for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    for least, gram in ((12, 4), (9, 5)):
+        got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffix_dedup.repeated_spans(df, least=least, gram=gram, partitions=5).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_spans(texts, least)
+
+
+def test_open_runs(spark):
+    """A run whose partner is next to it in neither order: its neighbours share more on one side and less on the other."""
+    mid = "m n o"
+    texts = [f"1 2 3 4 {mid} 5 6 7 8", f"x 2 3 4 {mid} 5 6 y", *(f"1 2 3 4 {mid} {k} z" for k in "ab"), *(f"{k} w {mid} 5 6 7 8" for k in "cd")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for least in (7, 8):
+        got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffix_dedup.repeated_spans(df, least=least, gram=3, partitions=2).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_spans(texts, least)
+
+
+def test_repeat_longer_than_the_least_is_one_span(spark):
+    rnd = random.Random(9)
+    text = lambda n: " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(n))
+    shared = text(400)
+    df = spark.createDataFrame([(1, f"{text(70)} {shared} {text(5)}"), (2, f"{text(3)} {shared}")], "doc_id int, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffix_dedup.repeated_spans(df).collect()}
+    assert got == {1: [(70, 470)], 2: [(3, 403)]}
+
+
 # HTML
 
 
