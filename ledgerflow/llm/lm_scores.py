@@ -1,22 +1,24 @@
 """Scores of texts under a class-based bigram model (Brown et al., 1992).
 
 log P(text) = sum over tokens of log10 P(class | previous class) + log10 P(word | class),
-one end token a text included.
+one end token a text included. Every training word gets its class by exchange:
 
 - Word counts of all training texts come from Spark (map-side combined, shuffled by
   word) and may be of any size. The ``hot_words`` most frequent are broadcast; the
-  others reach the texts that hold them by a join.
-- Units are the ``cluster_words`` most frequent words and, for all others, hashes of
-  their last two characters, so the unit of any word can be told from the word.
-  Bigrams of units over all training texts fill a table of a fixed number of cells.
-- The exchange algorithm moves one unit at a time to the class that raises the
-  likelihood of the bigrams most, until no unit moves or ``sweeps`` are over.
+  others meet the texts that hold them, and their classes, in joins.
+- As in Brown's windowed clustering the most frequent words are clustered first: the
+  exchange moves one of the ``window`` words at a time to the class that raises the likelihood of their
+  bigrams most, until no word moves. Their table is the only one that isn't distributed, and of fixed size.
+- All other training words then have a row each in a distributed table: how often each window class, the
+  end of a text or another word stands to their left and right, over all training texts.
+  They are exchanged between the classes in sweeps over that table (each word to the class
+  under which its neighbours are likeliest, then the classes' profiles anew) until nothing moves.
+- The classes of all words, frequent and rare, are filled into the texts; class bigrams of
+  all training texts give the transitions.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,61 +26,63 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import lower_ascii, words, written
 
-CACHED = 200_000
+#: In place of the class of a word that isn't broadcast, until the join fills it in.
+HOLE = 255
+#: Of class profiles: what each neighbour counts before any is seen.
+ALPHA = 0.5
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of what is broadcast or gathered: hot_words entries, and (cluster_words + endings + 1) squared cells."""
+    """Bounds of what is broadcast or gathered: hot_words entries, and (window + 2) squared cells.
+
+    ``classes`` (255 at most) includes one of its own for the end of a text.
+    """
 
     hot_words: int = 100_000
-    cluster_words: int = 1000
-    endings: int = 255
+    window: int = 1000
     classes: int = 48
-    sweeps: int = 4
 
     @property
-    def units(self) -> int:
-        return self.cluster_words + self.endings + 1
-
-
-class Units(dict):
-    """Words (bytes) to units; the last unit is the end of a text."""
+    def end(self) -> int:
+        return self.classes - 1
 
-    def __init__(self, top: list[bytes], settings: Settings):
-        super().__init__({w: i for i, w in enumerate(top[: settings.cluster_words])})
-        self.settings, self.kept = settings, dict(self)
+    @property
+    def other(self) -> int:
+        """As a neighbour: any word beyond the window."""
+        return self.classes
 
-    def __missing__(self, word: bytes) -> int:
-        s = self.settings
-        unit = s.cluster_words + zlib.crc32(word.decode("utf-8", "replace")[-2:].encode()) % s.endings
-        if len(self) > CACHED:
-            self.clear()
-            self.update(self.kept)
-        self[word] = unit
-        return unit
+    @property
+    def neighbours(self) -> int:
+        return self.classes + 1
 
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def unit_bigrams(train: DataFrame, text: str, top: list[bytes], settings: Settings) -> np.ndarray:
-    """Counts of unit pairs over all texts; each text begins and ends with the last unit."""
-    size = settings.units
+def numbers(w: list[bytes], ids: dict[bytes, int]) -> np.ndarray:
+    """Ranks of words; the number of ranks for any other word."""
+    get, none = ids.get, len(ids)
+    return np.fromiter((get(x, none) for x in w), dtype=np.int64, count=len(w))
+
+
+def window_bigrams(train: DataFrame, text: str, window: list[bytes]) -> np.ndarray:
+    """Counts of neighbours over all texts: the window's words by rank, then the end (before and after each text), then any other word."""
+    n = len(window)
+    size = n + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, table = Units(top, settings), np.zeros(size * size, dtype=np.int64)
-        end = size - 1
+        ids, table = {w: i for i, w in enumerate(window)}, np.zeros(size * size, dtype=np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
-                w = tokens(t)
-                u = np.empty(len(w) + 2, dtype=np.int64)
-                u[0] = u[-1] = end
-                u[1:-1] = np.fromiter(map(units.__getitem__, w), dtype=np.int64, count=len(w))
+                i = numbers(tokens(t), ids)
+                u = np.full(len(i) + 2, n, dtype=np.int64)
+                u[1:-1] = np.where(i == n, n + 1, i)
                 np.add.at(table, u[:-1] * size + u[1:], 1)
         cells = np.flatnonzero(table)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(cells), "n": pa.array(table[cells])})
@@ -93,56 +97,187 @@ def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
-    """The class of each unit; the last unit has the last class for itself.
+def exchange(pairs: np.ndarray, classes: int, own: int = 1) -> np.ndarray:
+    """The class of each unit; the last ``own`` units have the last classes for themselves.
 
-    Starts with units dealt out by frequency. Ties go to the lower class.
+    The most frequent units begin a class each and the others join one in the order of
+    frequency; ends when no unit moves. Ties go to the lower class.
     """
-    n, k = len(pairs), classes
+    n, k = len(pairs), classes - own
     m = pairs.astype(np.float64)
     freq = m.sum(axis=0)
-    cls = np.empty(n, dtype=np.int64)
-    order = np.argsort(-freq[: n - 1], kind="stable")
-    cls[order] = np.arange(n - 1) % (k - 1)
-    cls[n - 1] = k - 1
-    one = np.eye(k)[cls]
+    cls = np.full(n, -1, dtype=np.int64)
+    order = np.argsort(-freq[: n - own], kind="stable")
+    order = order[freq[order] > 0]
+    cls[n - own :] = np.arange(k, classes)
+    cls[order[:k]] = np.arange(min(k, len(order)))
+    one = np.zeros((n, classes))
+    one[np.flatnonzero(cls >= 0), cls[cls >= 0]] = 1
     right, left = m @ one, m.T @ one  # of each unit: counts with the classes after and before it
     c = one.T @ right
-    for _ in range(sweeps):
-        moved = 0
+    moved = True
+    while moved:
+        moved = False
         for u in order:
-            if not freq[u]:
-                continue
-            a, own = cls[u], m[u, u]
+            a, mine = cls[u], m[u, u]
             r, lf = right[u].copy(), left[u].copy()
-            r[a] -= own
-            lf[a] -= own
-            c[a, :] -= r
-            c[:, a] -= lf
-            c[a, a] -= own
+            if a >= 0:
+                r[a] -= mine
+                lf[a] -= mine
+                c[a, :] -= r
+                c[:, a] -= lf
+                c[a, a] -= mine
             f = xlogx(c)
             gain = (xlogx(c + r) - f).sum(axis=1) + (xlogx(c.T + lf) - f.T).sum(axis=1)
             d = np.diagonal(c)
-            gain += xlogx(d + r + lf + own) + xlogx(d) - xlogx(d + r) - xlogx(d + lf)
-            rows, cols = c.sum(axis=1), c.sum(axis=0)
-            gain -= xlogx(rows + r.sum() + own) - xlogx(rows) + xlogx(cols + lf.sum() + own) - xlogx(cols)
-            gain[k - 1] = -np.inf
+            gain += xlogx(d + r + lf + mine) + xlogx(d) - xlogx(d + r) - xlogx(d + lf)
+            rows, cols = c.sum(axis=1) + lf, c.sum(axis=0) + r  # whatever the class of u, its neighbours occur as often
+            gain -= xlogx(rows + r.sum() + mine) - xlogx(rows) + xlogx(cols + lf.sum() + mine) - xlogx(cols)
+            gain[k:] = -np.inf
             b = int(np.argmax(gain))
-            if gain[b] <= gain[a] + 1e-9:
+            if a >= 0 and gain[b] <= gain[a] + 1e-6:
                 b = a
             c[b, :] += r
             c[:, b] += lf
-            c[b, b] += own
+            c[b, b] += mine
             if b != a:
-                moved += 1
+                moved = True
                 cls[u] = b
-                right[:, a] -= m[:, u]
+                if a >= 0:
+                    right[:, a] -= m[:, u]
+                    left[:, a] -= m[u, :]
                 right[:, b] += m[:, u]
-                left[:, a] -= m[u, :]
                 left[:, b] += m[u, :]
-        if not moved:
-            break
-    return cls
+    return np.maximum(cls, 0)
+
+
+def neighbour_counts(train: DataFrame, text: str, top: list[bytes], window_cls: np.ndarray, settings: Settings) -> DataFrame:
+    """(id, word, code, n): the neighbours of each training word beyond the window, two arrays, as a written table.
+
+    Codes: left neighbour's class; ``neighbours`` + the right one's; or from 2 * ``neighbours`` on
+    both. Broadcast words have an ``id`` (their rank) and codes of the first two kinds, added up by every task in
+    a table of fixed size; the others have -1, and their codes are of the third kind.
+    """
+    p, size, h = settings.neighbours, len(window_cls), len(top)
+    near = np.full(h + 1, settings.other, dtype=np.int64)
+    near[:size] = window_cls
+
+    def sides(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = np.full(len(i) + 2, settings.end, dtype=np.int64)
+        c[1:-1] = near[i]
+        return c[:-2], c[2:]
+
+    def each_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, hot = {w: i for i, w in enumerate(top)}, np.zeros((h, 2 * p), dtype=np.int32)
+        cells = hot.reshape(-1)
+        names = ["id", "counts", "word", "code"]
+        for b in batches:
+            rare: list[bytes] = []
+            codes = [np.empty(0, dtype=np.int64)]
+            for t in b.column(0).to_pylist():
+                w = tokens(t)
+                i = numbers(w, ids)
+                left, right = sides(i)
+                k = np.flatnonzero((i >= size) & (i < h))
+                np.add.at(cells, i[k] * (2 * p) + left[k], 1)
+                np.add.at(cells, i[k] * (2 * p) + p + right[k], 1)
+                k = np.flatnonzero(i == h)
+                rare += [w[x] for x in k]
+                codes.append(2 * p + left[k] * p + right[k])
+            n = len(rare)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(rare, pa.binary()), pa.array(np.concatenate(codes), pa.int32())], names=names)
+        used = np.flatnonzero(hot.any(axis=1))
+        for k in range(0, len(used), 4096):
+            i = used[k : k + 4096]
+            n = len(i)
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array([hot[x].tobytes() for x in i], pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())], names=names)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found[i] = found.get(i, 0) + np.frombuffer(c, dtype=np.int32).astype(np.int64)
+        codes = [np.flatnonzero(c) for c in found.values()]
+        columns = [pa.array(list(found), pa.int32()), pa.array([top[i] for i in found], pa.binary()), pa.array(codes, pa.list_(pa.int32())), pa.array([c[k] for c, k in zip(found.values(), codes, strict=True)], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "word", "code", "n"])
+
+    found = written(train.select(text).mapInArrow(each_task, "id int, counts binary, word binary, code int"))
+    hot = found.filter("id is not null").select("id", "counts").repartition("id").mapInArrow(summed, "id int, word binary, code array<int>, n array<long>")
+    # Rare words have no hot key: none has more rows than the least frequent of the broadcast ones.
+    rare = found.filter("id is null").select("word", "code").repartition("word").groupBy("word", "code").agg(F.count(F.lit(1)).alias("n"))
+    rare = rare.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("code", "n"))).alias("all"))  # at most neighbours ** 2 codes a word
+    rare = rare.select(F.lit(-1).alias("id"), "word", F.col("all.code").alias("code"), F.col("all.n").alias("n"))
+    return written(hot.union(rare).withColumn("word", F.col("word").cast("string")))
+
+
+@dataclass
+class Profiles:
+    """By word class: how often each neighbour stands to its left and its right."""
+
+    left: np.ndarray
+    right: np.ndarray
+
+    def table(self) -> np.ndarray:
+        """Log likelihood of every code under every class."""
+
+        def logs(x: np.ndarray) -> np.ndarray:
+            return np.log((x + ALPHA) / (x.sum(axis=1, keepdims=True) + ALPHA * x.shape[1])).T
+
+        a, b = logs(self.left), logs(self.right)
+        return np.concatenate([a, b, (a[:, None, :] + b[None, :, :]).reshape(-1, a.shape[1])])
+
+    def likelihood(self) -> float:
+        """Of all neighbours under the profiles, with the prior that ``ALPHA`` is."""
+        return sum(float(((x + ALPHA) * np.log((x + ALPHA) / (x.sum(axis=1, keepdims=True) + ALPHA * x.shape[1]))).sum()) for x in (self.left, self.right))
+
+
+def best_classes(codes: pa.ListArray, counts: pa.ListArray, table: np.ndarray) -> np.ndarray:
+    """The class of each word under which its neighbours are likeliest; ties to the lower class."""
+    ends = codes.offsets.to_numpy()
+    code, n = codes.values.to_numpy(), counts.values.to_numpy().astype(np.float64)
+    out = np.empty(len(codes), dtype=np.int64)
+    for a in range(0, len(codes), 1000):  # bounds the memory: a word has at most so many codes
+        b = min(a + 1000, len(codes))
+        s, e = ends[a], ends[b]
+        out[a:b] = np.add.reduceat(table[code[s:e]] * n[s:e, None], ends[a:b] - s, axis=0).argmax(axis=1)
+    return out
+
+
+def exchanged(counts: DataFrame, fixed: Profiles, settings: Settings) -> np.ndarray:
+    """The table of log likelihoods at which no word of ``counts`` moves any more.
+
+    ``fixed``: profiles of the window's words, which stay. Every sweep gives each word its best class under the
+    last profiles, in all tasks at once; then profiles follow from the classes. Neither step lowers the likelihood, so
+    the sweeps end. The driver sees two numbers a class and neighbour.
+    """
+    k, p = settings.end, settings.neighbours
+
+    def sweep(table: np.ndarray) -> Profiles:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros((k, len(table)), dtype=np.int64)
+            for b in batches:
+                if b.num_rows:
+                    cls = np.repeat(best_classes(b.column(0), b.column(1), table), np.diff(b.column(0).offsets.to_numpy()))
+                    np.add.at(seen.reshape(-1), cls * len(table) + b.column(0).values.to_numpy(), b.column(1).values.to_numpy())
+            both = seen[:, 2 * p :].reshape(k, p, p)
+            flat = np.concatenate([seen[:, :p] + both.sum(axis=2), seen[:, p : 2 * p] + both.sum(axis=1)], axis=1).reshape(-1)
+            cells = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(cells), "n": pa.array(flat[cells])})
+
+        found = counts.select("code", "n").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        flat = np.zeros(k * 2 * p, dtype=np.int64)
+        flat[found["cell"].to_numpy()] = found["n"].to_numpy()
+        new = flat.reshape(k, 2 * p)
+        return Profiles(fixed.left + new[:, :p], fixed.right + new[:, p:])
+
+    now, best = fixed, -np.inf
+    while True:
+        new = sweep(now.table())
+        value = new.likelihood()
+        same = np.array_equal(new.left, now.left) and np.array_equal(new.right, now.right)
+        if same or value <= best + 1e-12 * abs(value):
+            return now.table()
+        now, best = new, value
 
 
 @dataclass
@@ -153,119 +288,180 @@ class Model:
     top: list[bytes]
     counts: np.ndarray
     cls: np.ndarray
-    move: np.ndarray
-    emit: np.ndarray
+    unseen: int
     total: int
     distinct: int
     ends: int
-
-    def base(self, n: np.ndarray) -> np.ndarray:
-        return np.log10((n + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
+    move: np.ndarray | None = None
+    emit: np.ndarray | None = None
 
 
-def fit(train: DataFrame, text: str, settings: Settings) -> tuple[Model, DataFrame]:
-    """The model and the counts (word, n) of all training words, as a written table."""
+def fit_classes(train: DataFrame, text: str, settings: Settings) -> tuple[Model, DataFrame, np.ndarray]:
+    """The model without its class counts, the other words' (word, seen, cls) as a written table, and the number of words by class."""
     counts = written(train.select(F.explode(words(lower_ascii(F.col(text)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     ends = train.count()
     hot = counts.orderBy(F.desc("n"), "word").limit(settings.hot_words).toArrow()
     top = [w.encode() for w in hot["word"].to_pylist()]
-    pairs = unit_bigrams(train, text, top, settings)
-    cls = exchange(pairs, settings.classes, settings.sweeps)
-    one = np.eye(settings.classes)[cls]
-    c = one.T @ pairs @ one
-    move = np.log10((c + 0.5) / (c.sum(axis=1, keepdims=True) + 0.5 * settings.classes))
-
-    def class_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, seen = Units(top, settings), np.zeros(settings.classes, dtype=np.int64)
+    window = top[: settings.window]
+    pairs = window_bigrams(train, text, window)
+    all_cls = exchange(pairs, settings.neighbours, own=2)
+    one = np.eye(settings.neighbours, dtype=np.int64)[all_cls]
+    by_class = one.T @ pairs @ one
+    fixed = Profiles(by_class[:, : settings.end].T, by_class[: settings.end])
+    near = neighbour_counts(train, text, top, all_cls[: len(window)], settings)
+    table = exchanged(near, fixed, settings)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for w in b.column(0).to_pylist():
-                seen[cls[units[w.encode()]]] += 1
-        yield pa.RecordBatch.from_pydict({"cls": pa.array(range(settings.classes), pa.int64()), "n": pa.array(seen)})
-
-    kinds = np.zeros(settings.classes)
-    for r in counts.select("word").mapInArrow(class_of, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n")).collect():
-        kinds[r.cls] = r.n
-    kinds[-1] = 1 if ends else 0
-    emit = np.log10(c.sum(axis=0) + 0.5 * (kinds + 1))
-    model = Model(settings, top, hot["n"].to_numpy(), cls, move, emit, int(n_words) + ends, int(distinct) + (ends > 0), ends)
-    return model, counts
-
-
-def partial_scores(df: DataFrame, text: str, model: Model) -> DataFrame:
-    """Adds ``_lf_lm``: token and known counts, both scores without the rare words, and those words."""
+            if b.num_rows:
+                seen = np.add.reduceat(b.column(3).values.to_numpy(), b.column(3).offsets.to_numpy()[:-1])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(seen), pa.array(best_classes(b.column(2), b.column(3), table), pa.int32())], names=["id", "word", "seen", "cls"])
+
+    given = written(near.select("id", "word", "code", "n").mapInArrow(assign, "id int, word string, seen long, cls int"))
+    cls = np.zeros(len(top) + 1, dtype=np.int64)
+    cls[: len(window)] = all_cls[: len(window)]
+    cls[-1] = HOLE
+    for r in given.filter("id >= 0").select("id", "cls").collect():
+        cls[r.id] = r.cls
+    kinds = np.bincount(cls[: len(window)], minlength=settings.classes)
+    once = np.zeros(settings.classes, dtype=np.int64)
+    for r in given.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("id") < 0) & (F.col("seen") == 1)).alias("once")).collect():
+        kinds[r.cls] += r.n
+        once[r.cls] = r.once
+    kinds[settings.end] = 1 if ends else 0
+    model = Model(settings, top, hot["n"].to_numpy(), cls, int(once.argmax()), int(n_words) + ends, int(distinct) + (ends > 0), ends)
+    return model, given.filter("id < 0").select("word", "seen", "cls"), kinds
+
+
+def encoded(df: DataFrame, text: str, model: Model) -> DataFrame:
+    """Adds ``_lf_lm``: token and known counts, the sum of the log counts, the classes by token, and the rare words with their places."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = "n_tokens long, n_known long, base double, score double, rare array<struct<word:string,cls:int,n:int>>"
-    kind = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.string()), ("cls", pa.int32()), ("n", pa.int32())])))])
+    schema = "n_tokens long, n_known long, logs double, cls binary, rare array<struct<at:int,word:string>>"
+    kind = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("cls", pa.binary()), ("rare", pa.list_(pa.struct([("at", pa.int32()), ("word", pa.string())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        units, ids = Units(m.top, m.settings), {w: i for i, w in enumerate(m.top)}
-        hot_units = np.fromiter((units[w] for w in m.top), dtype=np.int64, count=len(m.top))
-        base = np.append(m.base(m.counts.astype(np.float64)), 0.0)
-        emit = np.append(np.log10(m.counts + 0.5) - m.emit[m.cls[hot_units]], 0.0)
-        last = m.settings.classes - 1
-        end_base, end_score = float(m.base(np.float64(m.ends))), float(np.log10(m.ends + 0.5) - m.emit[last])
-        get, none = ids.get, len(m.top)
+        ids, h = {w: i for i, w in enumerate(m.top)}, len(m.top)
+        logs = np.append(np.log10(m.counts + 0.5), 0.0)
+        end, cls = float(np.log10(m.ends + 0.5)), m.cls.astype(np.uint8)
         for b in batches:
-            out = []
+            n_tokens, n_known, sums, classes, at, rare, ends = [], [], [], [], [np.empty(0, dtype=np.int64)], [], [0]
             for t in b.column(text).to_pylist():
                 w = tokens(t)
-                i = np.fromiter((get(x, none) for x in w), dtype=np.int64, count=len(w))
-                c = np.empty(len(w) + 2, dtype=np.int64)
-                c[0] = c[-1] = last
-                c[1:-1] = m.cls[np.fromiter(map(units.__getitem__, w), dtype=np.int64, count=len(w))]
-                rare = Counter(w[p] for p in np.flatnonzero(i == none))
-                out.append(
-                    {
-                        "n_tokens": len(w) + 1,
-                        "n_known": int((i < none).sum()) + (m.ends > 0),
-                        "base": float(base[i].sum()) + end_base,
-                        "score": float(m.move[c[:-1], c[1:]].sum() + emit[i].sum()) + end_score,
-                        "rare": [{"word": x.decode(), "cls": int(m.cls[units[x]]), "n": n} for x, n in rare.items()],
-                    }
-                )
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind)], names=[*b.schema.names, "_lf_lm"])
-
-    from pyspark.sql import types as T
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_lf_lm", T._parse_datatype_string(schema))]))
+                i = numbers(w, ids)
+                k = np.flatnonzero(i == h)
+                n_tokens.append(len(w) + 1)
+                n_known.append(len(w) - len(k) + (m.ends > 0))
+                sums.append(float(logs[i].sum()) + end)
+                classes.append(cls[i].tobytes())
+                at.append(k)
+                rare += [w[x] for x in k]
+                ends.append(len(rare))
+            places = pa.StructArray.from_arrays([pa.array(np.concatenate(at), pa.int32()), pa.array(rare, pa.binary()).cast(pa.string())], names=["at", "word"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places)
+            made = pa.StructArray.from_arrays([pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(classes, pa.binary()), lists], names=[f.name for f in kind])
+            yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, "_lf_lm"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_lf_lm", T.StructType.fromDDL(schema))]))
+
+
+def filled(cls: bytes, rare: list[int] | None) -> np.ndarray:
+    """Classes of a text's tokens, with those of its rare words (256 * place + class) put in."""
+    c = np.frombuffer(cls, dtype=np.uint8).astype(np.int64)
+    if rare:
+        r = np.array(rare, dtype=np.int64)
+        c[r >> 8] = r & 255
+    return c
+
+
+def with_ends(c: np.ndarray, end: int) -> np.ndarray:
+    return np.concatenate([[end], c, [end]])
+
+
+def class_bigrams(texts: DataFrame, settings: Settings) -> np.ndarray:
+    """Counts of neighbouring classes over (cls, rare) of all training texts."""
+    k = settings.classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(k * k, dtype=np.int64)
+        for b in batches:
+            for x, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                c = with_ends(filled(x, r), settings.end)
+                table += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(np.arange(k * k)), "n": pa.array(table)})
+
+    found = texts.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(k * k, dtype=np.int64)
+    table[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return table.reshape(k, k)
 
 
 RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def fitted(df: DataFrame, train: Column, text: str, settings: Settings, carry_text: bool) -> tuple[Model, DataFrame, DataFrame]:
+    """The whole model, the rare words' (word, seen, cls), and ``df`` with the classes of its texts, as a written table."""
+    model, lexicon, kinds = fit_classes(df.filter(train).select(text), text, settings)
+    texts = encoded(df.withColumn("_lf_train", F.coalesce(train, F.lit(False))), text, model)
+    texts = written((texts if carry_text else texts.drop(text)).withColumn("_lf_row", F.monotonically_increasing_id()))
+    seen, cls = F.coalesce("seen", F.lit(0)), F.coalesce("cls", F.lit(model.unseen))
+    sums = (
+        texts.select("_lf_row", F.inline("_lf_lm.rare"))
+        .join(lexicon, "word", "left")
+        .groupBy("_lf_row")  # of one text
+        .agg(F.count("seen").alias("_lf_known"), F.sum(F.log10(seen + F.lit(0.5))).alias("_lf_logs"), F.collect_list(F.col("at").cast("long") * 256 + cls).alias("_lf_rare"))
+    )
+    texts = written(texts.withColumn("_lf_lm", F.col("_lf_lm").dropFields("rare")).join(sums, "_lf_row", "left").drop("_lf_row"))
+    c = class_bigrams(texts.filter("_lf_train").select("_lf_lm.cls", "_lf_rare"), settings)
+    model.move = np.log10((c + 0.5) / (c.sum(axis=1, keepdims=True) + 0.5 * settings.classes))
+    model.emit = np.log10(c.sum(axis=0) + 0.5 * (kinds + 1))
+    return model, lexicon, texts
+
+
 def lm_scores(df: DataFrame, train: Column, text: str = "text", settings: Settings | None = None, carry_text: bool = True) -> DataFrame:
     """Adds ``n_tokens``, ``n_known``, ``train_tokens`` long, ``base_score`` and ``score`` double.
 
     ``train``: true for the rows to learn from. ``base_score`` is the smoothed unigram
     log10 probability of the text, ``score`` the class model's; perplexity is
-    ``10 ** (-score / n_tokens)``. A null text is empty: its end token alone is scored.
+    ``10 ** (-score / n_tokens)``. Words that no training text holds have the class in which most words
+    were seen once. A null text is empty: its end token alone is scored.
     Repeated rows are scored each, and learnt from each. With no training rows all words
     are unknown. An empty table gives an empty one; input columns with the names of
     results are replaced.
     """
     settings = settings or Settings()
     df = df.drop(*RESULTS)
-    model, counts = fit(df.filter(train).select(text), text, settings)
-    scored = partial_scores(df, text, model)
-    scored = written((scored if carry_text else scored.drop(text)).withColumn("_lf_row", F.monotonically_increasing_id()))
-    rare = scored.select("_lf_row", F.inline("_lf_lm.rare")).withColumnRenamed("n", "times")
-    rare = rare.join(counts.withColumnRenamed("n", "seen"), "word", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
-    denominators = F.array(*[F.lit(float(x)) for x in model.emit])
-    own = F.log10(F.col("seen") + 0.5)
-    all_words = float(np.log10(model.total + 0.5 * (model.distinct + 1)))
-    sums = rare.groupBy("_lf_row").agg(
-        F.sum(F.when(F.col("seen") > 0, F.col("times")).otherwise(F.lit(0))).alias("_lf_known"),
-        F.sum(F.col("times") * (own - F.lit(all_words))).alias("_lf_base"),
-        F.sum(F.col("times") * (own - F.get(denominators, F.col("cls")))).alias("_lf_score"),
+    columns = df.columns if carry_text else [c for c in df.columns if c != text]
+    model, _, texts = fitted(df, train, text, settings, carry_text)
+    shared = df.sparkSession.sparkContext.broadcast((model.move, model.emit))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        move, emit = shared.value
+        for b in batches:
+            out = []
+            for x, r in zip(b.column("_lf_cls").to_pylist(), b.column("_lf_rare").to_pylist(), strict=True):
+                c = with_ends(filled(x, r), settings.end)
+                out.append(float(move[c[:-1], c[1:]].sum() - emit[c[1:]].sum()))
+            kept = [k for k, name in enumerate(b.schema.names) if name not in ("_lf_cls", "_lf_rare")]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(out, pa.float64())], names=[*(b.schema.names[k] for k in kept), "_lf_score"])
+
+    texts = texts.select(
+        *columns,
+        F.col("_lf_lm.n_tokens").alias("n_tokens"),
+        (F.col("_lf_lm.n_known") + F.coalesce("_lf_known", F.lit(0))).alias("n_known"),
+        (F.col("_lf_lm.logs") + F.coalesce("_lf_logs", F.lit(0.0))).alias("_lf_logs"),
+        F.col("_lf_lm.cls").alias("_lf_cls"),
+        "_lf_rare",
     )
-    out = scored.join(sums, "_lf_row", "left")
-    return (
-        out.withColumn("n_tokens", F.col("_lf_lm.n_tokens"))
-        .withColumn("n_known", F.col("_lf_lm.n_known") + F.coalesce("_lf_known", F.lit(0)))
-        .withColumn("train_tokens", F.lit(model.total).cast("long"))
-        .withColumn("base_score", F.col("_lf_lm.base") + F.coalesce("_lf_base", F.lit(0.0)))
-        .withColumn("score", F.col("_lf_lm.score") + F.coalesce("_lf_score", F.lit(0.0)))
-        .drop("_lf_lm", "_lf_row", "_lf_known", "_lf_base", "_lf_score")
+    fields = [f for f in texts.schema.fields if f.name not in ("_lf_cls", "_lf_rare")]
+    out = texts.mapInArrow(run, T.StructType([*fields, T.StructField("_lf_score", T.DoubleType())]))
+    all_words = float(np.log10(model.total + 0.5 * (model.distinct + 1)))
+    return out.select(
+        *columns,
+        "n_tokens",
+        "n_known",
+        F.lit(model.total).cast("long").alias("train_tokens"),
+        (F.col("_lf_logs") - F.col("n_tokens") * F.lit(all_words)).alias("base_score"),
+        (F.col("_lf_logs") + F.col("_lf_score")).alias("score"),
     )

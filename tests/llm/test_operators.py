@@ -392,77 +392,125 @@ def test_token_counts(spark, rows):
 # Language model
 
 
-def brute_lm(model, counts, kinds, t):
-    s = model.settings
-    units = lm_scores.Units(model.top, s)
-    w = lm_scores.tokens(t)
-    cls = [s.classes - 1] + [int(model.cls[units[x]]) for x in w] + [s.classes - 1]
-    out = sum(model.move[a, b] for a, b in zip(cls, cls[1:], strict=False))
-    n = {c: sum(v for x, v in counts.items() if model.cls[units[x]] == c) for c in set(cls)}
-    for x, c in zip(w, cls[1:], strict=False):
-        out += math.log10((counts.get(x, 0) + 0.5) / (n[c] + 0.5 * (kinds.get(c, 0) + 1)))
-    return out + math.log10((model.ends + 0.5) / (model.ends + 0.5 * 2))
-
-
-def test_lm_scores(spark):
+def lexicon_of(model, lexicon):
+    """word -> (count, class) of all training words."""
+    out = {w: (int(n), int(c)) for w, n, c in zip(model.top, model.counts, model.cls, strict=False)}
+    return out | {r.word.encode(): (r.seen, r.cls) for r in lexicon.collect()}
+
+
+def brute_model(texts, known, settings):
+    """Transitions and emissions from the classes of all words, by plain counting."""
+    k, end = settings.classes, settings.classes - 1
+    moves, sizes, kinds = Counter(), Counter(), Counter(c for _, c in known.values())
+    kinds[end] = 1
+    for t in texts:
+        c = [end, *(known[w][1] for w in lm_scores.tokens(t)), end]
+        moves.update(zip(c, c[1:], strict=False))
+    rows = Counter()
+    for (a, b), n in moves.items():
+        rows[a] += n
+        sizes[b] += n
+    move = lambda a, b: math.log10((moves[a, b] + 0.5) / (rows[a] + 0.5 * k))
+    emit = lambda n, c: math.log10((n + 0.5) / (sizes[c] + 0.5 * (kinds[c] + 1)))
+    return move, emit
+
+
+@pytest.mark.parametrize(("hot", "window"), [(30, 20), (10, 10), (1000, 25)])
+def test_lm_scores(spark, hot, window):
     docs = corpus(4, 120)
     learn = lambda i: zlib.crc32(str(i).encode()) % 5 != 1
-    s = lm_scores.Settings(hot_words=30, cluster_words=20, endings=11, classes=6, sweeps=3)
+    s = lm_scores.Settings(hot_words=hot, window=window, classes=6)
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
-    df = frame(spark, docs + [(500, None, "en", "a"), (500, None, "en", "a")])
+    df = frame(spark, docs + [(500, None, "en", "a"), (500, None, "en", "a")]).drop("n_tokens")
     got = lm_scores.lm_scores(df, train, settings=s).collect()
-    counts = Counter(w for r in docs if learn(r[0]) for w in lm_scores.tokens(r[1]))
-    ends = sum(learn(r[0]) for r in docs) + 2 * learn(500)
-    total, distinct = sum(counts.values()) + ends, len(counts) + 1
-    model, _ = lm_scores.fit(df.filter(train).select("text"), "text", s)
-    units = lm_scores.Units(model.top, s)
-    kinds = Counter(int(model.cls[units[w]]) for w in counts)
-    held = Counter()
+    texts = [r[1] for r in docs if learn(r[0])] + [None] * 2 * learn(500)
+    counts = Counter(w for t in texts for w in lm_scores.tokens(t))
+    total, distinct, ends = sum(counts.values()) + len(texts), len(counts) + 1, len(texts)
+    model, lexicon, _ = lm_scores.fitted(df, train, "text", s, True)
+    known = lexicon_of(model, lexicon)
+    assert {w: n for w, (n, _) in known.items()} == counts and all(c < 5 for _, c in known.values())
+    move, emit = brute_model(texts, known, s)
     for r in got:
         w = lm_scores.tokens(r.text)
         base = sum(math.log10((counts.get(x, 0) + 0.5) / (total + 0.5 * (distinct + 1))) for x in w) + math.log10((ends + 0.5) / (total + 0.5 * (distinct + 1)))
         assert r.n_tokens == len(w) + 1 and r.n_known == sum(x in counts for x in w) + 1 and r.train_tokens == total
         assert math.isclose(r.base_score, base, rel_tol=1e-9)
-        assert math.isclose(r.score, brute_lm(model, counts, kinds, r.text), rel_tol=1e-9)
-        held.update({"base": r.base_score, "score": r.score})
+        pairs = [known.get(x, (0, model.unseen)) for x in w] + [(ends, 5)]
+        score = sum(move(a, b) for a, b in zip([5, *(c for _, c in pairs)], [c for _, c in pairs], strict=False)) + sum(emit(n, c) for n, c in pairs)
+        assert math.isclose(r.score, score, rel_tol=1e-9)
     assert lm_scores.lm_scores(df.limit(0), train, settings=s).count() == 0
     unseen = lm_scores.lm_scores(df, F.lit(False), settings=s).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in unseen)
 
 
 def test_probabilities_add_up(spark):
-    docs = corpus(6, 60)
-    s = lm_scores.Settings(hot_words=1000, cluster_words=30, endings=5, classes=5, sweeps=2)
-    model, counts = lm_scores.fit(frame(spark, docs).select("text"), "text", s)
+    s = lm_scores.Settings(hot_words=40, window=30, classes=5)
+    model, lexicon, _ = lm_scores.fitted(frame(spark, corpus(6, 60)), F.lit(True), "text", s, True)
     assert np.allclose((10**model.move).sum(axis=1), 1)
-    units = lm_scores.Units(model.top, s)
     mass = Counter()
-    for r in counts.collect():
-        c = int(model.cls[units[r.word.encode()]])
-        mass[c] += (r.n + 0.5) / 10 ** model.emit[c]
+    for n, c in lexicon_of(model, lexicon).values():
+        mass[c] += (n + 0.5) / 10 ** model.emit[c]
     for c, m in mass.items():
         assert math.isclose(m + 0.5 / 10 ** model.emit[c], 1, rel_tol=1e-9)
 
 
-def test_exchange_raises_likelihood_and_splits_languages():
+def test_no_word_would_move(spark):
+    """At the end no word beyond the window has a class under which its neighbours, counted plainly, are likelier."""
+    s = lm_scores.Settings(hot_words=40, window=15, classes=5)
+    docs = corpus(7, 150)
+    model, lexicon, _ = lm_scores.fitted(frame(spark, docs), F.lit(True), "text", s, True)
+    known, window = lexicon_of(model, lexicon), set(model.top[:15])
+    sides = {}
+    for r in docs:
+        w = lm_scores.tokens(r[1])
+        near = [4, *(known[x][1] if x in window else 5 for x in w), 4]
+        for k, x in enumerate(w):
+            left, right = sides.setdefault(x, (Counter(), Counter()))
+            left[near[k]] += 1
+            right[near[k + 2]] += 1
+    total = {c: [sum((sides[x][side] for x in sides if known[x][1] == c), Counter()) for side in (0, 1)] for c in range(4)}
+    log = lambda c, side, j: math.log((total[c][side][j] + 0.5) / (sum(total[c][side].values()) + 0.5 * 6))
+    for x in sides:
+        if x not in window:
+            like = [sum(n * log(c, side, j) for side in (0, 1) for j, n in sides[x][side].items()) for c in range(4)]
+            assert like[known[x][1]] >= max(like) - 1e-9
+
+
+def likelihood(pairs, cls, k):
+    f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+    one = np.eye(k)[cls]
+    m = one.T @ pairs @ one
+    return f(m) - f(m.sum(axis=0)) - f(m.sum(axis=1))
+
+
+@pytest.mark.parametrize("own", [1, 2])
+def test_exchange_ends_where_no_move_helps(own):
+    rnd = np.random.default_rng(own)
+    n, k = 24, 5
+    pairs = rnd.poisson(1.5, (n, n)) * rnd.poisson(1, (n, n))
+    cls = lm_scores.exchange(pairs, k, own)
+    best = likelihood(pairs, cls, k)
+    assert list(cls[n - own :]) == list(range(k - own, k)) and cls[: n - own].max() < k - own
+    for u in range(n - own):
+        for c in range(k - own):
+            other = cls.copy()
+            other[u] = c
+            assert likelihood(pairs, other, k) <= best + 1e-5
+
+
+def test_exchange_mixes_no_languages():
+    """Words of four languages, and twice as many classes: none has words of two."""
     rnd = np.random.default_rng(1)
-    n, k = 41, 5
+    n, k = 41, 9
     pairs = np.zeros((n, n), dtype=np.int64)
     for a in range(40):
         for b in range(40):
             pairs[a, b] = rnd.poisson(5 if a // 10 == b // 10 else 0.05)
     pairs[40, :40] = pairs[:40, 40] = 3
-    cls = lm_scores.exchange(pairs, k, 8)
-    f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
-
-    def likelihood(c):
-        one = np.eye(k)[c]
-        m = one.T @ pairs @ one
-        return f(m) - f(m.sum(axis=0)) - f(m.sum(axis=1))
-
+    cls = lm_scores.exchange(pairs, k)
     start = np.append(np.arange(40) % (k - 1), k - 1)
-    assert likelihood(cls) > likelihood(start) and cls[40] == k - 1
-    assert all(len(set(cls[10 * g : 10 * g + 10])) == 1 for g in range(4))
+    assert likelihood(pairs, cls, k) > likelihood(pairs, start, k) and cls[40] == k - 1
+    assert all(len({u // 10 for u in range(40) if cls[u] == c}) <= 1 for c in range(k - 1))
 
 
 # Quality rules
