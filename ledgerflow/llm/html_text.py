@@ -49,54 +49,56 @@ IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script st
 
 
 class Lines(HTMLParser):
-    """Lines of a page: (text, tags, path of open elements, marked ones of these), skipped elements left out.
+    """Lines of a page: (text, tags, element, whether links hold it all), skipped elements left out; elements know their parents.
 
     A form or an element with a marked class, id or role is only noted here: whether its lines
-    count is known when all have been read.
+    count is known when all have been read. Time and memory are linear in the page, however
+    deep its elements stand in each other.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, bool]] = []  # name, number, skipped with all it holds, begins what is skipped or marked
-        self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
-        self.kinds: dict[int, str] = {}
-        self.path: tuple[int, ...] = ()
-        self.marks: tuple[int, ...] = ()
-        self.text: list[tuple[str, tuple[int, ...], tuple[int, ...]]] = []  # piece, path, marks
-        self.tags = self.count = 0
+        self.open: list[tuple[str, int, bool, bool]] = []  # name, element, skipped with all it holds, begins what is skipped or marked
+        self.at: dict[str, list[int]] = defaultdict(list)  # places of the open elements by name
+        self.blocks: list[int] = []  # places of open blocks
+        self.stops: list[int] = []  # and of blocks and elements that begin what is skipped or marked
+        self.lines: list[tuple[str, int, int, bool]] = []
+        self.kinds, self.parents, self.marks = [""], [0], [0]  # by element, 0 for the page: name, parent, nearest marked one around it
+        self.marked: list[int] = []
+        self.text: list[tuple[str, int, bool]] = []  # piece, element, in a link
+        self.tags = 0
 
     def flush(self) -> None:
         """Ends the line. What inline marked elements hold in it is a line of its own."""
-        by_marks: dict[tuple[int, ...], tuple[list[str], tuple[int, ...]]] = {}
-        for piece, path, marks in self.text:
-            by_marks.setdefault(marks, ([], path))[0].append(piece)
-        for marks, (pieces, path) in by_marks.items():
+        by_marks: dict[int, tuple[list[str], int, list[bool]]] = {}
+        for piece, element, link in self.text:
+            pieces, _, links = by_marks.setdefault(self.marks[element], ([], element, []))
+            pieces.append(piece)
+            links.append(link or piece.isspace())
+        for pieces, element, links in by_marks.values():
             text = " ".join("".join(pieces).split())
             if text:
-                self.lines.append((text, self.tags, path, marks))
+                self.lines.append((text, self.tags, element, all(links)))
         if self.text:
             self.tags = 0
         self.text = []
 
     def add(self, piece: str) -> None:
         if not (self.open and self.open[-1][2]):
-            self.text.append((piece, self.path, self.marks))
+            self.text.append((piece, self.open[-1][1] if self.open else 0, bool(self.at["a"])))
 
     def close_to(self, k: int) -> None:
+        for name, *_ in self.open[k:]:
+            self.at[name].pop()
         del self.open[k:]
-        self.path = self.path[:k]
-        last = self.path[-1] if self.path else 0
-        while self.marks and self.marks[-1] > last:
-            self.marks = self.marks[:-1]
+        for places in (self.blocks, self.stops):
+            while places and places[-1] >= k:
+                places.pop()
 
     def end_head(self, everything: bool) -> None:
         """A head whose end tag is left out ends at the body and before anything that can't stand in it."""
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == "head":
-                self.close_to(k)
-                return
-            if not everything:
-                return
+        if self.at["head"] and (everything or self.open[-1][0] == "head"):
+            self.close_to(self.at["head"][-1])
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -104,20 +106,17 @@ class Lines(HTMLParser):
             self.end_head(tag == "body")
         if tag in BLOCKS:
             self.flush()
-            # A paragraph ends where a block begins; so do list items and cells.
-            for k in range(len(self.open) - 1, -1, -1):
-                name = self.open[k][0]
+            # A paragraph ends where a block begins; so do list items and cells. Blocks in an
+            # inline element that doesn't count belong to it; a new paragraph or item ends it.
+            around = self.blocks if tag == "p" or tag in HEADINGS or tag in CLOSED_BY else self.stops
+            if around:
+                name = self.open[around[-1]][0]
                 if name == "p" or name in HEADINGS and tag in HEADINGS or tag in CLOSED_BY and name in CLOSED_BY[tag]:
-                    self.close_to(k)
-                    break
-                # Blocks in an inline element that doesn't count belong to it; a new paragraph or item ends it.
-                if name in BLOCKS or self.open[k][3] and tag != "p" and tag not in HEADINGS and tag not in CLOSED_BY:
-                    break
+                    self.close_to(around[-1])
         if tag in VOID:
             if tag == "br":
                 self.add(" ")
             return
-        self.count += 1
         held = bool(self.open and self.open[-1][2])
         marks = " ".join(c for a, v in attrs if a in ("class", "id", "role") and v for c in v.split() if not c.startswith(TELLING))
         hidden = any(a == "hidden" or a == "aria-hidden" and v == "true" or a == "style" and v and re.search(r"display\s*:\s*none", v, re.I) for a, v in attrs)
@@ -125,14 +124,22 @@ class Lines(HTMLParser):
         marked = not skipped and (
             tag == "form" or tag not in ("html", "body", "main") and bool(marks and MARKED.search(marks)) or tag == "article" and bool(re.search(r"comment", marks, re.I))
         )
-        if (skipped and not held or marked) and tag not in BLOCKS and self.text:
+        begins = skipped and not held or marked
+        if begins and tag not in BLOCKS and self.text:
             # An inline element that doesn't count mustn't end the line it stands in.
             self.add(" ")
-        self.open.append((tag, self.count, skipped, skipped and not held or marked))
-        self.path = (*self.path, self.count)
+        element, parent, place = len(self.kinds), self.open[-1][1] if self.open else 0, len(self.open)
+        self.kinds.append(tag)
+        self.parents.append(parent)
+        self.marks.append(element if marked else self.marks[parent])
         if marked:
-            self.marks = (*self.marks, self.count)
-        self.kinds[self.count] = tag
+            self.marked.append(element)
+        self.at[tag].append(place)
+        if tag in BLOCKS:
+            self.blocks.append(place)
+        if tag in BLOCKS or begins:
+            self.stops.append(place)
+        self.open.append((tag, element, skipped, begins))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -142,18 +149,31 @@ class Lines(HTMLParser):
             return
         if tag in BLOCKS:
             self.flush()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self.close_to(k)
-                return
-            if tag not in BLOCKS and self.open[k][0] in BLOCKS:
-                return
+        places = self.at[tag]
+        if places and (tag in BLOCKS or not self.blocks or self.blocks[-1] <= places[-1]):
+            self.close_to(places[-1])
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def with_children(self, values: dict[int, float]) -> np.ndarray:
+        """By element: the sum of ``values`` over it and all it holds. Children have higher numbers than parents."""
+        total = [0.0] * len(self.kinds)
+        for e, v in values.items():
+            total[e] += v
+        for e in range(len(total) - 1, 0, -1):
+            total[self.parents[e]] += total[e]
+        return np.array(total)
+
+    def within(self, chosen: np.ndarray) -> np.ndarray:
+        """By element: how many of the ``chosen`` elements hold it or are it."""
+        n = [int(x) for x in chosen]
+        for e in range(1, len(n)):
+            n[e] += n[self.parents[e]]
+        return np.array(n)
+
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][0] == "head" and data.strip():
             self.end_head(False)
@@ -168,12 +188,26 @@ def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(x, g)[mid] / np.convolve(np.ones(len(x)), g)[mid]
 
 
-def clusters(lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]], sigma: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The lines' lengths, which of them are in clusters, and which would be without their neighbours."""
-    size = np.array([len(t) for t, *_ in lines], dtype=float)
-    own = size / np.array([max(1, n) for _, n, *_ in lines])
+def clusters(size: np.ndarray, tags: np.ndarray, sigma: float, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of lines with their lengths and tags: which are in clusters, and which would be without their neighbours."""
+    own = size / np.maximum(1, tags)
     ratio = smoothed(own, sigma)
-    return size, ratio >= threshold * ratio.mean(), own >= threshold * own.mean()
+    return ratio >= threshold * ratio.mean(), own >= threshold * own.mean()
+
+
+def before_headings(wanted: np.ndarray, heading: np.ndarray) -> np.ndarray:
+    """``wanted`` lines with the headings right above them."""
+    out = wanted.copy()
+    for k in range(len(out) - 2, -1, -1):
+        out[k] |= out[k + 1] and heading[k]
+    return out
+
+
+def sums_by(elements: np.ndarray, values: np.ndarray) -> dict[int, float]:
+    out: dict[int, float] = defaultdict(float)
+    for e, v in zip(elements, values, strict=True):
+        out[int(e)] += float(v)
+    return out
 
 
 def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5, most: float = 0.8) -> str:
@@ -192,54 +226,43 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5, most
         p.rawdata = ""
     p.close()
     p.flush()
-    lines = p.lines
-    if not lines:
+    if not p.lines:
         return ""
-    size, content, strong = clusters(lines, sigma, threshold)
-    if any(marks for _, _, _, marks in lines):
+    texts, tags, at, linked = (list(x) for x in zip(*p.lines, strict=True))
+    size, tags, at, linked = np.array([len(t) for t in texts], dtype=float), np.array(tags), np.array(at), np.array(linked)
+    kinds, marks = np.array(p.kinds), np.array(p.marks)
+    named = np.isin(kinds, ("article", "main"))
+    content, strong = clusters(size, tags, sigma, threshold)
+    if p.marked:
         # A mark on an element with most of the page's cluster text is on a wrapper of the page.
-        marked: dict[int, float] = defaultdict(float)
-        beside: set[int] = set()
-        for keep, n, (_, _, path, marks) in zip(content, size, lines, strict=True):
-            for e in marks if keep else ():
-                marked[e] += n
-            if not marks:
-                beside.update(e for e in path if p.kinds[e] in ("article", "main"))
-        around = {e: {*path} for _, _, path, marks in lines for e in marks}
-        whole = float(size[content].sum())
-        wrappers = {e for e, n in marked.items() if n > (most if beside - around[e] else 0.5) * whole}
-        lines = [x for x in lines if wrappers.issuperset(x[3])]
-        if not lines:
+        cluster = p.with_children(sums_by(at[content], size[content]))
+        beside = named & (p.with_children(sums_by(at, marks[at] == 0)) > 0)
+        around = p.within(beside)
+        whole = cluster[0]
+        dropped = np.zeros(len(kinds), dtype=bool)
+        for e in p.marked:
+            dropped[e] = cluster[e] <= (most if beside.sum() > around[e] else 0.5) * whole
+        left = p.within(dropped)[at] == 0
+        texts = [t for t, ok in zip(texts, left, strict=True) if ok]
+        size, tags, at, linked = size[left], tags[left], at[left], linked[left]
+        if not texts:
             return ""
-        size, content, strong = clusters(lines, sigma, threshold)
-    named: set[int] = set()
-    full: set[int] = set()
-    explicit = 0.0
-    for keep, own, n, (_, _, path, _) in zip(content, strong, size, lines, strict=True):
-        found = [e for e in path if p.kinds[e] in ("article", "main")]
-        named.update(found)
-        if own:
-            full.update(found)
-        if found and keep:
-            explicit += n
-    # An article that is in a cluster by its neighbours alone is a teaser; a heading belongs to the content that follows it.
-    wanted = np.array([keep and full.issuperset(named.intersection(path)) for keep, (_, _, path, _) in zip(content, lines, strict=True)])
-    for k in range(len(lines) - 2, -1, -1):
-        wanted[k] |= wanted[k + 1] and any(p.kinds[e] in HEADINGS for e in lines[k][2])
-    if explicit >= most * float(size[content].sum()):
-        inside = [bool(named.intersection(path)) for _, _, path, _ in lines]
-        # So does the title right above an article.
-        for k in range(len(lines) - 2, -1, -1):
-            inside[k] |= inside[k + 1] and any(p.kinds[e] in HEADINGS for e in lines[k][2])
-        return "\n".join(x[0] for x, ok in zip(lines, inside, strict=True) if ok)
-    common: set[int] | None = None
-    for keep, (_, _, path, _) in zip(wanted, lines, strict=True):
-        if keep:
-            around = {e for e in path if p.kinds[e] in HOLDERS}
-            common = around if common is None else common & around
-    # Deeper elements have higher numbers along a path.
-    region = max(common) if common else None
-    return "\n".join(t for t, _, path, _ in lines if region is None or region in path)
+        content, strong = clusters(size, tags, sigma, threshold)
+    heading = p.within(np.isin(kinds, tuple(HEADINGS)))[at] > 0
+    inside = p.within(named)[at] > 0
+    if float(size[inside & content].sum()) >= most * float(size[content].sum()):
+        # The title right above an article belongs to it.
+        chosen = before_headings(inside, heading)
+    else:
+        # What is in a cluster by its neighbours alone doesn't widen the region if it is an article (a
+        # teaser) or nothing but links; a heading belongs to the content that follows it.
+        teaser = named & (p.with_children(sums_by(at, strong)) == 0)
+        wanted = before_headings(content & (strong | ~linked) & (p.within(teaser)[at] == 0), heading)
+        held = p.with_children(sums_by(at, wanted))
+        # Of the elements that hold all wanted lines the deepest has the highest number.
+        regions = np.flatnonzero(np.isin(kinds, tuple(HOLDERS)) & (held == held[0])) if wanted.any() else []
+        chosen = p.within(np.arange(len(kinds)) == regions[-1])[at] > 0 if len(regions) else np.ones(len(texts), dtype=bool)
+    return "\n".join(t for t, ok in zip(texts, chosen, strict=True) if ok)
 
 
 def add_main_text(df: DataFrame, html: str = "html", carry_html: bool = False) -> DataFrame:

@@ -1,5 +1,12 @@
 """Pages on which the main text isn't where the markup says first."""
 
+import math
+import time
+
+import numpy as np
+import pytest
+
+from ledgerflow.llm import html_text
 from ledgerflow.llm.html_text import main_text
 
 PARAS = [f"Paragraph {k} of the story goes on for quite a while and tells of what came of it in the end." for k in range(6)]
@@ -58,3 +65,38 @@ def test_long_quotation():
     for tag in ("blockquote>", "td>"):
         got = main_text(f"<body><div><p>{PARAS[0]}</p><{tag}{quote}</{tag}<p>{PARAS[1]}</p></div>")
         assert got == "\n".join([PARAS[0], *PARAS * 3, PARAS[1]])
+
+
+def test_ratio_step_by_plain_loops():
+    rnd = np.random.default_rng(4)
+    for n in (1, 2, 3, 9, 40):
+        size, tags = rnd.integers(1, 400, n).astype(float), rnd.integers(0, 6, n)
+        own = [a / max(1, b) for a, b in zip(size, tags, strict=True)]
+        for sigma, threshold in ((1.0, 0.5), (2.5, 1.0)):
+            reach = max(1, int(3 * sigma))
+            smooth = []
+            for k in range(n):
+                near = [(math.exp(-0.5 * ((j - k) / sigma) ** 2), own[j]) for j in range(max(0, k - reach), min(n, k + reach + 1))]
+                smooth.append(sum(w * x for w, x in near) / sum(w for w, _ in near))
+            content, strong = html_text.clusters(size, tags, sigma, threshold)
+            assert list(content) == [x >= threshold * sum(smooth) / n for x in smooth]
+            assert list(strong) == [x >= threshold * sum(own) / n for x in own]
+
+
+LINKS = "".join(f"<li><a href=/{k}>Link {k}</a>" for k in range(30))
+
+
+@pytest.mark.parametrize("page", [f"<body><div><ul>{LINKS}</ul></div><div>{STORY}</div><div><ul>{LINKS}</ul></div>", f"<body><div>{STORY}</div><article><p>Read this too</p></article>"])
+def test_ratio_decides(page, monkeypatch):
+    """Without marks or telling elements only the ratio tells the story from links and teasers."""
+    assert main_text(page) == WHOLE
+    every = lambda size, *_: (np.ones(len(size), dtype=bool),) * 2
+    monkeypatch.setattr(html_text, "clusters", every)
+    assert main_text(page) != WHOLE
+
+
+@pytest.mark.parametrize("parts", [("<div>a", ""), ("<b>a", "</i>"), ("<span class=ad><div>a", "</p>"), ("<b>", "<hr>a"), ("<article>a", "</section>")])
+def test_deep_nesting_takes_linear_time(parts):
+    start = time.perf_counter()
+    main_text("<body>" + parts[0] * 100_000 + parts[1] * 100_000)
+    assert time.perf_counter() - start < 30
