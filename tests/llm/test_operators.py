@@ -149,7 +149,7 @@ def test_mixing(spark, rows):
 def test_mixing_follows_keys(spark):
     """The chosen documents are those with the smallest keys."""
     docs = [(i, " ".join(["w"] * (1 + i % 5)), "en", "s" if i % 2 else "t") for i in range(400)]
-    got = mixing.mix_sources(frame(spark, docs, extra=False), share=0.5, weights=(1,), buckets=8).collect()
+    got = mixing.mix_sources(frame(spark, docs, extra=False), share=0.5, weights=(1,), steps=2).collect()
     import hashlib
 
     for s in ("s", "t"):
@@ -161,6 +161,28 @@ def test_mixing_follows_keys(spark):
             total += r.size
 
 
+def test_mixing_sources_of_all_kinds(spark):
+    """A source of low quality weights, one at its cap with texts without words, and one without any words."""
+    rnd = random.Random(6)
+    docs = [(i, "w " + "#" * 300, "en", "a-low") for i in range(3000)] + [(4000 + i, "w " * rnd.randint(1, 9), "en", "b") for i in range(900)]
+    docs += [(6000 + i, "w" if i % 2 else None, "en", "c-small") for i in range(20)] + [(7000 + i, " ", "en", "d-none") for i in range(5)]
+    df = frame(spark, docs, extra=False)
+    got = mixing.mix_sources(df).collect()
+    assert len(got) == len(docs)
+    sizes = Counter({"d-none": 0})
+    for r in docs:
+        sizes[r[3]] += len(words(r[1]))
+    want = fill(sizes, 1.5, 2.0)
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        assert 0 <= r.copies <= 2
+    assert taken["c-small"] == 20 and taken["d-none"] == 0 and abs(taken["a-low"] - want["a-low"]) <= 1
+    # No range holds a large part of the source, though all keys are divided by the same small weight.
+    keys = [-math.log((rnd.random() * 2**48 + 0.5) / 2**48) * 1501 for _ in range(100_000)]
+    assert max(Counter(math.floor(math.log2(k) * 1024) for k in keys).values()) < 100
+
+
 # Suffix-array dedup
 
 
