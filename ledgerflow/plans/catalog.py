@@ -46,7 +46,7 @@ def query(name: str, sql: str | None = None, with_ledger: bool = True) -> Callab
     def register(f: Query) -> Query:
         QUERIES[name] = lambda spark, sf_dir: plain(f(spark, sf_dir))
         if sql:
-            SQL[name] = f"WITH {LEDGER_SQL}{sql}" if with_ledger else sql
+            SQL[name] = f"WITH RECURSIVE {LEDGER_SQL}{sql}" if with_ledger else sql
         return f
 
     return register
@@ -67,6 +67,16 @@ CHECKED = """, checked AS (
     SELECT *, CASE WHEN source_row > 1 THEN coalesce(lag(balance) OVER w, 0) + coalesce(credit, 0) - coalesce(debit, 0) END AS expected FROM ledger
     WINDOW w AS (PARTITION BY statement_id ORDER BY source_row)))
 """
+#: The sequence ratio of the texts a and b of ``alike``: the longest common part (the first in a, then in b), then the same on its left and on its right.
+RATIO_SQL = """parts(a, b, x, y, k) AS (
+  SELECT DISTINCT a, b, a, b, 0::BIGINT FROM alike WHERE a <> b
+  UNION ALL SELECT a, b, q.x, q.y, q.k FROM (
+    SELECT a, b, unnest([{'x': substr(x, 1, -m.i - 1), 'y': substr(y, 1, -m.j - 1), 'k': m.k}, {'x': substr(x, m.k - m.i), 'y': substr(y, m.k - m.j), 'k': 0}]) AS q FROM (
+      SELECT *, list_max(flatten(list_transform(range(1, length(x) + 1), lambda i: list_transform(list_filter(range(1, length(y) + 1), lambda j: x[i] = y[j]),
+        lambda j: {'k': len(list_filter(range(1, least(length(x) - i, length(y) - j) + 2), lambda n: substr(x, i, n) = substr(y, j, n))), 'i': -i, 'j': -j})))) AS m
+      FROM parts WHERE x <> '' AND y <> '') WHERE m IS NOT NULL)),
+ratios AS (SELECT a, b, 2.0::DOUBLE * sum(k) / (length(a) + length(b)) AS similarity FROM parts GROUP BY a, b),
+"""
 ISSUES = (
     CHECKED
     + """, dates AS (SELECT DISTINCT statement_id, txn_date FROM ledger WHERE txn_date IS NOT NULL),
@@ -91,6 +101,10 @@ pairs AS (
       AND length(i.narration_raw) > 0 AND length(j.narration_raw) > 0
       AND least(length(i.narration_raw), length(j.narration_raw)) * 11 >= greatest(length(i.narration_raw), length(j.narration_raw)) * 9 AS near
   FROM anchored i JOIN anchored j ON i.statement_id = j.statement_id AND i.id < j.id AND i.anchor IS NULL AND (j.anchor IS NULL OR j.anchor >= i.id)),
+alike AS (SELECT statement_id, i_id, j_id, lower(i_n) AS a, lower(j_n) AS b FROM pairs WHERE near AND NOT exact AND NOT reversal AND NOT probable),
+"""
+    + RATIO_SQL
+    + """near_duplicates AS (SELECT statement_id, i_id, j_id, coalesce(similarity, 1.0::DOUBLE) AS similarity FROM alike LEFT JOIN ratios USING (a, b) WHERE alike.a = alike.b OR similarity >= 0.9),
 issues AS (
   SELECT statement_id, id AS transaction_id, 'HIGH' AS severity, 'BAL_MISMATCH' AS code, false AS required FROM checked WHERE variance > 1.00
   UNION ALL SELECT statement_id, id, 'CRITICAL', 'NEGATIVE_AMOUNT', true FROM ledger WHERE source_row > 1 AND (debit < 0 OR credit < 0)
@@ -98,6 +112,7 @@ issues AS (
   UNION ALL SELECT statement_id, NULL, 'HIGH', 'DATE_GAP', false FROM gaps WHERE wd > 7
   UNION ALL SELECT statement_id, i_id, CASE WHEN reversal THEN 'INFO' ELSE 'HIGH' END, CASE WHEN exact THEN 'EXACT_DUPLICATE' WHEN reversal THEN 'REVERSAL_PAIR' ELSE 'PROBABLE_DUPLICATE' END, NOT exact AND NOT reversal
     FROM pairs WHERE exact OR reversal OR probable
+  UNION ALL SELECT statement_id, i_id, 'MEDIUM', 'NEAR_DUPLICATE', false FROM near_duplicates
   UNION ALL SELECT statement_id, id, CASE WHEN code IN ('SHORT_NARRATION', 'NUMERIC_ONLY_NARRATION') THEN 'MEDIUM' WHEN large THEN 'CRITICAL' ELSE 'HIGH' END, code, code = 'BLANK_NARRATION' AND large
     FROM quality WHERE code IS NOT NULL)
 """
@@ -109,14 +124,11 @@ def all_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def issue_query(name: str, sql: str) -> Callable[[Callable[[SparkSession, str, DataFrame], DataFrame]], None]:
-    """Registers ``{name}_with_near`` over all issues, and ``name`` over those its SQL lists.
-
-    The SQL has no sequence ratio and so no near duplicates. The whole job is ``{name}_with_near``.
-    """
+    """Registers a query over all issues, near duplicates among them, under ``name`` and its older name ``{name}_with_near``."""
 
     def register(f: Callable[[SparkSession, str, DataFrame], DataFrame]) -> None:
-        query(name, sql)(lambda spark, sf_dir: f(spark, sf_dir, all_issues(spark, sf_dir).filter("code <> 'NEAR_DUPLICATE'")))
-        query(f"{name}_with_near")(lambda spark, sf_dir: f(spark, sf_dir, all_issues(spark, sf_dir)))
+        for n in (name, f"{name}_with_near"):
+            query(n, sql)(lambda spark, sf_dir: f(spark, sf_dir, all_issues(spark, sf_dir)))
 
     return register
 
@@ -187,11 +199,16 @@ def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.near_candidates(duplicates.prepared(adapters.ledger(spark, sf_dir))).select(F.col("i_statement_id").alias("statement_id"), "i_id", "j_id")
 
 
-@query("v8_near_duplicate")
+@query("v8_near_duplicate", ISSUES + "SELECT statement_id, i_id, j_id, similarity FROM near_duplicates")
 def v8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.near_duplicate_pairs(duplicates.prepared(adapters.ledger(spark, sf_dir))).select(F.col("i_statement_id").alias("statement_id"), "i_id", "j_id", "similarity")
 
 
+@query("v10_issues", ISSUES + "SELECT statement_id, transaction_id, severity, code, required AS resolution_required FROM issues")
+def v10_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.run_all_checks(adapters.ledger(spark, sf_dir)).select("statement_id", "transaction_id", "severity", "code", "resolution_required")
+
+
 @query("v10_run_all_checks")
 def v10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.run_all_checks(adapters.ledger(spark, sf_dir)).select("issue_id", "statement_id", "transaction_id", "severity", "code", "message", "resolution_required")

@@ -57,3 +57,22 @@ def test_rows_are_flagged(run):
     assert run("j3_attach_issues_with_near", "id", "status", "issue_codes") == Counter((r[0], "Flagged" if r[0] in flagged else "Clean", codes.get(r[0], "")) for r in ROWS)
     assert run("j13_issues_by_transaction_with_near", "statement_id", "transaction_id", "code") == Counter(ISSUES)
     assert run("s8_cleaned_ledger_with_near", "id", "flagged") == Counter((r[0], r[0] in flagged) for r in ROWS)
+
+
+def test_ratio_in_sql():
+    """The recursive SQL gives the library's sequence ratio of any two texts."""
+    import random
+
+    import duckdb
+
+    from ledgerflow.functions.helpers import ratio
+
+    rnd = random.Random(5)
+    text = lambda: "".join(rnd.choice("ab c1") for _ in range(rnd.randint(1, 24)))
+    pairs = {(text(), text()) for _ in range(200)} | {(x, x[:5] + "z" + x[6:]) for x in (text() for _ in range(100))}
+    pairs = [p for p in pairs if p[0] != p[1]]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE alike (a VARCHAR, b VARCHAR)")
+    con.executemany("INSERT INTO alike VALUES (?, ?)", pairs)
+    got = {(a, b): r for a, b, r in con.execute("WITH RECURSIVE " + catalog.RATIO_SQL.rstrip().rstrip(",") + " SELECT a, b, similarity FROM ratios").fetchall()}
+    assert got == {(a, b): ratio(a, b) for a, b in pairs}
