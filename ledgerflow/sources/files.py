@@ -192,8 +192,8 @@ def parse_rpt(files: DataFrame, layout: str = "corrected") -> DataFrame:
     return fixed.unionByName(cells).unionByName(parse_text_lines(n.filter("format = 'generic'")))
 
 
-def store_transactions(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Appends parsed rows: texts without nulls, the quality flag set."""
+def store_transactions(rows: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "append") -> None:
+    """Writes parsed rows: texts without nulls, the quality flag set."""
     texts = [c for c in ("narration_raw", "balance_type", "reference", "txn_mode", "counterparty_name") if c in rows.columns]
     out = rows.fillna("", texts).withColumn("quality_flag", s.quality_flag(F.col("quality_flag"), F.col("narration_raw")))
-    out.write.mode("append").partitionBy(*(partition_by or [])).parquet(path)
+    out.write.mode(mode).partitionBy(*(partition_by or [])).parquet(path)

@@ -14,12 +14,16 @@ from ..sources.files import parse_rpt, store_transactions
 
 
 def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str, layout: str = "corrected") -> StreamingQuery:
-    """Parses arriving text files and appends their rows to ``target``; each file once."""
+    """Parses arriving text files and adds their rows to ``target``; each file once.
+
+    Every batch has a folder of its own (``batch_id=...``) and replaces it, so a batch that is run
+    again after a failure between its write and its commit isn't stored twice.
+    """
     files = spark.readStream.format("text").option("wholetext", True).load(source).withColumn("file_id", F.col("_metadata.file_path"))
     files = files.select("file_id", F.split("value", r"\r\n|\r|\n").alias("lines"))
 
-    def append(batch: DataFrame, _: int) -> None:
-        store_transactions(parse_rpt(batch, layout), target)
+    def append(batch: DataFrame, batch_id: int) -> None:
+        store_transactions(parse_rpt(batch, layout), f"{target}/batch_id={batch_id}", mode="overwrite")
 
     return files.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -42,44 +46,52 @@ def stream_status(events: DataFrame) -> DataFrame:
 
 
 def stream_stale(uploads: DataFrame, minutes: int = 30, watermark: str = "1 minute") -> DataFrame:
-    """(statement_id, status): ``failed`` once event time passes an upload by ``minutes`` without completion.
+    """(statement_id, status): ``failed`` once event time passes an upload by ``minutes`` without completion, or ``completed``, once.
 
-    ``uploads``: (statement_id, ts, status) with statuses uploaded and completed.
+    ``uploads``: (statement_id, ts, status). Statuses other than uploaded and completed count for nothing. A
+    completion may come before its upload: it is remembered for ``minutes`` of event time.
     """
 
     def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first, done = state.get if state.exists else (None, None)
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame({"statement_id": [key[0]], "status": ["failed"]})
+            if done is None:
+                yield pd.DataFrame({"statement_id": [key[0]], "status": ["failed"]})
             return
-        first, done = (state.get if state.exists else (None, False))
+        ms = lambda ts: int(ts.timestamp() * 1000)
+        was_done = done is not None
         for b in batches:
-            done = done or bool((b["status"] == "completed").any())
             least = b.loc[b["status"] == "uploaded", "ts"].min()
+            last = b.loc[b["status"] == "completed", "ts"].max()
             if not pd.isna(least):
-                ms = int(least.timestamp() * 1000)
-                first = ms if first is None else min(first, ms)
-        if done:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"statement_id": [key[0]], "status": ["completed"]})
+                first = ms(least) if first is None else min(first, ms(least))
+            if not pd.isna(last):
+                done = ms(last) if done is None else max(done, ms(last))
+        if first is None and done is None:
             return
         state.update((first, done))
-        due = (first or 0) + minutes * 60_000
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max((first if done is None else done) + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+        if done is not None and not was_done:
+            yield pd.DataFrame({"statement_id": [key[0]], "status": ["completed"]})
 
     marked = uploads.withWatermark("ts", watermark)
-    return marked.groupBy("statement_id").applyInPandasWithState(watch, "statement_id long, status string", "first long, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.groupBy("statement_id").applyInPandasWithState(watch, "statement_id long, status string", "first long, done long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_balance_check(txns: DataFrame, tolerance: float = 1.00) -> DataFrame:
+def stream_balance_check(txns: DataFrame, tolerance: float = 1.00, idle_hours: float = 24) -> DataFrame:
     """(id, statement_id, expected_balance, variance) of mismatches, across batches: the state is each statement's last balance.
 
-    Rows of a batch are taken in ``source_row`` order; amounts are compared in cents.
+    Rows of a batch are taken in ``source_row`` order; amounts are compared in cents. A statement
+    without rows for ``idle_hours`` is forgotten when later rows arrive: its next row is taken as a first one.
     """
 
     def check(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(["source_row", "id"])
+        seen = int(rows["seen_at"].max().timestamp() * 1000)
         last = state.get[0] if state.exists else None
         out = []
         for r in rows.itertuples():
@@ -90,8 +102,9 @@ def stream_balance_check(txns: DataFrame, tolerance: float = 1.00) -> DataFrame:
                     out.append((int(r.id), int(key[0]), expected / 100, abs(expected - balance) / 100))
             last = balance
         state.update((last,))
+        state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + max(1, int(idle_hours * 3_600_000)))
         yield pd.DataFrame(out, columns=["id", "statement_id", "expected_balance", "variance"])
 
     cents = lambda c: (F.col(c) * 100).cast("long").alias(c)
-    rows = txns.select("id", "statement_id", "source_row", cents("debit"), cents("credit"), cents("balance"))
-    return rows.groupBy("statement_id").applyInPandasWithState(check, "id long, statement_id long, expected_balance double, variance double", "last long", "append", GroupStateTimeout.NoTimeout)
+    rows = txns.select("id", "statement_id", "source_row", cents("debit"), cents("credit"), cents("balance"), F.current_timestamp().alias("seen_at")).withWatermark("seen_at", "0 seconds")
+    return rows.groupBy("statement_id").applyInPandasWithState(check, "id long, statement_id long, expected_balance double, variance double", "last long", "append", GroupStateTimeout.EventTimeTimeout)
