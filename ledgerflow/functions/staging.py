@@ -12,11 +12,14 @@ def staged(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the folder of ``spark.checkpoint.dir`` and read again.
 
     The lineage ends here, so steps after it have small plans and a lost executor costs no
-    recomputation. Where no folder is set (a single machine) a temporary one is made.
+    recomputation. Where no folder is set a single machine gets a temporary one; a cluster
+    has to name one that driver and executors share.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="ledgerflow-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder}/staged-{uuid.uuid4().hex}"

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from ..functions.staging import staged
 from ..functions.helpers import group_lines, robust_date_of
 from ..sources.files import parsed, with_names
 from .balance import balance_suspect, correct_from_balance
@@ -171,6 +172,7 @@ def match_text_to_numeric_lines(text_lines: DataFrame, numeric_lines: DataFrame,
     conf = F.transform(F.filter("m", lambda x: x["conf"] >= 0), lambda x: x["conf"])
     mean = F.when(F.size(conf) > 0, F.aggregate(conf, F.lit(0.0), lambda a, x: a + x) / F.size(conf)).otherwise(0.0)
     n = n.select(*PAGE, "top", F.get("m", 0)["text"].alias("amount"), F.regexp_replace(F.get("m", 1)["text"], "(CR|DR)$", "").alias("balance"), kind.alias("dr_cr"), F.round(mean, 1).alias("confidence"), F.monotonically_increasing_id().alias("_lf_row")).filter("dr_cr <> ''")
+    n = staged(n)  # read twice: the row numbers must be the same
     width = max(header_px, match_px)
     bucket = lambda c: F.floor(c / F.lit(width))
     header = F.exists("words", lambda x: x["text"].isin(*HEADER_WORDS))

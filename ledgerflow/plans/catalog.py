@@ -569,6 +569,15 @@ def j7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assigned(spark, sf_dir).select("id", "statement_id", "beneficiary_name", "counterparty", "confidence", "layer")
 
 
+@query(
+    "t2_review_queue_page",
+    NAMES + "SELECT l.id, l.statement_id, l.debit::DOUBLE AS debit, l.credit::DOUBLE AS credit FROM ledger l JOIN named n ON l.id = n.id WHERE n.beneficiary_name IS NULL ORDER BY l.debit DESC NULLS LAST, l.credit DESC NULLS LAST, l.id LIMIT 20 OFFSET 20",
+)
+def t2_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audit = counterparties.identification_audit(assigned_by_name(spark, sf_dir))
+    return ledger.review_queue_page(review.unidentified(adapters.ledger(spark, sf_dir), audit), number=2).select("id", "statement_id", "debit", "credit")
+
+
 # --- Review and visibility -----------------------------------------------------------------------
 
 
@@ -810,12 +819,30 @@ def o3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.parse_word_boxes(word_boxes(spark, sf_dir)).select("file_id", "source_row", "txn_date", "narration_raw", "debit", "credit", "balance", "reference")
 
 
-@query("a11_skew_angle")
+BOXES = """, boxes AS (SELECT statement_id::VARCHAR AS file_id, source_row // 10 AS page_no, source_row % 10 AS row, unnest([{'pos': 0, 'x': 20.0::DOUBLE, 'text': strftime(coalesce(txn_date, DATE '2018-01-01'), '%d-%m-2018')},
+  {'pos': 1, 'x': 200.0::DOUBLE, 'text': coalesce(nullif(reference, ''), 'R1')}, {'pos': 2, 'x': 400.0::DOUBLE, 'text': coalesce(nullif(narration_raw, ''), 'TEXT')}, {'pos': 3, 'x': 760.0::DOUBLE, 'text': coalesce(format('{:,.2f}', debit::DOUBLE), '')},
+  {'pos': 4, 'x': 950.0::DOUBLE, 'text': coalesce(format('{:,.2f}', credit::DOUBLE), '')}, {'pos': 5, 'x': 1200.0::DOUBLE, 'text': format('{:,.2f}', balance::DOUBLE) || 'CR'}], recursive := true) FROM ledger),
+words AS (SELECT *, 100.0::DOUBLE + row * 30 + x * tan(0.017453292519943295::DOUBLE) AS top FROM boxes)
+"""
+
+
+@query(
+    "a11_skew_angle",
+    BOXES
+    + """, turned AS (SELECT file_id, page_no, k, radians(-3.0::DOUBLE + 0.2::DOUBLE * k) AS angle, top - x * tan(radians(-3.0::DOUBLE + 0.2::DOUBLE * k)) AS y FROM words, range(31) t(k) WHERE trim(text) <> ''),
+low AS (SELECT *, min(y) OVER p AS y0, max(y) OVER p AS y1 FROM turned WINDOW p AS (PARTITION BY file_id, page_no, k)),
+bins AS (SELECT file_id, page_no, k, angle, floor((y - y0) / 4.0::DOUBLE) AS bin, floor((y1 - y0) / 4.0::DOUBLE) + 1 AS bins, count(*) AS n FROM low GROUP BY ALL),
+spread AS (SELECT file_id, page_no, k, angle, sum(n * n) / bins - (sum(n) / bins) * (sum(n) / bins) AS variance FROM bins GROUP BY file_id, page_no, k, angle, bins)
+SELECT file_id, page_no, round(arg_max(angle, (round(variance, 9), -k)), 6) AS angle FROM spread GROUP BY 1, 2""",
+)
 def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.skew_angle(word_boxes(spark, sf_dir)).withColumn("angle", F.round("angle", 6))
 
 
-@query("o5_lines_from_words")
+@query(
+    "o5_lines_from_words",
+    BOXES + "SELECT file_id, page_no, list_sort(list(top))[(count(*) // 2 + 1)::INTEGER] AS top, string_agg(trim(text), ' ' ORDER BY x) AS text FROM words WHERE trim(text) <> '' GROUP BY file_id, page_no, row",
+)
 def o5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.lines_from_words(word_boxes(spark, sf_dir)).select("file_id", "page_no", "top", "text")
 
@@ -826,7 +853,13 @@ def o4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.match_text_to_numeric_lines(lines, lines.withColumn("top", F.col("top") + 4)).select("file_id", "page", "top", "date", "ref_num", "particulars", "amount", "balance", "dr_cr", "confidence")
 
 
-@query("o6_best_orientation")
+@query(
+    "o6_best_orientation",
+    BOXES
+    + """, passes AS (SELECT file_id, page_no, o * 90 AS orientation, CASE WHEN o = page_no % 4 THEN 95.0::DOUBLE WHEN (row * 10 + pos) % 5 = 0 THEN -1 ELSE 40 END AS conf FROM boxes, range(4) t(o)),
+means AS (SELECT file_id, page_no, orientation, avg(conf) AS confidence FROM passes WHERE conf >= 0 GROUP BY ALL)
+SELECT * FROM means QUALIFY row_number() OVER (PARTITION BY file_id, page_no ORDER BY confidence DESC, orientation) = 1""",
+)
 def o6(spark: SparkSession, sf_dir: str) -> DataFrame:
     turned = word_boxes(spark, sf_dir).withColumn("orientation", F.explode(F.array(*[F.lit(x) for x in (0, 90, 180, 270)])))
     conf = F.when(F.col("orientation") == (F.col("page_no") % 4) * 90, 95.0).otherwise(F.when(F.col("word_no") % 5 == 0, -1.0).otherwise(40.0))
