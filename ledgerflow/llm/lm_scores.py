@@ -12,9 +12,11 @@ one end token a text included. Every training word gets its class by exchange:
 - All other training words then have a row each in a distributed table: how often each window class, the
   end of a text or another word stands to their left and right, over all training texts.
   They are exchanged between the classes in sweeps over that table (each word to the class
-  under which its neighbours are likeliest, then the classes' profiles anew) until nothing moves.
+  that is likeliest given its neighbours, then the classes' profiles and sizes anew) until nothing moves.
 - The classes of all words, frequent and rare, are filled into the texts; class bigrams of
-  all training texts give the transitions.
+  all training texts give the transitions. They are mixed with the classes' frequencies: words that were seen
+  once chose their classes by the very bigrams that are counted, so the share of tokens that are new words (by
+  Good and Turing that of words seen once) weighs the latter.
 """
 
 from __future__ import annotations
@@ -212,10 +214,11 @@ def neighbour_counts(train: DataFrame, text: str, top: list[bytes], window_cls:
 
 @dataclass
 class Profiles:
-    """By word class: how often each neighbour stands to its left and its right."""
+    """By word class: how often each neighbour stands to its left and its right, and its number of words beyond the window."""
 
     left: np.ndarray
     right: np.ndarray
+    sizes: np.ndarray
 
     def table(self) -> np.ndarray:
         """Log likelihood of every code under every class."""
@@ -226,25 +229,30 @@ class Profiles:
         a, b = logs(self.left), logs(self.right)
         return np.concatenate([a, b, (a[:, None, :] + b[None, :, :]).reshape(-1, a.shape[1])])
 
+    def prior(self) -> np.ndarray:
+        """Log probability of each class: a word with few neighbours joins a large class unless they speak against it."""
+        return np.log((self.sizes + ALPHA) / (self.sizes.sum() + ALPHA * len(self.sizes)))
+
     def likelihood(self) -> float:
-        """Of all neighbours under the profiles, with the prior that ``ALPHA`` is."""
-        return sum(float(((x + ALPHA) * np.log((x + ALPHA) / (x.sum(axis=1, keepdims=True) + ALPHA * x.shape[1]))).sum()) for x in (self.left, self.right))
+        """Of all words' classes and neighbours under the profiles, with the prior that ``ALPHA`` is."""
+        return float(((self.sizes + ALPHA) * self.prior()).sum()) + sum(float(((x + ALPHA) * np.log((x + ALPHA) / (x.sum(axis=1, keepdims=True) + ALPHA * x.shape[1]))).sum()) for x in (self.left, self.right))
 
 
-def best_classes(codes: pa.ListArray, counts: pa.ListArray, table: np.ndarray) -> np.ndarray:
-    """The class of each word under which its neighbours are likeliest; ties to the lower class."""
+def best_classes(codes: pa.ListArray, counts: pa.ListArray, table: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """The likeliest class of each word, given its neighbours; ties to the lower class."""
     ends = codes.offsets.to_numpy()
     code, n = codes.values.to_numpy(), counts.values.to_numpy().astype(np.float64)
     out = np.empty(len(codes), dtype=np.int64)
     for a in range(0, len(codes), 1000):  # bounds the memory: a word has at most so many codes
         b = min(a + 1000, len(codes))
         s, e = ends[a], ends[b]
-        out[a:b] = np.add.reduceat(table[code[s:e]] * n[s:e, None], ends[a:b] - s, axis=0).argmax(axis=1)
+        like = np.add.reduceat(table[code[s:e]] * n[s:e, None], ends[a:b] - s, axis=0)
+        out[a:b] = (like + prior).argmax(axis=1)
     return out
 
 
-def exchanged(counts: DataFrame, fixed: Profiles, settings: Settings) -> np.ndarray:
-    """The table of log likelihoods at which no word of ``counts`` moves any more.
+def exchanged(counts: DataFrame, fixed: Profiles, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The table of log likelihoods, and the classes' log probabilities, at which no word of ``counts`` moves any more.
 
     ``fixed``: profiles of the window's words, which stay. Every sweep gives each word its best class under the
     last profiles, in all tasks at once; then profiles follow from the classes. Neither step lowers the likelihood, so
@@ -252,31 +260,33 @@ def exchanged(counts: DataFrame, fixed: Profiles, settings: Settings) -> np.ndar
     """
     k, p = settings.end, settings.neighbours
 
-    def sweep(table: np.ndarray) -> Profiles:
+    def sweep(table: np.ndarray, prior: np.ndarray) -> Profiles:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen = np.zeros((k, len(table)), dtype=np.int64)
+            seen, sizes = np.zeros((k, len(table)), dtype=np.int64), np.zeros(k, dtype=np.int64)
             for b in batches:
                 if b.num_rows:
-                    cls = np.repeat(best_classes(b.column(0), b.column(1), table), np.diff(b.column(0).offsets.to_numpy()))
+                    best = best_classes(b.column(0), b.column(1), table, prior)
+                    sizes += np.bincount(best, minlength=k)
+                    cls = np.repeat(best, np.diff(b.column(0).offsets.to_numpy()))
                     np.add.at(seen.reshape(-1), cls * len(table) + b.column(0).values.to_numpy(), b.column(1).values.to_numpy())
             both = seen[:, 2 * p :].reshape(k, p, p)
-            flat = np.concatenate([seen[:, :p] + both.sum(axis=2), seen[:, p : 2 * p] + both.sum(axis=1)], axis=1).reshape(-1)
+            flat = np.concatenate([seen[:, :p] + both.sum(axis=2), seen[:, p : 2 * p] + both.sum(axis=1), sizes[:, None]], axis=1).reshape(-1)
             cells = np.flatnonzero(flat)
             yield pa.RecordBatch.from_pydict({"cell": pa.array(cells), "n": pa.array(flat[cells])})
 
         found = counts.select("code", "n").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-        flat = np.zeros(k * 2 * p, dtype=np.int64)
+        flat = np.zeros(k * (2 * p + 1), dtype=np.int64)
         flat[found["cell"].to_numpy()] = found["n"].to_numpy()
-        new = flat.reshape(k, 2 * p)
-        return Profiles(fixed.left + new[:, :p], fixed.right + new[:, p:])
+        new = flat.reshape(k, 2 * p + 1)
+        return Profiles(fixed.left + new[:, :p], fixed.right + new[:, p : 2 * p], new[:, -1])
 
     now, best = fixed, -np.inf
     while True:
-        new = sweep(now.table())
+        new = sweep(now.table(), now.prior())
         value = new.likelihood()
-        same = np.array_equal(new.left, now.left) and np.array_equal(new.right, now.right)
+        same = np.array_equal(new.left, now.left) and np.array_equal(new.right, now.right) and np.array_equal(new.sizes, now.sizes)
         if same or value <= best + 1e-12 * abs(value):
-            return now.table()
+            return now.table(), now.prior()
         now, best = new, value
 
 
@@ -292,6 +302,7 @@ class Model:
     total: int
     distinct: int
     ends: int
+    once: int
     move: np.ndarray | None = None
     emit: np.ndarray | None = None
 
@@ -308,15 +319,16 @@ def fit_classes(train: DataFrame, text: str, settings: Settings) -> tuple[Model,
     all_cls = exchange(pairs, settings.neighbours, own=2)
     one = np.eye(settings.neighbours, dtype=np.int64)[all_cls]
     by_class = one.T @ pairs @ one
-    fixed = Profiles(by_class[:, : settings.end].T, by_class[: settings.end])
+    fixed = Profiles(by_class[:, : settings.end].T, by_class[: settings.end], np.zeros(settings.end, dtype=np.int64))
     near = neighbour_counts(train, text, top, all_cls[: len(window)], settings)
-    table = exchanged(near, fixed, settings)
+    table, prior = exchanged(near, fixed, settings)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 seen = np.add.reduceat(b.column(3).values.to_numpy(), b.column(3).offsets.to_numpy()[:-1])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(seen), pa.array(best_classes(b.column(2), b.column(3), table), pa.int32())], names=["id", "word", "seen", "cls"])
+                seen = np.where(b.column(0).to_numpy() >= 0, seen // 2, seen)  # broadcast words have a code for either side
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(seen), pa.array(best_classes(b.column(2), b.column(3), table, prior), pa.int32())], names=["id", "word", "seen", "cls"])
 
     given = written(near.select("id", "word", "code", "n").mapInArrow(assign, "id int, word string, seen long, cls int"))
     cls = np.zeros(len(top) + 1, dtype=np.int64)
@@ -326,11 +338,11 @@ def fit_classes(train: DataFrame, text: str, settings: Settings) -> tuple[Model,
         cls[r.id] = r.cls
     kinds = np.bincount(cls[: len(window)], minlength=settings.classes)
     once = np.zeros(settings.classes, dtype=np.int64)
-    for r in given.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("id") < 0) & (F.col("seen") == 1)).alias("once")).collect():
+    for r in given.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("seen") == 1).alias("once")).collect():
         kinds[r.cls] += r.n
         once[r.cls] = r.once
     kinds[settings.end] = 1 if ends else 0
-    model = Model(settings, top, hot["n"].to_numpy(), cls, int(once.argmax()), int(n_words) + ends, int(distinct) + (ends > 0), ends)
+    model = Model(settings, top, hot["n"].to_numpy(), cls, int(once.argmax()), int(n_words) + ends, int(distinct) + (ends > 0), ends, int(once.sum()) + int((hot["n"].to_numpy()[: len(window)] == 1).sum()))
     return model, given.filter("id < 0").select("word", "seen", "cls"), kinds
 
 
@@ -414,7 +426,10 @@ def fitted(df: DataFrame, train: Column, text: str, settings: Settings, carry_te
     )
     texts = written(texts.withColumn("_lf_lm", F.col("_lf_lm").dropFields("rare")).join(sums, "_lf_row", "left").drop("_lf_row"))
     c = class_bigrams(texts.filter("_lf_train").select("_lf_lm.cls", "_lf_rare"), settings)
-    model.move = np.log10((c + 0.5) / (c.sum(axis=1, keepdims=True) + 0.5 * settings.classes))
+    pairs = (c + 0.5) / (c.sum(axis=1, keepdims=True) + 0.5 * settings.classes)
+    single = (c.sum(axis=0) + 0.5) / (c.sum() + 0.5 * settings.classes)
+    new = model.once / max(1, model.total)
+    model.move = np.log10((1 - new) * pairs + new * single)
     model.emit = np.log10(c.sum(axis=0) + 0.5 * (kinds + 1))
     return model, lexicon, texts
 

@@ -432,7 +432,9 @@ def brute_model(texts, known, settings):
     for (a, b), n in moves.items():
         rows[a] += n
         sizes[b] += n
-    move = lambda a, b: math.log10((moves[a, b] + 0.5) / (rows[a] + 0.5 * k))
+    total = sum(rows.values())
+    new = sum(n == 1 for n, _ in known.values()) / total
+    move = lambda a, b: math.log10((1 - new) * (moves[a, b] + 0.5) / (rows[a] + 0.5 * k) + new * (sizes[b] + 0.5) / (total + 0.5 * k))
     emit = lambda n, c: math.log10((n + 0.5) / (sizes[c] + 0.5 * (kinds[c] + 1)))
     return move, emit
 
@@ -477,7 +479,7 @@ def test_probabilities_add_up(spark):
 
 
 def test_no_word_would_move(spark):
-    """At the end no word beyond the window has a class under which its neighbours, counted plainly, are likelier."""
+    """At the end no word beyond the window has a class that is likelier given its neighbours, counted plainly."""
     s = lm_scores.Settings(hot_words=40, window=15, classes=5)
     docs = corpus(7, 150)
     model, lexicon, _ = lm_scores.fitted(frame(spark, docs), F.lit(True), "text", s, True)
@@ -492,9 +494,11 @@ def test_no_word_would_move(spark):
             right[near[k + 2]] += 1
     total = {c: [sum((sides[x][side] for x in sides if known[x][1] == c), Counter()) for side in (0, 1)] for c in range(4)}
     log = lambda c, side, j: math.log((total[c][side][j] + 0.5) / (sum(total[c][side].values()) + 0.5 * 6))
+    sizes = Counter(known[x][1] for x in sides if x not in window)
+    prior = [math.log((sizes[c] + 0.5) / (sum(sizes.values()) + 0.5 * 4)) for c in range(4)]
     for x in sides:
         if x not in window:
-            like = [sum(n * log(c, side, j) for side in (0, 1) for j, n in sides[x][side].items()) for c in range(4)]
+            like = [prior[c] + sum(n * log(c, side, j) for side in (0, 1) for j, n in sides[x][side].items()) for c in range(4)]
             assert like[known[x][1]] >= max(like) - 1e-9
 
 
