@@ -29,25 +29,36 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)?", 1)
 
 
-def patterns(host: Column, path: Column) -> Column:
+def patterns(host: Column, path: Column, most_labels: Column, most_segments: Column) -> Column:
     """(rank, pattern) of what may cover a URL; a higher rank is more specific.
 
     ``example.com`` covers the host and all below it; ``a.example.com/x`` covers the
-    host itself with paths that begin with the segment x.
+    host itself with paths that begin with the segment x. Longer patterns than the list
+    has can't be on it, so they aren't built: a URL costs what the list's longest
+    patterns do, however many segments it has.
     """
     labels = F.split(host, r"\.")
+    deepest = F.least(F.size(labels), most_labels)
     parents = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
+        F.when(deepest > 0, F.sequence(F.lit(1), deepest)).otherwise(F.array().cast("array<int>")),
         lambda n: F.struct(n.alias("rank"), F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".").alias("pattern")),
     )
     segments = F.array_remove(F.split(path, "/"), "")
+    longest = F.least(F.size(segments), most_segments)
     prefixes = F.transform(
-        F.when(F.size(segments) > 0, F.sequence(F.lit(1), F.size(segments))).otherwise(F.array().cast("array<int>")),
+        F.when(longest > 0, F.sequence(F.lit(1), longest)).otherwise(F.array().cast("array<int>")),
         lambda n: F.struct((n + 1000).alias("rank"), F.concat(host, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), n), "/")).alias("pattern")),
     )
     return F.when(host != "", F.concat(parents, prefixes)).otherwise(F.array().cast("array<struct<rank:int,pattern:string>>"))
 
 
+def pattern_sizes(entries: DataFrame) -> DataFrame:
+    """One row: the most labels of a pattern without a path, and the most segments of a path (0 if there are none)."""
+    parts = F.size(F.split("pattern", "/")) - 1
+    labels = F.when(parts == 0, F.size(F.split("pattern", r"\.")))
+    return entries.filter("pattern is not null").agg(F.coalesce(F.max(labels), F.lit(0)).alias("most_labels"), F.coalesce(F.max(parts), F.lit(0)).alias("most_segments"))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, action, since, until) of (pattern, action, since): until the pattern's next change, or null.
 
@@ -76,7 +87,10 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     c = captures.withColumn("host", host).withColumn("_lf_path", path)
     ask = F.struct(F.col("host"), F.col("_lf_path").alias("path"))
     asked = c.filter(F.col(fetched).isNotNull()).select(ask.alias("place"), F.col(fetched).alias("at")).distinct()
-    asked = asked.select("place", "at", F.inline(patterns(F.col("place.host"), F.col("place.path")))).withColumn("period", period(F.col("at"), days))
+    # One row is joined to all rows, here and below.
+    asked = asked.join(F.broadcast(pattern_sizes(entries)), F.lit(True))
+    covering = patterns(F.col("place.host"), F.col("place.path"), F.col("most_labels"), F.col("most_segments"))
+    asked = asked.select("place", "at", F.inline(covering)).withColumn("period", period(F.col("at"), days))
     questions = asked.select("pattern", "period", "at").distinct()
     last = questions.agg(F.max("period").alias("last"))
     spans = intervals(entries).join(F.broadcast(last), F.lit(True))

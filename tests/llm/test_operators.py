@@ -80,6 +80,17 @@ def test_sharding_small_tables(spark, n):
 # URL filters
 
 
+def test_url_filters_of_very_long_urls(spark):
+    e = spark.createDataFrame([("h.com/a/a/a", "block"), ("com", "allow"), ("x/", "block")], "pattern string, action string").withColumn("since", F.lit("2024-01-01").cast("date"))
+    long_path, long_host = "http://h.com" + "/a" * 100_000, "http://" + "b." * 50_000 + "com/"
+    urls = [long_path, long_host, "http://h.com/a/a", "http://h.com/a/a/a", "http://x/"]
+    c = spark.createDataFrame([(u,) for u in urls], "url string").withColumn("fetched", F.lit("2024-01-02").cast("date"))
+    got = {r.url: r.rule for r in url_filters.filter_urls(c, e).select("url", "rule").collect()}
+    assert [got[u] for u in urls] == ["h.com/a/a/a", "com", "com", "h.com/a/a/a", None]
+    got = url_filters.filter_urls(c, e.limit(0)).collect()
+    assert len(got) == len(urls) and all(r.rule is None and r.url_kept for r in got)
+
+
 def test_url_filters(spark):
     entries = [("example.com", "block", "2024-01-10"), ("example.com", None, "2024-03-01"), ("a.example.com", "allow", "2024-02-01"), ("a.example.com/x", "block", "2024-02-10"), ("other.org", "block", "2023-01-01"), (None, "block", "2024-01-01"), ("other.org", "allow", None), ("dup.net", "allow", "2024-01-01"), ("dup.net", "block", "2024-01-01")]
     e = spark.createDataFrame(entries, "pattern string, action string, since string").withColumn("since", F.to_date("since"))
