@@ -1,19 +1,16 @@
-"""The four steps that column functions can't express, as small vectorized helpers."""
+"""The steps that column functions can't express, as small vectorized helpers."""
 
 from __future__ import annotations
 
-import re
 from collections import Counter
-from datetime import date
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters read for digits in dates.
-DATE_LETTERS = str.maketrans({"I": "1", "L": "1", "O": "0", "G": "0", "C": "0", "U": "0", "B": "8", "S": "5"})
-ROBUST_DATE = re.compile(r"^[^\w]*([0-9a-zA-Z]{1,2})[-/\\~=\s_.]*([0-9a-zA-Z]{1,2})[-/\\~=\s_.]*([0-9a-zA-Z]{3,4})(.*)")
+from .scalars import token_overlap
 
 
 def ratio(a: str | None, b: str | None) -> float:
@@ -34,9 +31,9 @@ def shared_letters(a: Counter, b: Counter) -> int:
     return sum(min(n, b[c]) for c, n in a.items() if c in b)
 
 
-def name_pair_score(a: str, b: str) -> float:
-    """Similarity of two normalised names: the greater of sequence ratio and token overlap."""
-    return max(SequenceMatcher(None, a, b).ratio(), token_share(set(a.split()), set(b.split())))
+def name_pair_score(a: Column, b: Column) -> Column:
+    """Similarity of two normalised names: the greater of sequence ratio and token overlap; 0 if either is null or empty."""
+    return F.greatest(sequence_ratio(a, b), token_overlap(a, b))
 
 
 def leader_cluster(names: list[str], normal: list[str], threshold: float) -> list[str]:
@@ -71,62 +68,6 @@ def leader_cluster(names: list[str], normal: list[str], threshold: float) -> lis
     return out
 
 
-def lower_part(value: str, most: int) -> tuple[str, int]:
-    """``value`` as a number up to ``most``: a first digit too large is taken for 0."""
-    number = lambda s: int(s) if s.isdigit() else 1
-    n = number(value)
-    if n > most:
-        value = "0" + value[1:] if value[:1] in set("985632") else value
-        n = number(value)
-    return value, n
-
-
-def repair_date(dd: str, mm: str, yyyy: str, trail: str) -> tuple[int, int, int, str] | None:
-    """Day, month, year and the rest of a misread date, or None.
-
-    A year of three digits takes its fourth from the rest (else 8); 2019 with more digits,
-    or before a rest that begins with 5, 8 or 3, is 2018; years after 2026 are of the 2010s.
-    """
-    dd, mm, yyyy = (x.upper().translate(DATE_LETTERS) for x in (dd, mm, yyyy))
-    rest = trail.strip()
-    if len(yyyy) == 3 and yyyy.startswith("20"):
-        if rest[:1] and rest[0] in "89BLS":
-            yyyy, trail = yyyy + rest[0].translate(DATE_LETTERS), rest[1:]
-        else:
-            yyyy += "8"
-    dd, day = lower_part(dd, 31)
-    mm, month = lower_part(mm, 12)
-    if yyyy == "2019" and rest[:1] and rest[0] in "583":
-        yyyy, trail = "2018", "8" + trail
-    if len(yyyy) == 4:
-        if not yyyy.isdigit():
-            yyyy = "2018"
-        elif int(yyyy) > 2026:
-            yyyy = "201" + yyyy[3] if yyyy.startswith("207") else "2018"
-    if not yyyy.isdigit() or not dd.isdigit() or not mm.isdigit():
-        return None
-    return day, month, int(yyyy), trail
-
-
-def robust_date(words: list[str]) -> tuple[date, str, int] | None:
-    """Date, trailing text and number of words used of the first one to four words of a line."""
-    for n in range(1, min(4, len(words)) + 1):
-        m = ROBUST_DATE.match("".join(words[:n]))
-        parts = repair_date(*m.groups()) if m else None
-        if parts and 1 <= parts[0] <= 31 and 1 <= parts[1] <= 12 and 2000 <= parts[2] <= 2100:
-            try:
-                return date(parts[2], parts[1], parts[0]), parts[3], n
-            except ValueError:
-                continue
-    return None
-
-
-@F.pandas_udf(T.StructType([T.StructField("txn_date", T.DateType()), T.StructField("trail", T.StringType()), T.StructField("n_words", T.IntegerType())]))
-def robust_date_of(words: pd.Series) -> pd.DataFrame:
-    found = [robust_date(list(w) if w is not None else []) for w in words]
-    return pd.DataFrame([f or (None, None, 0) for f in found], columns=["txn_date", "trail", "n_words"])
-
-
 def group_lines(tops: list[float], bottoms: list[float], heights: list[float], near: float = 8.0, overlap: float = 0.4) -> list[int]:
     """The line of each word, words given by their top; a word joins the first line it overlaps or whose middle is near.
 

@@ -36,6 +36,22 @@ OCR_MODES = (
 )
 BANKING_PREFIXES = ("NEFT/", "RTGS/", "IMPS/", "UPI/", "BY ORDER OF", "TRANSFER TO", "CREDIT BY", "DEBIT BY", "TOWARDS", "BEING")
 
+# Letters read for digits in dates, the parts of a date in glued words, digits misread for 0 as the
+# first of a day or month, and what may stand for the fourth digit of a year.
+DATE_LETTERS = ("ILOGCUBS", "11000085")
+ROBUST_DATE = r"(?Ud)^[^\w]*([0-9a-zA-Z]{1,2})[-/\\~=\s_.]*([0-9a-zA-Z]{1,2})[-/\\~=\s_.]*([0-9a-zA-Z]{3,4})(.*)"
+ZERO_LIKE = "985632"
+FOURTH_DIGITS = "89BLS"
+
+#: Condition, year and rest of a misread date; the first that holds.
+YEAR_RULES = (
+    (lambda x: (x["year"] == "2019") & x["next"].isin("5", "8", "3"), lambda x: F.lit("2018"), lambda x: F.concat(F.lit("8"), x["trail"])),
+    (lambda x: (F.length(x["year"]) == 4) & x["year"].rlike(r"\D"), lambda x: F.lit("2018"), lambda x: x["trail"]),
+    (lambda x: (x["year"].try_cast("int") > 2026) & x["year"].startswith("207"), lambda x: F.concat(F.lit("201"), F.substring(x["year"], 4, 1)), lambda x: x["trail"]),
+    (lambda x: x["year"].try_cast("int") > 2026, lambda x: F.lit("2018"), lambda x: x["trail"]),
+    (lambda x: F.lit(True), lambda x: x["year"], lambda x: x["trail"]),
+)
+
 
 def strip(x: Column) -> Column:
     """``x`` without white space at either end."""
@@ -152,6 +168,43 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(t1) > 0) & (F.size(t2) > 0), F.size(F.array_intersect(t1, t2)) / most).otherwise(0.0)
 
 
+def robust_date(words: Column, most_words: int = 4) -> Column:
+    """(txn_date, trail, n_words): the date that the fewest first words of a line begin with, glued together; null if none do.
+
+    Parts of the date are read with ``DATE_LETTERS`` as digits. A day or month too large loses a first
+    digit of ``ZERO_LIKE``; a year of three digits takes its fourth from the rest, and ``YEAR_RULES``
+    mend the others. ``trail`` is what follows the date in the words used. Null or empty words have no date.
+    """
+    letters = lambda x: F.translate(F.upper(x), *DATE_LETTERS)
+
+    def number(x: Column, most: int) -> Column:
+        n = x.try_cast("int")
+        return F.when((n > most) & F.substring(x, 1, 1).isin(*ZERO_LIKE), n % 10).otherwise(n)
+
+    def split(x: Column) -> Column:
+        part = [F.regexp_extract(x["text"], ROBUST_DATE, k) for k in range(1, 5)]
+        rest = strip(part[3])
+        return F.struct(x["n"].alias("n"), letters(part[0]).alias("day"), letters(part[1]).alias("month"), letters(part[2]).alias("year"), part[3].alias("trail"), rest.alias("rest"), F.substring(rest, 1, 1).alias("next"))
+
+    def whole_year(x: Column) -> Column:
+        short = (F.length(x["year"]) == 3) & x["year"].startswith("20")
+        taken = short & x["next"].isin(*FOURTH_DIGITS)
+        year = F.when(taken, F.concat(x["year"], letters(x["next"]))).when(short, F.concat(x["year"], F.lit("8"))).otherwise(x["year"])
+        return x.withField("year", year).withField("trail", F.when(taken, F.regexp_replace(x["rest"], r"^.", "")).otherwise(x["trail"]))
+
+    def dated(x: Column) -> Column:
+        cases = [F.when(holds(x), F.struct(F.coalesce(year(x), F.lit("")).alias("year"), trail(x).alias("trail"))) for holds, year, trail in YEAR_RULES]
+        y = F.coalesce(*cases)
+        day = F.format_string("%04d-%02d-%02d", y["year"].try_cast("int"), number(x["month"], 12), number(x["day"], 31)).try_cast("date")
+        return F.struct(F.when(F.year(day) >= 2000, day).alias("txn_date"), y["trail"].alias("trail"), x["n"].alias("n_words"))
+
+    found = F.filter(F.sequence(F.lit(1), F.lit(most_words)), lambda n: n <= F.size(words))
+    found = F.transform(found, lambda n: F.struct(n.alias("n"), F.array_join(F.slice(words, F.lit(1), n), "").alias("text")))
+    for step in (split, whole_year, dated):
+        found = F.transform(found, step)
+    return F.get(F.filter(found, lambda x: x["txn_date"].isNotNull()), 0)
+
+
 def extract_ocr_date(line: Column, window: int = 35, first_year: int = 2015, last_year: int = 2030) -> Column:
     """A date in the first characters of a misread line: O, o, Q, D for 0, S for 5, ``~`` for ``-``."""
     digit = "[0-9OoQDS]"

@@ -132,8 +132,10 @@ def filter_ledger(ledger: DataFrame, search: str = "", kind: str = "", method: s
     return out.orderBy(sort if sort is not None else F.desc("total_debit"), "statement_id", "counterparty")
 
 
-def counterparty_history(assigned: DataFrame, audit: DataFrame, statement_id: int, counterparty: str) -> DataFrame:
-    """A counterparty's transactions, newest first, each with its audit row."""
-    t = assigned.filter((F.col("statement_id") == statement_id) & (F.col("counterparty") == counterparty))
+def counterparty_history(assigned: DataFrame, audit: DataFrame, statement_id: int | None, counterparty: str) -> DataFrame:
+    """A counterparty's transactions (of all statements given if ``statement_id`` is None), newest first, each with its audit row."""
+    t = assigned.filter(F.col("counterparty") == counterparty)
+    if statement_id is not None:
+        t = t.filter(F.col("statement_id") == statement_id)
     a = audit.select(F.col("transaction_id").alias("id"), "layer_identified", "extraction_basis", "analyst_confirmed")
     return t.join(a, "id", "left").orderBy(F.desc("txn_date"), F.desc("id"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..functions.staging import staged
-from ..functions.helpers import group_lines, robust_date_of
+from ..functions.helpers import group_lines
 from ..sources.files import parsed, with_names
 from .balance import balance_suspect, correct_from_balance
 
@@ -107,7 +107,7 @@ def zone_columns(words: DataFrame) -> DataFrame:
     by = (*PAGE, "line")
     one = F.struct("left", "word_no", "text")
     lines = words.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("w"), F.first("page_width").alias("width"))
-    lines = lines.withColumn("d", robust_date_of(F.transform(F.slice("w", 1, 4), lambda x: x["text"]))).filter("d.txn_date is not null")
+    lines = lines.withColumn("d", s.robust_date(F.transform(F.slice("w", 1, 4), lambda x: x["text"]))).filter("d.txn_date is not null")
     text = lambda c, sep: F.array_join(F.transform(c, lambda x: x["text"]), sep)
     lines = lines.withColumn("raw_line", text(F.col("w"), " ")).filter(~F.col("raw_line").rlike(SKIPPED_BOX_LINES))
     rest = F.slice("w", F.col("d.n_words") + 1, F.size("w"))

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as s
+from ..functions.helpers import name_pair_score
 from ..functions.staging import staged
 from ..operators import balance, beneficiary, counterparties, duplicates, export, ledger, ocr, review, validation
 from ..sources import files
@@ -554,6 +555,24 @@ def b8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counterparties.merge_by_tokens(counterparties.distinct_names(named(spark, sf_dir))).drop("score")
 
 
+@query(
+    "b8_name_pair_score",
+    NAMES
+    + """, d AS (SELECT statement_id, beneficiary_name, min(id) AS first_id, trim(regexp_replace(upper(beneficiary_name), '[^A-Z0-9]+', ' ', 'g')) AS b FROM named WHERE beneficiary_name IS NOT NULL GROUP BY 1, 2),
+alike AS (SELECT *, lag(b) OVER (PARTITION BY statement_id ORDER BY first_id) AS a FROM d),
+"""
+    + RATIO_SQL
+    + """tokens AS (SELECT *, list_distinct(list_filter(string_split(a, ' '), lambda x: x <> '')) AS t, list_distinct(list_filter(string_split(b, ' '), lambda x: x <> '')) AS u FROM alike)
+SELECT statement_id, beneficiary_name, a AS before, greatest(coalesce(similarity, CASE WHEN tokens.a = tokens.b AND tokens.a <> '' THEN 1 ELSE 0 END), CASE WHEN len(t) > 0 AND len(u) > 0 THEN len(list_intersect(t, u))::DOUBLE / greatest(len(t), len(u)) ELSE 0 END) AS score
+FROM tokens LEFT JOIN ratios USING (a, b)""",
+)
+def b8_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct name of a statement against the one before it, by first transaction."""
+    norm = s.normalize_for_matching(F.col("beneficiary_name"))
+    w = counterparties.distinct_names(named(spark, sf_dir)).withColumn("before", F.lag(norm).over(Window.partitionBy("statement_id").orderBy("first_id")))
+    return w.select("statement_id", "beneficiary_name", "before", name_pair_score(F.col("before"), norm).alias("score"))
+
+
 @query("b9_merge_counterparties")
 def b9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counterparties.merge_counterparties(counterparties.distinct_names(named(spark, sf_dir)))
@@ -1012,10 +1031,21 @@ def w9_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("t5_counterparty_history", NAMES + "SELECT id, txn_date::VARCHAR AS txn_date, 'LAYER_1' AS layer_identified FROM named WHERE statement_id = (SELECT min(statement_id) FROM named WHERE beneficiary_name = 'DEPOSIT') AND beneficiary_name = 'DEPOSIT'")
 def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = assigned_by_name(spark, sf_dir)
-    first = t.filter("counterparty = 'DEPOSIT'").agg(F.min("statement_id")).first()[0]
-    return counterparties.counterparty_history(t, counterparties.identification_audit(t), first, "DEPOSIT").select("id", "txn_date", "layer_identified")
+    first = t.filter("counterparty = 'DEPOSIT'").agg(F.min("statement_id").alias("statement_id"))
+    t = t.join(first, "statement_id", "left_semi")
+    return counterparties.counterparty_history(t, counterparties.identification_audit(t), None, "DEPOSIT").select("id", "txn_date", "layer_identified")
 
 
 @query("r1_latest_rows", "SELECT statement_id, source_row, substr(narration_raw, 1, 60) AS narration_raw, place FROM (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY source_row DESC) AS place FROM ledger) WHERE place <= 5")
 def r1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.latest_rows(adapters.ledger(spark, sf_dir)).select("statement_id", "source_row", "narration_raw", "place")
+
+
+@query("x16_robust_date", "SELECT id, make_date(CASE WHEN year(d) > 2026 THEN 2018 ELSE year(d) END, month(d), day(d))::VARCHAR AS txn_date, CASE WHEN txn_date IS NOT NULL THEN coalesce(reference, '') END AS trail, CASE WHEN txn_date IS NOT NULL THEN 3::BIGINT END AS n_words FROM (SELECT *, txn_date + INTERVAL 26 YEAR AS d FROM ledger)")
+def x16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of this century in three words with letters for zeros, the reference glued to the year; those of 2027 are read as of 2018."""
+    t = adapters.ledger(spark, sf_dir).withColumn("day", F.add_months("txn_date", 26 * 12))
+    misread = lambda form: F.translate(F.date_format("day", form), "0", "O")
+    words = F.array(misread("dd"), F.concat(F.lit("-"), misread("MM"), F.lit("-")), F.concat(F.date_format("day", "yyyy"), F.coalesce("reference", F.lit(""))))
+    found = t.select("id", s.robust_date(F.when(F.col("day").isNotNull(), words)).alias("d"))
+    return found.select("id", "d.txn_date", "d.trail", "d.n_words")

@@ -290,13 +290,35 @@ def test_ocr_lines(spark):
     assert [(str(r.txn_date), r.balance, r.balance_type, r.quality_flag) for r in got] == one * 2 and [r.source_row for r in got] == [1, 2, 3, 4]
 
 
-def test_robust_dates():
-    assert helpers.robust_date(["2O-O3-2O18", "x"]) == (dt.date(2018, 3, 20), "", 1)
-    assert helpers.robust_date(["05", "-03-201", "8REF"]) == (dt.date(2018, 3, 5), "", 2)
-    assert helpers.robust_date(["01-02-2019SREF"]) == (dt.date(2019, 2, 1), "SREF", 1)
-    assert helpers.robust_date(["01-02-20195X"]) == (dt.date(2018, 2, 1), "85X", 1)
-    assert helpers.robust_date(["01-02-2078"]) == (dt.date(2018, 2, 1), "", 1)
-    assert helpers.robust_date(["hello", "world"]) is None and helpers.robust_date([]) is None
+def test_robust_dates(spark):
+    cases = [
+        (["2O-O3-2O18", "x"], (dt.date(2018, 3, 20), "", 1)),
+        (["05", "-03-201", "8REF"], (dt.date(2018, 3, 5), "", 2)),
+        (["01-02-2019SREF"], (dt.date(2019, 2, 1), "SREF", 1)),
+        (["01-02-20195X"], (dt.date(2018, 2, 1), "85X", 1)),
+        (["01-02-2078"], (dt.date(2018, 2, 1), "", 1)),
+        (["01-02-2055REF"], (dt.date(2018, 2, 1), "REF", 1)),
+        (["01-02-2Z18"], (dt.date(2018, 2, 1), "", 1)),
+        (["91/82/2016"], (dt.date(2016, 2, 1), "", 1)),
+        (["~31.02.2018"], None),
+        (["41-02-2018"], None),
+        (["01-02-1999"], None),
+        (["hello", "world"], None),
+        ([], None),
+        (None, None),
+    ]
+    df = spark.createDataFrame([(k, w) for k, (w, _) in enumerate(cases)], "k int, w array<string>").withColumn("d", s.robust_date(F.col("w")))
+    got = {r.k: tuple(r.d) if r.d else None for r in df.collect()}
+    assert [got[k] for k in range(len(cases))] == [d for _, d in cases]
+
+
+def test_name_pair_score(spark):
+    pairs = [("ALPHA TRADERS", "ALPHA TRADER"), ("ALPHA BETA", "BETA ALPHA"), ("ABC", "XYZ"), ("", ""), (None, "A"), ("A", "A")]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", helpers.name_pair_score(F.col("a"), F.col("b")).alias("score"))
+    for a, b, score in df.collect():
+        t, u = set((a or "").split()), set((b or "").split())
+        want = max(SequenceMatcher(None, a, b).ratio(), len(t & u) / max(len(t), len(u))) if a and b else 0.0
+        assert score == pytest.approx(want), (a, b)
 
 
 def test_word_lines():
