@@ -265,21 +265,26 @@ def exchanged(counts: DataFrame, fixed: Profiles, settings: Settings) -> tuple[n
             seen, sizes = np.zeros((k, len(table)), dtype=np.int64), np.zeros(k, dtype=np.int64)
             for b in batches:
                 if b.num_rows:
-                    best = best_classes(b.column(0), b.column(1), table, prior)
-                    sizes += np.bincount(best, minlength=k)
-                    cls = np.repeat(best, np.diff(b.column(0).offsets.to_numpy()))
-                    np.add.at(seen.reshape(-1), cls * len(table) + b.column(0).values.to_numpy(), b.column(1).values.to_numpy())
+                    best, same = best_classes(b.column(0), b.column(1), table, prior), b.column(2).to_numpy()
+                    np.add.at(sizes, best, same)
+                    codes = np.diff(b.column(0).offsets.to_numpy())
+                    cells = np.repeat(best, codes) * len(table) + b.column(0).values.to_numpy()
+                    np.add.at(seen.reshape(-1), cells, np.repeat(same, codes) * b.column(1).values.to_numpy())
             both = seen[:, 2 * p :].reshape(k, p, p)
             flat = np.concatenate([seen[:, :p] + both.sum(axis=2), seen[:, p : 2 * p] + both.sum(axis=1), sizes[:, None]], axis=1).reshape(-1)
             cells = np.flatnonzero(flat)
             yield pa.RecordBatch.from_pydict({"cell": pa.array(cells), "n": pa.array(flat[cells])})
 
-        found = counts.select("code", "n").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        found = kinds.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
         flat = np.zeros(k * (2 * p + 1), dtype=np.int64)
         flat[found["cell"].to_numpy()] = found["n"].to_numpy()
         new = flat.reshape(k, 2 * p + 1)
         return Profiles(fixed.left + new[:, :p], fixed.right + new[:, p : 2 * p], new[:, -1])
 
+    # Words with one code each are counted by code and frequency: those alike move together.
+    one = F.size("code") == 1
+    alike = written(counts.filter(one).groupBy("code", "n").agg(F.count(F.lit(1)).alias("same")))
+    kinds = counts.filter(~one).select("code", "n", F.lit(1).cast("long").alias("same")).union(alike)
     now, best = fixed, -np.inf
     while True:
         new = sweep(now.table(), now.prior())
