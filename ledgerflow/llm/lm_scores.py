@@ -21,21 +21,25 @@ one end token a text included. Every training word gets its class by exchange:
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lower_ascii, words, written
+from .common import written
 
 #: In place of the class of a word that isn't broadcast, until the join fills it in.
 HOLE = 255
 #: Of class profiles: what each neighbour counts before any is seen.
 ALPHA = 0.5
+#: Distinct words that a task adds up before it hands their counts on.
+DISTINCT = 500_000
 
 
 @dataclass(frozen=True)
@@ -73,23 +77,46 @@ def numbers(w: list[bytes], ids: dict[bytes, int]) -> np.ndarray:
     return np.fromiter((get(x, none) for x in w), dtype=np.int64, count=len(w))
 
 
-def window_bigrams(train: DataFrame, text: str, window: list[bytes]) -> np.ndarray:
-    """Counts of neighbours over all texts: the window's words by rank, then the end (before and after each text), then any other word."""
-    n = len(window)
-    size = n + 2
+def word_counts(train: DataFrame, text: str) -> DataFrame:
+    """(word, n) of all texts; each task adds up ``DISTINCT`` words at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, table = {w: i for i, w in enumerate(window)}, np.zeros(size * size, dtype=np.int64)
+        found: Counter[bytes] = Counter()
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()).cast(pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
+
         for b in batches:
             for t in b.column(0).to_pylist():
-                i = numbers(tokens(t), ids)
-                u = np.full(len(i) + 2, n, dtype=np.int64)
-                u[1:-1] = np.where(i == n, n + 1, i)
-                np.add.at(table, u[:-1] * size + u[1:], 1)
+                found.update(tokens(t))
+                if len(found) >= DISTINCT:
+                    yield rows()
+                    found.clear()
+        yield rows()
+
+    return train.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def joined(ids: pa.Array, end: int) -> np.ndarray:
+    """The tokens of all texts of a batch one after the other, an end before the first: each text stands between two ends."""
+    return np.concatenate([[end], np.frombuffer(b"".join(ids.to_pylist()), dtype=np.int32)])
+
+
+def window_bigrams(train: DataFrame, n: int, h: int) -> np.ndarray:
+    """Counts of neighbours over all texts: the window's ``n`` words by rank, then the end (before and after each text), then any other word."""
+    size = n + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, table = np.full(h + 2, n + 1, dtype=np.int64), np.zeros(size * size, dtype=np.int64)
+        unit[:n] = np.arange(n)
+        unit[h + 1] = n
+        for b in batches:
+            u = unit[joined(b.column(0), h + 1)]
+            np.add.at(table, u[:-1] * size + u[1:], 1)
         cells = np.flatnonzero(table)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(cells), "n": pa.array(table[cells])})
 
-    found = train.select(text).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = train.select("_lf_lm.ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(size * size, dtype=np.int64)
     table[found["cell"].to_numpy()] = found["n"].to_numpy()
     return table.reshape(size, size)
@@ -153,7 +180,7 @@ def exchange(pairs: np.ndarray, classes: int, own: int = 1) -> np.ndarray:
     return np.maximum(cls, 0)
 
 
-def neighbour_counts(train: DataFrame, text: str, top: list[bytes], window_cls: np.ndarray, settings: Settings) -> DataFrame:
+def neighbour_counts(train: DataFrame, top: list[bytes], window_cls: np.ndarray, settings: Settings) -> DataFrame:
     """(id, word, code, n): the neighbours of each training word beyond the window, two arrays, as a written table.
 
     Codes: left neighbour's class; ``neighbours`` + the right one's; or from 2 * ``neighbours`` on
@@ -161,38 +188,29 @@ def neighbour_counts(train: DataFrame, text: str, top: list[bytes], window_cls:
     a table of fixed size; the others have -1, and their codes are of the third kind.
     """
     p, size, h = settings.neighbours, len(window_cls), len(top)
-    near = np.full(h + 1, settings.other, dtype=np.int64)
+    near = np.full(h + 2, settings.other, dtype=np.int64)
     near[:size] = window_cls
-
-    def sides(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        c = np.full(len(i) + 2, settings.end, dtype=np.int64)
-        c[1:-1] = near[i]
-        return c[:-2], c[2:]
+    near[h + 1] = settings.end
 
     def each_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, hot = {w: i for i, w in enumerate(top)}, np.zeros((h, 2 * p), dtype=np.int32)
+        hot = np.zeros((h, 2 * p), dtype=np.int32)
         cells = hot.reshape(-1)
         names = ["id", "counts", "word", "code"]
         for b in batches:
-            rare: list[bytes] = []
-            codes = [np.empty(0, dtype=np.int64)]
-            for t in b.column(0).to_pylist():
-                w = tokens(t)
-                i = numbers(w, ids)
-                left, right = sides(i)
-                k = np.flatnonzero((i >= size) & (i < h))
-                np.add.at(cells, i[k] * (2 * p) + left[k], 1)
-                np.add.at(cells, i[k] * (2 * p) + p + right[k], 1)
-                k = np.flatnonzero(i == h)
-                rare += [w[x] for x in k]
-                codes.append(2 * p + left[k] * p + right[k])
-            n = len(rare)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(rare, pa.binary()), pa.array(np.concatenate(codes), pa.int32())], names=names)
+            i = joined(b.column(0), h + 1)
+            c = near[i]
+            k = np.flatnonzero((i >= size) & (i < h))
+            np.add.at(cells, i[k] * (2 * p) + c[k - 1], 1)
+            np.add.at(cells, i[k] * (2 * p) + p + c[k + 1], 1)
+            k = np.flatnonzero(i == h)
+            n = len(k)
+            rare = b.column(1).flatten()  # in the order of their places
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), rare, pa.array(2 * p + c[k - 1] * p + c[k + 1], pa.int32())], names=names)
         used = np.flatnonzero(hot.any(axis=1))
         for k in range(0, len(used), 4096):
             i = used[k : k + 4096]
             n = len(i)
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array([hot[x].tobytes() for x in i], pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array([hot[x].tobytes() for x in i], pa.binary()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32())], names=names)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
@@ -200,16 +218,16 @@ def neighbour_counts(train: DataFrame, text: str, top: list[bytes], window_cls:
             for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found[i] = found.get(i, 0) + np.frombuffer(c, dtype=np.int32).astype(np.int64)
         codes = [np.flatnonzero(c) for c in found.values()]
-        columns = [pa.array(list(found), pa.int32()), pa.array([top[i] for i in found], pa.binary()), pa.array(codes, pa.list_(pa.int32())), pa.array([c[k] for c, k in zip(found.values(), codes, strict=True)], pa.list_(pa.int64()))]
+        columns = [pa.array(list(found), pa.int32()), pa.array([top[i] for i in found], pa.binary()).cast(pa.string()), pa.array(codes, pa.list_(pa.int32())), pa.array([c[k] for c, k in zip(found.values(), codes, strict=True)], pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, names=["id", "word", "code", "n"])
 
-    found = written(train.select(text).mapInArrow(each_task, "id int, counts binary, word binary, code int"))
-    hot = found.filter("id is not null").select("id", "counts").repartition("id").mapInArrow(summed, "id int, word binary, code array<int>, n array<long>")
+    found = written(train.select("_lf_lm.ids", F.col("_lf_lm.rare.word").alias("rare")).mapInArrow(each_task, "id int, counts binary, word string, code int"))
+    hot = found.filter("id is not null").select("id", "counts").repartition("id").mapInArrow(summed, "id int, word string, code array<int>, n array<long>")
     # Rare words have no hot key: none has more rows than the least frequent of the broadcast ones.
     rare = found.filter("id is null").select("word", "code").repartition("word").groupBy("word", "code").agg(F.count(F.lit(1)).alias("n"))
     rare = rare.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("code", "n"))).alias("all"))  # at most neighbours ** 2 codes a word
     rare = rare.select(F.lit(-1).alias("id"), "word", F.col("all.code").alias("code"), F.col("all.n").alias("n"))
-    return written(hot.union(rare).withColumn("word", F.col("word").cast("string")))
+    return written(hot.union(rare))
 
 
 @dataclass
@@ -312,20 +330,16 @@ class Model:
     emit: np.ndarray | None = None
 
 
-def fit_classes(train: DataFrame, text: str, settings: Settings) -> tuple[Model, DataFrame, np.ndarray]:
+def fit_classes(train: DataFrame, hot: pa.Table, n_words: int, distinct: int, ends: int, settings: Settings) -> tuple[Model, DataFrame, np.ndarray]:
     """The model without its class counts, the other words' (word, seen, cls) as a written table, and the number of words by class."""
-    counts = written(train.select(F.explode(words(lower_ascii(F.col(text)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    ends = train.count()
-    hot = counts.orderBy(F.desc("n"), "word").limit(settings.hot_words).toArrow()
     top = [w.encode() for w in hot["word"].to_pylist()]
     window = top[: settings.window]
-    pairs = window_bigrams(train, text, window)
+    pairs = window_bigrams(train, len(window), len(top))
     all_cls = exchange(pairs, settings.neighbours, own=2)
     one = np.eye(settings.neighbours, dtype=np.int64)[all_cls]
     by_class = one.T @ pairs @ one
     fixed = Profiles(by_class[:, : settings.end].T, by_class[: settings.end], np.zeros(settings.end, dtype=np.int64))
-    near = neighbour_counts(train, text, top, all_cls[: len(window)], settings)
+    near = neighbour_counts(train, top, all_cls[: len(window)], settings)
     table, prior = exchanged(near, fixed, settings)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,49 +365,62 @@ def fit_classes(train: DataFrame, text: str, settings: Settings) -> tuple[Model,
     return model, given.filter("id < 0").select("word", "seen", "cls"), kinds
 
 
-def encoded(df: DataFrame, text: str, model: Model) -> DataFrame:
-    """Adds ``_lf_lm``: token and known counts, the sum of the log counts, the classes by token, and the rare words with their places."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = "n_tokens long, n_known long, logs double, cls binary, rare array<struct<at:int,word:string>>"
-    kind = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("cls", pa.binary()), ("rare", pa.list_(pa.struct([("at", pa.int32()), ("word", pa.string())])))])
+def encoded(df: DataFrame, text: str, hot: pa.Table, ends: int) -> DataFrame:
+    """Adds ``_lf_lm``: token and known counts, the sum of the log counts, the tokens' ranks as 32-bit numbers, and the rare words with their places.
+
+    After the ranks of the broadcast words come that of any rare word and that of the end, which closes each text.
+    """
+    shared = df.sparkSession.sparkContext.broadcast((hot["word"].to_pylist(), hot["n"].to_numpy()))
+    schema = "n_tokens long, n_known long, logs double, ids binary, rare array<struct<at:int,word:string>>"
+    kind = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("ids", pa.binary()), ("rare", pa.list_(pa.struct([("at", pa.int32()), ("word", pa.string())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        ids, h = {w: i for i, w in enumerate(m.top)}, len(m.top)
-        logs = np.append(np.log10(m.counts + 0.5), 0.0)
-        end, cls = float(np.log10(m.ends + 0.5)), m.cls.astype(np.uint8)
+        top, counts = shared.value
+        ranks, h = {w.encode(): i for i, w in enumerate(top)}, len(top)
+        logs = np.concatenate([np.log10(counts + 0.5), [0.0, np.log10(ends + 0.5)]])
         for b in batches:
-            n_tokens, n_known, sums, classes, at, rare, ends = [], [], [], [], [np.empty(0, dtype=np.int64)], [], [0]
+            n_tokens, n_known, sums, ids, at, rare, cuts = [], [], [], [], [np.empty(0, dtype=np.int64)], [], [0]
             for t in b.column(text).to_pylist():
                 w = tokens(t)
-                i = numbers(w, ids)
+                i = np.append(numbers(w, ranks), h + 1)
                 k = np.flatnonzero(i == h)
-                n_tokens.append(len(w) + 1)
-                n_known.append(len(w) - len(k) + (m.ends > 0))
-                sums.append(float(logs[i].sum()) + end)
-                classes.append(cls[i].tobytes())
+                n_tokens.append(len(i))
+                n_known.append(len(w) - len(k) + (ends > 0))
+                sums.append(float(logs[i].sum()))
+                ids.append(i.astype(np.int32).tobytes())
                 at.append(k)
                 rare += [w[x] for x in k]
-                ends.append(len(rare))
+                cuts.append(len(rare))
             places = pa.StructArray.from_arrays([pa.array(np.concatenate(at), pa.int32()), pa.array(rare, pa.binary()).cast(pa.string())], names=["at", "word"])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places)
-            made = pa.StructArray.from_arrays([pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(classes, pa.binary()), lists], names=[f.name for f in kind])
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), places)
+            made = pa.StructArray.from_arrays([pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(ids, pa.binary()), lists], names=[f.name for f in kind])
             yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, "_lf_lm"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_lf_lm", T.StructType.fromDDL(schema))]))
 
 
-def filled(cls: bytes, rare: list[int] | None) -> np.ndarray:
-    """Classes of a text's tokens, with those of its rare words (256 * place + class) put in."""
-    c = np.frombuffer(cls, dtype=np.uint8).astype(np.int64)
-    if rare:
-        r = np.array(rare, dtype=np.int64)
-        c[r >> 8] = r & 255
-    return c
+def with_classes(texts: DataFrame, model: Model) -> DataFrame:
+    """(_lf_row, cls): the classes of each text's tokens, a byte each, with holes for its rare words."""
+    shared = texts.sparkSession.sparkContext.broadcast(np.append(model.cls, model.settings.end).astype(np.uint8))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls = shared.value
+        for b in batches:
+            found = [cls[np.frombuffer(x, dtype=np.int32)].tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["_lf_row", "_lf_cls"])
+
+    return texts.select("_lf_row", "_lf_lm.ids").mapInArrow(run, "_lf_row long, _lf_cls binary")
 
-def with_ends(c: np.ndarray, end: int) -> np.ndarray:
-    return np.concatenate([[end], c, [end]])
+
+def filled(cls: pa.Array, rare: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all texts' tokens one after the other, an end before the first, with those of rare words (256 * place + class) put in; and where each text begins."""
+    held = cls.to_pylist()
+    starts = np.cumsum([1, *map(len, held)])[:-1]
+    c = np.frombuffer(bytes([end]) + b"".join(held), dtype=np.uint8).astype(np.int64)
+    counts = pc.fill_null(pc.list_value_length(rare), 0).to_numpy(zero_copy_only=False)
+    r = rare.flatten().to_numpy()
+    c[np.repeat(starts, counts) + (r >> 8)] = r & 255
+    return c, starts
 
 
 def class_bigrams(texts: DataFrame, settings: Settings) -> np.ndarray:
@@ -403,9 +430,8 @@ def class_bigrams(texts: DataFrame, settings: Settings) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(k * k, dtype=np.int64)
         for b in batches:
-            for x, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                c = with_ends(filled(x, r), settings.end)
-                table += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
+            c, _ = filled(b.column(0), b.column(1), settings.end)
+            table += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(np.arange(k * k)), "n": pa.array(table)})
 
     found = texts.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
@@ -419,9 +445,13 @@ RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 def fitted(df: DataFrame, train: Column, text: str, settings: Settings, carry_text: bool) -> tuple[Model, DataFrame, DataFrame]:
     """The whole model, the rare words' (word, seen, cls), and ``df`` with the classes of its texts, as a written table."""
-    model, lexicon, kinds = fit_classes(df.filter(train).select(text), text, settings)
-    texts = encoded(df.withColumn("_lf_train", F.coalesce(train, F.lit(False))), text, model)
-    texts = written((texts if carry_text else texts.drop(text)).withColumn("_lf_row", F.monotonically_increasing_id()))
+    counts = written(word_counts(df.filter(train), text))
+    n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    ends = df.filter(train).count()
+    hot = counts.orderBy(F.desc("n"), "word").limit(settings.hot_words).toArrow()
+    texts = encoded(df.withColumn("_lf_train", F.coalesce(train, F.lit(False))), text, hot, ends)
+    texts = written((texts if carry_text else texts.drop(text)).withColumn("_lf_row", F.monotonically_increasing_id()), "zstd")
+    model, lexicon, kinds = fit_classes(texts.filter("_lf_train"), hot, n_words, distinct, ends, settings)
     seen, cls = F.coalesce("seen", F.lit(0)), F.coalesce("cls", F.lit(model.unseen))
     sums = (
         texts.select("_lf_row", F.inline("_lf_lm.rare"))
@@ -429,8 +459,10 @@ def fitted(df: DataFrame, train: Column, text: str, settings: Settings, carry_te
         .groupBy("_lf_row")  # of one text
         .agg(F.count("seen").alias("_lf_known"), F.sum(F.log10(seen + F.lit(0.5))).alias("_lf_logs"), F.collect_list(F.col("at").cast("long") * 256 + cls).alias("_lf_rare"))
     )
-    texts = written(texts.withColumn("_lf_lm", F.col("_lf_lm").dropFields("rare")).join(sums, "_lf_row", "left").drop("_lf_row"))
-    c = class_bigrams(texts.filter("_lf_train").select("_lf_lm.cls", "_lf_rare"), settings)
+    classes = with_classes(texts, model)
+    texts = texts.withColumn("_lf_lm", F.col("_lf_lm").dropFields("rare", "ids"))
+    texts = written(texts.join(classes, "_lf_row").join(sums, "_lf_row", "left").drop("_lf_row"))
+    c = class_bigrams(texts.filter("_lf_train").select("_lf_cls", "_lf_rare"), settings)
     pairs = (c + 0.5) / (c.sum(axis=1, keepdims=True) + 0.5 * settings.classes)
     single = (c.sum(axis=0) + 0.5) / (c.sum() + 0.5 * settings.classes)
     new = model.once / max(1, model.total)
@@ -459,10 +491,8 @@ def lm_scores(df: DataFrame, train: Column, text: str = "text", settings: Settin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         move, emit = shared.value
         for b in batches:
-            out = []
-            for x, r in zip(b.column("_lf_cls").to_pylist(), b.column("_lf_rare").to_pylist(), strict=True):
-                c = with_ends(filled(x, r), settings.end)
-                out.append(float(move[c[:-1], c[1:]].sum() - emit[c[1:]].sum()))
+            c, starts = filled(b.column("_lf_cls"), b.column("_lf_rare"), settings.end)
+            out = np.add.reduceat(move[c[:-1], c[1:]] - emit[c[1:]], starts - 1) if len(starts) else []
             kept = [k for k, name in enumerate(b.schema.names) if name not in ("_lf_cls", "_lf_rare")]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(out, pa.float64())], names=[*(b.schema.names[k] for k in kept), "_lf_score"])
 
@@ -471,7 +501,7 @@ def lm_scores(df: DataFrame, train: Column, text: str = "text", settings: Settin
         F.col("_lf_lm.n_tokens").alias("n_tokens"),
         (F.col("_lf_lm.n_known") + F.coalesce("_lf_known", F.lit(0))).alias("n_known"),
         (F.col("_lf_lm.logs") + F.coalesce("_lf_logs", F.lit(0.0))).alias("_lf_logs"),
-        F.col("_lf_lm.cls").alias("_lf_cls"),
+        "_lf_cls",
         "_lf_rare",
     )
     fields = [f for f in texts.schema.fields if f.name not in ("_lf_cls", "_lf_rare")]
