@@ -119,6 +119,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(failed, false) AS kept FROM counted LEFT JOIN judged USING (row)
 """
 
+COLLOCATIONS = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+occurring AS (SELECT lang, k, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: w[i : i + k - 1])) AS ws FROM pieces, range(1, 4) t(k)),
+freq AS (SELECT lang, k, array_to_string(ws, ' ') AS phrase, any_value(ws) AS ws, count(*) AS f FROM occurring GROUP BY lang, k, array_to_string(ws, ' ')),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM freq WHERE k = 1 GROUP BY lang),
+found AS (SELECT lang, k, phrase, ws, f AS a FROM freq WHERE k > 1 AND f >= 10),
+longer AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, a, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS phrase FROM found WHERE k = 3) GROUP BY lang, phrase),
+kept AS (SELECT f.* FROM found f LEFT JOIN longer m ON f.lang = m.lang AND f.phrase = m.phrase WHERE most IS NULL OR 100 * most < 50 * a),
+cuts AS (SELECT lang, phrase, a, c, array_to_string(ws[1:c], ' ') AS head, array_to_string(ws[c + 1:], ' ') AS rest FROM kept, range(1, 3) t(c) WHERE c < k),
+scored AS (SELECT c.lang, c.phrase, a, c, h.f AS l, r.f AS r, (1000000::HUGEINT * a * a) // (h.f::HUGEINT * r.f) AS score FROM cuts c JOIN freq h ON c.lang = h.lang AND c.head = h.phrase JOIN freq r ON c.lang = r.lang AND c.rest = r.phrase),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM best b JOIN sizes s ON b.lang = s.lang
+QUALIFY row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": SHARDING, "op2_url_filters": URL_FILTERS, "op3_mixing": MIXING, "op4_suffix_dedup": SUFFIXES, "op10_quality_rules": QUALITY}
+    return {"op1_sharding": SHARDING, "op2_url_filters": URL_FILTERS, "op3_mixing": MIXING, "op4_suffix_dedup": SUFFIXES, "op10_quality_rules": QUALITY, "op12_collocations": COLLOCATIONS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, lm_scores, mixing, oracle, sharding, simhash, suffix_dedup, token_counts, url_filters
+from . import decontamination, html_text, language_id, lm_scores, mixing, oracle, phrases, sharding, simhash, suffix_dedup, token_alignment, token_counts, url_filters
 from . import quality_rules as rules
 from .common import read_table
 
@@ -105,8 +105,28 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *rules.COUNTS, "base_failed", "kept")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    out = language_id.add_language(docs, ~held_out, carry_text=False)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("text", "lang")
+    return phrases.top_collocations(docs).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_alignment.add_alignment(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), carry_text=False)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_sharding, op2_url_filters, op3_mixing, op4_suffix_dedup, op5_html_text, op6_decontamination, op7_simhash, op8_token_counts, op9_lm_scores, op10_quality_rules)
+    every = (op1_sharding, op2_url_filters, op3_mixing, op4_suffix_dedup, op5_html_text, op6_decontamination, op7_simhash, op8_token_counts, op9_lm_scores, op10_quality_rules, op11_language_id, op12_collocations, op13_token_alignment)
     return {f.__name__: f for f in every}
 
 
