@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -23,51 +22,11 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def token_share(a: set[str], b: set[str]) -> float:
-    return len(a & b) / max(len(a), len(b)) if a and b else 0.0
-
-
-def shared_letters(a: Counter, b: Counter) -> int:
-    return sum(min(n, b[c]) for c, n in a.items() if c in b)
-
-
 def name_pair_score(a: Column, b: Column) -> Column:
     """Similarity of two normalised names: the greater of sequence ratio and token overlap; 0 if either is null or empty."""
     return F.greatest(sequence_ratio(a, b), token_overlap(a, b))
 
 
-def leader_cluster(names: list[str], normal: list[str], threshold: float) -> list[str]:
-    """The leader of each name, in the order given.
-
-    A name joins the leader with an equal normal form, else the most similar one that
-    reaches ``threshold`` (the first of several), else it leads a new group.
-    """
-    leaders: list[tuple[str, str, set[str], Counter]] = []
-    exact: dict[str, str] = {}
-    out = []
-    for name, norm in zip(names, normal, strict=True):
-        found = exact.get(norm)
-        if found is None:
-            tokens, letters, best = set(norm.split()), Counter(norm), 0.0
-            for lead, lead_norm, lead_tokens, lead_letters in leaders:
-                score = token_share(tokens, lead_tokens)
-                # The sequence ratio is 2 M / (a + b) for M letters in common at most; below the threshold or the
-                # best so far it decides nothing.
-                need = max(best, score, threshold) * (len(norm) + len(lead_norm)) / 2 - 1e-9
-                if min(len(norm), len(lead_norm)) >= need and shared_letters(letters, lead_letters) >= need:
-                    score = max(score, SequenceMatcher(None, norm, lead_norm).ratio())
-                if score > best:
-                    best, candidate = score, lead
-            if best >= threshold:
-                found = candidate
-        if found is None:
-            found = name
-            leaders.append((name, norm, set(norm.split()), Counter(norm)))
-            exact.setdefault(norm, name)
-        out.append(found)
-    return out
-
-
 def group_lines(tops: list[float], bottoms: list[float], heights: list[float], near: float = 8.0, overlap: float = 0.4) -> list[int]:
     """The line of each word, words given by their top; a word joins the first line it overlaps or whose middle is near.
 

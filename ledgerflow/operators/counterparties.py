@@ -1,17 +1,18 @@
 """Names merged into counterparties, and the counterparty ledger.
 
-Merging depends on the order of names, so it is a grouped step by statement over distinct
-names; everything else is joins and aggregates.
+Merging depends on the order of names: each joins the most similar one before it that leads. Which names
+can be similar at all comes from prefix filters, and who leads is decided in rounds of joins, so no task
+holds a statement.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
-from ..functions.helpers import leader_cluster
+from ..functions.similar import first_elements, name_scores, share_first
+from ..functions.staging import staged
 
 
 def distinct_names(named: DataFrame) -> DataFrame:
@@ -24,21 +25,53 @@ def distinct_names(named: DataFrame) -> DataFrame:
     )
 
 
+def similar_names(heads: DataFrame, threshold: float) -> DataFrame:
+    """(statement_id, i, j, score): pairs of a statement's names (norm, first_id) with a score of ``threshold`` or more, i before j."""
+    keys = first_elements(heads.select(F.col("norm").alias("text")).distinct(), threshold, with_tokens=True).withColumnRenamed("text", "norm")
+    keyed = heads.select("statement_id", "norm", "first_id").join(keys, "norm").withColumn("key", F.explode("keys"))
+    side = lambda p: keyed.select("statement_id", "key", F.col("norm").alias(f"{p}_norm"), F.col("first_id").alias(p), F.col("keys").alias(f"{p}_keys"))
+    met = side("i").join(side("j"), ["statement_id", "key"]).filter((F.col("i") < F.col("j")) & share_first(F.col("i_keys"), F.col("j_keys"), F.col("key")))
+    pairs = staged(met.select("statement_id", "i", "j", F.col("j_norm").alias("a"), F.col("i_norm").alias("b")))
+    scored = name_scores(pairs.select("a", "b").distinct(), threshold)
+    return pairs.join(scored, ["a", "b"]).select("statement_id", "i", "j", "score")
+
+
+def followers(edges: DataFrame) -> DataFrame:
+    """(statement_id, j) of the names that don't lead: those with a leading name among the similar ones before them.
+
+    In rounds: a name before which no undecided similar one is left leads, and those similar to it follow; both leave.
+    """
+    left, found = edges.select("statement_id", "i", "j"), []
+    while True:
+        after = left.select("statement_id", F.col("j").alias("i")).distinct()
+        heads = left.select("statement_id", "i").distinct().join(after, ["statement_id", "i"], "left_anti")
+        follow = staged(left.join(heads, ["statement_id", "i"], "left_semi").select("statement_id", "j").distinct())
+        found.append(follow)
+        if follow.isEmpty():
+            break
+        left = staged(left.join(follow, ["statement_id", "j"], "left_anti").join(follow.withColumnRenamed("j", "i"), ["statement_id", "i"], "left_anti"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out
+
+
 def merge_counterparties(names: DataFrame, threshold: float = 0.82) -> DataFrame:
     """(statement_id, beneficiary_name, counterparty): the counterparty of each distinct name.
 
     Names come in the order of their first transaction. An equal normal form is the same
-    counterparty; else the most similar existing one, if it reaches ``threshold``.
+    counterparty; else the most similar leading name before it (the first of several), if it reaches
+    ``threshold``; else the name leads.
     """
     w = names.select("statement_id", "beneficiary_name", "first_id", s.normalize_for_matching(F.col("beneficiary_name")).alias("norm"))
     # Names of equal normal form always share a counterparty: only the first of them is compared.
-    head = w.groupBy("statement_id", "norm").agg(F.min_by("beneficiary_name", "first_id").alias("name"), F.min("first_id").alias("first_id"))
-
-    def merge(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("first_id")
-        return pd.DataFrame({"statement_id": g["statement_id"], "norm": g["norm"], "counterparty": leader_cluster(g["name"].tolist(), g["norm"].tolist(), threshold)})
-
-    found = head.groupBy("statement_id").applyInPandas(merge, "statement_id long, norm string, counterparty string")
+    heads = staged(w.groupBy("statement_id", "norm").agg(F.min_by("beneficiary_name", "first_id").alias("name"), F.min("first_id").alias("first_id")))
+    edges = staged(similar_names(heads, threshold))
+    follow = staged(followers(edges))
+    led = edges.join(follow, ["statement_id", "j"], "left_semi").join(follow.withColumnRenamed("j", "i"), ["statement_id", "i"], "left_anti")
+    best = led.groupBy("statement_id", F.col("j").alias("first_id")).agg(F.max(F.struct("score", -F.col("i")))["col2"].alias("lead"))
+    leads = heads.select("statement_id", (-F.col("first_id")).alias("lead"), F.col("name").alias("leader"))
+    found = heads.join(best.join(leads, ["statement_id", "lead"]), ["statement_id", "first_id"], "left").select("statement_id", "norm", F.coalesce("leader", "name").alias("counterparty"))
     return w.join(found, ["statement_id", "norm"]).select("statement_id", "beneficiary_name", "counterparty")
 
 

@@ -8,12 +8,11 @@ equality joins on null-safe keys (dates in buckets), so no pair is formed that n
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
-from ..functions.helpers import sequence_ratio
+from ..functions.similar import first_elements, ratio_from, share_first
 from ..functions.staging import staged
 
 # Fixed values.
@@ -34,41 +33,26 @@ def searched(first: str, second: str) -> Column:
     return F.when(blank, F.coalesce(F.col(second), F.lit(""))).otherwise(F.col(first))
 
 
-def walk_anchors(g: pd.DataFrame) -> pd.DataFrame:
-    """Anchors of a group with equal debit and credit, in which a pair may be a reversal instead of exact."""
-    g = g.sort_values("id")
-    ids, text = g["id"].tolist(), [x or "" for x in g["narration_raw"]]
-    anchor: list[int | None] = [None] * len(ids)
-    holds = [any(w in t.upper() for w in REVERSAL_WORDS) for t in text]
-    # The rows still open, first to last; each absorbs the later ones it isn't reversed by.
-    for i in range(len(ids)):
-        if anchor[i] is not None or text[i] and holds[i]:
-            continue
-        for j in range(i + 1, len(ids)):
-            if anchor[j] is None and not (not text[i] and holds[j]):
-                anchor[j] = ids[i]
-    return pd.DataFrame({"id": ids, "anchor": pd.array(anchor, dtype="Int64")})
-
-
 def with_anchors(txns: DataFrame) -> DataFrame:
     """Adds ``anchor``: the id of the earlier row of which this one is an exact duplicate, or null.
 
-    Only groups with debit equal to credit, a date and a reversal word in some narration
-    need the ordered walk; for all others the anchor is the group's first row.
+    A group's first row is the anchor of all others. Where debit equals credit and there is a date a pair may be a reversal instead:
+    rows whose narration has a reversal word are nobody's anchor, and a first row without narration isn't
+    that of later ones with such a word. One window tells both.
     """
-    by = Window.partitionBy(*GROUP)
-    first = F.min("id").over(by)
-    odd = F.col("debit").eqNullSafe(F.col("credit")) & F.col("txn_date").isNotNull() & F.max(has_reversal_word(F.coalesce("narration_raw", F.lit("")))).over(by)
-    w = txns.withColumn("_lf_first", first).withColumn("_lf_odd", odd)
-    plain = w.filter(~F.col("_lf_odd")).withColumn("anchor", F.when(F.col("id") != F.col("_lf_first"), F.col("_lf_first")))
-    walked = w.filter("_lf_odd").select("id", "narration_raw", "_lf_first").groupBy("_lf_first").applyInPandas(walk_anchors, "id long, anchor long")
-    rest = w.filter("_lf_odd").join(walked, "id")
-    return plain.unionByName(rest).drop("_lf_first", "_lf_odd")
+    text = F.coalesce("narration_raw", F.lit(""))
+    word = F.col("debit").eqNullSafe(F.col("credit")) & F.col("txn_date").isNotNull() & has_reversal_word(text)
+    leads = ~(word & (text != ""))
+    first = F.min(F.when(leads, F.struct("id", (text == "").alias("blank")))).over(Window.partitionBy(*GROUP))
+    w = txns.withColumn("_lf_first", first)
+    return w.withColumn("anchor", F.when((F.col("id") > F.col("_lf_first.id")) & ~(F.col("_lf_first.blank") & word), F.col("_lf_first.id"))).drop("_lf_first")
+
+
+SIDE = ("id", "statement_id", "source_row", "txn_date", "debit", "credit", "reference", "narration_raw", "anchor", "clean")
 
 
 def side(df: DataFrame, p: str) -> DataFrame:
-    cols = ("id", "statement_id", "source_row", "txn_date", "debit", "credit", "reference", "narration_raw", "anchor", "clean")
-    return df.select(*[F.col(c).alias(f"{p}_{c}") for c in cols])
+    return df.select(*[F.col(c).alias(f"{p}_{c}") for c in SIDE])
 
 
 def evaluated() -> Column:
@@ -149,10 +133,38 @@ def near_candidates(rows: DataFrame, days: int = 3) -> DataFrame:
 
 
 def near_duplicate_pairs(rows: DataFrame, similarity: float = 0.90, days: int = 3) -> DataFrame:
-    """Pairs whose lower-case narrations are alike by ``sequence_ratio``; equal ones need no comparison."""
-    a, b = F.lower("i_narration_raw"), F.lower("j_narration_raw")
-    p = staged(near_candidates(rows, days))
-    same = p.filter(a == b).withColumn("similarity", F.lit(1.0))
-    rest = p.filter(a != b)
-    texts = rest.select(a.alias("_a"), b.alias("_b")).distinct().withColumn("similarity", sequence_ratio(F.col("_a"), F.col("_b"))).filter(F.col("similarity") >= similarity)
-    return same.unionByName(rest.join(texts, (a == F.col("_a")) & (b == F.col("_b"))).drop("_a", "_b"))
+    """Pairs at most ``days`` apart with an equal debit or credit whose lower-case narrations are alike by ``sequence_ratio``.
+
+    Rows of one date, narration and amounts are one group. Groups meet under a rare letter of their narrations and a
+    bucket of dates, never under an amount that both lack; similar texts are scored once, and rows are
+    paired last.
+    """
+    text = F.lower("narration_raw")
+    dated = rows.filter("txn_date is not null and length(narration_raw) > 0").withColumn("_lf_text", text)
+    same = Window.partitionBy("statement_id", "txn_date", "_lf_text", "debit", "credit")
+    dated = staged(dated.withColumn("_lf_group", F.min("id").over(same)))
+    groups = dated.filter("id = _lf_group").select("statement_id", "txn_date", "debit", "credit", F.col("_lf_text").alias("text"), F.col("id").alias("g"))
+    keys = first_elements(groups.select("text").distinct(), similarity, with_tokens=False)
+    bucket = F.call_function("div", F.datediff("txn_date", F.lit("1970-01-01").cast("date")), F.lit(days + 1))
+    keyed = groups.join(keys, "text").withColumn("b", bucket).withColumn("key", F.explode("keys"))
+    part = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("g", "text", "txn_date", "debit", "credit", "keys")]
+    i = keyed.select("statement_id", "key", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"), *part("i"))
+    j = keyed.select("statement_id", "key", "b", *part("j"))
+    amount = F.col("i_debit").eqNullSafe(F.col("j_debit")) | F.col("i_credit").eqNullSafe(F.col("j_credit"))
+    la, lb = F.length("i_text"), F.length("j_text")
+    close = (F.abs(F.datediff("i_txn_date", "j_txn_date")) <= days) & amount & (F.least(la, lb) * (2 - similarity) >= F.greatest(la, lb) * similarity - 1e-6)
+    met = i.join(j, ["statement_id", "key", "b"]).filter((F.col("i_g") < F.col("j_g")) & close & share_first(F.col("i_keys"), F.col("j_keys"), F.col("key")))
+    met = staged(met.select("i_g", "j_g", "i_text", "j_text"))
+    # The ratio depends on which text comes first; rows of two groups may come in either order.
+    score = ratio_from(similarity)
+    texts = met.filter("i_text <> j_text").select("i_text", "j_text").distinct().withColumn("ahead", score("i_text", "j_text")).withColumn("behind", score("j_text", "i_text")).filter(F.greatest("ahead", "behind") >= similarity)
+    alike = met.filter("i_text = j_text").select("i_g", "j_g", F.lit(1.0).alias("ahead"), F.lit(1.0).alias("behind"))
+    alike = alike.union(met.join(texts, ["i_text", "j_text"]).select("i_g", "j_g", "ahead", "behind"))
+    one = F.lit(1.0)
+    alike = alike.union(groups.select(F.col("g").alias("i_g"), F.col("g").alias("j_g"), one, one))
+    first, second = (dated.select(F.col("_lf_group").alias(g), F.struct(*[F.col(c) for c in SIDE]).alias(r)) for g, r in (("i_g", "p"), ("j_g", "q")))
+    both = alike.join(first, "i_g").join(second, "j_g").filter((F.col("p.id") != F.col("q.id")) & ((F.col("i_g") != F.col("j_g")) | (F.col("p.id") < F.col("q.id"))))
+    ahead = F.col("p.id") < F.col("q.id")
+    pick = lambda c, p: F.when(ahead, F.col(f"p.{c}") if p == "i" else F.col(f"q.{c}")).otherwise(F.col(f"q.{c}") if p == "i" else F.col(f"p.{c}")).alias(f"{p}_{c}")
+    pairs = both.select(*[pick(c, p) for p in "ij" for c in SIDE], F.when(ahead, F.col("ahead")).otherwise(F.col("behind")).alias("similarity"))
+    return pairs.filter((F.col("similarity") >= similarity) & evaluated() & ~is_exact() & ~is_reversal() & ~is_probable())

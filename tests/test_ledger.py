@@ -71,6 +71,28 @@ def loop_duplicates(rows):
     return out
 
 
+def near_ledger(seed):
+    """One statement with many credits of no debit within a few days, narrations of one form among them."""
+    rnd = random.Random(seed)
+    rows = []
+    for k in range(160):
+        text = rnd.choice(["CHQ PAID %05d" % rnd.randrange(40), "Alpha Traders invoice %d" % rnd.randrange(12), "ab" * rnd.randint(0, 3), "İstanbul %d" % rnd.randrange(9)])
+        i = rnd.randrange(len(text) + 1)
+        text = text[:i] + rnd.choice(["", "", "x"]) + text[i:]
+        debit = rnd.choice([None, None, None, D("10.00")])
+        rows.append((k, 0, dt.date(2024, 1, rnd.randint(1, 9)), text, debit, rnd.choice([D("5.00"), D("7.00"), D("9.00")]) if debit is None else None, D("1.00"), rnd.choice(["", "R1"]), k))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_near_duplicates_of_a_large_statement(spark, seed):
+    rows = near_ledger(seed)
+    got = duplicates.near_duplicate_pairs(duplicates.prepared(make(spark, rows).repartition(3))).select("i_id", "j_id", "similarity", "i_narration_raw", "j_narration_raw").collect()
+    want = [(i, j) for kind, i, j in loop_duplicates(rows).elements() if kind == "NEAR_DUPLICATE"]
+    assert sorted((r.i_id, r.j_id) for r in got) == sorted(want) and len(want) > 100
+    assert all(r.similarity == SequenceMatcher(None, r.i_narration_raw.lower(), r.j_narration_raw.lower()).ratio() for r in got)
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_duplicates_are_those_of_the_loop(spark, seed):
     rows = random_ledger(seed)
@@ -175,12 +197,55 @@ def test_llm_layer_and_queue(spark):
     assert beneficiary.engine_statistics(beneficiary.cascade_layers(t, llm)).first().rate == "40.0%"
 
 
+def loop_leaders(names, normal, threshold):
+    """The leader of each name, in the order given, by comparing it with all leaders."""
+    leaders, out = [], []
+    for name, norm in zip(names, normal, strict=True):
+        best, found = 0.0, None
+        for lead, lead_norm in leaders:
+            a, b = set(norm.split()), set(lead_norm.split())
+            score = max(len(a & b) / max(len(a), len(b)) if a and b else 0.0, SequenceMatcher(None, norm, lead_norm).ratio() if norm and lead_norm else 0.0)
+            score = 2.0 if norm == lead_norm else score
+            if score > best:
+                best, found = score, lead
+        if best < threshold:
+            found = name
+            leaders.append((name, norm))
+        out.append(found)
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.82, 0.6])
+def test_random_names_merge_like_the_loop(spark, threshold):
+    """Chains of similar names, spellings, shared tokens and a statement with most of the names."""
+    rnd = random.Random(12)
+    words = ["ALPHA", "ALPHAS", "BETA", "BETTA", "GAMMA", "TRADERS", "TRADER", "LTD", "PVT", "SONS", "AND", "é", "7"]
+    rows, want = [], {}
+    for st in range(12):
+        names = []
+        for _ in range(120 if st == 0 else rnd.randint(1, 25)):
+            n = " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4)))
+            if rnd.random() < 0.5 and names:
+                n = rnd.choice(names)
+                i = rnd.randrange(len(n))
+                n = n[:i] + rnd.choice(["", "X", "-", n[i] * 2]) + n[i + 1 :]
+            names.append(n or "-")
+        names = list(dict.fromkeys(names))
+        norm = [" ".join(re.sub("[^A-Z0-9]+", " ", n.upper()).split()) for n in names]
+        rows += [(st, n, 1000 * st + k) for k, n in enumerate(names)]
+        want |= {(st, n): c for n, c in zip(names, loop_leaders(names, norm, threshold), strict=True)}
+    df = spark.createDataFrame(rows, "statement_id long, beneficiary_name string, first_id long").repartition(3)
+    got = {(r.statement_id, r.beneficiary_name): r.counterparty for r in counterparties.merge_counterparties(df, threshold).collect()}
+    assert got == want
+    assert counterparties.merge_counterparties(df.limit(0)).count() == 0
+
+
 def test_names_merge_in_order(spark):
     names = ["ORBITAL LIFESTYLE LIM", "ORBITAL BI FESTYLE LIM", "orbital-lifestyle  lim", "OMEGA", "OMEGA CRANES", "OMEGA CRANE"]
     t = make(spark, [(k, 1, None, n, D(1), None, None, "", k) for k, n in enumerate(names)]).withColumns({"beneficiary_name": F.col("narration_raw"), "beneficiary_type": F.lit("X"), "layer": F.lit("LAYER_1"), "confidence": F.lit(0.9), "basis": F.lit("b")})
     merged = {r.beneficiary_name: r.counterparty for r in counterparties.merge_counterparties(counterparties.distinct_names(t)).collect()}
     norm = [" ".join(re.sub("[^A-Z0-9]+", " ", n.upper()).split()) for n in names]
-    assert merged == dict(zip(names, helpers.leader_cluster(names, norm, 0.82), strict=True))
+    assert merged == dict(zip(names, loop_leaders(names, norm, 0.82), strict=True))
     assert merged["ORBITAL BI FESTYLE LIM"] == merged["orbital-lifestyle  lim"] == "ORBITAL LIFESTYLE LIM" and merged["OMEGA CRANE"] == "OMEGA CRANES"
     book = counterparties.build_ledger(counterparties.assign_counterparties(t, counterparties.merge_counterparties(counterparties.distinct_names(t))))
     assert {r.counterparty: r.transaction_count for r in book.collect()} == {"ORBITAL LIFESTYLE LIM": 3, "OMEGA": 1, "OMEGA CRANES": 2}
