@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the folder of ``spark.checkpoint.dir`` and read again.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    The lineage ends here, so steps after it have small plans and a lost executor costs no
-    recomputation. Where no folder is set a single machine gets a temporary one; a cluster
-    has to name one that driver and executors share.
+    Where none is set a single machine gets a temporary one, which goes when Python ends; a cluster has to name one.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="ledgerflow-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/staged-{uuid.uuid4().hex}"
+    return folder
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again.
+
+    The lineage ends here, so steps after it have small plans and a lost executor costs no recomputation.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, "staged")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

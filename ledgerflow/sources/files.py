@@ -1,17 +1,20 @@
 """Statement files to parsed rows: routing, CSV, fixed-width, delimited and plain text lines.
 
-Text files are read whole, so the order of lines is exact and the format is told from
-the array of lines before it is exploded: no shuffle up to the row numbers.
+Small text files are read whole, so the format is told from the array of lines before it is exploded. Large ones
+are read in byte ranges: lines are numbered within a range, and sums over ranges make those numbers the file's.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema
 from ..functions import scalars as s
+from ..functions.staging import staged
 
 # Fixed values.
 FILE_TYPES = {"csv": ("csv", "xlsx", "xls"), "pdf": ("pdf",), "rpt": ("rpt",), "image": ("jpg", "jpeg", "png")}
@@ -48,22 +51,60 @@ def header_column(columns: list[str], field: str) -> str | None:
     return next((plain[a] for a in ALIASES[field] if a in plain), None)
 
 
-def read_csv_statement(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Parsed rows of CSV files that share one header. Missing fields are null; rows without a date stay."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
-    return csv_rows(raw.withColumn("file_id", F.col("_metadata.file_path")).withColumn("_lf_no", F.monotonically_increasing_id()), raw.columns)
+def plain_header(name: Column) -> Column:
+    return F.regexp_replace(F.lower(name), "[ ._]", "")
 
 
-def csv_rows(raw: DataFrame, columns: list[str]) -> DataFrame:
-    """Parsed rows of a table with a bank's header, a ``file_id`` and the order ``_lf_no``.
+def field_places(header: Column) -> Column:
+    """For the names of a header, the place of each field from 1: of its first alias, in their order, that is there; null if none is."""
+    names = F.transform(header, lambda c: plain_header(F.coalesce(c, F.lit(""))))
+    place = lambda aliases: F.coalesce(*[F.nullif(F.array_position(names, a), F.lit(0)) for a in aliases])
+    return F.struct(*[place(aliases).alias(field) for field, aliases in ALIASES.items()])
 
-    ``source_row`` counts from 2, the line after the header. An amount of zero is null here.
+
+def numbered_in_parts(rows: DataFrame, key: str, part: str, order: str, name: str) -> DataFrame:
+    """Adds ``name``: the number of each row of ``key``, from 1, by part and then by order; nobody sorts more than one part of a key.
+
+    Rows are numbered within their part; how many rows the parts before have is a sum over one row a part.
+    """
+    before = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(key, part).agg(F.count(F.lit(1)).alias("_lf_n")).withColumn("_lf_before", F.coalesce(F.sum("_lf_n").over(before), F.lit(0))).drop("_lf_n")
+    own = F.row_number().over(Window.partitionBy(key, part).orderBy(order))
+    return rows.withColumn("_lf_own", own).join(counts, [key, part]).withColumn(name, F.col("_lf_before") + F.col("_lf_own")).drop("_lf_own", "_lf_before")
+
+
+def read_csv_statement(spark: SparkSession, path: str | list[str], width: int = 64) -> DataFrame:
+    """Parsed rows of CSV files, each with a header of its own, in one scan. Missing fields are null; rows without a date stay.
+
+    Records may have line feeds within quotes and ``width`` cells at most; a file without records gives no rows.
     """
+    cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    raw = spark.read.csv(path, header=False, schema=cells, multiLine=True, escape='"')
+    return csv_files(raw.select(F.col("_metadata.file_path").alias("file_id"), F.monotonically_increasing_id().alias("_lf_no"), F.array(*[F.col(c) for c in raw.columns]).alias("cells")))
+
+
+def csv_files(records: DataFrame) -> DataFrame:
+    """Parsed rows of records (file_id, _lf_no, cells): the first record of each file is its header, by which the others are read."""
+    head = records.groupBy("file_id").agg(F.min_by("cells", "_lf_no").alias("_lf_head"), F.min("_lf_no").alias("_lf_first"))
+    w = records.join(head.select("file_id", "_lf_first", field_places(F.col("_lf_head")).alias("_lf_at")), "file_id").filter(F.col("_lf_no") > F.col("_lf_first"))
+    return csv_fields(w, lambda name: F.when(F.col(f"_lf_at.{name}").isNotNull(), F.get("cells", F.col(f"_lf_at.{name}") - 1)))
+
+
+def csv_rows(raw: DataFrame, columns: list[str]) -> DataFrame:
+    """Parsed rows of a table with one bank's header, a ``file_id`` and the order ``_lf_no``."""
 
     def field(name: str) -> Column:
         c = header_column(columns, name)
         return F.col(f"`{c}`") if c else F.lit(None).cast("string")
 
+    return csv_fields(raw, field)
+
+
+def csv_fields(raw: DataFrame, field: Callable[[str], Column]) -> DataFrame:
+    """Parsed rows whose fields ``field`` gives as texts.
+
+    ``source_row`` counts from 2, the line after the header. An amount of zero is null here.
+    """
     money = lambda n: F.nullif(s.parse_amount(field(n)), F.lit(0).cast(s.MONEY))
     no = F.row_number().over(Window.partitionBy("file_id").orderBy("_lf_no")) + 1
     return parsed(
@@ -106,12 +147,41 @@ def read_rpt_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return read_text_files(spark, path).select("file_id", F.posexplode("lines").alias("p", "text")).select("file_id", (F.col("p") + 1).alias("line_no"), "text")
 
 
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file_id, part, _lf_p, text) of text files of any size: each byte range of a file is read by a task of its own.
+
+    The reader begins at the first line of its range; ``part`` is where the range begins and ``_lf_p`` the number of the line in the
+    file, from 0. Lines end in line feeds, carriage returns or both; bytes that aren't UTF-8 are replaced.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("_lf_id"), F.col("value").alias("text"))
+    lines = numbered_in_parts(raw, "file_id", "part", "_lf_id", "_lf_p")
+    return lines.select("file_id", "part", (F.col("_lf_p") - 1).alias("_lf_p"), "text")
+
+
+def wide_line(text: Column) -> Column:
+    return (F.length(text) > 140) & F.substring(text, 132, 24).rlike(r"\d.*?(Cr|Dr)")
+
+
+#: What each of the first ten lines with text has to hold (fixed values).
+DELIMITED = {"pipe": r"\|", "tab": "\t", "multispace": r"\s{2,}"}
+
+
 def detect_rpt_format(lines: Column) -> Column:
     """fixed, pipe, tab, multispace or generic, for an array of lines."""
-    wide = F.size(F.filter(lines, lambda x: (F.length(x) > 140) & F.substring(x, 132, 24).rlike(r"\d.*?(Cr|Dr)")))
+    wide = F.size(F.filter(lines, wide_line))
     sample = F.slice(F.filter(lines, lambda x: s.strip(x) != ""), 1, 10)
     every = lambda p: (F.size(sample) > 0) & F.forall(sample, lambda x: x.rlike(p))
-    return F.when(wide >= 2, "fixed").when(every(r"\|"), "pipe").when(every("\t"), "tab").when(every(r"\s{2,}"), "multispace").otherwise("generic")
+    return F.coalesce(F.when(wide >= 2, "fixed"), *[F.when(every(p), kind) for kind, p in DELIMITED.items()], F.lit("generic"))
+
+
+def detect_formats(lines: DataFrame) -> DataFrame:
+    """(file_id, format) of lines (file_id, _lf_p, text): the same rule as ``detect_rpt_format``, without a file in one place."""
+    first = Window.partitionBy("file_id").orderBy("_lf_p")
+    sample = lines.filter(s.strip(F.col("text")) != "").withColumn("_lf_k", F.row_number().over(first)).filter("_lf_k <= 10")
+    every = sample.groupBy("file_id").agg(*[F.bool_and(F.col("text").rlike(p)).alias(kind) for kind, p in DELIMITED.items()])
+    wide = lines.groupBy("file_id").agg(F.count_if(wide_line(F.col("text"))).alias("_lf_wide"))
+    kind = F.coalesce(F.when(F.col("_lf_wide") >= 2, "fixed"), *[F.when(F.col(k), k) for k in DELIMITED], F.lit("generic"))
+    return wide.join(every, "file_id", "left").select("file_id", kind.alias("format"))
 
 
 def numbered(files: DataFrame) -> DataFrame:
@@ -120,6 +190,8 @@ def numbered(files: DataFrame) -> DataFrame:
 
 def counted(df: DataFrame) -> DataFrame:
     """``source_row``: the number of the row among a file's kept rows."""
+    if "part" in df.columns:
+        return numbered_in_parts(staged(df), "file_id", "part", "_lf_p", "source_row")
     return df.withColumn("source_row", F.row_number().over(Window.partitionBy("file_id").orderBy("_lf_p")))
 
 
@@ -144,8 +216,7 @@ def parse_fixed_width(lines: DataFrame, layout: str | dict[str, tuple[int, int]]
     w = w.withColumn("txn_date", s.parse_date(field("gl_date"))).filter("txn_date is not null")
     extra = F.to_json(F.struct(field("value_date").alias("value_date"), field("instrument").alias("instrument_number"), field("entry_user").alias("entry_user_id"), F.col("text").alias("raw_line")))
     w = w.select(
-        "file_id",
-        "_lf_p",
+        *[c for c in ("file_id", "part", "_lf_p") if c in w.columns],
         "txn_date",
         s.parse_date(field("value_date")).alias("value_date"),
         field("particulars").alias("narration_raw"),
@@ -192,6 +263,15 @@ def parse_rpt(files: DataFrame, layout: str = "corrected") -> DataFrame:
     return fixed.unionByName(cells).unionByName(parse_text_lines(n.filter("format = 'generic'")))
 
 
+def parse_report_files(spark: SparkSession, path: str | list[str], layout: str = "corrected") -> DataFrame:
+    """Parsed rows of text files, each by its format, that are read, numbered and parsed in byte ranges: no task holds a file."""
+    lines = staged(read_lines(spark, path))
+    n = lines.join(detect_formats(lines), "file_id")
+    fixed = parse_fixed_width(n.filter("format = 'fixed'"), layout)
+    cells = parse_delimited(n.filter("format in ('pipe', 'tab', 'multispace')"))
+    return fixed.unionByName(cells).unionByName(parse_text_lines(n.filter("format = 'generic'")))
+
+
 def store_transactions(rows: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "append") -> None:
     """Writes parsed rows: texts without nulls, the quality flag set."""
     texts = [c for c in ("narration_raw", "balance_type", "reference", "txn_mode", "counterparty_name") if c in rows.columns]

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.files import parse_rpt, store_transactions
@@ -34,11 +34,66 @@ def stream_progress(txns: DataFrame) -> DataFrame:
 
 
 def latest_rows(batch: DataFrame, k: int = 5, cut: int = 60) -> DataFrame:
-    """The last ``k`` rows of each statement in a batch, narrations cut to ``cut`` characters, for ``foreachBatch``."""
+    """The last ``k`` rows of each statement in a table or one batch, narrations cut to ``cut`` characters."""
     w = Window.partitionBy("statement_id").orderBy(F.desc("source_row"))
     return batch.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).withColumn("narration_raw", F.substring("narration_raw", 1, cut))
 
 
+class LatestRows(StatefulProcessor):
+    """State of a statement: its last rows so far, and the number of its updates."""
+
+    def __init__(self, k: int, cut: int):
+        self.k, self.cut = k, cut
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rows = handle.getValueState("rows", "source_row array<long>, id array<long>, narration array<string>, version long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        held = self.rows.get() if self.rows.exists() else ([], [], [], 0)
+        last = {(r, i): t for r, i, t in zip(*held[:3], strict=True)}
+        for b in rows:
+            b = b.nlargest(self.k, ["source_row", "id"]) if len(b) > self.k else b
+            last |= {(int(r), int(i)): (t or "")[: self.cut] for r, i, t in zip(b["source_row"], b["id"], b["narration_raw"], strict=True)}
+        top = sorted(last, reverse=True)[: self.k]
+        version = held[3] + 1
+        self.rows.update(([r for r, _ in top], [i for _, i in top], [last[x] for x in top], version))
+        yield pd.DataFrame({"statement_id": [key[0]] * len(top), "place": range(1, len(top) + 1), "source_row": [r for r, _ in top], "narration_raw": [last[x] for x in top], "version": [version] * len(top)})
+
+    def close(self) -> None:
+        pass
+
+
+def with_state_store(spark: SparkSession) -> None:
+    """Streams with several kinds of state need the store that keeps them on disk."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def stream_latest(txns: DataFrame, k: int = 5, cut: int = 60) -> DataFrame:
+    """(statement_id, place, source_row, narration_raw, version): the last ``k`` rows of each statement across all batches.
+
+    For update mode: a statement that gets rows gives all its places anew with a higher ``version``; see
+    ``current_versions``. Rows may come late, in any order and again.
+    """
+    with_state_store(txns.sparkSession)
+    rows = txns.select("statement_id", F.col("source_row").cast("long").alias("source_row"), "id", "narration_raw")
+    return rows.groupBy("statement_id").transformWithStateInPandas(LatestRows(k, cut), "statement_id long, place long, source_row long, narration_raw string, version long", "update", "none")
+
+
+def store_updates(updates: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Adds each batch of updates to ``target`` in a folder of its own, which a repeated batch replaces."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    return updates.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_versions(updates: DataFrame, *keys: str) -> DataFrame:
+    """The rows of the highest ``version`` of each key."""
+    w = Window.partitionBy(*keys)
+    return updates.withColumn("_lf_last", F.max("version").over(w)).filter(F.col("version") == F.col("_lf_last")).drop("_lf_last", "version")
+
+
 def stream_status(events: DataFrame) -> DataFrame:
     """By statement: the status of the last event (statement_id, ts, event_id, status), batch or stream."""
     last = F.max(F.struct("ts", "event_id", "status")).alias("l")
@@ -79,32 +134,72 @@ def stream_stale(uploads: DataFrame, minutes: int = 30, watermark: str = "1 minu
     return marked.groupBy("statement_id").applyInPandasWithState(watch, "statement_id long, status string", "first long, done long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_balance_check(txns: DataFrame, tolerance: float = 1.00, idle_hours: float = 24) -> DataFrame:
-    """(id, statement_id, expected_balance, variance) of mismatches, across batches: the state is each statement's last balance.
+class BalanceCheck(StatefulProcessor):
+    """State of a statement: its rows in parts of ``size`` numbers, which parts there are, and the number of its updates.
 
-    Rows of a batch are taken in ``source_row`` order; amounts are compared in cents. A statement
-    without rows for ``idle_hours`` is forgotten when later rows arrive: its next row is taken as a first one.
+    A row is (source_row, id, debit, credit, balance), amounts in cents. Only parts that get rows are read and written, and the
+    ends of the parts next to them.
     """
 
-    def check(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["source_row", "id"])
-        seen = int(rows["seen_at"].max().timestamp() * 1000)
-        last = state.get[0] if state.exists else None
+    def __init__(self, tolerance: int, size: int):
+        self.tolerance, self.size = tolerance, size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        columns = ", ".join(f"{c} array<long>" for c in ("source_row", "id", "debit", "credit", "balance"))
+        self.parts = handle.getMapState("parts", "part long", columns)
+        self.index = handle.getValueState("index", "parts array<long>, version long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        known, version = self.index.get() if self.index.exists() else ([], 0)
+        new: dict[int, dict[tuple[int, int], tuple[int, int, int]]] = {}
+        for b in rows:
+            b = b.fillna({"debit": 0, "credit": 0, "balance": 0})
+            for r, i, *amounts in zip(*(b[c].astype("int64").tolist() for c in ("source_row", "id", "debit", "credit", "balance")), strict=True):
+                new.setdefault(r // self.size, {})[r, i] = tuple(amounts)
+        index = sorted({*known, *new})
+        held: dict[int, list[tuple]] = {}
+
+        def part(k: int) -> list[tuple]:
+            if k not in held:
+                held[k] = list(zip(*self.parts.getValue((k,)), strict=True)) if k in known else []
+            return held[k]
+
+        changed = set()
+        for k, rows_of in new.items():
+            before = {r[:2]: r[2:] for r in part(k)}
+            changed |= {x for x, amounts in rows_of.items() if before.get(x) != amounts}
+            held[k] = sorted((*x, *amounts) for x, amounts in (before | rows_of).items())
+            self.parts.updateValue((k,), tuple(map(list, zip(*held[k], strict=True))))
+        self.index.update((index, version + 1))
         out = []
-        for r in rows.itertuples():
-            credit, debit, balance = (0 if pd.isna(x) else int(x) for x in (r.credit, r.debit, r.balance))
-            if last is not None:
-                expected = last + credit - debit
-                if abs(expected - balance) > round(tolerance * 100):
-                    out.append((int(r.id), int(key[0]), expected / 100, abs(expected - balance) / 100))
-            last = balance
-        state.update((last,))
-        state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + max(1, int(idle_hours * 3_600_000)))
-        yield pd.DataFrame(out, columns=["id", "statement_id", "expected_balance", "variance"])
-
+        for n, k in enumerate(index):
+            # A part whose rows are as before may still follow a changed one.
+            if k not in new and not (n and index[n - 1] in new):
+                continue
+            last = part(index[n - 1])[-1] if n else None
+            for row in part(k):
+                if row[:2] in changed or last is not None and last[:2] in changed:
+                    expected = None if last is None else last[4] + row[3] - row[2]
+                    variance = None if last is None else abs(expected - row[4])
+                    out.append((row[1], int(key[0]), None if last is None else expected / 100, None if last is None else variance / 100, last is None or variance <= self.tolerance, version + 1))
+                last = row
+                if k not in new:
+                    break
+        yield pd.DataFrame(out, columns=["id", "statement_id", "expected_balance", "variance", "balance_ok", "version"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_balance_check(txns: DataFrame, tolerance: float = 1.00, part_rows: int = 512) -> DataFrame:
+    """(id, statement_id, expected_balance, variance, balance_ok, version): the balance check of every row, across batches in any order.
+
+    For update mode: a row is given when it comes, and again with a higher ``version`` when the row before it comes late or changes,
+    so the highest version of each id (``current_versions``) is what ``check_balance`` gives for all rows at once.
+    Repeated rows change nothing. Nothing is forgotten; the state holds a statement's rows in parts on disk.
+    """
+    with_state_store(txns.sparkSession)
     cents = lambda c: (F.col(c) * 100).cast("long").alias(c)
-    rows = txns.select("id", "statement_id", "source_row", cents("debit"), cents("credit"), cents("balance"), F.current_timestamp().alias("seen_at")).withWatermark("seen_at", "0 seconds")
-    return rows.groupBy("statement_id").applyInPandasWithState(check, "id long, statement_id long, expected_balance double, variance double", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = txns.select("statement_id", F.col("source_row").cast("long").alias("source_row"), "id", cents("debit"), cents("credit"), cents("balance"))
+    out = "id long, statement_id long, expected_balance double, variance double, balance_ok boolean, version long"
+    return rows.groupBy("statement_id").transformWithStateInPandas(BalanceCheck(round(tolerance * 100), part_rows), out, "update", "none")
