@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as s
 from ..functions.helpers import name_pair_score
-from ..functions.staging import staged
+from ..functions.staging import new_folder, staged
 from ..operators import balance, beneficiary, counterparties, duplicates, export, ledger, ocr, review, validation
 from ..sources import files
 from ..streaming import ingest
@@ -417,13 +417,28 @@ NAMES = (
    WHEN regexp_matches(upper(raw_name), 'GOVERNMENT|DEPT|MINISTRY|MUNICIPAL') THEN 'GOVERNMENT' WHEN raw_name IS NOT NULL THEN 'INDIVIDUAL' END AS beneficiary_type FROM ledger l LEFT JOIN best USING (id))
 """
 )
-#: With one counterparty for each name.
-BOOK = (
-    NAMES
-    + """, book AS (SELECT statement_id, beneficiary_name AS counterparty, arg_min(beneficiary_type, id) AS beneficiary_type, coalesce(sum(debit), 0) AS td, coalesce(sum(credit), 0) AS tc, count(*) AS n, min(txn_date) AS d1, max(txn_date) AS d2
-  FROM named WHERE beneficiary_name IS NOT NULL GROUP BY 1, 2)
+#: Each name's counterparty: names in the order of their first transaction, one by one, against those that lead.
+MERGED = NAMES.rstrip() + r""",
+ distinct_names AS (SELECT statement_id, beneficiary_name, min(id) AS first_id, trim(regexp_replace(upper(beneficiary_name), '[^A-Z0-9]+', ' ', 'g')) AS norm FROM named WHERE beneficiary_name IS NOT NULL GROUP BY 1, 2),
+ heads AS (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY first_id) AS k, list_distinct(list_filter(string_split(norm, ' '), lambda x: x <> '')) AS t
+  FROM (SELECT statement_id, norm, min(first_id) AS first_id, arg_min(beneficiary_name, first_id) AS name FROM distinct_names GROUP BY 1, 2)),
+ met AS (SELECT j.statement_id, i.k AS i, j.k AS j, j.norm AS a, i.norm AS b, CASE WHEN len(i.t) > 0 AND len(j.t) > 0 THEN len(list_intersect(i.t, j.t))::DOUBLE / greatest(len(i.t), len(j.t)) ELSE 0 END AS share FROM heads i JOIN heads j ON i.statement_id = j.statement_id AND i.k < j.k),
+ alike AS (SELECT DISTINCT a, b FROM met WHERE list_sum(list_transform(string_split('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ', ''), lambda c: least(length(a) - length(replace(a, c, '')), length(b) - length(replace(b, c, ''))))) >= 0.82::DOUBLE * (length(a) + length(b)) / 2 - 0.000001),
+""" + RATIO_SQL + r"""
+ edges AS (SELECT * FROM (SELECT statement_id, i, j, greatest(share, coalesce(similarity, 0)) AS score FROM met LEFT JOIN ratios ON met.a = ratios.a AND met.b = ratios.b) WHERE score >= 0.82),
+ before AS (SELECT h.statement_id, k, list(i) FILTER (i IS NOT NULL) AS near FROM heads h LEFT JOIN edges e ON h.statement_id = e.statement_id AND h.k = e.j GROUP BY 1, 2),
+ walk(statement_id, k, leaders) AS (SELECT statement_id, 0::BIGINT, []::BIGINT[] FROM (SELECT DISTINCT statement_id FROM heads)
+  UNION ALL SELECT w.statement_id, b.k, CASE WHEN len(list_intersect(w.leaders, coalesce(b.near, []::BIGINT[]))) = 0 THEN list_append(w.leaders, b.k) ELSE w.leaders END FROM walk w JOIN before b ON w.statement_id = b.statement_id AND b.k = w.k + 1),
+ lead_of AS (SELECT statement_id, arg_max(leaders, k) AS leaders FROM walk GROUP BY 1),
+ joined AS (SELECT e.statement_id, e.j, arg_max(e.i, (score, -e.i)) AS i FROM edges e JOIN lead_of l ON e.statement_id = l.statement_id WHERE list_contains(leaders, e.i) AND NOT list_contains(leaders, e.j) GROUP BY 1, 2),
+ merged AS (SELECT d.statement_id, d.beneficiary_name, coalesce(l.name, h.name) AS counterparty FROM distinct_names d JOIN heads h ON d.statement_id = h.statement_id AND d.norm = h.norm LEFT JOIN joined j ON h.statement_id = j.statement_id AND h.k = j.j
+  LEFT JOIN heads l ON j.statement_id = l.statement_id AND j.i = l.k),
+ assigned AS (SELECT n.*, counterparty FROM named n LEFT JOIN merged m ON n.statement_id = m.statement_id AND n.beneficiary_name = m.beneficiary_name)
 """
-)
+#: The counterparty ledger of merged names, and that with one counterparty for each name.
+TOTALS = ", book AS (SELECT statement_id, {name} AS counterparty, arg_min(beneficiary_type, id) AS beneficiary_type, coalesce(sum(debit), 0) AS td, coalesce(sum(credit), 0) AS tc, count(*) AS n, min(txn_date) AS d1, max(txn_date) AS d2 FROM {rows} WHERE {name} IS NOT NULL GROUP BY 1, 2)\n"
+BOOK = MERGED + TOTALS.format(name="counterparty", rows="assigned")
+NAME_BOOK = NAMES + TOTALS.format(name="beneficiary_name", rows="named")
 
 
 def named(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -493,7 +508,7 @@ def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
     BOOK + "SELECT statement_id, counterparty, td::DOUBLE AS total_debit, tc::DOUBLE AS total_credit, n AS transaction_count, d1::VARCHAR AS first_transaction_date, d2::VARCHAR AS last_transaction_date, (tc - td)::DOUBLE AS net_position FROM book",
 )
 def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counterparties.counterparty_financials(assigned_by_name(spark, sf_dir))
+    return counterparties.counterparty_financials(assigned(spark, sf_dir))
 
 
 @query(
@@ -501,7 +516,7 @@ def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
     BOOK + "SELECT statement_id, counterparty, beneficiary_type, 'RULE_BASED' AS identification_method, 0.9::DOUBLE AS highest_confidence, td::DOUBLE AS total_debit, tc::DOUBLE AS total_credit, n AS transaction_count FROM book",
 )
 def b10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = counterparties.build_ledger(assigned_by_name(spark, sf_dir))
+    out = counterparties.build_ledger(assigned(spark, sf_dir))
     return out.select("statement_id", "counterparty", "beneficiary_type", "identification_method", "highest_confidence", "total_debit", "total_credit", "transaction_count")
 
 
@@ -510,26 +525,26 @@ def b10(spark: SparkSession, sf_dir: str) -> DataFrame:
     BOOK + "SELECT statement_id, counterparty, (tc - td)::DOUBLE AS net_position, place FROM (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY tc - td DESC, counterparty) AS place FROM book) WHERE place <= 5",
 )
 def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counterparties.top_counterparties(counterparties.counterparty_financials(assigned_by_name(spark, sf_dir))).select("statement_id", "counterparty", "net_position", "place")
+    return counterparties.top_counterparties(counterparties.counterparty_financials(assigned(spark, sf_dir))).select("statement_id", "counterparty", "net_position", "place")
 
 
 @query("p2_filter_ledger", BOOK + "SELECT statement_id, counterparty FROM book WHERE contains(lower(counterparty), 'ring') AND beneficiary_type = 'COMPANY'")
 def p2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counterparties.filter_ledger(counterparties.build_ledger(assigned_by_name(spark, sf_dir)), "RING", "COMPANY", "RULE_BASED").select("statement_id", "counterparty")
+    return counterparties.filter_ledger(counterparties.build_ledger(assigned(spark, sf_dir)), "RING", "COMPANY", "RULE_BASED").select("statement_id", "counterparty")
 
 
 @query("a7_ledger_summary", BOOK + "SELECT statement_id, count(*) AS counterparties, sum(n)::BIGINT AS identified, sum(td)::DOUBLE AS total_debit FROM book GROUP BY 1")
 def a7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counterparties.ledger_summary(counterparties.build_ledger(assigned_by_name(spark, sf_dir)))
+    return counterparties.ledger_summary(counterparties.build_ledger(assigned(spark, sf_dir)))
 
 
 @query(
     "a3_identification_stats",
-    NAMES
-    + "SELECT statement_id, count(beneficiary_name) AS identified, count(*) AS total, count(DISTINCT beneficiary_name) AS counterparties, printf('%.1f%%', count(beneficiary_name) * 100.0 / count(*)) AS rate, count(*) - count(beneficiary_name) AS pending FROM named GROUP BY 1",
+    MERGED
+    + "SELECT statement_id, count(beneficiary_name) AS identified, count(*) AS total, count(DISTINCT counterparty) AS counterparties, printf('%.1f%%', count(beneficiary_name) * 100.0 / count(*)) AS rate, count(*) - count(beneficiary_name) AS pending FROM assigned GROUP BY 1",
 )
 def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = assigned_by_name(spark, sf_dir)
+    t = assigned(spark, sf_dir)
     return counterparties.identification_stats(t, counterparties.build_ledger(t))
 
 
@@ -539,7 +554,7 @@ def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "SELECT statement_id, counterparty AS beneficiary_name, CASE beneficiary_type WHEN 'COMPANY' THEN 'Company' WHEN 'BANK' THEN 'Bank' WHEN 'GOVERNMENT' THEN 'Government' ELSE 'Individual' END AS type, 'Rule-Based' AS identification_method, td::DOUBLE AS total_debit, n AS transaction_count, 'Yes' AS above_threshold, '' AS reviewed_by FROM book",
 )
 def s9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = export.counterparty_export(counterparties.build_ledger(assigned_by_name(spark, sf_dir)))
+    out = export.counterparty_export(counterparties.build_ledger(assigned(spark, sf_dir)))
     return out.select("statement_id", "beneficiary_name", "type", "identification_method", "total_debit", "transaction_count", "above_threshold", "reviewed_by")
 
 
@@ -573,7 +588,7 @@ def b8_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("statement_id", "beneficiary_name", "before", name_pair_score(F.col("before"), norm).alias("score"))
 
 
-@query("b9_merge_counterparties")
+@query("b9_merge_counterparties", MERGED + "SELECT * FROM merged")
 def b9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counterparties.merge_counterparties(counterparties.distinct_names(named(spark, sf_dir)))
 
@@ -583,7 +598,10 @@ def b11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counterparties.identification_audit(assigned_by_name(spark, sf_dir)).select("transaction_id", "statement_id", "counterparty", "layer_identified", "confidence")
 
 
-@query("j7_assign_counterparties")
+@query(
+    "j7_assign_counterparties",
+    MERGED + "SELECT id, statement_id, beneficiary_name, counterparty, CASE WHEN raw_name IS NOT NULL THEN 0.9::DOUBLE END AS confidence, CASE WHEN raw_name IS NOT NULL THEN 'LAYER_1' END AS layer FROM assigned",
+)
 def j7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assigned(spark, sf_dir).select("id", "statement_id", "beneficiary_name", "counterparty", "confidence", "layer")
 
@@ -684,7 +702,7 @@ def j8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.apply_analyst_assignments(t, a).select("id", "counterparty", "confidence")
 
 
-@query("j9_approve_counterparties", BOOK + "SELECT statement_id, counterparty, CASE WHEN n > 1 THEN 9::BIGINT END AS reviewed_by FROM book")
+@query("j9_approve_counterparties", NAME_BOOK + "SELECT statement_id, counterparty, CASE WHEN n > 1 THEN 9::BIGINT END AS reviewed_by FROM book")
 def j9(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = assigned_by_name(spark, sf_dir)
     book = counterparties.build_ledger(t)
@@ -899,6 +917,105 @@ def r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.stream_progress(adapters.ledger(spark, sf_dir))
 
 
+def written_files(lines: DataFrame, kind: str, order: list[str]) -> str:
+    """A folder with one text file for each ``file_no`` of (file_no, text), lines in ``order``."""
+    path = new_folder(lines.sparkSession, kind)
+    lines.repartition("file_no").sortWithinPartitions("file_no", *order).select("file_no", "text").write.partitionBy("file_no").text(path)
+    return path
+
+
+def file_no(df: DataFrame) -> DataFrame:
+    return df.withColumn("file_no", F.regexp_extract("file_id", r"file_no=(\d+)", 1).cast("long"))
+
+
+#: A bank's names and order of columns by the remainder of the file's number.
+CSV_HEADERS = (
+    {"Date": "txn_date", "Narration": "narration_raw", "Withdrawal Amt.": "debit", "Deposit Amt.": "credit", "Closing Balance": "balance", "Chq No": "reference"},
+    {"Running_Balance": "balance", "REF NO": "reference", "Credit Amount": "credit", "Particulars": "narration_raw", "Debit Amount": "debit", "Transaction Date": "txn_date", "Value Date": None},
+    {"Description": "narration_raw", "Branch": None, "dr": "debit", "cr": "credit", "Posting Date": "txn_date", "Available Balance": "balance"},
+)
+
+
+@query(
+    "s2_mixed_headers",
+    """SELECT (statement_id % 12)::BIGINT AS file_no, row_number() OVER (PARTITION BY statement_id % 12 ORDER BY statement_id, source_row) + 1 AS source_row, txn_date::VARCHAR AS txn_date, trim(narration_raw) AS narration_raw, nullif(debit, 0)::DOUBLE AS debit, nullif(credit, 0)::DOUBLE AS credit,
+  nullif(balance, 0)::DOUBLE AS balance, CASE WHEN statement_id % 12 % 3 = 2 THEN '' ELSE reference END AS reference FROM ledger""",
+)
+def s2_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger as twelve CSV files under three kinds of headers, read in one scan."""
+    t = staged(adapters.ledger(spark, sf_dir)).withColumn("file_no", F.col("statement_id") % 12)
+    cell = lambda c: F.lit("x") if c is None else F.date_format(c, "dd/MM/yyyy") if c == "txn_date" else F.format_number(c, 2) if c in ("debit", "credit", "balance") else F.col(c)
+    texts = [F.to_csv(F.struct(*[cell(c).alias(f"c{n}") for n, c in enumerate(h.values())]), {"quoteAll": "true"}) for h in CSV_HEADERS]
+    kind = F.col("file_no") % len(CSV_HEADERS)
+    rows = t.select("file_no", F.col("statement_id").alias("a"), F.col("source_row").alias("b"), F.coalesce(*[F.when(kind == n, x) for n, x in enumerate(texts)]).alias("text"))
+    heads = t.select("file_no").distinct().select("file_no", F.lit(-1).cast("long").alias("a"), F.lit(0).alias("b"), F.coalesce(*[F.when(kind == n, F.lit(",".join(h))) for n, h in enumerate(CSV_HEADERS)]).alias("text"))
+    path = written_files(rows.unionByName(heads), "csv", ["a", "b"])
+    return file_no(files.read_csv_statement(spark, path)).select("file_no", "source_row", "txn_date", "narration_raw", "debit", "credit", "balance", "reference")
+
+
+@query(
+    "s3_s4_s5_report_ranges",
+    """, placed AS (SELECT *, (statement_id % 8)::BIGINT AS file_no, 2 * row_number() OVER (PARTITION BY statement_id % 8 ORDER BY statement_id, source_row) AS line FROM ledger)
+SELECT file_no, CASE WHEN file_no = 3 THEN line ELSE row_number() OVER (PARTITION BY file_no ORDER BY line) END AS source_row, txn_date::VARCHAR AS txn_date, CASE WHEN file_no <> 3 THEN trim(substr(narration_raw, 1, 58)) WHEN narration_raw = '' THEN '-' ELSE narration_raw END AS narration_raw,
+  debit::DOUBLE AS debit, credit::DOUBLE AS credit, balance::DOUBLE AS balance, 'Cr' AS balance_type, reference FROM placed WHERE txn_date IS NOT NULL""",
+)
+def s3_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger as seven fixed-width reports and one with pipes, header lines among the rows, read in ranges of 64 kB."""
+    t = staged(adapters.ledger(spark, sf_dir))
+    n = F.col("statement_id") % 8
+    cell = lambda c: F.coalesce(F.format_number(F.col(c), 2), F.lit("-"))
+    piped = F.concat_ws("|", F.coalesce(F.date_format("txn_date", "dd/MM/yyyy"), F.lit("none")), F.coalesce(F.nullif("narration_raw", F.lit("")), F.lit("-")), cell("debit"), cell("credit"), F.concat(cell("balance"), F.lit("Cr")), "reference")
+    fixed = adapters.fixed_width_lines(t).select(F.col("file_id").cast("long").alias("statement_id"), F.col("line_no").alias("source_row"), F.col("text").alias("fixed"))
+    rows = t.join(fixed, ["statement_id", "source_row"]).select(n.alias("file_no"), "statement_id", "source_row", F.when(n == 3, piped).otherwise(F.col("fixed")).alias("line"))
+    before = F.when(F.col("file_no") == 3, F.lit("none|header|-|-|-|")).when(F.col("source_row") % 3 == 0, F.lit("Page Total   " + " " * 120 + "12.00")).otherwise("GL. Date   Value Date")
+    lines = rows.select("file_no", "statement_id", "source_row", F.posexplode(F.array(before, F.col("line"))).alias("p", "text"))
+    path = written_files(lines, "reports", ["statement_id", "source_row", "p"])
+    ranges = spark.newSession()
+    ranges.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    ranges.conf.set("spark.sql.files.openCostInBytes", "4k")
+    return file_no(files.parse_report_files(ranges, path)).select("file_no", "source_row", "txn_date", "narration_raw", "debit", "credit", "balance", "balance_type", "reference")
+
+
+@query("r1_stream_ingest", DELIMITED)
+def r1_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger as files with pipes, ingested by a stream in several batches and read back."""
+    lines = staged(delimited_files(spark, sf_dir, " | ")).select("file_id", F.array_join("lines", "\n").alias("value"))
+    source, target, checkpoint = (new_folder(spark, k) for k in ("arriving", "ledger", "progress"))
+    # A file holds one statement; its folder has the name.
+    lines.select(F.col("file_id").alias("st"), "value").repartition("st").write.partitionBy("st").option("lineSep", "\u0001").text(source)
+    ingest.stream_ingest(spark, f"{source}/*", target, checkpoint, files_per_batch=max(1, lines.count() // 3 + 1)).awaitTermination()
+    got = spark.read.parquet(target).withColumn("file_id", F.regexp_extract("file_id", r"st=(\d+)", 1))
+    return got.select("file_id", "txn_date", "narration_raw", "debit", "credit", "balance", "source_row")
+
+
+def arriving(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    """The ledger as a stream of three batches in which each statement's rows come in any order."""
+    t = adapters.ledger(spark, sf_dir).select(columns).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(3)))
+    path = new_folder(spark, "rows")
+    t.repartition(3, "batch").drop("batch").write.parquet(path)
+    return spark.readStream.schema(t.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def settled(updates: DataFrame, *keys: str) -> DataFrame:
+    """The last version of what a stream has stored for each key."""
+    spark = updates.sparkSession
+    target = new_folder(spark, "updates")
+    ingest.store_updates(updates, target, new_folder(spark, "progress")).awaitTermination()
+    return ingest.current_versions(spark.read.parquet(target), *keys)
+
+
+@query("r5_stream_balance_check", CHECKED + "SELECT id, statement_id, expected::DOUBLE AS expected_balance, variance::DOUBLE AS variance, coalesce(variance <= 1.00, true) AS balance_ok FROM checked")
+def r5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = arriving(spark, sf_dir, ["id", "statement_id", "source_row", "debit", "credit", "balance"])
+    return settled(ingest.stream_balance_check(rows), "id").select("id", "statement_id", "expected_balance", "variance", "balance_ok")
+
+
+@query("r2_stream_latest", "SELECT statement_id, source_row, substr(narration_raw, 1, 60) AS narration_raw, place FROM (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY source_row DESC) AS place FROM ledger) WHERE place <= 5")
+def r2_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = arriving(spark, sf_dir, ["id", "statement_id", "source_row", "narration_raw"])
+    return settled(ingest.stream_latest(rows), "statement_id").select("statement_id", "source_row", "narration_raw", "place")
+
+
 # --- Scalars over texts made from the ledger ---------------------------------------------------------
 
 

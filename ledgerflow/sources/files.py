@@ -80,7 +80,7 @@ def read_csv_statement(spark: SparkSession, path: str | list[str], width: int =
     """
     cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     raw = spark.read.csv(path, header=False, schema=cells, multiLine=True, escape='"')
-    return csv_files(raw.select(F.col("_metadata.file_path").alias("file_id"), F.monotonically_increasing_id().alias("_lf_no"), F.array(*[F.col(c) for c in raw.columns]).alias("cells")))
+    return csv_files(raw.select(F.col("_metadata.file_path").alias("file_id"), F.monotonically_increasing_id().alias("_lf_no"), F.array(*[F.col(c) for c in cells.names]).alias("cells")))
 
 
 def csv_files(records: DataFrame) -> DataFrame:

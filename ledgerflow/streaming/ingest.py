@@ -13,13 +13,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..sources.files import parse_rpt, store_transactions
 
 
-def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str, layout: str = "corrected") -> StreamingQuery:
+def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str, layout: str = "corrected", files_per_batch: int = 1000) -> StreamingQuery:
     """Parses arriving text files and adds their rows to ``target``; each file once.
 
     Every batch has a folder of its own (``batch_id=...``) and replaces it, so a batch that is run
     again after a failure between its write and its commit isn't stored twice.
     """
-    files = spark.readStream.format("text").option("wholetext", True).load(source).withColumn("file_id", F.col("_metadata.file_path"))
+    files = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).load(source).withColumn("file_id", F.col("_metadata.file_path"))
     files = files.select("file_id", F.split("value", r"\r\n|\r|\n").alias("lines"))
 
     def append(batch: DataFrame, batch_id: int) -> None:
