@@ -125,11 +125,10 @@ def all_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def issue_query(name: str, sql: str) -> Callable[[Callable[[SparkSession, str, DataFrame], DataFrame]], None]:
-    """Registers a query over all issues, near duplicates among them, under ``name`` and its older name ``{name}_with_near``."""
+    """Registers a query over all issues, near duplicates among them."""
 
     def register(f: Callable[[SparkSession, str, DataFrame], DataFrame]) -> None:
-        for n in (name, f"{name}_with_near"):
-            query(n, sql)(lambda spark, sf_dir: f(spark, sf_dir, all_issues(spark, sf_dir)))
+        query(name, sql)(lambda spark, sf_dir: f(spark, sf_dir, all_issues(spark, sf_dir)))
 
     return register
 
@@ -772,24 +771,54 @@ def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.route_files(paths).select("id", "file_type")
 
 
+def corrected_sql() -> str:
+    """The correction rules as SQL over ``moved`` (debit, credit, diff, e)."""
+    close = "({p} IS NOT NULL AND e > 0 AND (abs({p} - e) <= 50 OR abs({p} - e) <= e * 0.01))"
+    far = "({p} IS NOT NULL AND e > 0 AND abs({p} - e) > e * 0.015 AND CASE WHEN e < 5000 THEN abs({p} - e) > 5 ELSE abs({p} - e) > 500 END)"
+
+    def rule(own: str, other: str) -> str:
+        return (
+            f"CASE WHEN {close.format(p=own)} THEN '' WHEN {close.format(p=other)} THEN 'col_swapped' WHEN {other} IS NOT NULL AND {own} IS NULL THEN 'col_swapped_sign'"
+            f" WHEN {far.format(p=own)} THEN '{own}_ocr_corrected' WHEN {own} IS NULL AND {other} IS NULL THEN '{own}_filled_from_balance' ELSE '' END"
+        )
+
+    return f"""SELECT id, correction,
+  CASE WHEN diff < 0 AND starts_with(correction, 'col_') THEN credit WHEN diff < 0 AND (ends_with(correction, '_corrected') OR ends_with(correction, '_balance')) THEN e WHEN diff > 0 AND starts_with(correction, 'col_') THEN NULL ELSE debit END::DOUBLE AS debit,
+  CASE WHEN diff < 0 AND starts_with(correction, 'col_') THEN NULL WHEN diff > 0 AND correction = 'col_swapped' THEN debit WHEN diff > 0 AND correction <> '' THEN e ELSE credit END::DOUBLE AS credit
+FROM (SELECT *, CASE WHEN diff < 0 THEN {rule("debit", "credit")} WHEN diff > 0 THEN {rule("credit", "debit")} ELSE '' END AS correction FROM moved)"""
+
+
+@query("w5_correct_from_balance", ", moved AS (SELECT *, abs(diff) AS e FROM (SELECT *, balance - lag(balance) OVER (PARTITION BY statement_id ORDER BY source_row) AS diff FROM ledger))\n" + corrected_sql())
+def w5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balance.correct_from_balance(adapters.ledger(spark, sf_dir), ("statement_id",)).select("id", "debit", "credit", "correction")
+
+
+def misread(t: DataFrame) -> DataFrame:
+    """The ledger with amounts as a scan has them: in the wrong column, with a digit too many, or none, and balances in debit."""
+    i, d, c = F.col("id"), F.col("debit"), F.col("credit")
+    swap, longer, gone = i % 7 == 1, i % 7 == 2, i % 7 == 3
+    more = lambda x: (x * 10).cast(s.MONEY)
+    debit = F.when(swap, c).when(longer, more(d)).when(~gone, d)
+    credit = F.when(swap, d).when(longer, more(c)).when(~gone, c)
+    return t.withColumns({"debit": debit, "credit": credit, "balance_type": F.when(i % 11 == 5, "DR").otherwise("CR")})
+
+
 @query(
-    "w5_correct_from_balance",
-    """, b AS (SELECT *, balance - lag(balance) OVER (PARTITION BY statement_id ORDER BY source_row) AS diff FROM ledger)
-SELECT id, CASE WHEN diff < 0 AND debit IS NULL AND credit IS NULL THEN abs(diff) WHEN diff > 0 AND debit IS NULL AND credit IS NULL THEN NULL ELSE debit END::DOUBLE AS debit FROM b WHERE debit IS NULL AND credit IS NULL""",
+    "w5_correct_misread_amounts",
+    """, scanned AS (SELECT * REPLACE (CASE id % 7 WHEN 1 THEN credit WHEN 2 THEN debit * 10 WHEN 3 THEN NULL ELSE debit END::DECIMAL(18,2) AS debit, CASE id % 7 WHEN 1 THEN debit WHEN 2 THEN credit * 10 WHEN 3 THEN NULL ELSE credit END::DECIMAL(18,2) AS credit),
+  CASE WHEN id % 11 = 5 THEN -balance ELSE balance END AS signed FROM ledger),
+moved AS (SELECT *, abs(diff) AS e FROM (SELECT *, signed - lag(signed) OVER (PARTITION BY statement_id ORDER BY source_row) AS diff FROM scanned))
+"""
+    + corrected_sql(),
 )
-def w5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = adapters.ledger(spark, sf_dir)
-    empty = t.filter("debit is null and credit is null").select("id")
-    return balance.correct_from_balance(t, ("statement_id",)).join(empty, "id", "left_semi").select("id", "debit")
+def w5_misread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balance.correct_from_balance(misread(adapters.ledger(spark, sf_dir)), ("statement_id",)).select("id", "debit", "credit", "correction")
 
 
-@query("w5_correct_from_balance_all_rows")
-def w5_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row by all rules; the SQL of ``w5_correct_from_balance`` has the fill rule only."""
-    return balance.correct_from_balance(adapters.ledger(spark, sf_dir), ("statement_id",)).select("id", "debit", "credit", "correction")
+RECONCILED = ", v AS (SELECT *, CASE WHEN coalesce(debit, credit) IS NOT NULL THEN balance END AS valid FROM ledger), p AS (SELECT *, last_value(valid IGNORE NULLS) OVER (PARTITION BY statement_id ORDER BY source_row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM v), reconciled AS (SELECT statement_id::VARCHAR AS file_id, source_row AS page, CASE WHEN valid IS NULL THEN 'no_amount' WHEN prev IS NULL THEN 'first' WHEN valid = prev THEN 'zero_delta' WHEN abs(abs(valid - prev) - coalesce(debit, credit)) <= 0.05 THEN 'ok' ELSE 'CHECK' END AS \"check\" FROM p)"
 
 
-@query("w6_reconcile_running_balance", ", v AS (SELECT *, CASE WHEN coalesce(debit, credit) IS NOT NULL THEN balance END AS valid FROM ledger), p AS (SELECT *, last_value(valid IGNORE NULLS) OVER (PARTITION BY statement_id ORDER BY source_row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM v) SELECT statement_id::VARCHAR AS file_id, source_row AS page, CASE WHEN valid IS NULL THEN 'no_amount' WHEN prev IS NULL THEN 'first' WHEN valid = prev THEN 'zero_delta' WHEN abs(abs(valid - prev) - coalesce(debit, credit)) <= 0.05 THEN 'ok' ELSE 'CHECK' END AS \"check\" FROM p")
+@query("w6_reconcile_running_balance", RECONCILED + "SELECT * FROM reconciled")
 def w6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.reconcile_running_balance(read_rows(spark, sf_dir)).select("file_id", "page", "check")
 
@@ -811,7 +840,7 @@ def read_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("a10_reconcile_summary")
+@query("a10_reconcile_summary", RECONCILED + """SELECT file_id, count(*) AS rows, count(*) FILTER ("check" = 'ok') AS ok, count(*) FILTER ("check" = 'CHECK') AS to_check FROM reconciled GROUP BY 1""")
 def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.reconcile_summary(balance.reconcile_running_balance(read_rows(spark, sf_dir)))
 
@@ -1065,20 +1094,25 @@ def x14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", x["balance"].alias("balance"), x["balance_type"].alias("balance_type"), x["txn_amount"].alias("amount"), s.parse_amount_ocr(cell).alias("cell_balance"), s.balance_type_ocr(cell).alias("cell_type"))
 
 
-@query("b2_b4_names", r"SELECT id, length(narration_raw) BETWEEN 2 AND 100 AND regexp_matches(narration_raw, '\p{L}') AND length(regexp_replace(narration_raw, '\D', '', 'g')) = 0 AND (contains(trim(narration_raw), ' ') OR length(narration_raw) <= 20) AND narration_raw NOT IN ('TRANSFER') AS valid, trim(regexp_replace(upper(narration_raw), '\s+', ' ', 'g')) AS normal FROM ledger WHERE length(regexp_replace(narration_raw, '\D', '', 'g')) = 0")
-def b2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = adapters.ledger(spark, sf_dir).filter(~F.col("narration_raw").rlike(r"\d"))
-    return names_of(t)
-
-
-def names_of(t: DataFrame) -> DataFrame:
-    return t.select("id", beneficiary.is_valid_name(F.col("narration_raw")).alias("valid"), beneficiary.normalize_name(F.col("narration_raw")).alias("normal"))
+VALID = (
+    r"""length(n) BETWEEN 2 AND 100 AND dg < length(n) AND NOT (length(n) > 8 AND dg / length(n) > 0.40) AND NOT (NOT contains(trim(n), ' ') AND length(n) > 20) AND NOT regexp_matches(n, '\s+\d+$') AND NOT (len(ws) = 1 AND dg > 0)"""
+    + f" AND NOT (len(ws) > 0 AND len(list_filter(ws, lambda w: w NOT IN ({', '.join(repr(w) for w in beneficiary.NOISE_WORDS)}))) = 0)"
+    + r" AND regexp_matches(n, '\p{L}')"
+)
+BANKS = "CASE substr(c, 1, 4) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in beneficiary.BANK_CODES.items()) + " ELSE c END"
 
 
-@query("b2_b4_names_all_rows")
-def b2_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every narration; the SQL of ``b2_b4_names`` has those without digits only."""
-    return names_of(adapters.ledger(spark, sf_dir))
+@query(
+    "b2_b4_names",
+    r""", texts AS (SELECT id, narration_raw AS n, length(regexp_replace(narration_raw, '\D', '', 'g')) AS dg, list_filter(string_split(upper(trim(narration_raw)), ' '), lambda w: w <> '') AS ws, trim(regexp_replace(upper(narration_raw), '\s+', ' ', 'g')) AS normal,
+  trim(regexp_replace(upper(string_split(narration_raw, '/')[1]), '\s+', ' ', 'g')) AS c FROM ledger)
+"""
+    + f"SELECT id, {VALID} AS valid, normal, CASE WHEN regexp_full_match(c, '[A-Z]{{4}}[A-Z0-9]{{7,11}}') THEN {BANKS} ELSE c END AS bank FROM texts",
+)
+def b2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every narration, and what stands before its first slash, which may be a bank's code."""
+    text = F.col("narration_raw")
+    return adapters.ledger(spark, sf_dir).select("id", beneficiary.is_valid_name(text).alias("valid"), beneficiary.normalize_name(text).alias("normal"), beneficiary.normalize_name(F.get(F.split(text, "/"), 0)).alias("bank"))
 
 
 @query("b7_normalize_for_matching", "SELECT id, trim(regexp_replace(upper(narration_raw), '[^A-Z0-9]+', ' ', 'g')) AS normal FROM ledger")
@@ -1122,10 +1156,14 @@ def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "w9_x19_x20_parse_grid",
-    "SELECT statement_id::VARCHAR AS file_id, txn_date::VARCHAR AS txn_date, CASE WHEN regexp_matches(narration_raw, '[0-9/]$') THEN narration_raw || '/PART TWO' ELSE trim(narration_raw || ' /PART TWO') END AS narration_raw, debit::DOUBLE AS debit, credit::DOUBLE AS credit, balance::DOUBLE AS balance FROM ledger WHERE txn_date IS NOT NULL AND length(narration_raw) > 3",
+    r""", celled AS (SELECT *, length(narr) BETWEEN 1 AND 3 AS short FROM (SELECT *, trim(regexp_replace(narration_raw, '\s+', ' ', 'g')) AS narr FROM ledger)),
+third AS (SELECT *, CASE WHEN short THEN '' ELSE narr END AS c FROM celled WHERE txn_date IS NOT NULL)
+SELECT statement_id::VARCHAR AS file_id, txn_date::VARCHAR AS txn_date, CASE WHEN regexp_matches(c, '[0-9/]$') THEN c || '/PART TWO' ELSE trim(c || ' /PART TWO') END AS narration_raw, debit::DOUBLE AS debit, credit::DOUBLE AS credit, balance::DOUBLE AS balance,
+  CASE WHEN short THEN 'REFERENCE ' || narr ELSE 'REFERENCE' END AS reference FROM third""",
 )
 def w9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid_of(adapters.ledger(spark, sf_dir).filter("txn_date is not null and length(narration_raw) > 3")).drop("reference")
+    """The cells of every row: those without a date are left out by the grid, short narrations are folded to the left."""
+    return grid_of(adapters.ledger(spark, sf_dir))
 
 
 def grid_of(t: DataFrame) -> DataFrame:
@@ -1139,12 +1177,6 @@ def grid_of(t: DataFrame) -> DataFrame:
     return grids.parse_grid(cells).select("file_id", "txn_date", "narration_raw", "debit", "credit", "balance", "reference")
 
 
-@query("w9_x19_x20_parse_grid_all_rows")
-def w9_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cells of every row: those without a date are left out by the grid, short narrations are folded to the left."""
-    return grid_of(adapters.ledger(spark, sf_dir))
-
-
 @query("t5_counterparty_history", NAMES + "SELECT id, txn_date::VARCHAR AS txn_date, 'LAYER_1' AS layer_identified FROM named WHERE statement_id = (SELECT min(statement_id) FROM named WHERE beneficiary_name = 'DEPOSIT') AND beneficiary_name = 'DEPOSIT'")
 def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = assigned_by_name(spark, sf_dir)

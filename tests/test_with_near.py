@@ -39,24 +39,24 @@ def test_counts_and_ratings(run):
     counts = {st: (of(st, "HIGH") + of(st, "MEDIUM"), of(st, "HIGH"), of(st, "MEDIUM")) for st in SETS}
     rating = {st: "QUALIFIED" if h else "ACCEPTABLE" if m else "CLEAN" for st, (_, h, m) in counts.items()}
     found = {st: c for st, c in counts.items() if c[0]}
-    assert run("a5_issue_counts_with_near", "statement_id", "unresolved", "high", "medium") == Counter((st, *c) for st, c in found.items())
+    assert run("a5_issue_counts", "statement_id", "unresolved", "high", "medium") == Counter((st, *c) for st, c in found.items())
     by_code = {st: ",".join(f"{c}={n}" for c, n in sorted(Counter(c for s, _, c in ISSUES if s == st).items())) for st in found}
-    assert run("a6_issue_summary_with_near", "statement_id", "total", "by_code") == Counter((st, found[st][0], by_code[st]) for st in found)
-    assert run("v11_reliability_rating_with_near", "statement_id", "unresolved", "rating") == Counter((st, counts[st][0], rating[st]) for st in SETS)
-    assert run("v13_approve_validation_with_near", "statement_id", "rating") == Counter(rating.items())
+    assert run("a6_issue_summary", "statement_id", "total", "by_code") == Counter((st, found[st][0], by_code[st]) for st in found)
+    assert run("v11_reliability_rating", "statement_id", "unresolved", "rating") == Counter((st, counts[st][0], rating[st]) for st in SETS)
+    assert run("v13_approve_validation", "statement_id", "rating") == Counter(rating.items())
     assert run("v12_exportable", "statement_id", "exportable") == Counter((st, True) for st in SETS)
     assert run("v14_validation_state", "statement_id", "fully_validated") == Counter((st, True) for st in SETS)
     even = {st: sum(i % 2 == 0 for s, i, _ in ISSUES if s == st) for st in found}
-    assert run("j10_resolve_issues_with_near", "statement_id", "unresolved", "resolved") == Counter((st, found[st][0] - even[st], even[st]) for st in found)
+    assert run("j10_resolve_issues", "statement_id", "unresolved", "resolved") == Counter((st, found[st][0] - even[st], even[st]) for st in found)
     assert not run("p3_filter_issues", "transaction_id")
 
 
 def test_rows_are_flagged(run):
     flagged = {i for _, i, _ in ISSUES}
     codes = {i: ", ".join(sorted(c for _, k, c in ISSUES if k == i)) for i in flagged}
-    assert run("j3_attach_issues_with_near", "id", "status", "issue_codes") == Counter((r[0], "Flagged" if r[0] in flagged else "Clean", codes.get(r[0], "")) for r in ROWS)
-    assert run("j13_issues_by_transaction_with_near", "statement_id", "transaction_id", "code") == Counter(ISSUES)
-    assert run("s8_cleaned_ledger_with_near", "id", "flagged") == Counter((r[0], r[0] in flagged) for r in ROWS)
+    assert run("j3_attach_issues", "id", "status", "issue_codes") == Counter((r[0], "Flagged" if r[0] in flagged else "Clean", codes.get(r[0], "")) for r in ROWS)
+    assert run("j13_issues_by_transaction", "statement_id", "transaction_id", "code") == Counter(ISSUES)
+    assert run("s8_cleaned_ledger", "id", "flagged") == Counter((r[0], r[0] in flagged) for r in ROWS)
 
 
 def test_ratio_in_sql():
