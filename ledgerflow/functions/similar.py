@@ -16,25 +16,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scalars import token_overlap
+from .staging import staged
 
 
 def letters(text: Column) -> Column:
     """Every letter of a text with its number among equal ones, so that sets have what multisets have in common."""
-    ordered = F.array_sort(F.array_remove(F.split(text, ""), ""))
-    return F.transform(ordered, lambda c, i: F.concat(F.lit("l"), c, (i - F.array_position(ordered, c)).cast("string")))
+    # The sorted letters are the variable of an outer step, so they are made once a text and not once a letter.
+    ordered = F.array(F.array_sort(F.array_remove(F.split(text, ""), "")))
+    number = lambda o, c, i: F.concat(F.lit("l"), c, (i - F.array_position(o, c)).cast("string"))
+    return F.get(F.transform(ordered, lambda o: F.transform(o, lambda c, i: number(o, c, i))), 0)
 
 
 def tokens(text: Column) -> Column:
     return F.transform(F.array_distinct(F.array_remove(F.split(text, " "), "")), lambda w: F.concat(F.lit("t"), w))
 
 
+def distinct_spread(rows: DataFrame) -> DataFrame:
+    """Distinct rows over all cores: few bytes would else be one task, but texts cost far more time than bytes."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(n, *rows.columns).distinct()
+
+
 def first_elements(texts: DataFrame, threshold: float, with_tokens: bool) -> DataFrame:
-    """(text, keys) of distinct texts: the elements of which a text with a score of ``threshold`` or more shares one.
+    """(text, keys) of each different text: the elements of which texts with a score of ``threshold`` or more share one.
 
     Elements are in the order of their number of texts, rarest first.
     """
     every = F.concat(letters(F.col("text")), tokens(F.col("text"))) if with_tokens else letters(F.col("text"))
-    split = texts.select("text", F.explode(every).alias("e"))
+    split = staged(distinct_spread(texts.select("text")).select("text", F.explode(every).alias("e")))
     ranked = split.join(split.groupBy("e").agg(F.count(F.lit(1)).alias("n")), "e")
     sets = ranked.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("es"))
     names = F.transform("es", lambda x: x["e"])
@@ -68,6 +78,15 @@ def ratio_from(threshold: float):
     return score
 
 
+def may_reach(a: Column, b: Column, threshold: float) -> Column:
+    """Whether the letters of two texts allow a sequence ratio of ``threshold``; plain columns, so few pairs go on to the ratio."""
+    need = (F.length(a) + F.length(b)) * (threshold / 2) - 1e-9
+    return (F.least(F.length(a), F.length(b)) >= need) & (F.size(F.array_intersect(letters(a), letters(b))) >= need)
+
+
 def name_scores(pairs: DataFrame, threshold: float) -> DataFrame:
     """Adds ``score`` to pairs of normal forms (a, b) where it reaches ``threshold``: the greater of token share and sequence ratio."""
-    return pairs.withColumn("score", F.greatest(token_overlap(F.col("a"), F.col("b")), ratio_from(threshold)(F.col("a"), F.col("b")))).filter(F.col("score") >= threshold)
+    shared, can = token_overlap(F.col("a"), F.col("b")), may_reach(F.col("a"), F.col("b"), threshold)
+    some = staged(pairs.withColumn("shared", shared).withColumn("can", can).filter((F.col("shared") >= threshold) | F.col("can")))
+    score = ratio_from(threshold)("a", "b")
+    return some.withColumn("score", F.greatest("shared", score)).filter(F.col("score") >= threshold).drop("shared", "can")

@@ -47,25 +47,32 @@ def subtract_noise(segment: Column) -> Column:
     return s.collapse(x)
 
 
-def is_valid_name(name: Column) -> Column:
-    """Whether a text may be a name: 2 to 100 characters, a letter, not mainly digits or one long token."""
-    n = F.coalesce(name, F.lit(""))
-    t = F.trim(n)
-    digits = F.length(F.regexp_replace(n, r"\D", ""))
-    words = F.array_remove(F.split(F.upper(t), " +"), "")
-    only_noise = (F.size(words) > 0) & F.forall(words, lambda w: w.isin(*NOISE_WORDS))
+def name_facts(name: Column) -> Column:
+    """What the rules for names ask of a text, found once: the text, its length, its digits and its words."""
+    words = F.array_remove(F.split(F.upper(F.trim(name)), " +"), "")
+    digits = F.length(name) - F.length(F.translate(name, "0123456789", ""))
+    return F.struct(name.alias("name"), F.length(name).alias("size"), digits.alias("digits"), words.alias("words"))
+
+
+def valid_facts(f: Column) -> Column:
+    n, size, digits, words = f["name"], f["size"], f["digits"], f["words"]
     return (
-        F.length(n).between(2, 100)
-        & (digits < F.length(n))
-        & ~((F.length(n) > 8) & (digits / F.length(n) > 0.40))
-        & ~(~t.contains(" ") & (F.length(n) > 20))
-        & ~n.rlike(r"\s+\d+$")
+        size.between(2, 100)
+        & (digits < size)
+        & ~((size > 8) & (digits / size > 0.40))
+        & ~((size > 20) & ~F.trim(n).contains(" "))
         & ~((F.size(words) == 1) & (digits > 0))
-        & ~only_noise
+        & ~((F.size(words) > 0) & F.forall(words, lambda w: w.isin(*NOISE_WORDS)))
+        & ~((digits > 0) & n.rlike(r"\s+\d+$"))
         & n.rlike(r"\p{L}")
     )
 
 
+def is_valid_name(name: Column) -> Column:
+    """Whether a text may be a name: 2 to 100 characters, a letter, not mainly digits or one long token."""
+    return valid_facts(name_facts(F.coalesce(name, F.lit(""))))
+
+
 def name_points(name: Column) -> Column:
     up = F.upper(name)
     letters = name.rlike(r"^[A-Za-z\s]+$")
@@ -79,9 +86,7 @@ def name_points(name: Column) -> Column:
 
 def best_candidate(names: Column) -> Column:
     """The first of the names with the most points, null if there are none."""
-    start = F.struct(F.lit(None).cast("string").alias("name"), F.lit(-1).alias("points"))
-    better = lambda a, n: F.when(name_points(n) > a["points"], F.struct(n.alias("name"), name_points(n).alias("points"))).otherwise(a)
-    return F.aggregate(names, start, better, lambda a: a["name"])
+    return F.array_max(F.transform(names, lambda n, i: F.struct(name_points(n), -i, n.alias("name"))))["name"]
 
 
 def classify_beneficiary(name: Column) -> Column:
@@ -100,8 +105,9 @@ def normalize_name(name: Column) -> Column:
 
 def raw_beneficiary(narration: Column) -> Column:
     n = s.strip(F.coalesce(narration, F.lit("")))
-    parts = F.transform(F.split(n, "/|:| - | -|  +"), subtract_noise)
-    return F.when(F.length(n) >= 2, best_candidate(F.filter(parts, lambda x: (F.length(x) > 3) & is_valid_name(x))))
+    facts = F.transform(F.transform(F.split(n, "/|:| - | -|  +"), subtract_noise), name_facts)
+    names = F.transform(F.filter(facts, lambda f: (f["size"] > 3) & valid_facts(f)), lambda f: f["name"])
+    return F.when(F.length(n) >= 2, best_candidate(names))
 
 
 def extract_beneficiary(txns: DataFrame, narration: str = "narration_raw") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
-from ..functions.similar import first_elements, name_scores, share_first
+from ..functions.similar import distinct_spread, first_elements, name_scores, share_first
 from ..functions.staging import staged
 
 
@@ -27,12 +27,12 @@ def distinct_names(named: DataFrame) -> DataFrame:
 
 def similar_names(heads: DataFrame, threshold: float) -> DataFrame:
     """(statement_id, i, j, score): pairs of a statement's names (norm, first_id) with a score of ``threshold`` or more, i before j."""
-    keys = first_elements(heads.select(F.col("norm").alias("text")).distinct(), threshold, with_tokens=True).withColumnRenamed("text", "norm")
+    keys = first_elements(heads.select(F.col("norm").alias("text")), threshold, with_tokens=True).withColumnRenamed("text", "norm")
     keyed = heads.select("statement_id", "norm", "first_id").join(keys, "norm").withColumn("key", F.explode("keys"))
     side = lambda p: keyed.select("statement_id", "key", F.col("norm").alias(f"{p}_norm"), F.col("first_id").alias(p), F.col("keys").alias(f"{p}_keys"))
     met = side("i").join(side("j"), ["statement_id", "key"]).filter((F.col("i") < F.col("j")) & share_first(F.col("i_keys"), F.col("j_keys"), F.col("key")))
     pairs = staged(met.select("statement_id", "i", "j", F.col("j_norm").alias("a"), F.col("i_norm").alias("b")))
-    scored = name_scores(pairs.select("a", "b").distinct(), threshold)
+    scored = name_scores(distinct_spread(pairs.select("a", "b")), threshold)
     return pairs.join(scored, ["a", "b"]).select("statement_id", "i", "j", "score")
 
 
@@ -63,7 +63,7 @@ def merge_counterparties(names: DataFrame, threshold: float = 0.82) -> DataFrame
     counterparty; else the most similar leading name before it (the first of several), if it reaches
     ``threshold``; else the name leads.
     """
-    w = names.select("statement_id", "beneficiary_name", "first_id", s.normalize_for_matching(F.col("beneficiary_name")).alias("norm"))
+    w = staged(names.select("statement_id", "beneficiary_name", "first_id", s.normalize_for_matching(F.col("beneficiary_name")).alias("norm")))
     # Names of equal normal form always share a counterparty: only the first of them is compared.
     heads = staged(w.groupBy("statement_id", "norm").agg(F.min_by("beneficiary_name", "first_id").alias("name"), F.min("first_id").alias("first_id")))
     edges = staged(similar_names(heads, threshold))

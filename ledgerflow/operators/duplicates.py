@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
-from ..functions.similar import first_elements, ratio_from, share_first
+from ..functions.similar import distinct_spread, first_elements, may_reach, ratio_from, share_first
 from ..functions.staging import staged
 
 # Fixed values.
@@ -144,7 +144,7 @@ def near_duplicate_pairs(rows: DataFrame, similarity: float = 0.90, days: int =
     same = Window.partitionBy("statement_id", "txn_date", "_lf_text", "debit", "credit")
     dated = staged(dated.withColumn("_lf_group", F.min("id").over(same)))
     groups = dated.filter("id = _lf_group").select("statement_id", "txn_date", "debit", "credit", F.col("_lf_text").alias("text"), F.col("id").alias("g"))
-    keys = first_elements(groups.select("text").distinct(), similarity, with_tokens=False)
+    keys = first_elements(groups.select("text"), similarity, with_tokens=False)
     bucket = F.call_function("div", F.datediff("txn_date", F.lit("1970-01-01").cast("date")), F.lit(days + 1))
     keyed = groups.join(keys, "text").withColumn("b", bucket).withColumn("key", F.explode("keys"))
     part = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("g", "text", "txn_date", "debit", "credit", "keys")]
@@ -157,7 +157,7 @@ def near_duplicate_pairs(rows: DataFrame, similarity: float = 0.90, days: int =
     met = staged(met.select("i_g", "j_g", "i_text", "j_text"))
     # The ratio depends on which text comes first; rows of two groups may come in either order.
     score = ratio_from(similarity)
-    texts = met.filter("i_text <> j_text").select("i_text", "j_text").distinct().withColumn("ahead", score("i_text", "j_text")).withColumn("behind", score("j_text", "i_text")).filter(F.greatest("ahead", "behind") >= similarity)
+    texts = distinct_spread(met.filter("i_text <> j_text").select("i_text", "j_text")).filter(may_reach(F.col("i_text"), F.col("j_text"), similarity)).withColumn("ahead", score("i_text", "j_text")).withColumn("behind", score("j_text", "i_text")).filter(F.greatest("ahead", "behind") >= similarity)
     alike = met.filter("i_text = j_text").select("i_g", "j_g", F.lit(1.0).alias("ahead"), F.lit(1.0).alias("behind"))
     alike = alike.union(met.join(texts, ["i_text", "j_text"]).select("i_g", "j_g", "ahead", "behind"))
     one = F.lit(1.0)

@@ -449,7 +449,7 @@ def assigned_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = named(spark, sf_dir)
+    n = staged(named(spark, sf_dir))
     return counterparties.assign_counterparties(n, counterparties.merge_counterparties(counterparties.distinct_names(n)))
 
 
@@ -589,7 +589,7 @@ def b8_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("b9_merge_counterparties", MERGED + "SELECT * FROM merged")
 def b9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counterparties.merge_counterparties(counterparties.distinct_names(named(spark, sf_dir)))
+    return counterparties.merge_counterparties(counterparties.distinct_names(staged(named(spark, sf_dir).select("id", "statement_id", "beneficiary_name", "beneficiary_type", "layer", "confidence"))))
 
 
 @query("b11_identification_audit", NAMES + "SELECT id AS transaction_id, statement_id, beneficiary_name AS counterparty, 'LAYER_1' AS layer_identified, 0.9::DOUBLE AS confidence FROM named WHERE beneficiary_name IS NOT NULL")
