@@ -1,6 +1,6 @@
 """Running balances: reconciliation of rows and statements, and corrections from the balance.
 
-Windows are by statement, file or page in (source_row, id) order.
+Windows are by statement, file or page in (source_row, id) order, or by ranges of it where one has too many rows.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from ..functions.ranges import with_previous
 
 ORDER = ("source_row", "id")
 
@@ -21,11 +22,14 @@ def statement_order() -> Window:
     return Window.partitionBy("statement_id").orderBy(*ORDER)
 
 
-def check_balance(txns: DataFrame, tolerance: float = 1.00) -> DataFrame:
-    """Adds ``expected_balance``, ``variance`` and ``balance_ok``; a statement's first row has none and is ok."""
-    w = statement_order()
-    expected = F.when(F.row_number().over(w) > 1, zero(F.lag("balance").over(w)) + zero("credit") - zero("debit"))
-    out = txns.withColumn("expected_balance", expected.cast(s.MONEY)).withColumn("variance", F.abs(F.col("expected_balance") - zero("balance")).cast(s.MONEY))
+def check_balance(txns: DataFrame, tolerance: float = 1.00, range_rows: int | None = None) -> DataFrame:
+    """Adds ``expected_balance``, ``variance`` and ``balance_ok``; a statement's first row has none and is ok.
+
+    ``range_rows``: so many rows of a statement are in one task at most (``with_previous``).
+    """
+    w = with_previous(txns, F.col("balance"), ("statement_id",), ORDER, "_lf_before", range_rows=range_rows)
+    expected = F.when(F.col("_lf_before").isNotNull(), zero(F.col("_lf_before.v")) + zero("credit") - zero("debit"))
+    out = w.withColumn("expected_balance", expected.cast(s.MONEY)).drop("_lf_before").withColumn("variance", F.abs(F.col("expected_balance") - zero("balance")).cast(s.MONEY))
     return out.withColumn("balance_ok", F.coalesce(F.col("variance") <= F.lit(str(tolerance)).cast(s.MONEY), F.lit(True)))
 
 
@@ -66,15 +70,15 @@ def balance_suspect(lines: DataFrame) -> DataFrame:
     return out.withColumn("quality_flag", flag)
 
 
-def correct_from_balance(rows: DataFrame, by: tuple[str, ...] = ("file_id", "page_no"), order: tuple[str, ...] = ("source_row",)) -> DataFrame:
+def correct_from_balance(rows: DataFrame, by: tuple[str, ...] = ("file_id", "page_no"), order: tuple[str, ...] = ("source_row",), range_rows: int | None = None) -> DataFrame:
     """Puts debits and credits right by the change of the signed balance; adds ``correction``.
 
     ``correction``: '' (none), col_swapped, col_swapped_sign, debit_ocr_corrected,
     credit_ocr_corrected, debit_filled_from_balance or credit_filled_from_balance.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
     rows = rows.withColumn("_lf_signed", signed_balance(F.col("balance"), F.col("balance_type")))
-    rows = rows.withColumn("_lf_diff", F.col("_lf_signed") - F.lag("_lf_signed").over(w))
+    rows = with_previous(rows, F.col("_lf_signed"), by, order, "_lf_before", range_rows=range_rows)
+    rows = rows.withColumn("_lf_diff", F.col("_lf_signed") - F.col("_lf_before.v")).drop("_lf_before")
     d, c, diff = F.col("debit"), F.col("credit"), F.col("_lf_diff")
     e = F.abs(diff)
 
@@ -105,7 +109,7 @@ def correct_from_balance(rows: DataFrame, by: tuple[str, ...] = ("file_id", "pag
     return rows.withColumns({"debit": debit.cast(s.MONEY), "credit": credit.cast(s.MONEY)}).drop("_lf_signed", "_lf_diff")
 
 
-def reconcile_running_balance(rows: DataFrame, tolerance: float = 0.05) -> DataFrame:
+def reconcile_running_balance(rows: DataFrame, tolerance: float = 0.05, range_pages: int | None = None) -> DataFrame:
     """Debit, credit and ``check`` of read rows (file_id, page, top, amount, balance texts, dr_cr) from the balance.
 
     check: no_amount, first, ok, CHECK (the change differs from the amount) or zero_delta,
@@ -117,8 +121,8 @@ def reconcile_running_balance(rows: DataFrame, tolerance: float = 0.05) -> DataF
     w = rows.withColumns({"_lf_amount": amount, "_lf_balance": balance})
     signed = F.when(known, F.when(F.col("dr_cr") == "CR", F.col("_lf_balance")).otherwise(-F.col("_lf_balance")))
     w = w.withColumn("_lf_valid", F.when(F.col("_lf_amount").isNotNull(), signed))
-    before = Window.partitionBy("file_id").orderBy("page", "top").rowsBetween(Window.unboundedPreceding, -1)
-    w = w.withColumn("_lf_prev", F.last("_lf_valid", ignorenulls=True).over(before))
+    w = with_previous(w, F.col("_lf_valid"), ("file_id",), ("page", "top"), "_lf_before", filled=True, range_rows=range_pages)
+    w = w.withColumn("_lf_prev", F.col("_lf_before.v"))
     delta = F.col("_lf_valid") - F.col("_lf_prev")
     check = (
         F.when(F.col("_lf_valid").isNull(), "no_amount")

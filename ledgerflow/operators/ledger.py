@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from ..functions.staging import new_folder
 
 
 def holds(col: str, text: str) -> Column:
@@ -94,3 +95,30 @@ def recent_activity(log: DataFrame, k: int = 5) -> DataFrame:
     """The newest ``k`` log rows of each user."""
     w = Window.partitionBy("user_id").orderBy(F.desc("timestamp"), F.desc("id"))
     return log.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
+def page_index(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` stored in ranges of ``order`` (``_lf_range``), from which any page is read without sorting the whole."""
+    path = new_folder(df.sparkSession, "pages")
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    df.repartitionByRange(n, *order).withColumn("_lf_range", F.spark_partition_id()).write.partitionBy("_lf_range").parquet(path)
+    return spark.read.parquet(path)
+
+
+def page_of(index: DataFrame, order: list[Column], size: int, number: int = 1) -> DataFrame:
+    """The rows of one page, in order; a number beyond the last page gives the last one, one below 1 the first.
+
+    A plan without an action: counts of the ranges tell which of them hold the page, only those are read, and a task sorts one range.
+    """
+    counts = index.groupBy("_lf_range").agg(F.count(F.lit(1)).alias("_lf_n"))
+    every, before = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("_lf_range").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.ceil(F.sum("_lf_n").over(every) / size)
+    low = (F.greatest(F.least(F.lit(number).cast("long"), last), F.lit(1)) - 1) * size
+    placed = counts.withColumn("_lf_low", low).withColumn("_lf_before", F.coalesce(F.sum("_lf_n").over(before), F.lit(0)))
+    # A row a range at most, so small whatever the table.
+    wanted = placed.filter((F.col("_lf_before") < F.col("_lf_low") + size) & (F.col("_lf_before") + F.col("_lf_n") > F.col("_lf_low"))).drop("_lf_n")
+    rows = index.join(F.broadcast(wanted), "_lf_range")
+    place = F.col("_lf_before") + F.row_number().over(Window.partitionBy("_lf_range").orderBy(*order))
+    rows = rows.withColumn("_lf_place", place).filter((F.col("_lf_place") > F.col("_lf_low")) & (F.col("_lf_place") <= F.col("_lf_low") + size))
+    return rows.orderBy("_lf_place").select([c for c in index.columns if c != "_lf_range"])

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import scalars as s
 from ..functions.helpers import name_pair_score
 from ..functions.staging import new_folder, staged
-from ..operators import balance, beneficiary, counterparties, duplicates, export, ledger, ocr, review, validation
+from ..operators import balance, beneficiary, counterparties, duplicates, export, ledger, ocr, review, store, validation
 from ..sources import files
 from ..streaming import ingest
 from . import adapters
@@ -1045,6 +1045,52 @@ def r2_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(ingest.stream_latest(rows), "statement_id").select("statement_id", "source_row", "narration_raw", "place")
 
 
+# --- Large statements, stored ledgers and pages -----------------------------------------------------
+
+
+@query("w1_check_balance_in_ranges", SQL["w1_check_balance"], with_ledger=False)
+def w1_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The balance check with windows of four rows, as a huge statement has them of a million."""
+    return balance.check_balance(staged(adapters.ledger(spark, sf_dir)), range_rows=4).select("id", "statement_id", "source_row", "expected_balance", "variance", "balance_ok")
+
+
+@query("w5_correct_in_ranges", SQL["w5_correct_misread_amounts"], with_ledger=False)
+def w5_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balance.correct_from_balance(staged(misread(adapters.ledger(spark, sf_dir))), ("statement_id",), range_rows=3).select("id", "debit", "credit", "correction")
+
+
+@query("w6_reconcile_in_ranges", SQL["w6_reconcile_running_balance"], with_ledger=False)
+def w6_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balance.reconcile_running_balance(staged(read_rows(spark, sf_dir)), range_pages=3).select("file_id", "page", "check")
+
+
+@query(
+    "s11_j11_j12_stored_ledger",
+    f", {STALE} SELECT id, statement_id, CASE WHEN id % 50 = 0 THEN 'LAST ' || id ELSE narration_raw END AS narration_raw, CASE WHEN id % 100 = 0 THEN NULL ELSE debit END::DOUBLE AS debit FROM ledger WHERE statement_id NOT IN (SELECT id FROM uploaded WHERE st = 'cancelled')",
+)
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger stored with some statements half read; those are read again, corrections applied, cancelled statements dropped."""
+    t = staged(adapters.ledger(spark, sf_dir))
+    path = new_folder(spark, "store")
+    half = F.col("statement_id") % 7 == 0
+    store.write_store(t.filter(~half | (F.col("source_row") < 4)), path, 16)
+    store.replace_statements(spark, path, t.filter(half).select("statement_id"), t.filter(half), 16)
+    store.correct_store(spark, path, corrections(t), 16)
+    store.drop_cancelled(spark, path, adapters.statements(spark, sf_dir), 16)
+    return store.read_store(spark, path).select("id", "statement_id", "narration_raw", "debit")
+
+
+LAST_PAGE = "SELECT id, statement_id FROM (SELECT id, statement_id, row_number() OVER (ORDER BY txn_date DESC NULLS LAST, id) AS place, count(*) OVER () AS n FROM ledger) WHERE place > (n - 1) // 100 * 100"
+
+
+@query("t3_last_page_of_index", LAST_PAGE)
+def t3_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page far beyond the last, from a table stored in ranges."""
+    order = [F.desc_nulls_last("txn_date"), F.asc("id")]
+    index = ledger.page_index(adapters.ledger(spark, sf_dir).select("id", "statement_id", "txn_date"), order)
+    return ledger.page_of(index, order, 100, 10**9).select("id", "statement_id")
+
+
 # --- Scalars over texts made from the ledger ---------------------------------------------------------
 
 
