@@ -102,8 +102,9 @@ def page_index(df: DataFrame, order: list[Column]) -> DataFrame:
     path = new_folder(df.sparkSession, "pages")
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    df.repartitionByRange(n, *order).withColumn("_lf_range", F.spark_partition_id()).write.partitionBy("_lf_range").parquet(path)
-    return spark.read.parquet(path)
+    ranged = df.repartitionByRange(n, *order).withColumn("_lf_range", F.spark_partition_id())
+    ranged.write.partitionBy("_lf_range").parquet(path)
+    return spark.read.schema(ranged.schema).parquet(path)
 
 
 def page_of(index: DataFrame, order: list[Column], size: int, number: int = 1) -> DataFrame:

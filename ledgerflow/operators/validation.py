@@ -147,11 +147,15 @@ def exportable(statements: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def approve_validation(statements: DataFrame, approvals: DataFrame) -> DataFrame:
-    """Sets the reviewer of approved statements (statement_id, user_id); UNRELIABLE becomes QUALIFIED."""
-    a = approvals.select("statement_id", F.col("user_id").alias("_lf_user"))
-    out = statements.join(a, "statement_id", "left")
+    """Sets the reviewer of approved statements (statement_id, user_id, ts if there is one); UNRELIABLE becomes QUALIFIED.
+
+    Of several approvals the latest counts; a statement without one keeps the reviewer it has.
+    """
+    last = F.max_by("user_id", "ts") if "ts" in approvals.columns else F.max("user_id")
+    out = statements.join(approvals.groupBy("statement_id").agg(last.alias("_lf_user")), "statement_id", "left")
     out = out.withColumn("rating", F.when(F.col("_lf_user").isNotNull() & (F.col("rating") == "UNRELIABLE"), "QUALIFIED").otherwise(F.col("rating")))
-    return out.withColumn("validation_reviewed_by", F.col("_lf_user")).drop("_lf_user")
+    before = [F.col("validation_reviewed_by")] if "validation_reviewed_by" in statements.columns else []
+    return out.withColumn("validation_reviewed_by", F.coalesce("_lf_user", *before)).drop("_lf_user")
 
 
 def validation_state(statements: DataFrame, issues: DataFrame) -> DataFrame:
