@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +43,21 @@ SLICE, CACHE, LINKS, DOCS = 100_000, 120_000_000, 4_000_000, 65_536
 B_BITS = np.uint64(24)
 
 
+class Pair(NamedTuple):
+    """Two tokenizers; of each the bytes of its tokens and their number, by id; and all that can stand in a text of groups: each id with what follows it."""
+
+    a: object
+    b: object
+    a_bytes: list[bytes]
+    b_bytes: list[bytes]
+    a_size: np.ndarray
+    b_size: np.ndarray
+    signs: list[str]
+
+
 @lru_cache(maxsize=2)
-def tokenizers(a_path: str, b_path: str):
-    """The two libraries' tokenizers, the bytes of their tokens, and what B gives for a line feed alone."""
+def tokenizers(a_path: str, b_path: str) -> Pair:
+    """The two libraries' tokenizers, if neither joins anything across the start of white space."""
     import sentencepiece
     from tokenizers import Tokenizer
 
@@ -56,42 +69,50 @@ def tokenizers(a_path: str, b_path: str):
     a = Tokenizer.from_file(a_path)
     a.encode_special_tokens = True
     back = {c: b for b, c in byte_letters().items()}
-    a_bytes = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in a.get_vocab().items()}
+    named = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in a.get_vocab().items()}
+    a_bytes = [named.get(i, b"") for i in range(max(named) + 1)]
     b = sentencepiece.SentencePieceProcessor(model_file=b_path)
     pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
-    first = b.encode("\n")
-    if len(first) != 2 or any(re.search("[^▁][▁ \n\t]|\n.", p) for p in pieces):
+    if len(b.encode("\n")) != 2 or any(re.search("[^▁][▁ \n\t]|\n.", p) for p in pieces):
         raise ValueError(f"{b_path} has tokens across the start of white space")
     b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-    return a, b, a_bytes, b_bytes
-
-
-def aligned(unit: str, a_ids: list[int], b_ids: list[int], a_bytes: dict[int, bytes], b_bytes: list[bytes]) -> tuple[str, list[int]] | None:
-    """The groups of a unit as text and its links as numbers; None if a tokenizer doesn't give back its bytes."""
-    a_parts, b_parts, raw = [a_bytes[i] for i in a_ids], [b_bytes[i] for i in b_ids], unit.encode()
-    if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
-        return None
-    groups, links = [], []
-    i = j = i0 = j0 = i_end = j_end = 0
-    while i < len(a_ids) or j < len(b_ids):
-        if i_end <= j_end and i < len(a_ids):
-            i_end += len(a_parts[i])
-            i += 1
-        else:
-            j_end += len(b_parts[j])
-            j += 1
-        if i_end == j_end and i > i0 and j > j0:
-            groups.append(f"{','.join(map(str, a_ids[i0:i]))}|{','.join(map(str, b_ids[j0:j]))}")
-            links.append(b_ids[j - 1] << int(B_BITS) | a_ids[i - 1])
-            i0, j0 = i, j
-    return ";".join(groups), links
+    signs = [f"{i}{x}" for i in range(len(a_bytes)) for x in ",|"] + [f"{i}{x}" for i in range(len(b_bytes)) for x in ",;\n"]
+    size = lambda tokens: np.array([len(t) for t in tokens], np.int64)
+    return Pair(a, b, a_bytes, b_bytes, size(a_bytes), size(b_bytes), signs)
+
+
+def broken(pair: Pair, raw: list[bytes], a_ids: list[list[int]], b_ids: list[list[int]]) -> np.ndarray:
+    """Which units a tokenizer doesn't give back byte for byte."""
+    whole = b"".join(raw)
+    if all(b"".join([tokens[i] for ids in every for i in ids]) == whole for tokens, every in ((pair.a_bytes, a_ids), (pair.b_bytes, b_ids))):
+        size = np.array([len(r) for r in raw])
+        return np.any([size != np.array([sum(map(len, map(tokens.__getitem__, ids))) for ids in every]) for tokens, every in ((pair.a_bytes, a_ids), (pair.b_bytes, b_ids))], axis=0)
+    back = lambda tokens, ids: b"".join([tokens[i] for i in ids])
+    return np.array([back(pair.a_bytes, x) != r or back(pair.b_bytes, y) != r for r, x, y in zip(raw, a_ids, b_ids, strict=True)])
+
+
+def aligned(pair: Pair, raw: list[bytes], a_ids: list[list[int]], b_ids: list[list[int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The groups of each unit as text, all links in order, and how many are each unit's; the units are given back by both tokenizers."""
+    flat = lambda every: np.fromiter((i for ids in every for i in ids), np.int64)
+    a, b = flat(a_ids), flat(b_ids)
+    a_end, b_end, unit_end = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b]), np.cumsum([len(r) for r in raw])
+    cut = np.intersect1d(a_end, b_end, assume_unique=True)
+    links = b[np.searchsorted(b_end, cut)] << int(B_BITS) | a[np.searchsorted(a_end, cut)]
+    count = np.bincount(np.searchsorted(unit_end, cut), minlength=len(raw))
+    # Every token with its sign: what follows it says whether its side of the group, the group or the unit goes on.
+    a_group, b_group = np.searchsorted(cut, a_end), np.searchsorted(cut, b_end)
+    last = unit_end[np.searchsorted(unit_end, b_end)] == b_end
+    sign = np.concatenate([a * 2 + (cut[a_group] == a_end), len(pair.a_bytes) * 2 + b * 3 + (cut[b_group] == b_end) + last])
+    order = np.argsort(np.concatenate([a_group * 2, b_group * 2 + 1]), kind="stable")
+    text = "".join(map(pair.signs.__getitem__, sign[order].tolist()))
+    return text.split("\n")[:-1], links, count
 
 
 class Units:
     """What is known of the units met so far, by number; forgotten when it grows beyond ``CACHE``."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b, self.a_bytes, self.b_bytes = tokenizers(a_path, b_path)
+        self.pair = tokenizers(a_path, b_path)
         self.forget()
 
     def forget(self) -> None:
@@ -103,20 +124,23 @@ class Units:
         new = [u for u in dict.fromkeys(units) if u not in self.number]
         if not new:
             return
-        in_a = self.a.encode_batch_fast(new, add_special_tokens=False)
-        in_b = self.b.encode(["\n" + u for u in new], num_threads=1)
-        links, rows = [], []
-        for u, x, y in zip(new, in_a, in_b, strict=True):
-            a_ids, b_ids = x.ids, y[2:]
-            found = aligned(u, a_ids, b_ids, self.a_bytes, self.b_bytes)
-            groups, own = found or ("", [])
-            self.number[u] = len(self.groups)
-            self.groups.append(groups)
-            links += own
-            rows.append((len(a_ids), len(b_ids), len(own), found is None))
-            self.held += 200 + 4 * len(u) + len(groups) + 16 * len(own)
-        self.links.append(np.array(links, np.uint64))
-        self.rows.append(np.array(rows, np.int64))
+        a_ids = [x.ids for x in self.pair.a.encode_batch_fast(new, add_special_tokens=False)]
+        b_ids = [x[2:] for x in self.pair.b.encode(["\n" + u for u in new], num_threads=1)]
+        raw = [u.encode() for u in new]
+        bad = broken(self.pair, raw, a_ids, b_ids)
+        if bad.any():
+            raw, a_ids, b_ids = ([x for x, b in zip(xs, bad, strict=True) if not b] for xs in (raw, a_ids, b_ids))
+        texts, links, own = aligned(self.pair, raw, a_ids, b_ids)
+        rows = np.zeros((len(new), 4), np.int64)
+        rows[:, 3] = bad
+        rows[~bad, :3] = np.stack([[len(x) for x in a_ids], [len(x) for x in b_ids], own], axis=1)
+        given = iter(texts)
+        groups = ["" if b else next(given) for b in bad.tolist()] if bad.any() else texts
+        self.number.update(zip(new, range(len(self.groups), len(self.groups) + len(new)), strict=True))
+        self.groups += groups
+        self.held += 200 * len(new) + 4 * sum(map(len, new)) + sum(map(len, groups)) + 16 * len(links)
+        self.links.append(links.astype(np.uint64))
+        self.rows.append(rows)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All links in order of units, where each unit's begin, and (tokens of A, of B, links, broken) of each unit."""

@@ -243,17 +243,15 @@ def test_pair_index(spark):
     rows = [(i, "one two two two three " * (i % 5)) for i in range(40)]
     index = token_alignment.index_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "text", A, B, 3, True)
     got = {(r.a, r.b): (r.documents, r.links) for r in token_alignment.pair_counts(index).collect()}
-    a, b, a_bytes, b_bytes = token_alignment.tokenizers(A, B)
+    pair = token_alignment.tokenizers(A, B)
     per = Counter()
     docs = defaultdict(set)
     for i, t in rows:
         for units in token_alignment.units_of(t) if t else ():
-            for u in units:
-                ids = b.encode("\n" + u)[2:]
-                for code in token_alignment.aligned(u, a.encode(u, add_special_tokens=False).ids, ids, a_bytes, b_bytes)[1]:
-                    pair = code & 0xFFFFFF, code >> 24
-                    per[pair] += 1
-                    docs[pair].add(i)
+            ids = [x.ids for x in pair.a.encode_batch_fast(units, add_special_tokens=False)], [pair.b.encode("\n" + u)[2:] for u in units]
+            for code in token_alignment.aligned(pair, [u.encode() for u in units], *ids)[1].tolist():
+                per[code & 0xFFFFFF, code >> 24] += 1
+                docs[code & 0xFFFFFF, code >> 24].add(i)
     assert got == {p: (len(docs[p]), n) for p, n in per.items()}
 
 
