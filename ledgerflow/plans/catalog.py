@@ -771,8 +771,8 @@ def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.route_files(paths).select("id", "file_type")
 
 
-def corrected_sql() -> str:
-    """The correction rules as SQL over ``moved`` (debit, credit, diff, e)."""
+def corrected_sql(columns: str = "id") -> str:
+    """The correction rules as SQL over ``moved`` (debit, credit, diff, e), with more of its columns."""
     close = "({p} IS NOT NULL AND e > 0 AND (abs({p} - e) <= 50 OR abs({p} - e) <= e * 0.01))"
     far = "({p} IS NOT NULL AND e > 0 AND abs({p} - e) > e * 0.015 AND CASE WHEN e < 5000 THEN abs({p} - e) > 5 ELSE abs({p} - e) > 500 END)"
 
@@ -782,7 +782,7 @@ def corrected_sql() -> str:
             f" WHEN {far.format(p=own)} THEN '{own}_ocr_corrected' WHEN {own} IS NULL AND {other} IS NULL THEN '{own}_filled_from_balance' ELSE '' END"
         )
 
-    return f"""SELECT id, correction,
+    return f"""SELECT {columns}, correction,
   CASE WHEN diff < 0 AND starts_with(correction, 'col_') THEN credit WHEN diff < 0 AND (ends_with(correction, '_corrected') OR ends_with(correction, '_balance')) THEN e WHEN diff > 0 AND starts_with(correction, 'col_') THEN NULL ELSE debit END::DOUBLE AS debit,
   CASE WHEN diff < 0 AND starts_with(correction, 'col_') THEN NULL WHEN diff > 0 AND correction = 'col_swapped' THEN debit WHEN diff > 0 AND correction <> '' THEN e ELSE credit END::DOUBLE AS credit
 FROM (SELECT *, CASE WHEN diff < 0 THEN {rule("debit", "credit")} WHEN diff > 0 THEN {rule("credit", "debit")} ELSE '' END AS correction FROM moved)"""
@@ -855,7 +855,33 @@ def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("statement_id").cast("string").alias("file_id"), F.floor(F.col("source_row") / 10).cast("int").alias("page_no"), F.col("source_row").alias("line_no"), text.alias("text"))
 
 
-@query("w3_w4_parse_ocr_lines")
+OCR_AMOUNT = r"(\d{1,3}(?:[,\s]\d{2,3})*)\s*[.\-]\s*(\d{2})\s*([a-zA-Z]{0,2})"
+OCR_DATE = r"([0-9OoQDS]{1,2})\s*[-~]\s*([0-9OoQDS]{1,2})\s*[-~]\s*([0-9OoQDS]{2,4})"
+OCR_ROWS = (
+    r""", texted AS (SELECT statement_id::VARCHAR AS file_id, source_row // 10 AS page_no, source_row AS line_no, trim(CASE WHEN source_row % 4 = 0 THEN '' ELSE replace(strftime(coalesce(txn_date, DATE '2019-01-01'), '%d~%m~') || '2019', '0', 'O') END
+  || '  ' || coalesce(nullif(narration_raw, ''), 'NO TEXT') || '  ' || format('{:,.2f}', abs(coalesce(debit, credit, 0))::DOUBLE) || '  ' || format('{:,.2f}', balance::DOUBLE) || 'Cr') AS text FROM ledger),
+"""
+    + "digits AS (SELECT *, "
+    + ", ".join(f"TRY_CAST(translate(regexp_extract(substr(text, 1, 35), '{OCR_DATE}', {k}), 'OoQDS', '00005') AS INTEGER) AS {c}" for k, c in ((1, "d"), (2, "m"), (3, "y")))
+    + f", regexp_extract_all(text, '{OCR_AMOUNT}', 1) AS whole, regexp_extract_all(text, '{OCR_AMOUNT}', 2) AS cents, regexp_extract_all(text, '{OCR_AMOUNT}', 3) AS suffix FROM texted WHERE length(text) >= 8 AND NOT regexp_matches(text, '{ocr.SKIPPED_LINES}')),"
+    + r"""
+owned AS (SELECT *, CASE WHEN yy BETWEEN 2015 AND 2030 THEN TRY_CAST(printf('%04d-%02d-%02d', yy, m, d) AS DATE) END AS own FROM (SELECT *, CASE WHEN y < 100 THEN y + 2000 ELSE y END AS yy FROM digits)),
+carried AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY file_id, page_no ORDER BY line_no) AS txn_date FROM owned),
+amounts AS (SELECT *, TRY_CAST(concat_ws('.', regexp_replace(whole[-1], '[,\s]', '', 'g'), cents[-1]) AS DOUBLE) AS balance, TRY_CAST(concat_ws('.', regexp_replace(whole[-2], '[,\s]', '', 'g'), cents[-2]) AS DOUBLE) AS amount, lower(suffix[-1]) AS ending FROM carried WHERE txn_date IS NOT NULL),
+moved AS (SELECT *, CASE WHEN amount IS NOT NULL THEN abs(balance - lag(balance) OVER (PARTITION BY file_id, page_no ORDER BY line_no)) END AS diff FROM amounts WHERE balance IS NOT NULL)
+"""
+)
+
+
+@query(
+    "w3_w4_parse_ocr_lines",
+    OCR_ROWS
+    + r"""SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY page_no, line_no) AS source_row, txn_date::VARCHAR AS txn_date, round(balance, 2) AS balance, CASE WHEN ending IN ('dr', 'pr', 'or') THEN 'Dr' WHEN ending IN ('cr', 'ck', '0r') THEN 'Cr' ELSE '' END AS balance_type,
+  CASE WHEN regexp_matches(text, '(?i)\bRTGS\b|^RTGS') THEN 'RTGS' WHEN regexp_matches(text, '(?i)\bNEFT\b') THEN 'NEFT' WHEN regexp_matches(text, '(?i)\bIMPS\b|^IMPS') THEN 'IMPS'
+  WHEN regexp_matches(text, '(?i)\bUPI\b') THEN 'UPI' WHEN regexp_matches(text, '(?i)\bCASH\b') THEN 'CASH' WHEN regexp_matches(text, '(?i)\bCHQ\b|\bCHEQUE\b') THEN 'CHQ'
+  WHEN regexp_matches(text, '(?i)\bDD\b') THEN 'DD' ELSE '' END AS txn_mode,
+  'OCR_NEEDS_REVIEW' || CASE WHEN own IS NULL THEN '_DATE_CARRIED' ELSE '' END || CASE WHEN coalesce(diff > 0 AND amount > 0 AND NOT diff / nullif(amount, 0) BETWEEN 0.85 AND 1.15, false) THEN '_BALANCE_SUSPECT' ELSE '' END AS quality_flag FROM moved""",
+)
 def w3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.parse_ocr_lines(ocr_lines(spark, sf_dir)).select("file_id", "source_row", "txn_date", "balance", "balance_type", "txn_mode", "quality_flag")
 
@@ -880,7 +906,14 @@ def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("o1_o3_parse_word_boxes")
+@query(
+    "o1_o3_parse_word_boxes",
+    """, scanned AS (SELECT statement_id::VARCHAR AS file_id, source_row // 10 AS page, source_row AS line, TRY_CAST('2018-' || strftime(coalesce(txn_date, DATE '2018-01-01'), '%m-%d') AS DATE) AS day, debit, credit, balance, coalesce(nullif(reference, ''), 'R1') AS reference, coalesce(nullif(trim(narration_raw), ''), 'TEXT') AS narration_raw FROM ledger),
+moved AS (SELECT *, abs(diff) AS e FROM (SELECT *, balance - lag(balance) OVER (PARTITION BY file_id, page ORDER BY line) AS diff FROM scanned WHERE day IS NOT NULL))
+SELECT * EXCLUDE (correction) FROM ("""
+    + corrected_sql("file_id, row_number() OVER (PARTITION BY file_id ORDER BY page, line) AS source_row, day::VARCHAR AS txn_date, narration_raw, balance::DOUBLE AS balance, reference")
+    + ")",
+)
 def o3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.parse_word_boxes(word_boxes(spark, sf_dir)).select("file_id", "source_row", "txn_date", "narration_raw", "debit", "credit", "balance", "reference")
 
