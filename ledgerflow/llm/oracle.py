@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import BITS, PRIOR, RANGES, SCALE, STEPS
+from .quality_rules import BITS, PRIOR, RANGES, SCALE, WIDTH
 from .sharding import PRIME, ROUNDS
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -77,15 +77,19 @@ listed AS (SELECT row, sum(b - a)::BIGINT AS repeated_words, count(*) AS n_spans
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(repeated_words, 0) AS repeated_words, coalesce(n_spans, 0) AS n_spans, coalesce(spans, '') AS spans FROM worded LEFT JOIN listed USING (row)
 """
 
+def share_bound(count: str, size: str, event: int, sign: str) -> str:
+    """Wilson's bound of a share in millionths."""
+    c, n, square = f"({count} / {float(event)}::DOUBLE)", f"(greatest({size}, 1) / {float(event)}::DOUBLE)", float(WIDTH * WIDTH)
+    spread = f"sqrt({c} * ({n} - {c}) / {n} + {square / 4}::DOUBLE) * {sign}{float(WIDTH)}::DOUBLE"
+    return f"floor({float(SCALE)}::DOUBLE * ({c} + {square / 2}::DOUBLE + {spread}) / ({n} + {square}::DOUBLE))::BIGINT"
+
+
 VALUES = {
-    "symbols": f"{SCALE} * n_symbols // greatest(n_words, 1)",
-    "dup_lines": f"{SCALE} * n_dup_lines // greatest(n_lines, 1)",
-    "repeats": f"{SCALE} * n_repeat_words // greatest(n_words, 1)",
+    **{k + end: share_bound(*of, sign) for end, sign in (("", ""), ("_low", "-")) for k, of in {"symbols": ("n_symbols", "word_chars", 1), "dup_lines": ("n_dup_lines", "n_lines", 1), "repeats": ("n_repeat_words", "n_words", 6)}.items()},
     "word_length": f"{SCALE} * word_chars // greatest(n_words, 1)",
     "words": "n_words",
-    "lines": "n_lines",
 }
-SIZES = {"n_words": "words", "lines": "lines"}
+SKETCHED = "symbols, dup_lines, repeats, word_length, words"
 
 
 def quartile_mix(k: int) -> str:
@@ -94,7 +98,6 @@ def quartile_mix(k: int) -> str:
     return f"(f.n * f.q{k} + {float(PRIOR)}::DOUBLE * ({lang})) / (f.n + {float(PRIOR)}::DOUBLE) AS q{k}"
 
 
-STEP = "CASE c.feature " + " ".join(f"WHEN '{k}' THEN {float(n * SCALE)}::DOUBLE / greatest(max(c.q2) FILTER (c.feature = '{SIZES[size]}') OVER w, 1::DOUBLE)" for k, (n, size) in STEPS.items()) + " END"
 WIDE = f"{float(2 * RANGES + 1)}::DOUBLE"
 QUALITY = f"""
 WITH worded AS (SELECT row_number() OVER () AS row, doc_id, lang, source, {WORDS} AS w, length(regexp_replace(coalesce(text, ''), '{SPACE}', '', 'g')) AS word_chars,
@@ -105,15 +108,15 @@ covered AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest([i, i +
 counted AS (SELECT row, doc_id, lang, source, len(w)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines
   FROM worded LEFT JOIN covered USING (row)),
 valued AS (SELECT *, {", ".join(f"{e} AS {k}" for k, e in VALUES.items())} FROM counted),
-long AS (SELECT lang, source, feature, v, greatest(length(bin(v)) - {BITS}, 0)::INTEGER AS past FROM (SELECT lang, source, {", ".join(VALUES)} FROM valued WHERE n_words > 0) UNPIVOT (v FOR feature IN ({", ".join(VALUES)}))),
+long AS (SELECT lang, source, feature, v, greatest(length(bin(v)) - {BITS}, 0)::INTEGER AS past FROM (SELECT lang, source, {SKETCHED} FROM valued WHERE n_words > 0) UNPIVOT (v FOR feature IN ({SKETCHED}))),
 levels AS (SELECT 0 AS level, lang, source, feature, (v >> past) << past AS bin FROM long UNION ALL SELECT 1, lang, NULL, feature, (v >> past) << past FROM long UNION ALL SELECT 2, NULL, NULL, feature, (v >> past) << past FROM long),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY level, lang, source, feature ORDER BY bin) AS r, count(*) OVER (PARTITION BY level, lang, source, feature) AS n FROM levels),
 quartiles AS (SELECT level, lang, source, feature, max(n)::DOUBLE AS n, (min(bin) FILTER (r * 4 >= n))::DOUBLE AS q1, (min(bin) FILTER (r * 4 >= 2 * n))::DOUBLE AS q2, (min(bin) FILTER (r * 4 >= 3 * n))::DOUBLE AS q3 FROM ordered GROUP BY ALL),
 shrunk AS (SELECT f.lang, f.source, f.feature, {", ".join(quartile_mix(k) for k in (1, 2, 3))}
   FROM quartiles f JOIN quartiles g ON g.level = 1 AND f.lang IS NOT DISTINCT FROM g.lang AND f.feature = g.feature JOIN quartiles h ON h.level = 2 AND f.feature = h.feature WHERE f.level = 0),
-stepped AS (SELECT *, {STEP} AS step FROM shrunk c WINDOW w AS (PARTITION BY lang, source)),
-chosen AS (SELECT lang, source, feature, q2 - greatest(q3 - q2, step) * {WIDE} AS lo, q2 + greatest(q2 - q1, step) * {WIDE} AS hi FROM stepped WHERE step IS NOT NULL),
-judged AS (SELECT b.row, bool_or(CASE c.feature WHEN 'symbols' THEN symbols > hi WHEN 'dup_lines' THEN dup_lines > hi WHEN 'repeats' THEN repeats > hi ELSE word_length > hi OR word_length < lo END) AS failed
+stepped AS (SELECT *, {float(SCALE)}::DOUBLE / greatest(max(q2) FILTER (feature = 'words') OVER (PARTITION BY lang, source), 1::DOUBLE) AS step FROM shrunk),
+chosen AS (SELECT lang, source, feature, q2 - greatest(q3 - q2, step) * {WIDE} AS lo, CASE feature WHEN 'word_length' THEN q2 + greatest(q2 - q1, step) * {WIDE} ELSE q2 * 2::DOUBLE - q1 END AS hi FROM stepped),
+judged AS (SELECT b.row, bool_or(CASE c.feature WHEN 'symbols' THEN symbols_low > hi WHEN 'dup_lines' THEN dup_lines_low > hi WHEN 'repeats' THEN repeats_low > hi WHEN 'word_length' THEN word_length > hi OR word_length < lo END) AS failed
   FROM valued b JOIN chosen c ON b.lang IS NOT DISTINCT FROM c.lang AND b.source IS NOT DISTINCT FROM c.source GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(failed, false) AS kept FROM counted LEFT JOIN judged USING (row)

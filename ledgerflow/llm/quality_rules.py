@@ -1,10 +1,13 @@
 """Quality rules with thresholds that adapt to language and source.
 
-Counts per document come from array functions over its words. Each feature is rounded
+Counts per document come from array functions over its words. A share (of symbols, of
+repeated lines, of repeated words) is known only as well as the text is long, so a document
+enters with the upper confidence bound of its share (Wilson, 1927) and is judged by the lower
+one: it fails if even that lies above its group's fence. Each value is rounded
 down to ten significant bits, and the counts of the rounded values by language and source are
 a log-linear quantile sketch (relative error below 1 / 512, no largest value) that merges by
 addition: the sketches of a language's sources add up to the language's. Fences follow
-from the quartiles of the sketch alone; a join brings them to the documents.
+from the quartiles of the sketch; a join brings them to the documents.
 
 Only DataFrame functions; nothing but counts of rounded values is shuffled.
 """
@@ -17,16 +20,18 @@ from pyspark.sql import functions as F
 from .common import words, written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Fences stand so many interquartile ranges outside the quartiles.
+#: The fences of word lengths stand so many interquartile ranges outside the quartiles.
 RANGES = 3
+#: Width of the confidence bounds of a share, in standard errors.
+WIDTH = 3
 #: The parent's quartiles count as much as those of so many documents of the group's own.
 PRIOR = 20
 #: Significant bits that the sketch keeps of a value.
 BITS = 10
 #: Millionths: the scale of the ratios.
 SCALE = 1_000_000
-#: By ratio: the count its least step stands for (a repeated window of three words adds six) and the size it is divided by.
-STEPS = {"symbols": (1, "n_words"), "dup_lines": (1, "lines"), "repeats": (6, "n_words"), "word_length": (1, "n_words")}
+#: By share: what is counted, of how many, and how many of either make one event (a repeated window of three words adds six words).
+SHARES = {"symbols": ("n_symbols", "word_chars", 1), "dup_lines": ("n_dup_lines", "_lf_lines", 1), "repeats": ("n_repeat_words", "n_words", 6)}
 
 
 def count_features(df: DataFrame, text: str = "text") -> DataFrame:
@@ -70,20 +75,24 @@ def count_features(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def feature_values() -> dict[str, Column]:
-    """Whole numbers: ratios in millionths, and the two sizes that they are taken of."""
+def share_bound(share: str, sign: int, width: float = WIDTH) -> Column:
+    """The upper (``sign`` 1) or lower (-1) Wilson bound of a share, in whole millionths."""
+    count, size, event = SHARES[share]
+    c = F.col(count) / F.lit(float(event))
+    n = F.greatest(F.col(size), F.lit(1)) / F.lit(float(event))
+    square = float(width * width)
+    spread = F.sqrt(c * (n - c) / n + F.lit(square / 4)) * F.lit(float(sign * width))
+    return F.floor(F.lit(float(SCALE)) * (c + F.lit(square / 2) + spread) / (n + F.lit(square)))
 
-    def ratio(a: str, b: str) -> Column:
-        return F.call_function("div", F.col(a) * SCALE, F.greatest(F.col(b), F.lit(1)))
 
-    return {
-        "symbols": ratio("n_symbols", "n_words"),
-        "dup_lines": ratio("n_dup_lines", "_lf_lines"),
-        "repeats": ratio("n_repeat_words", "n_words"),
-        "word_length": ratio("word_chars", "n_words"),
-        "n_words": F.col("n_words"),
-        "lines": F.col("_lf_lines"),
-    }
+def word_length() -> Column:
+    """Characters a word, in whole millionths."""
+    return F.call_function("div", F.col("word_chars") * SCALE, F.greatest(F.col("n_words"), F.lit(1)))
+
+
+def sketched_values() -> dict[str, Column]:
+    """Whole numbers: upper bounds of the shares, the word length, and the number of words."""
+    return {k: share_bound(k, 1) for k in SHARES} | {"word_length": word_length(), "n_words": F.col("n_words")}
 
 
 def rounded(v: Column, bits: int = BITS) -> Column:
@@ -94,7 +103,7 @@ def rounded(v: Column, bits: int = BITS) -> Column:
 
 def sketch(df: DataFrame, keys: list[str]) -> DataFrame:
     """Counts of each feature's rounded values by key: one row each of keys, feature, bin, n."""
-    bins = F.array(*[F.struct(F.lit(k).alias("feature"), rounded(v).alias("bin")) for k, v in feature_values().items()])
+    bins = F.array(*[F.struct(F.lit(k).alias("feature"), rounded(v).alias("bin")) for k, v in sketched_values().items()])
     return df.select(*keys, F.inline(bins)).groupBy(*keys, "feature", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -122,25 +131,24 @@ def shrunk(own: DataFrame, parent: DataFrame, keys: list[str], shared: list[str]
 
 
 def fences(q: DataFrame, keys: list[str], ranges: float = RANGES) -> DataFrame:
-    """By key: a map from feature to its fences ``lo`` and ``hi``.
+    """By key: a map from feature to its fences ``lo`` (null for a share) and ``hi``.
 
-    A fence stands ``2 * ranges + 1`` times the distance between the median and the
-    quartile on its other side away from the median: Tukey's fence where a group is
-    symmetric, and unmoved by outliers on the fence's own side until they are half of the group. The
-    distance is at least one step of the ratio in a document of the group's median size.
+    The fence of a share is the upper quartile of its bounds, taken as the mirror image of the
+    lower one about the median: the same where a group is symmetric, and unmoved by outliers until
+    they are half of the group. Those of word lengths stand ``2 * ranges + 1`` times the distance
+    between the median and the quartile on the other side away from the median (Tukey's outer
+    fences where a group is symmetric), a distance of at least one character in a document of the median size.
     """
     found = q.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("q1", "q2", "q3")))).alias("q"))
-    wide = float(2 * ranges + 1)
-
-    def fence(feature: str) -> Column:
-        count, size = STEPS[feature]
-        v = F.col("q")[feature]
-        step = F.lit(float(count * SCALE)) / F.greatest(F.col("q")[size]["q2"], F.lit(1.0))
-        lo = v["q2"] - F.greatest(v["q3"] - v["q2"], step) * wide
-        hi = v["q2"] + F.greatest(v["q2"] - v["q1"], step) * wide
-        return F.struct(lo.alias("lo"), hi.alias("hi"))
-
-    return found.select(*keys, F.create_map(*[x for k in STEPS for x in (F.lit(k), fence(k))]).alias("fences"))
+    of = lambda k: F.col("q")[k]
+    entries = []
+    for k in SHARES:
+        entries += [F.lit(k), F.struct(F.lit(None).cast("double").alias("lo"), (of(k)["q2"] * 2.0 - of(k)["q1"]).alias("hi"))]
+    v, wide = of("word_length"), float(2 * ranges + 1)
+    step = F.lit(float(SCALE)) / F.greatest(of("n_words")["q2"], F.lit(1.0))
+    lo = v["q2"] - F.greatest(v["q3"] - v["q2"], step) * wide
+    hi = v["q2"] + F.greatest(v["q2"] - v["q1"], step) * wide
+    return found.select(*keys, F.create_map(*entries, F.lit("word_length"), F.struct(lo.alias("lo"), hi.alias("hi"))).alias("fences"))
 
 
 def thresholds(counted: DataFrame, ranges: float = RANGES, prior: float = PRIOR) -> DataFrame:
@@ -155,8 +163,8 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source:
     """Adds the counts, ``base_failed``, ``failed_rules`` array<string> and ``kept``.
 
     ``base_failed``: fewer than 50 words, or over half of them in repeated windows.
-    The adaptive rules judge what is left: a ratio above its upper fence, or a word
-    length outside its fences, fails. Thresholds come from all documents with a word;
+    The adaptive rules judge what is left: a share whose lower bound is above its fence, or
+    a word length outside its fences, fails. Thresholds come from all documents with a word;
     the quartiles of a group of n documents weigh n, those of its language ``prior``
     (and a language's n against ``prior`` for all).
     Null languages and sources are groups of their own; repeated rows count as often
@@ -173,9 +181,9 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source:
     joined = counted.join(chosen, F.col(lang).eqNullSafe(F.col("_lf_lang")) & F.col(source).eqNullSafe(F.col("_lf_source")), "left").drop("_lf_lang", "_lf_source")
     base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     fence = lambda k: F.col("_lf_fences")[k]
-    values = feature_values()
-    rules = [F.when(values[k] > fence(k)["hi"], F.lit(k)) for k in STEPS]
-    rules.append(F.when(values["word_length"] < fence("word_length")["lo"], F.lit("word_length_low")))
+    rules = [F.when(share_bound(k, -1) > fence(k)["hi"], F.lit(k)) for k in SHARES]
+    rules.append(F.when(word_length() > fence("word_length")["hi"], F.lit("word_length")))
+    rules.append(F.when(word_length() < fence("word_length")["lo"], F.lit("word_length_low")))
     return (
         joined.withColumn("base_failed", base)
         .withColumn("failed_rules", F.array_compact(F.array(*rules)))
