@@ -4,8 +4,8 @@ The standard library's streaming parser turns a page into lines, one a block ele
 each with its text, its number of tags and the elements that hold it. The ratio of text
 to tags by line (Weninger et al., "CETR", 2010) is smoothed by a Gaussian over
 neighbouring lines and lines above a threshold form the content clusters. The smallest
-element that holds all clusters is the content region, and its
-lines, without boilerplate elements, are the result.
+element that holds the lines that are in a cluster by a ratio of their own is the content
+region, and its lines, without boilerplate elements, are the result.
 """
 
 from __future__ import annotations
@@ -28,15 +28,33 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that never hold main text.
 SKIPPED = frozenset("script style noscript template head title nav header footer aside menu dialog button select option textarea input label iframe svg math object canvas audio video map".split())
 #: Words of a class, id or role that mark an element as boilerplate.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|sidebar|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|"
-    r"ads?|advert(?:s|isement|ising)?|adsense|sponsor(?:ed|s)?|promo(?:tion)?s?|comments?|disqus|respond|replies|reactions|related|recommended|share|sharing|social|breadcrumbs?|"
-    r"pagination|pager|toolbar|widget|login|search|complementary|contentinfo|dialog|skip|copyright|disclaimer|outbrain|taboola)(?:$|[\s_-])"
-    r"|(?:^|\s)(?:(?:site|page|main|global|top|bottom)[_-])?(?:header|footer|masthead|banner)(?:$|\s)",
-    re.I,
+MARKS = frozenset(
+    "nav navbar navigation menu menus sidebar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup "
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion promotions comment comments disqus respond replies reactions feedback "
+    "related recommended share sharing social breadcrumb breadcrumbs pagination pager toolbar widget login search complementary contentinfo dialog skip copyright disclaimer outbrain taboola".split()
 )
+#: Words that say nothing of what an element holds, so a name of them and of marks is a mark.
+PLAIN = frozenset(
+    "area aside bar block body bottom box btn button buttons card cards center col column container content control count fixed flyout footer form google grid group head header heading "
+    "icon icons info inner item items label layer layout left level link links list main message mobile module of off on outer page pane panel part placeholder post posts primary region results "
+    "right row secondary section side site slot story stories sub tab text the thread title to top unit user users view visitor reader readers wrap wrapper wide zone banner articles".split()
+)
+EDGE = re.compile(r"(?:(?:site|page|main|global|top|bottom)[_-])?(?:header|footer|masthead|banner)", re.I)
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_]+")
 #: Classes that begin so tell of something elsewhere on the page.
 TELLING = ("has-", "with-", "no-", "is-", "not-")
+
+
+def mark(name: str) -> int:
+    """2 for a class, id or role that marks boilerplate, 1 if only a part of it does, 0 if none does."""
+    if name.startswith(TELLING):
+        return 0
+    parts = [w.lower() for w in PARTS.findall(name)]
+    if EDGE.fullmatch(name) or any(w in MARKS for w in parts) and all(w in MARKS or w in PLAIN or len(w) == 1 for w in parts):
+        return 2
+    return int(any(w.lower() in MARKS for w in re.split(r"[_-]", name)))
+
+
 UNENDED = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
 #: Elements whose end is left out where the next begins.
 CLOSED_BY = {
@@ -65,6 +83,7 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, bool]] = []
         self.kinds, self.parents, self.marks = [""], [0], [0]  # by element, 0 for the page: name, parent, nearest marked one around it
         self.marked: list[int] = []
+        self.partly: set[int] = set()  # those with a mark in a part of a name only
         self.text: list[tuple[str, int, bool]] = []  # piece, element, in a link
         self.tags = 0
 
@@ -118,11 +137,13 @@ class Lines(HTMLParser):
                 self.add(" ")
             return
         held = bool(self.open and self.open[-1][2])
-        marks = " ".join(c for a, v in attrs if a in ("class", "id", "role") and v for c in v.split() if not c.startswith(TELLING))
+        names = [c for a, v in attrs if a in ("class", "id", "role") and v for c in v.split()]
+        marks = max(map(mark, names), default=0)
         hidden = any(a == "hidden" or a == "aria-hidden" and v == "true" or a == "style" and v and re.search(r"display\s*:\s*none", v, re.I) for a, v in attrs)
-        skipped = held or tag in SKIPPED or hidden
+        # The header of an article holds its title.
+        skipped = held or tag in SKIPPED and not (tag == "header" and self.at["article"]) or hidden
         marked = not skipped and (
-            tag == "form" or tag not in ("html", "body", "main") and bool(marks and MARKED.search(marks)) or tag == "article" and bool(re.search(r"comment", marks, re.I))
+            tag == "form" or tag not in ("html", "body", "main") and marks > 0 or tag == "article" and any("comment" in c.lower() for c in names)
         )
         begins = skipped and not held or marked
         if begins and tag not in BLOCKS and self.text:
@@ -134,6 +155,8 @@ class Lines(HTMLParser):
         self.marks.append(element if marked else self.marks[parent])
         if marked:
             self.marked.append(element)
+            if marks == 1 and tag != "form":
+                self.partly.add(element)
         self.at[tag].append(place)
         if tag in BLOCKS:
             self.blocks.append(place)
@@ -174,6 +197,25 @@ class Lines(HTMLParser):
             n[e] += n[self.parents[e]]
         return np.array(n)
 
+    def region_of(self, at: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """By line, with ``at`` its element: whether it is in the smallest holder of all ``wanted`` lines and between its outer parts."""
+        if not wanted.any():
+            return np.ones(len(at), dtype=bool)
+        held = self.with_children(sums_by(at, wanted))
+        # Of the elements that hold all wanted lines the deepest has the highest number.
+        holder = np.isin(np.array(self.kinds), tuple(HOLDERS))
+        regions = np.flatnonzero(holder & (held == held[0]))
+        region = int(regions[-1]) if len(regions) else 0
+        part = list(range(len(self.kinds)))  # by element within the region: the child of the region that holds it
+        for e in range(1, len(part)):
+            if self.parents[e] != region:
+                part[e] = part[self.parents[e]]
+        outer = np.array(part)[at]
+        first, last = np.flatnonzero(wanted)[[0, -1]]
+        ends = (np.arange(len(at)) < first) | (np.arange(len(at)) > last)
+        inside = self.within(np.arange(len(self.kinds)) == region)[at] > 0
+        return inside & ~(ends & holder[outer] & (outer != region) & (held[outer] == 0))
+
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][0] == "head" and data.strip():
             self.end_head(False)
@@ -214,10 +256,13 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5, most
     """The blocks of the main text, joined by line feeds.
 
     Lines whose smoothed ratio reaches ``threshold`` times the mean are clusters; the
-    region is the smallest element with all of them and the headings above them. ``article`` and ``main``
+    region is the smallest element with all of their lines that reach it by their own ratio too (or half of what is usual
+    in clusters) and the headings above them. Parts of the region before the first or after the last of these
+    that hold none of them (a menu, a footer) don't belong to it. ``article`` and ``main``
     are one region, with the headings above, if they hold ``most`` of the clusters' text together. Marked elements and forms are left out
     unless they hold more than half of the clusters' text, or more than ``most`` of it where
-    an ``article`` or ``main`` stands beside them. Character references are decoded, white space
+    an ``article`` or ``main`` stands beside them. An element with a mark in a part of a name only (``ad-hoc``) is left
+    out only if none of its lines reaches the threshold by its own ratio. Character references are decoded, white space
     becomes one space. Broken markup is read as far as it goes; nothing is cut.
     """
     p = Lines()
@@ -239,9 +284,13 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5, most
         beside = named & (p.with_children(sums_by(at, marks[at] == 0)) > 0)
         around = p.within(beside)
         whole = cluster[0]
+        own = p.with_children(sums_by(at, strong)) if p.partly else None
         dropped = np.zeros(len(kinds), dtype=bool)
         for e in p.marked:
-            dropped[e] = cluster[e] <= (most if beside.sum() > around[e] else 0.5) * whole
+            if e in p.partly:
+                dropped[e] = own[e] == 0
+            else:
+                dropped[e] = cluster[e] <= (most if beside.sum() > around[e] else 0.5) * whole
         left = p.within(dropped)[at] == 0
         texts = [t for t, ok in zip(texts, left, strict=True) if ok]
         size, tags, at, linked = size[left], tags[left], at[left], linked[left]
@@ -254,14 +303,13 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5, most
         # The title right above an article belongs to it.
         chosen = before_headings(inside, heading)
     else:
-        # What is in a cluster by its neighbours alone doesn't widen the region if it is an article (a
-        # teaser) or nothing but links; a heading belongs to the content that follows it.
+        # What is in a cluster by its neighbours alone doesn't widen the region, nor does an article without
+        # text of its own (a teaser); a heading belongs to the content that follows it.
         teaser = named & (p.with_children(sums_by(at, strong)) == 0)
-        wanted = before_headings(content & (strong | ~linked) & (p.within(teaser)[at] == 0), heading)
-        held = p.with_children(sums_by(at, wanted))
-        # Of the elements that hold all wanted lines the deepest has the highest number.
-        regions = np.flatnonzero(np.isin(kinds, tuple(HOLDERS)) & (held == held[0])) if wanted.any() else []
-        chosen = p.within(np.arange(len(kinds)) == regions[-1])[at] > 0 if len(regions) else np.ones(len(texts), dtype=bool)
+        ratio = size / np.maximum(1, tags)
+        usual = content & ~linked & (ratio >= threshold * np.median(ratio[content])) if content.any() else content
+        wanted = before_headings(content & (strong | usual) & (p.within(teaser)[at] == 0), heading)
+        chosen = p.region_of(at, wanted)
     return "\n".join(t for t, ok in zip(texts, chosen, strict=True) if ok)
 
 

@@ -1,9 +1,13 @@
 """Pages on which the main text isn't where the markup says first."""
 
+import html
 import math
+import random
+import re
 import time
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from ledgerflow.llm import html_text
@@ -86,6 +90,9 @@ def test_ratio_step_by_plain_loops():
 LINKS = "".join(f"<li><a href=/{k}>Link {k}</a>" for k in range(30))
 
 
+PLAIN = f"<body><div><a href=/>Home</a> <a href=/n>News</a></div><div><h1>Title</h1>{STORY}<p>The end.</p></div><div>All rights kept 2024</div>"
+
+
 @pytest.mark.parametrize("page", [f"<body><div><ul>{LINKS}</ul></div><div>{STORY}</div><div><ul>{LINKS}</ul></div>", f"<body><div>{STORY}</div><article><p>Read this too</p></article>"])
 def test_ratio_decides(page, monkeypatch):
     """Without marks or telling elements only the ratio tells the story from links and teasers."""
@@ -95,6 +102,68 @@ def test_ratio_decides(page, monkeypatch):
     assert main_text(page) != WHOLE
 
 
+def test_plain_divs(monkeypatch):
+    """No element and no name tells the article from menu and footer: the ratio of each line does."""
+    want = f"Title\n{WHOLE}\nThe end."
+    assert main_text(PLAIN) == want
+    assert main_text(PLAIN.replace("All rights kept 2024", "© 2024 Company")) == want
+    flat = PLAIN.replace("<div><h1>", "<h1>").replace("The end.</p></div>", "The end.</p>")
+    assert main_text(flat) == want
+    every = lambda size, *_: (np.ones(len(size), dtype=bool),) * 2
+    monkeypatch.setattr(html_text, "clusters", every)
+    assert main_text(PLAIN) != want and main_text(flat) != want
+
+
+def test_header_of_an_article():
+    assert main_text(f"<body><header>Site</header><article><header><h1>Title</h1></header>{STORY}<footer>Tags</footer></article>") == "Title\n" + WHOLE
+
+
+def test_marks_are_whole_names():
+    for name in ("ad-hoc", "search-engines", "social-policy", "menu-planning"):
+        assert main_text(f"<body><article>{STORY}<section id={name}><p>{PARAS[0]}</p></section></article>") == f"{WHOLE}\n{PARAS[0]}", name
+    for name in ("ad", "ad-slot-1", "cookieNotice", "user-feedback", "related-posts", "share_buttons", "site-footer", "widget-42", "comments-list"):
+        assert main_text(f"<body><article>{STORY}<section id={name}><p>{PARAS[0]}</p></section></article>") == WHOLE, name
+
+
+def test_pages_built_from_known_articles():
+    """Random pages around an article that the test knows; every page must give exactly that article."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghilmnoprstu") for _ in range(rnd.randint(2, 9)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    for k in range(300):
+        body, want = [], [say(rnd.randint(2, 7))]
+        body.append(f"<h1>{want[0]}</h1>")
+        for _ in range(rnd.randint(3, 12)):
+            text = say(rnd.randint(25, 120))
+            want.append(f"{text} & x")
+            body.append(f"<p>{text} &amp; <b>x</b></p>" if rnd.random() < 0.8 else f"<p>{text}\n\t&amp;\u00a0x</p>")
+        around = [
+            "<ul>" + "".join(f"<li><a href=/{j}>{word()}</a></li>" for j in range(rnd.randint(2, 9))) + "</ul>",
+            f"<form><input><label>{word()}</label></form>", f"<script>var x='{say(40)}'</script>", f"{say(2)}", f"<a href=/>{say(3)}</a>",
+        ]
+        marked = ['<div class="sidebar">', '<div id="cookie-banner">', '<div class="ad-box">', "<aside>", "<nav>", '<section class="comments">']
+        top = [f"<div>{x}</div>" for x in rnd.sample(around, 2)]
+        end = [f"<div>{x}</div>" for x in rnd.sample(around, 2)]
+        boxes = [m + f"<p>{say(rnd.randint(3, 20))}</p></{m[1:].split()[0].rstrip('>')}>" for m in rnd.sample(marked, 2)]
+        holder = rnd.choice(["article", "div", "main", "section"])
+        page = "<html><head><title>T</title></head><body>" + "".join(top) + boxes[0] + f"<{holder}>{''.join(body)}</{holder}>" + boxes[1] + "".join(end) + "</body></html>"
+        assert main_text(page) == "\n".join(want), (k, page)
+
+
+def test_given_pages_by_a_plain_version():
+    """All given pages hold one article: its text cut out by patterns, without the parser."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    for row in pages:
+        inner = re.search(r"<article[^>]*>(.*?)</article>", row["html"], re.S)
+        if not inner:
+            continue
+        text = re.sub(r"<!--.*?-->|<(script|style|aside|nav|form)\b.*?</\1>", "", inner[1], flags=re.S)
+        if re.search(r"class=|id=|role=", text):
+            continue
+        blocks = [" ".join(html.unescape(re.sub(r"</?[a-z][^>]*>", "", re.sub(r"<br\s*/?>", " ", b))).split()) for b in re.split(r"</?(?:p|h[1-6]|ul|ol|li|div|blockquote|table|tr|td|pre|section)\b[^>]*>", text)]
+        assert main_text(row["html"]) == "\n".join(b for b in blocks if b), row["page_id"]
+
+
 @pytest.mark.parametrize("parts", [("<div>a", ""), ("<b>a", "</i>"), ("<span class=ad><div>a", "</p>"), ("<b>", "<hr>a"), ("<article>a", "</section>")])
 def test_deep_nesting_takes_linear_time(parts):
     start = time.perf_counter()
