@@ -65,6 +65,31 @@ def test_run_is_the_stages(spark, stages):
     assert key(got) == key(stages[-1][2])
 
 
+def test_other_columns_come_through_whole(spark):
+    """Columns with the names that operators use keep their values; nulls, empty texts and repeated rows have a result."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "a", 1), (7, " ", None, "a", 1), (7, " ", None, "a", 1)], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").union(odd)
+    tag = F.concat(F.lit("x"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    names = ["_lf_row", "copies", "kept", "matches", "size", "simhash", "n_words", "a.b", "shard", "CARRIED"]
+    docs = docs.select(*[tag.alias(n) for n in names], *docs.columns)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == [*names, "doc_id", "text", "lang", "source", "n_chars"], name
+        docs = corpus_pipeline.written(docs)
+        rows = docs.collect()
+        assert rows and all(r[n] == f"x{'' if r.doc_id is None else r.doc_id}" for r in rows for n in names), name
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert last.count() == len(rows) and all(r.copies == f"x{r.doc_id}" and 0 <= r.shard < 8 for r in last.collect())
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0).select("doc_id", "text", "lang", "source")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0 and out.columns[:4] == docs.columns, name
+
+
 def test_queries_have_the_contracts_columns(spark):
     columns = {
         "op1": "doc_id size text_crc32 law shard slot grown_shard",
@@ -74,9 +99,12 @@ def test_queries_have_the_contracts_columns(spark):
         "op8": "doc_id n_bytes n_tokens over_limit",
         "op9": "doc_id held_out n_tokens n_known train_tokens base_score score",
         "op10": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+        "op11": "doc_id held_out lang_pred score",
+        "op12": "lang rank phrase a l r n score",
+        "op13": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
     }
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert len(names) == 10 and "pipeline" in __spark_entry__.queries()
+    assert len(names) == 13 and "pipeline" in __spark_entry__.queries()
     docs = spark.read.parquet(f"{SF}/documents.parquet").count()
     for n in names:
         df = __spark_entry__.queries()[n](spark, SF)
