@@ -1,19 +1,23 @@
 """Scores of texts under a class-based bigram model (Brown et al., 1992).
 
 log P(text) = sum over tokens of log10 P(class | previous class) + log10 P(word | class),
-one end token a text included. Every training word gets its class by exchange:
+one end token a text included. Every training word gets its class by exchange, and every word counts as a
+neighbour by its class:
 
 - Word counts of all training texts come from Spark (map-side combined, shuffled by
   word) and may be of any size. The ``hot_words`` most frequent are broadcast; the
   others meet the texts that hold them, and their classes, in joins.
-- As in Brown's windowed clustering the most frequent words are clustered first: the
-  exchange moves one of the ``window`` words at a time to the class that raises the likelihood of their
-  bigrams most, until no word moves. Their table is the only one that isn't distributed, and of fixed size.
-- All other training words then have a row each in a distributed table: how often each window class, the
-  end of a text or another word stands to their left and right, over all training texts.
-  They are exchanged between the classes in sweeps over that table (each word to the class
-  that is likeliest given its neighbours, then the classes' profiles and sizes anew) until nothing moves.
-- The classes of all words, frequent and rare, are filled into the texts; class bigrams of
+- Start: the ``window`` most frequent words are clustered exactly, one at a time, on the table of their bigrams;
+  the other broadcast words join the class that is likeliest beside those; a rarer word starts in
+  the class of most broadcast words with its ending.
+- Sweeps over all training texts: half of the broadcast words at a time move to the class in which the bigrams of
+  classes, of all tokens, are likeliest given the classes of their neighbours. A sweep counts the classes
+  to either side of each word in tasks and adds them up by word.
+- The rarer words then choose among classes alike, from their neighbours shuffled by word, their classes are
+  joined to the texts, and the broadcast words are swept again.
+- After each of these steps the likelihood of the class bigrams is counted anew over all training texts. A
+  step that lowers it is taken back, so it never falls. The number of sweeps is a setting.
+- Class bigrams of
   all training texts give the transitions. They are mixed with the classes' frequencies: words that were seen
   once chose their classes by the very bigrams that are counted, so the share of tokens that are new words (by
   Good and Turing that of words seen once) weighs the latter.
@@ -21,37 +25,42 @@ one end token a text included. Every training word gets its class by exchange:
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import written
 
-#: In place of the class of a word that isn't broadcast, until the join fills it in.
+#: The class of a word that no training text holds, until the model names one.
 HOLE = 255
-#: Of class profiles: what each neighbour counts before any is seen.
+#: What each pair of classes counts before any is seen, where words choose among classes.
 ALPHA = 0.5
+#: Slots for endings of words.
+ENDINGS = 1 << 16
 #: Distinct words that a task adds up before it hands their counts on.
 DISTINCT = 500_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of what is broadcast or gathered: hot_words entries, and (window + 2) squared cells.
+    """Bounds of what is broadcast or gathered: hot_words entries, twice ``classes`` counts for half of them, and (window + 2) squared cells.
 
-    ``classes`` (255 at most) includes one of its own for the end of a text.
+    ``classes`` (255 at most) includes one of its own for the end of a text. ``first_sweeps`` and ``last_sweeps``:
+    sweeps of half of the words each, before and after the rarer words choose.
     """
 
     hot_words: int = 100_000
     window: int = 1000
     classes: int = 48
+    first_sweeps: int = 4
+    last_sweeps: int = 4
 
     @property
     def end(self) -> int:
@@ -59,7 +68,7 @@ class Settings:
 
     @property
     def other(self) -> int:
-        """As a neighbour: any word beyond the window."""
+        """At the start: any word beyond the window."""
         return self.classes
 
     @property
@@ -180,142 +189,160 @@ def exchange(pairs: np.ndarray, classes: int, own: int = 1) -> np.ndarray:
     return np.maximum(cls, 0)
 
 
-def neighbour_counts(train: DataFrame, top: list[bytes], window_cls: np.ndarray, settings: Settings) -> DataFrame:
-    """(id, word, code, n): the neighbours of each training word beyond the window, two arrays, as a written table.
+@dataclass
+class Choice:
+    """What a word gains in each class from its neighbours, given the bigrams ``c`` of classes; ``words`` classes can be chosen."""
 
-    Codes: left neighbour's class; ``neighbours`` + the right one's; or from 2 * ``neighbours`` on
-    both. Broadcast words have an ``id`` (their rank) and codes of the first two kinds, added up by every task in
-    a table of fixed size; the others have -1, and their codes are of the third kind.
-    """
-    p, size, h = settings.neighbours, len(window_cls), len(top)
-    near = np.full(h + 2, settings.other, dtype=np.int64)
-    near[:size] = window_cls
-    near[h + 1] = settings.end
-
-    def each_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = np.zeros((h, 2 * p), dtype=np.int32)
-        cells = hot.reshape(-1)
-        names = ["id", "counts", "word", "code"]
-        for b in batches:
-            i = joined(b.column(0), h + 1)
-            c = near[i]
-            k = np.flatnonzero((i >= size) & (i < h))
-            np.add.at(cells, i[k] * (2 * p) + c[k - 1], 1)
-            np.add.at(cells, i[k] * (2 * p) + p + c[k + 1], 1)
-            k = np.flatnonzero(i == h)
-            n = len(k)
-            rare = b.column(1).flatten()  # in the order of their places
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), rare, pa.array(2 * p + c[k - 1] * p + c[k + 1], pa.int32())], names=names)
-        used = np.flatnonzero(hot.any(axis=1))
-        for k in range(0, len(used), 4096):
-            i = used[k : k + 4096]
-            n = len(i)
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array([hot[x].tobytes() for x in i], pa.binary()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32())], names=names)
+    before: np.ndarray
+    after: np.ndarray
+    each: np.ndarray
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
-        for b in batches:
-            for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found[i] = found.get(i, 0) + np.frombuffer(c, dtype=np.int32).astype(np.int64)
-        codes = [np.flatnonzero(c) for c in found.values()]
-        columns = [pa.array(list(found), pa.int32()), pa.array([top[i] for i in found], pa.binary()).cast(pa.string()), pa.array(codes, pa.list_(pa.int32())), pa.array([c[k] for c, k in zip(found.values(), codes, strict=True)], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "word", "code", "n"])
-
-    found = written(train.select("_lf_lm.ids", F.col("_lf_lm.rare.word").alias("rare")).mapInArrow(each_task, "id int, counts binary, word string, code int"))
-    hot = found.filter("id is not null").select("id", "counts").repartition("id").mapInArrow(summed, "id int, word string, code array<int>, n array<long>")
-    # Rare words have no hot key: none has more rows than the least frequent of the broadcast ones.
-    rare = found.filter("id is null").select("word", "code").repartition("word").groupBy("word", "code").agg(F.count(F.lit(1)).alias("n"))
-    rare = rare.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("code", "n"))).alias("all"))  # at most neighbours ** 2 codes a word
-    rare = rare.select(F.lit(-1).alias("id"), "word", F.col("all.code").alias("code"), F.col("all.n").alias("n"))
-    return written(hot.union(rare))
+    @staticmethod
+    def of(c: np.ndarray, words: int) -> Choice:
+        c = c + ALPHA
+        return Choice(np.log(c[:, :words]), np.log(c[:words].T), np.log(c.sum(axis=0)[:words]) + np.log(c.sum(axis=1)[:words]))
 
+    def best(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The class of each word from the counts of classes to its left and right; ties to the lower class."""
+        return (left @ self.before + right @ self.after - left.sum(axis=1, keepdims=True) * self.each).argmax(axis=1)
 
-@dataclass
-class Profiles:
-    """By word class: how often each neighbour stands to its left and its right, and its number of words beyond the window."""
+    def codes(self) -> np.ndarray:
+        """The gain of one occurrence between each pair of classes, the left one first."""
+        return (self.before[:, None, :] + self.after[None, :, :] - self.each).reshape(-1, len(self.each))
+
+
+def likelihood(c: np.ndarray) -> float:
+    """Of class bigrams, but for what no class changes: the entropy of single words."""
+    return float(xlogx(c).sum() - xlogx(c.sum(axis=0)).sum() - xlogx(c.sum(axis=1)).sum())
+
+
+def ending(word: bytes) -> int:
+    return zlib.crc32(word[-3:]) % ENDINGS
 
-    left: np.ndarray
-    right: np.ndarray
-    sizes: np.ndarray
 
-    def table(self) -> np.ndarray:
-        """Log likelihood of every code under every class."""
+def start_classes(top: list[bytes], cls: np.ndarray, classes: int) -> np.ndarray:
+    """By slot of endings the class of most broadcast words; the largest class where none ends so."""
+    found = np.zeros((ENDINGS, classes), dtype=np.int32)
+    np.add.at(found, (np.fromiter(map(ending, top), dtype=np.int64, count=len(top)), cls), 1)
+    return np.where(found.any(axis=1), found.argmax(axis=1), found.sum(axis=0).argmax()).astype(np.uint8)
 
-        def logs(x: np.ndarray) -> np.ndarray:
-            return np.log((x + ALPHA) / (x.sum(axis=1, keepdims=True) + ALPHA * x.shape[1])).T
 
-        a, b = logs(self.left), logs(self.right)
-        return np.concatenate([a, b, (a[:, None, :] + b[None, :, :]).reshape(-1, a.shape[1])])
+Rare = Callable[[pa.Array], np.ndarray]
 
-    def prior(self) -> np.ndarray:
-        """Log probability of each class: a word with few neighbours joins a large class unless they speak against it."""
-        return np.log((self.sizes + ALPHA) / (self.sizes.sum() + ALPHA * len(self.sizes)))
 
-    def likelihood(self) -> float:
-        """Of all words' classes and neighbours under the profiles, with the prior that ``ALPHA`` is."""
-        return float(((self.sizes + ALPHA) * self.prior()).sum()) + sum(float(((x + ALPHA) * np.log((x + ALPHA) / (x.sum(axis=1, keepdims=True) + ALPHA * x.shape[1]))).sum()) for x in (self.left, self.right))
+def by_ending(starts: np.ndarray) -> Rare:
+    """Classes of rare words from their endings."""
+    return lambda words: starts[np.fromiter((ending(w.encode()) for w in words.flatten().to_pylist()), dtype=np.int64)]
 
 
-def best_classes(codes: pa.ListArray, counts: pa.ListArray, table: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """The likeliest class of each word, given its neighbours; ties to the lower class."""
-    ends = codes.offsets.to_numpy()
-    code, n = codes.values.to_numpy(), counts.values.to_numpy().astype(np.float64)
-    out = np.empty(len(codes), dtype=np.int64)
-    for a in range(0, len(codes), 1000):  # bounds the memory: a word has at most so many codes
-        b = min(a + 1000, len(codes))
-        s, e = ends[a], ends[b]
-        like = np.add.reduceat(table[code[s:e]] * n[s:e, None], ends[a:b] - s, axis=0)
-        out[a:b] = (like + prior).argmax(axis=1)
-    return out
+def joined_classes(shift: int) -> Rare:
+    """Classes of rare words as the join has put them: the chosen ones (0), or those of the start (8)."""
+    return lambda held: held.flatten().to_numpy() >> shift & 255
 
 
-def exchanged(counts: DataFrame, fixed: Profiles, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """The table of log likelihoods, and the classes' log probabilities, at which no word of ``counts`` moves any more.
+def all_classes(ids: pa.Array, rare: pa.Array, cls: np.ndarray, rare_of: Rare) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks and classes of all tokens of a batch, an end before the first. ``cls``: by rank, then any rare word's, then the end's."""
+    i = joined(ids, len(cls) - 1)
+    c = cls[i]
+    c[i == len(cls) - 2] = rare_of(rare)  # in the order of their places
+    return i, c
 
-    ``fixed``: profiles of the window's words, which stay. Every sweep gives each word its best class under the
-    last profiles, in all tasks at once; then profiles follow from the classes. Neither step lowers the likelihood, so
-    the sweeps end. The driver sees two numbers a class and neighbour.
+
+def class_counts(texts: DataFrame, cls: np.ndarray, rare_of: Rare, k: int, part: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Over (ids, rare) of all training texts: bigrams of classes; and of broadcast words of odd or even rank
+    their ranks, and counts of the ``k`` classes to the left and right (of none where ``part`` is null)."""
+    h = len(cls) - 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0 if part is None else (h + 1 - part) // 2
+        near, pairs = np.zeros((n, 2 * k), dtype=np.int32), np.zeros(k * k, dtype=np.int64)
+        cells = near.reshape(-1)
+        for b in batches:
+            i, c = all_classes(b.column(0), b.column(1), cls, rare_of)
+            c = c.astype(np.int64)
+            pairs += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
+            if n:
+                at = np.flatnonzero((i < h) & (i % 2 == part))
+                row = i[at].astype(np.int64) // 2 * (2 * k)
+                np.add.at(cells, row + c[at - 1], 1)
+                np.add.at(cells, row + k + c[at + 1], 1)
+        yield pa.RecordBatch.from_pydict({"id": pa.array([-1], pa.int32()), "counts": pa.array([pairs.tobytes()], pa.binary())})
+        used = np.flatnonzero(near.any(axis=1))
+        for a in range(0, len(used), 4096):
+            i = used[a : a + 4096]
+            yield pa.RecordBatch.from_pydict({"id": pa.array(2 * i + part, pa.int32()), "counts": pa.array([near[x].tobytes() for x in i], pa.binary())})
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                one = np.frombuffer(x, dtype=np.int64 if i < 0 else np.int32).astype(np.int64)
+                if i in found:
+                    found[i] += one
+                else:
+                    found[i] = one
+        yield pa.RecordBatch.from_pydict({"id": pa.array(list(found), pa.int32()), "counts": pa.array([x.tobytes() for x in found.values()], pa.binary())})
+
+    schema = "id int, counts binary"
+    got = texts.mapInArrow(run, schema).repartition("id").mapInArrow(summed, schema).toArrow()
+    ids = got["id"].to_numpy()
+    rows = [np.frombuffer(x, dtype=np.int64) for x in got["counts"].to_pylist()]
+    pairs = next((x for i, x in zip(ids, rows, strict=True) if i < 0), np.zeros(k * k, dtype=np.int64)).reshape(k, k)
+    near = np.array([x for i, x in zip(ids, rows, strict=True) if i >= 0], dtype=np.float64).reshape(-1, 2 * k)
+    return pairs, ids[ids >= 0], near[:, :k], near[:, k:]
+
+
+def swept(texts: DataFrame, cls: np.ndarray, rare_of: Rare, sweeps: int, settings: Settings, trace: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of the broadcast words, and the bigrams of all classes, after ``sweeps`` sweeps or when no word of either half moves.
+
+    ``trace`` gets the likelihood after each; the sweep that lowers it is taken back, and is the last.
     """
-    k, p = settings.end, settings.neighbours
-
-    def sweep(table: np.ndarray, prior: np.ndarray) -> Profiles:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen, sizes = np.zeros((k, len(table)), dtype=np.int64), np.zeros(k, dtype=np.int64)
-            for b in batches:
-                if b.num_rows:
-                    best, same = best_classes(b.column(0), b.column(1), table, prior), b.column(2).to_numpy()
-                    np.add.at(sizes, best, same)
-                    codes = np.diff(b.column(0).offsets.to_numpy())
-                    cells = np.repeat(best, codes) * len(table) + b.column(0).values.to_numpy()
-                    np.add.at(seen.reshape(-1), cells, np.repeat(same, codes) * b.column(1).values.to_numpy())
-            both = seen[:, 2 * p :].reshape(k, p, p)
-            flat = np.concatenate([seen[:, :p] + both.sum(axis=2), seen[:, p : 2 * p] + both.sum(axis=1), sizes[:, None]], axis=1).reshape(-1)
-            cells = np.flatnonzero(flat)
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(cells), "n": pa.array(flat[cells])})
-
-        found = kinds.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-        flat = np.zeros(k * (2 * p + 1), dtype=np.int64)
-        flat[found["cell"].to_numpy()] = found["n"].to_numpy()
-        new = flat.reshape(k, 2 * p + 1)
-        return Profiles(fixed.left + new[:, :p], fixed.right + new[:, p : 2 * p], new[:, -1])
-
-    # Words with one code each are counted by code and frequency: those alike move together.
-    one = F.size("code") == 1
-    alike = written(counts.filter(one).groupBy("code", "n").agg(F.count(F.lit(1)).alias("same")))
-    kinds = counts.filter(~one).select("code", "n", F.lit(1).cast("long").alias("same")).union(alike)
-    now, best = fixed, -np.inf
-    while True:
-        new = sweep(now.table(), now.prior())
-        value = new.likelihood()
-        same = np.array_equal(new.left, now.left) and np.array_equal(new.right, now.right) and np.array_equal(new.sizes, now.sizes)
-        if same or value <= best + 1e-12 * abs(value):
-            return now.table(), now.prior()
-        now, best = new, value
+    k = settings.classes
+    old, old_pairs, still = None, None, 0
+    for s in range(sweeps + 1):
+        pairs, ids, left, right = class_counts(texts, cls, rare_of, k, s % 2 if s < sweeps else None)
+        if old is not None and likelihood(pairs) < likelihood(old_pairs):
+            return old, old_pairs
+        trace.append(likelihood(pairs))
+        if s == sweeps or still == 2:
+            break
+        old, old_pairs = cls, pairs
+        cls = cls.copy()
+        cls[ids] = Choice.of(pairs, settings.end).best(left, right)
+        still = still + 1 if np.array_equal(cls, old) else 0
+    return cls, pairs
+
+
+def rare_choices(texts: DataFrame, cls: np.ndarray, starts: np.ndarray, pairs: np.ndarray, settings: Settings) -> DataFrame:
+    """(word, seen, start, cls) of each rare word, as a written table: its class at the start, and the likeliest one among its neighbours' classes."""
+    k, h, rare_of = settings.classes, len(cls) - 2, by_ending(starts)
+    gain = Choice.of(pairs, settings.end).codes()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i, c = all_classes(b.column(0), b.column(1), cls, rare_of)
+            at = np.flatnonzero(i == h)
+            yield pa.RecordBatch.from_arrays([b.column(1).flatten(), pa.array(c[at - 1].astype(np.int32) * k + c[at + 1])], names=["word", "code"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, 1000):  # bounds the memory: a word has at most so many codes
+                part = b.slice(a, 1000)
+                ends = np.concatenate([[0], np.cumsum(part.column(1).value_lengths().to_numpy())])
+                n = part.column(2).flatten().to_numpy()
+                best = np.add.reduceat(gain[part.column(1).flatten().to_numpy()] * n[:, None], ends[:-1], axis=0).argmax(axis=1)
+                start = starts[[ending(w.encode()) for w in part.column(0).to_pylist()]]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.add.reduceat(n, ends[:-1])), pa.array(start, pa.int32()), pa.array(best, pa.int32())], names=["word", "seen", "start", "cls"])
+
+    # Rare words have no hot key: none has more rows than the least frequent of the broadcast ones.
+    found = texts.mapInArrow(near, "word string, code int").repartition("word").groupBy("word", "code").agg(F.count(F.lit(1)).alias("n"))
+    found = found.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("all"))  # at most classes ** 2 codes a word
+    return written(found.select("word", "all.code", "all.n").mapInArrow(choose, "word string, seen long, start int, cls int"))
 
 
 @dataclass
 class Model:
-    """What scoring needs on every worker; ``emit`` holds log10 denominators by class."""
+    """What scoring needs on every worker; ``cls`` by rank, then two more; ``emit`` holds log10 denominators by class; ``trace`` the likelihoods on the way."""
 
     settings: Settings
     top: list[bytes]
@@ -326,43 +353,28 @@ class Model:
     distinct: int
     ends: int
     once: int
+    trace: list[float]
     move: np.ndarray | None = None
     emit: np.ndarray | None = None
 
 
-def fit_classes(train: DataFrame, hot: pa.Table, n_words: int, distinct: int, ends: int, settings: Settings) -> tuple[Model, DataFrame, np.ndarray]:
-    """The model without its class counts, the other words' (word, seen, cls) as a written table, and the number of words by class."""
-    top = [w.encode() for w in hot["word"].to_pylist()]
-    window = top[: settings.window]
-    pairs = window_bigrams(train, len(window), len(top))
-    all_cls = exchange(pairs, settings.neighbours, own=2)
-    one = np.eye(settings.neighbours, dtype=np.int64)[all_cls]
-    by_class = one.T @ pairs @ one
-    fixed = Profiles(by_class[:, : settings.end].T, by_class[: settings.end], np.zeros(settings.end, dtype=np.int64))
-    near = neighbour_counts(train, top, all_cls[: len(window)], settings)
-    table, prior = exchanged(near, fixed, settings)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                seen = np.add.reduceat(b.column(3).values.to_numpy(), b.column(3).offsets.to_numpy()[:-1])
-                seen = np.where(b.column(0).to_numpy() >= 0, seen // 2, seen)  # broadcast words have a code for either side
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(seen), pa.array(best_classes(b.column(2), b.column(3), table, prior), pa.int32())], names=["id", "word", "seen", "cls"])
-
-    given = written(near.select("id", "word", "code", "n").mapInArrow(assign, "id int, word string, seen long, cls int"))
-    cls = np.zeros(len(top) + 1, dtype=np.int64)
-    cls[: len(window)] = all_cls[: len(window)]
-    cls[-1] = HOLE
-    for r in given.filter("id >= 0").select("id", "cls").collect():
-        cls[r.id] = r.cls
-    kinds = np.bincount(cls[: len(window)], minlength=settings.classes)
-    once = np.zeros(settings.classes, dtype=np.int64)
-    for r in given.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("seen") == 1).alias("once")).collect():
-        kinds[r.cls] += r.n
-        once[r.cls] = r.once
-    kinds[settings.end] = 1 if ends else 0
-    model = Model(settings, top, hot["n"].to_numpy(), cls, int(once.argmax()), int(n_words) + ends, int(distinct) + (ends > 0), ends, int(once.sum()) + int((hot["n"].to_numpy()[: len(window)] == 1).sum()))
-    return model, given.filter("id < 0").select("word", "seen", "cls"), kinds
+def first_classes(train: DataFrame, h: int, settings: Settings) -> np.ndarray:
+    """Classes of broadcast words by rank, from exchange of the window's words and the others' neighbours among them; then two more entries."""
+    n, p = min(settings.window, h), settings.neighbours
+    pairs = window_bigrams(train, n, h)
+    one = exchange(pairs, p, own=2)
+    cls = np.full(h + 2, settings.other, dtype=np.uint8)
+    cls[:n], cls[h + 1] = one[:n], settings.end
+    if h > n:
+        flat = np.eye(p, dtype=np.int64)[one]
+        choice = Choice.of(flat.T @ pairs @ flat, settings.end)
+        found = cls.copy()
+        for part in (0, 1):
+            _, ids, left, right = class_counts(train.select("_lf_lm.ids", F.col("_lf_lm.rare.word")), cls, lambda rare: settings.other, p, part)
+            found[ids] = np.where(ids < n, cls[ids], choice.best(left, right))
+        cls = found
+    cls[h] = 0
+    return cls
 
 
 def encoded(df: DataFrame, text: str, hot: pa.Table, ends: int) -> DataFrame:
@@ -399,47 +411,6 @@ def encoded(df: DataFrame, text: str, hot: pa.Table, ends: int) -> DataFrame:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_lf_lm", T.StructType.fromDDL(schema))]))
 
 
-def with_classes(texts: DataFrame, model: Model) -> DataFrame:
-    """(_lf_row, cls): the classes of each text's tokens, a byte each, with holes for its rare words."""
-    shared = texts.sparkSession.sparkContext.broadcast(np.append(model.cls, model.settings.end).astype(np.uint8))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls = shared.value
-        for b in batches:
-            found = [cls[np.frombuffer(x, dtype=np.int32)].tobytes() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["_lf_row", "_lf_cls"])
-
-    return texts.select("_lf_row", "_lf_lm.ids").mapInArrow(run, "_lf_row long, _lf_cls binary")
-
-
-def filled(cls: pa.Array, rare: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all texts' tokens one after the other, an end before the first, with those of rare words (256 * place + class) put in; and where each text begins."""
-    held = cls.to_pylist()
-    starts = np.cumsum([1, *map(len, held)])[:-1]
-    c = np.frombuffer(bytes([end]) + b"".join(held), dtype=np.uint8).astype(np.int64)
-    counts = pc.fill_null(pc.list_value_length(rare), 0).to_numpy(zero_copy_only=False)
-    r = rare.flatten().to_numpy()
-    c[np.repeat(starts, counts) + (r >> 8)] = r & 255
-    return c, starts
-
-
-def class_bigrams(texts: DataFrame, settings: Settings) -> np.ndarray:
-    """Counts of neighbouring classes over (cls, rare) of all training texts."""
-    k = settings.classes
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(k * k, dtype=np.int64)
-        for b in batches:
-            c, _ = filled(b.column(0), b.column(1), settings.end)
-            table += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(np.arange(k * k)), "n": pa.array(table)})
-
-    found = texts.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(k * k, dtype=np.int64)
-    table[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return table.reshape(k, k)
-
-
 RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -451,23 +422,41 @@ def fitted(df: DataFrame, train: Column, text: str, settings: Settings, carry_te
     hot = counts.orderBy(F.desc("n"), "word").limit(settings.hot_words).toArrow()
     texts = encoded(df.withColumn("_lf_train", F.coalesce(train, F.lit(False))), text, hot, ends)
     texts = written((texts if carry_text else texts.drop(text)).withColumn("_lf_row", F.monotonically_increasing_id()), "zstd")
-    model, lexicon, kinds = fit_classes(texts.filter("_lf_train"), hot, n_words, distinct, ends, settings)
-    seen, cls = F.coalesce("seen", F.lit(0)), F.coalesce("cls", F.lit(model.unseen))
+    trace: list[float] = []
+    top, hot_n = [w.encode() for w in hot["word"].to_pylist()], hot["n"].to_numpy()
+    learnt = texts.filter("_lf_train")
+    cls = first_classes(learnt, len(top), settings)
+    starts = start_classes(top, cls[: len(top)], settings.end)
+    plain = learnt.select("_lf_lm.ids", F.col("_lf_lm.rare.word"))
+    cls, pairs = swept(plain, cls, by_ending(starts), settings.first_sweeps, settings, trace)
+    lexicon = rare_choices(plain, cls, starts, pairs, settings)
+    code = F.col("at").cast("long") * 65536 + F.coalesce(F.col("start") * 256 + F.col("cls"), F.lit(HOLE * 257))
     sums = (
         texts.select("_lf_row", F.inline("_lf_lm.rare"))
         .join(lexicon, "word", "left")
         .groupBy("_lf_row")  # of one text
-        .agg(F.count("seen").alias("_lf_known"), F.sum(F.log10(seen + F.lit(0.5))).alias("_lf_logs"), F.collect_list(F.col("at").cast("long") * 256 + cls).alias("_lf_rare"))
+        .agg(F.count("seen").alias("_lf_known"), F.sum(F.log10(F.coalesce("seen", F.lit(0)) + F.lit(0.5))).alias("_lf_logs"), F.sort_array(F.collect_list(code)).alias("_lf_rare"))
     )
-    classes = with_classes(texts, model)
-    texts = texts.withColumn("_lf_lm", F.col("_lf_lm").dropFields("rare", "ids"))
-    texts = written(texts.join(classes, "_lf_row").join(sums, "_lf_row", "left").drop("_lf_row"))
-    c = class_bigrams(texts.filter("_lf_train").select("_lf_cls", "_lf_rare"), settings)
-    pairs = (c + 0.5) / (c.sum(axis=1, keepdims=True) + 0.5 * settings.classes)
+    texts = texts.withColumn("_lf_lm", F.col("_lf_lm").dropFields("rare"))
+    texts = written(texts.join(sums, "_lf_row", "left").drop("_lf_row"), "zstd")
+    plain = texts.filter("_lf_train").select("_lf_lm.ids", "_lf_rare")
+    chosen = class_counts(plain, cls, joined_classes(0), settings.classes, None)[0]
+    shift = 0 if likelihood(chosen) >= likelihood(pairs) else 8
+    cls, c = swept(plain, cls, joined_classes(shift), settings.last_sweeps, settings, trace)
+    lexicon = lexicon.select("word", "seen", F.col("start" if shift else "cls").alias("cls"))
+    own = cls[: len(top)]
+    kinds, once = np.bincount(own, minlength=settings.classes), np.bincount(own[hot_n == 1], minlength=settings.classes)
+    for r in lexicon.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("seen") == 1).alias("once")).collect():
+        kinds[r.cls] += r.n
+        once[r.cls] += r.once
+    kinds[settings.end] = 1 if ends else 0
+    model = Model(settings, top, hot_n, cls, int(once.argmax()), int(n_words) + ends, int(distinct) + (ends > 0), ends, int(once.sum()), trace)
+    share = (c + 0.5) / (c.sum(axis=1, keepdims=True) + 0.5 * settings.classes)
     single = (c.sum(axis=0) + 0.5) / (c.sum() + 0.5 * settings.classes)
     new = model.once / max(1, model.total)
-    model.move = np.log10((1 - new) * pairs + new * single)
+    model.move = np.log10((1 - new) * share + new * single)
     model.emit = np.log10(c.sum(axis=0) + 0.5 * (kinds + 1))
+    texts = texts.withColumn("_lf_rare", F.transform("_lf_rare", lambda x: F.shiftright(x, shift).bitwiseAND(255)))
     return model, lexicon, texts
 
 
@@ -486,14 +475,16 @@ def lm_scores(df: DataFrame, train: Column, text: str = "text", settings: Settin
     df = df.drop(*RESULTS)
     columns = df.columns if carry_text else [c for c in df.columns if c != text]
     model, _, texts = fitted(df, train, text, settings, carry_text)
-    shared = df.sparkSession.sparkContext.broadcast((model.move, model.emit))
+    shared = df.sparkSession.sparkContext.broadcast((model.move, model.emit, model.cls, model.unseen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        move, emit = shared.value
+        move, emit, cls, unseen = shared.value
         for b in batches:
-            c, starts = filled(b.column("_lf_cls"), b.column("_lf_rare"), settings.end)
+            _, c = all_classes(b.column("_lf_ids"), b.column("_lf_rare"), cls, joined_classes(0))
+            c[c == HOLE] = unseen
+            starts = 1 + np.concatenate([[0], np.cumsum(b.column("n_tokens").to_numpy())])[:-1]
             out = np.add.reduceat(move[c[:-1], c[1:]] - emit[c[1:]], starts - 1) if len(starts) else []
-            kept = [k for k, name in enumerate(b.schema.names) if name not in ("_lf_cls", "_lf_rare")]
+            kept = [k for k, name in enumerate(b.schema.names) if name not in ("_lf_ids", "_lf_rare")]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(out, pa.float64())], names=[*(b.schema.names[k] for k in kept), "_lf_score"])
 
     texts = texts.select(
@@ -501,10 +492,10 @@ def lm_scores(df: DataFrame, train: Column, text: str = "text", settings: Settin
         F.col("_lf_lm.n_tokens").alias("n_tokens"),
         (F.col("_lf_lm.n_known") + F.coalesce("_lf_known", F.lit(0))).alias("n_known"),
         (F.col("_lf_lm.logs") + F.coalesce("_lf_logs", F.lit(0.0))).alias("_lf_logs"),
-        "_lf_cls",
+        F.col("_lf_lm.ids").alias("_lf_ids"),
         "_lf_rare",
     )
-    fields = [f for f in texts.schema.fields if f.name not in ("_lf_cls", "_lf_rare")]
+    fields = [f for f in texts.schema.fields if f.name not in ("_lf_ids", "_lf_rare")]
     out = texts.mapInArrow(run, T.StructType([*fields, T.StructField("_lf_score", T.DoubleType())]))
     all_words = float(np.log10(model.total + 0.5 * (model.distinct + 1)))
     return out.select(

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -489,28 +490,54 @@ def test_probabilities_add_up(spark):
         assert math.isclose(m + 0.5 / 10 ** model.emit[c], 1, rel_tol=1e-9)
 
 
-def test_no_word_would_move(spark):
-    """At the end no word beyond the window has a class that is likelier given its neighbours, counted plainly."""
-    s = lm_scores.Settings(hot_words=40, window=15, classes=5)
+@pytest.mark.parametrize(("hot", "window"), [(40, 15), (12, 12), (1000, 10)])
+def test_likelihood_never_falls(spark, hot, window):
+    """The likelihood of the class bigrams of all words, counted plainly, is the last on the way, and none on the way is lower than one before."""
+    s = lm_scores.Settings(hot_words=hot, window=window, classes=5)
     docs = corpus(7, 150)
     model, lexicon, _ = lm_scores.fitted(frame(spark, docs), F.lit(True), "text", s, True)
-    known, window = lexicon_of(model, lexicon), set(model.top[:15])
-    sides = {}
+    known = lexicon_of(model, lexicon)
+    pairs = np.zeros((5, 5))
+    for r in docs:
+        c = [known[w][1] for w in lm_scores.tokens(r[1])] + [4]
+        for a, b in zip([4, *c], c, strict=False):
+            pairs[a, b] += 1
+    assert math.isclose(model.trace[-1], likelihood(pairs, np.arange(5), 5), rel_tol=1e-12)
+    assert len(model.trace) > 2 and all(a <= b for a, b in zip(model.trace, model.trace[1:], strict=False)) and model.trace[-1] > model.trace[0]
+
+
+def test_rare_words_choose_by_all_neighbours(spark):
+    """Each word that isn't broadcast has the likeliest class, its neighbours' classes being known, rare ones among them; counted plainly."""
+    s = lm_scores.Settings(hot_words=12, window=6, classes=5)
+    docs = corpus(8, 120)
+    df = frame(spark, docs).withColumn("_lf_train", F.lit(True))
+    counts = Counter(w for r in docs for w in lm_scores.tokens(r[1]))
+    top = sorted(counts, key=lambda w: (-counts[w], w))[:12]
+    hot = pa.table({"word": [w.decode() for w in top], "n": [counts[w] for w in top]})
+    texts = lm_scores.encoded(df, "text", hot, len(docs)).select("_lf_lm.ids", F.col("_lf_lm.rare.word"))
+    cls = np.append(np.arange(12) % 4, [0, 4]).astype(np.uint8)
+    starts = lm_scores.start_classes(top, cls[:12], 4)
+    now = {w: int(cls[top.index(w)]) if w in top else int(starts[lm_scores.ending(w)]) for w in counts}
+    pairs, sides = np.zeros((5, 5)), {}
     for r in docs:
         w = lm_scores.tokens(r[1])
-        near = [4, *(known[x][1] if x in window else 5 for x in w), 4]
+        c = [4, *(now[x] for x in w), 4]
+        for a, b in zip(c, c[1:], strict=False):
+            pairs[a, b] += 1
         for k, x in enumerate(w):
-            left, right = sides.setdefault(x, (Counter(), Counter()))
-            left[near[k]] += 1
-            right[near[k + 2]] += 1
-    total = {c: [sum((sides[x][side] for x in sides if known[x][1] == c), Counter()) for side in (0, 1)] for c in range(4)}
-    log = lambda c, side, j: math.log((total[c][side][j] + 0.5) / (sum(total[c][side].values()) + 0.5 * 6))
-    sizes = Counter(known[x][1] for x in sides if x not in window)
-    prior = [math.log((sizes[c] + 0.5) / (sum(sizes.values()) + 0.5 * 4)) for c in range(4)]
-    for x in sides:
-        if x not in window:
-            like = [prior[c] + sum(n * log(c, side, j) for side in (0, 1) for j, n in sides[x][side].items()) for c in range(4)]
-            assert like[known[x][1]] >= max(like) - 1e-9
+            sides.setdefault(x, []).append((c[k], c[k + 2]))
+    found, ids, left, right = lm_scores.class_counts(texts, cls, lm_scores.by_ending(starts), 5, 1)
+    assert np.array_equal(found, pairs)
+    for i, x, y in zip(ids, left, right, strict=True):
+        near = sides[top[i]]
+        assert i % 2 == 1 and list(x) == [sum(a == j for a, _ in near) for j in range(5)] and list(y) == [sum(b == j for _, b in near) for j in range(5)]
+    rows = lm_scores.rare_choices(texts, cls, starts, found, s).collect()
+    assert {r.word.encode() for r in rows} == set(counts) - set(top)
+    p = pairs + 0.5
+    for r in rows:
+        near = sides[r.word.encode()]
+        gain = [sum(math.log(p[a, c] * p[c, b] / p[:, c].sum() / p[c].sum()) for a, b in near) for c in range(4)]
+        assert r.seen == len(near) and r.start == now[r.word.encode()] and gain[r.cls] >= max(gain) - 1e-9
 
 
 def likelihood(pairs, cls, k):
