@@ -15,8 +15,10 @@ neighbour by its class:
   to either side of each word in tasks and adds them up by word.
 - The rarer words then choose among classes alike, from their neighbours shuffled by word, their classes are
   joined to the texts, and the broadcast words are swept again.
-- After each of these steps the likelihood of the class bigrams is counted anew over all training texts. A
-  step that lowers it is taken back, so it never falls. The number of sweeps is a setting.
+- A class is chosen beforehand as often as it has words: without that, words seen once or twice fit their own bigrams,
+  and texts that weren't learnt from score worse.
+- After each of these steps the likelihood of the class bigrams, and of the words' classes under that prior, is counted anew
+  over all training texts. A step that lowers it is taken back, so it never falls. The number of sweeps is a setting.
 - Class bigrams of
   all training texts give the transitions. They are mixed with the classes' frequencies: words that were seen
   once chose their classes by the very bigrams that are counted, so the share of tokens that are new words (by
@@ -38,8 +40,8 @@ from pyspark.sql import types as T
 
 from .common import written
 
-#: The class of a word that no training text holds, until the model names one.
-HOLE = 255
+#: In the code of a rare word in a text: no training text holds it, and its low bits are the slot of its ending.
+UNSEEN = 1 << 16
 #: What each pair of classes counts before any is seen, where words choose among classes.
 ALPHA = 0.5
 #: Slots for endings of words.
@@ -191,29 +193,31 @@ def exchange(pairs: np.ndarray, classes: int, own: int = 1) -> np.ndarray:
 
 @dataclass
 class Choice:
-    """What a word gains in each class from its neighbours, given the bigrams ``c`` of classes; ``words`` classes can be chosen."""
+    """What a word gains in each class from its neighbours, given the bigrams ``c`` of classes, and beforehand."""
 
     before: np.ndarray
     after: np.ndarray
     each: np.ndarray
+    prior: np.ndarray
 
     @staticmethod
-    def of(c: np.ndarray, words: int) -> Choice:
-        c = c + ALPHA
-        return Choice(np.log(c[:, :words]), np.log(c[:words].T), np.log(c.sum(axis=0)[:words]) + np.log(c.sum(axis=1)[:words]))
+    def of(c: np.ndarray, kinds: np.ndarray) -> Choice:
+        """``kinds``: number of words of each class that can be chosen."""
+        c, words = c + ALPHA, len(kinds)
+        return Choice(np.log(c[:, :words]), np.log(c[:words].T), np.log(c.sum(axis=0)[:words]) + np.log(c.sum(axis=1)[:words]), np.log(kinds + ALPHA))
 
     def best(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The class of each word from the counts of classes to its left and right; ties to the lower class."""
-        return (left @ self.before + right @ self.after - left.sum(axis=1, keepdims=True) * self.each).argmax(axis=1)
+        return (left @ self.before + right @ self.after - left.sum(axis=1, keepdims=True) * self.each + self.prior).argmax(axis=1)
 
     def codes(self) -> np.ndarray:
         """The gain of one occurrence between each pair of classes, the left one first."""
         return (self.before[:, None, :] + self.after[None, :, :] - self.each).reshape(-1, len(self.each))
 
 
-def likelihood(c: np.ndarray) -> float:
-    """Of class bigrams, but for what no class changes: the entropy of single words."""
-    return float(xlogx(c).sum() - xlogx(c.sum(axis=0)).sum() - xlogx(c.sum(axis=1)).sum())
+def likelihood(c: np.ndarray, kinds: np.ndarray) -> float:
+    """Of class bigrams, but for what no class changes (the entropy of single words); and of the classes of words, given their sizes."""
+    return float(xlogx(c).sum() - xlogx(c.sum(axis=0)).sum() - xlogx(c.sum(axis=1)).sum() + xlogx(kinds).sum() - xlogx(kinds.sum()))
 
 
 def ending(word: bytes) -> int:
@@ -227,6 +231,21 @@ def start_classes(top: list[bytes], cls: np.ndarray, classes: int) -> np.ndarray
     return np.where(found.any(axis=1), found.argmax(axis=1), found.sum(axis=0).argmax()).astype(np.uint8)
 
 
+def start_sizes(counts: DataFrame, top: list[bytes], starts: np.ndarray, classes: int) -> np.ndarray:
+    """By class the number of words of ``counts`` that start in it and aren't broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = np.zeros(classes, dtype=np.int64)
+        for b in batches:
+            sizes += np.bincount(starts[[ending(w.encode()) for w in b.column(0).to_pylist()]], minlength=classes)
+        yield pa.RecordBatch.from_pydict({"cls": pa.array(np.arange(classes)), "n": pa.array(sizes)})
+
+    sizes = -np.bincount(starts[[ending(w) for w in top]], minlength=classes)
+    for r in counts.select("word").mapInArrow(run, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n")).collect():
+        sizes[r.cls] += r.n
+    return sizes
+
+
 Rare = Callable[[pa.Array], np.ndarray]
 
 
@@ -235,9 +254,14 @@ def by_ending(starts: np.ndarray) -> Rare:
     return lambda words: starts[np.fromiter((ending(w.encode()) for w in words.flatten().to_pylist()), dtype=np.int64)]
 
 
-def joined_classes(shift: int) -> Rare:
-    """Classes of rare words as the join has put them: the chosen ones (0), or those of the start (8)."""
-    return lambda held: held.flatten().to_numpy() >> shift & 255
+def joined_classes(shift: int, endings: np.ndarray) -> Rare:
+    """Classes of rare words as the join has put them: the chosen ones (shift 0), or those of the start (8); of unseen words by ``endings``."""
+
+    def run(held: pa.Array) -> np.ndarray:
+        r = held.flatten().to_numpy()
+        return np.where(r & UNSEEN, endings[r % ENDINGS], r >> shift & 255)
+
+    return run
 
 
 def all_classes(ids: pa.Array, rare: pa.Array, cls: np.ndarray, rare_of: Rare) -> tuple[np.ndarray, np.ndarray]:
@@ -292,31 +316,35 @@ def class_counts(texts: DataFrame, cls: np.ndarray, rare_of: Rare, k: int, part:
     return pairs, ids[ids >= 0], near[:, :k], near[:, k:]
 
 
-def swept(texts: DataFrame, cls: np.ndarray, rare_of: Rare, sweeps: int, settings: Settings, trace: list[float]) -> tuple[np.ndarray, np.ndarray]:
+def swept(texts: DataFrame, cls: np.ndarray, rare_of: Rare, sizes: np.ndarray, sweeps: int, settings: Settings, trace: list[float]) -> tuple[np.ndarray, np.ndarray]:
     """The classes of the broadcast words, and the bigrams of all classes, after ``sweeps`` sweeps or when no word of either half moves.
 
+    ``sizes``: number of the other words by class.
     ``trace`` gets the likelihood after each; the sweep that lowers it is taken back, and is the last.
     """
-    k = settings.classes
+    k, h = settings.classes, len(cls) - 2
     old, old_pairs, still = None, None, 0
     for s in range(sweeps + 1):
         pairs, ids, left, right = class_counts(texts, cls, rare_of, k, s % 2 if s < sweeps else None)
-        if old is not None and likelihood(pairs) < likelihood(old_pairs):
+        kinds = sizes + np.bincount(cls[:h], minlength=settings.end)
+        value = likelihood(pairs, kinds)
+        if old is not None and value < trace[-1]:
             return old, old_pairs
-        trace.append(likelihood(pairs))
+        trace.append(value)
         if s == sweeps or still == 2:
             break
         old, old_pairs = cls, pairs
         cls = cls.copy()
-        cls[ids] = Choice.of(pairs, settings.end).best(left, right)
+        cls[ids] = Choice.of(pairs, kinds).best(left, right)
         still = still + 1 if np.array_equal(cls, old) else 0
     return cls, pairs
 
 
-def rare_choices(texts: DataFrame, cls: np.ndarray, starts: np.ndarray, pairs: np.ndarray, settings: Settings) -> DataFrame:
+def rare_choices(texts: DataFrame, cls: np.ndarray, starts: np.ndarray, pairs: np.ndarray, kinds: np.ndarray, settings: Settings) -> DataFrame:
     """(word, seen, start, cls) of each rare word, as a written table: its class at the start, and the likeliest one among its neighbours' classes."""
     k, h, rare_of = settings.classes, len(cls) - 2, by_ending(starts)
-    gain = Choice.of(pairs, settings.end).codes()
+    choice = Choice.of(pairs, kinds)
+    gain = choice.codes()
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -330,7 +358,7 @@ def rare_choices(texts: DataFrame, cls: np.ndarray, starts: np.ndarray, pairs: n
                 part = b.slice(a, 1000)
                 ends = np.concatenate([[0], np.cumsum(part.column(1).value_lengths().to_numpy())])
                 n = part.column(2).flatten().to_numpy()
-                best = np.add.reduceat(gain[part.column(1).flatten().to_numpy()] * n[:, None], ends[:-1], axis=0).argmax(axis=1)
+                best = (np.add.reduceat(gain[part.column(1).flatten().to_numpy()] * n[:, None], ends[:-1], axis=0) + choice.prior).argmax(axis=1)
                 start = starts[[ending(w.encode()) for w in part.column(0).to_pylist()]]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.add.reduceat(n, ends[:-1])), pa.array(start, pa.int32()), pa.array(best, pa.int32())], names=["word", "seen", "start", "cls"])
 
@@ -342,13 +370,14 @@ def rare_choices(texts: DataFrame, cls: np.ndarray, starts: np.ndarray, pairs: n
 
 @dataclass
 class Model:
-    """What scoring needs on every worker; ``cls`` by rank, then two more; ``emit`` holds log10 denominators by class; ``trace`` the likelihoods on the way."""
+    """What scoring needs on every worker; ``cls`` by rank, then two more; ``endings`` the classes of unseen words; ``emit`` holds log10 denominators by class; ``trace`` the likelihoods on the way."""
 
     settings: Settings
     top: list[bytes]
     counts: np.ndarray
     cls: np.ndarray
-    unseen: int
+    endings: np.ndarray
+    shift: int
     total: int
     distinct: int
     ends: int
@@ -367,7 +396,7 @@ def first_classes(train: DataFrame, h: int, settings: Settings) -> np.ndarray:
     cls[:n], cls[h + 1] = one[:n], settings.end
     if h > n:
         flat = np.eye(p, dtype=np.int64)[one]
-        choice = Choice.of(flat.T @ pairs @ flat, settings.end)
+        choice = Choice.of(flat.T @ pairs @ flat, np.bincount(one[:n], minlength=settings.end))
         found = cls.copy()
         for part in (0, 1):
             _, ids, left, right = class_counts(train.select("_lf_lm.ids", F.col("_lf_lm.rare.word")), cls, lambda rare: settings.other, p, part)
@@ -428,9 +457,12 @@ def fitted(df: DataFrame, train: Column, text: str, settings: Settings, carry_te
     cls = first_classes(learnt, len(top), settings)
     starts = start_classes(top, cls[: len(top)], settings.end)
     plain = learnt.select("_lf_lm.ids", F.col("_lf_lm.rare.word"))
-    cls, pairs = swept(plain, cls, by_ending(starts), settings.first_sweeps, settings, trace)
-    lexicon = rare_choices(plain, cls, starts, pairs, settings)
-    code = F.col("at").cast("long") * 65536 + F.coalesce(F.col("start") * 256 + F.col("cls"), F.lit(HOLE * 257))
+    sizes = start_sizes(counts, top, starts, settings.end)
+    cls, pairs = swept(plain, cls, by_ending(starts), sizes, settings.first_sweeps, settings, trace)
+    own = np.bincount(cls[: len(top)], minlength=settings.end)
+    lexicon = rare_choices(plain, cls, starts, pairs, own + sizes, settings)
+    slot = F.crc32(F.substring(F.col("word").cast("binary"), -3, 3)) % ENDINGS  # as ``ending`` has it
+    code = F.col("at").cast("long") * (2 * UNSEEN) + F.coalesce(F.col("start") * 256 + F.col("cls"), slot + UNSEEN)
     sums = (
         texts.select("_lf_row", F.inline("_lf_lm.rare"))
         .join(lexicon, "word", "left")
@@ -440,23 +472,27 @@ def fitted(df: DataFrame, train: Column, text: str, settings: Settings, carry_te
     texts = texts.withColumn("_lf_lm", F.col("_lf_lm").dropFields("rare"))
     texts = written(texts.join(sums, "_lf_row", "left").drop("_lf_row"), "zstd")
     plain = texts.filter("_lf_train").select("_lf_lm.ids", "_lf_rare")
-    chosen = class_counts(plain, cls, joined_classes(0), settings.classes, None)[0]
-    shift = 0 if likelihood(chosen) >= likelihood(pairs) else 8
-    cls, c = swept(plain, cls, joined_classes(shift), settings.last_sweeps, settings, trace)
+    chosen = class_counts(plain, cls, joined_classes(0, starts), settings.classes, None)[0]
+    new_sizes, once = np.zeros_like(sizes), np.zeros((2, settings.classes), dtype=np.int64)
+    for r in lexicon.groupBy("start", "cls").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("seen") == 1).alias("once")).collect():
+        new_sizes[r.cls] += r.n
+        once[0, r.cls] += r.once
+        once[1, r.start] += r.once
+    shift = 0
+    if likelihood(chosen, own + new_sizes) < trace[-1]:
+        shift, new_sizes, once[0] = 8, sizes, once[1]
+    cls, c = swept(plain, cls, joined_classes(shift, starts), new_sizes, settings.last_sweeps, settings, trace)
     lexicon = lexicon.select("word", "seen", F.col("start" if shift else "cls").alias("cls"))
     own = cls[: len(top)]
-    kinds, once = np.bincount(own, minlength=settings.classes), np.bincount(own[hot_n == 1], minlength=settings.classes)
-    for r in lexicon.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("seen") == 1).alias("once")).collect():
-        kinds[r.cls] += r.n
-        once[r.cls] += r.once
+    kinds = np.append(new_sizes, 0) + np.bincount(own, minlength=settings.classes)
+    once = once[0] + np.bincount(own[hot_n == 1], minlength=settings.classes)
     kinds[settings.end] = 1 if ends else 0
-    model = Model(settings, top, hot_n, cls, int(once.argmax()), int(n_words) + ends, int(distinct) + (ends > 0), ends, int(once.sum()), trace)
+    model = Model(settings, top, hot_n, cls, start_classes(top, own, settings.end), shift, int(n_words) + ends, int(distinct) + (ends > 0), ends, int(once.sum()), trace)
     share = (c + 0.5) / (c.sum(axis=1, keepdims=True) + 0.5 * settings.classes)
     single = (c.sum(axis=0) + 0.5) / (c.sum() + 0.5 * settings.classes)
     new = model.once / max(1, model.total)
     model.move = np.log10((1 - new) * share + new * single)
     model.emit = np.log10(c.sum(axis=0) + 0.5 * (kinds + 1))
-    texts = texts.withColumn("_lf_rare", F.transform("_lf_rare", lambda x: F.shiftright(x, shift).bitwiseAND(255)))
     return model, lexicon, texts
 
 
@@ -465,8 +501,8 @@ def lm_scores(df: DataFrame, train: Column, text: str = "text", settings: Settin
 
     ``train``: true for the rows to learn from. ``base_score`` is the smoothed unigram
     log10 probability of the text, ``score`` the class model's; perplexity is
-    ``10 ** (-score / n_tokens)``. Words that no training text holds have the class in which most words
-    were seen once. A null text is empty: its end token alone is scored.
+    ``10 ** (-score / n_tokens)``. Words that no training text holds have the class of most
+    frequent words with their last three bytes. A null text is empty: its end token alone is scored.
     Repeated rows are scored each, and learnt from each. With no training rows all words
     are unknown. An empty table gives an empty one; input columns with the names of
     results are replaced.
@@ -475,13 +511,12 @@ def lm_scores(df: DataFrame, train: Column, text: str = "text", settings: Settin
     df = df.drop(*RESULTS)
     columns = df.columns if carry_text else [c for c in df.columns if c != text]
     model, _, texts = fitted(df, train, text, settings, carry_text)
-    shared = df.sparkSession.sparkContext.broadcast((model.move, model.emit, model.cls, model.unseen))
+    shared = df.sparkSession.sparkContext.broadcast((model.move, model.emit, model.cls, model.shift, model.endings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        move, emit, cls, unseen = shared.value
+        move, emit, cls, shift, endings = shared.value
         for b in batches:
-            _, c = all_classes(b.column("_lf_ids"), b.column("_lf_rare"), cls, joined_classes(0))
-            c[c == HOLE] = unseen
+            _, c = all_classes(b.column("_lf_ids"), b.column("_lf_rare"), cls, joined_classes(shift, endings))
             starts = 1 + np.concatenate([[0], np.cumsum(b.column("n_tokens").to_numpy())])[:-1]
             out = np.add.reduceat(move[c[:-1], c[1:]] - emit[c[1:]], starts - 1) if len(starts) else []
             kept = [k for k, name in enumerate(b.schema.names) if name not in ("_lf_ids", "_lf_rare")]

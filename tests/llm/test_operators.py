@@ -471,7 +471,7 @@ def test_lm_scores(spark, hot, window):
         base = sum(math.log10((counts.get(x, 0) + 0.5) / (total + 0.5 * (distinct + 1))) for x in w) + math.log10((ends + 0.5) / (total + 0.5 * (distinct + 1)))
         assert r.n_tokens == len(w) + 1 and r.n_known == sum(x in counts for x in w) + 1 and r.train_tokens == total
         assert math.isclose(r.base_score, base, rel_tol=1e-9)
-        pairs = [known.get(x, (0, model.unseen)) for x in w] + [(ends, 5)]
+        pairs = [known.get(x, (0, int(model.endings[lm_scores.ending(x)]))) for x in w] + [(ends, 5)]
         score = sum(move(a, b) for a, b in zip([5, *(c for _, c in pairs)], [c for _, c in pairs], strict=False)) + sum(emit(n, c) for n, c in pairs)
         assert math.isclose(r.score, score, rel_tol=1e-9)
     assert lm_scores.lm_scores(df.limit(0), train, settings=s).count() == 0
@@ -502,7 +502,9 @@ def test_likelihood_never_falls(spark, hot, window):
         c = [known[w][1] for w in lm_scores.tokens(r[1])] + [4]
         for a, b in zip([4, *c], c, strict=False):
             pairs[a, b] += 1
-    assert math.isclose(model.trace[-1], likelihood(pairs, np.arange(5), 5), rel_tol=1e-12)
+    sizes = Counter(c for _, c in known.values())
+    prior = sum(n * math.log(n / len(known)) for n in sizes.values())
+    assert math.isclose(model.trace[-1], likelihood(pairs, np.arange(5), 5) + prior, rel_tol=1e-12)
     assert len(model.trace) > 2 and all(a <= b for a, b in zip(model.trace, model.trace[1:], strict=False)) and model.trace[-1] > model.trace[0]
 
 
@@ -531,12 +533,16 @@ def test_rare_words_choose_by_all_neighbours(spark):
     for i, x, y in zip(ids, left, right, strict=True):
         near = sides[top[i]]
         assert i % 2 == 1 and list(x) == [sum(a == j for a, _ in near) for j in range(5)] and list(y) == [sum(b == j for _, b in near) for j in range(5)]
-    rows = lm_scores.rare_choices(texts, cls, starts, found, s).collect()
+    table = spark.createDataFrame([(w.decode(),) for w in counts], "word string")
+    sizes = lm_scores.start_sizes(table, top, starts, 4)
+    assert list(sizes) == [sum(now[w] == c for w in counts if w not in top) for c in range(4)]
+    kinds = sizes + np.bincount(cls[:12], minlength=4)
+    rows = lm_scores.rare_choices(texts, cls, starts, found, kinds, s).collect()
     assert {r.word.encode() for r in rows} == set(counts) - set(top)
     p = pairs + 0.5
     for r in rows:
         near = sides[r.word.encode()]
-        gain = [sum(math.log(p[a, c] * p[c, b] / p[:, c].sum() / p[c].sum()) for a, b in near) for c in range(4)]
+        gain = [math.log(kinds[c] + 0.5) + sum(math.log(p[a, c] * p[c, b] / p[:, c].sum() / p[c].sum()) for a, b in near) for c in range(4)]
         assert r.seen == len(near) and r.start == now[r.word.encode()] and gain[r.cls] >= max(gain) - 1e-9
 
 
