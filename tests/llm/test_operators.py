@@ -546,6 +546,21 @@ def test_rare_words_choose_by_all_neighbours(spark):
         assert r.seen == len(near) and r.start == now[r.word.encode()] and gain[r.cls] >= max(gain) - 1e-9
 
 
+def test_unseen_words_have_the_class_of_their_ending(spark):
+    """Words of one, two and more bytes, and of letters of several bytes, that only a held-out text has: its score is that of a plain count."""
+    s = lm_scores.Settings(hot_words=20, window=10, classes=5)
+    docs = corpus(9, 60)
+    held = (900, "q zz é 日本 naïve unheardof q", "en", "a")
+    df, train = frame(spark, [*docs, held]).drop("n_tokens"), F.col("doc_id") != 900
+    got = lm_scores.lm_scores(df, train, settings=s).filter("doc_id = 900").first()
+    model, lexicon, _ = lm_scores.fitted(df, train, "text", s, True)
+    known = lexicon_of(model, lexicon)
+    move, emit = brute_model([r[1] for r in docs], known, s)
+    pairs = [known.get(x, (0, int(model.endings[zlib.crc32(x[-3:]) % 65536]))) for x in lm_scores.tokens(held[1])] + [(len(docs), 4)]
+    score = sum(move(a, b) for a, b in zip([4, *(c for _, c in pairs)], [c for _, c in pairs], strict=False)) + sum(emit(n, c) for n, c in pairs)
+    assert math.isclose(got.score, score, rel_tol=1e-9) and any(n == 0 for n, _ in pairs)
+
+
 def likelihood(pairs, cls, k):
     f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
     one = np.eye(k)[cls]
