@@ -38,3 +38,12 @@ def staged(df: DataFrame) -> DataFrame:
     path = new_folder(spark, "staged")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def growing(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that grows with the input: the join sorts and merges, so no side is gathered at the driver.
+
+    The planner knows a staged table by the bytes of its files, which dictionaries make far smaller than its
+    rows, and takes rows from ``explode`` for one each; either way it may broadcast millions.
+    """
+    return df.hint("merge")

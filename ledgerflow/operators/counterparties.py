@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..functions.similar import distinct_spread, first_elements, name_scores, share_first
-from ..functions.staging import staged
+from ..functions.staging import growing, staged
 
 
 def distinct_names(named: DataFrame) -> DataFrame:
@@ -25,15 +25,26 @@ def distinct_names(named: DataFrame) -> DataFrame:
     )
 
 
-def similar_names(heads: DataFrame, threshold: float) -> DataFrame:
-    """(statement_id, i, j, score): pairs of a statement's names (norm, first_id) with a score of ``threshold`` or more, i before j."""
+def similar_names(heads: DataFrame, threshold: float, few: int = 64) -> DataFrame:
+    """(statement_id, i, j, score): pairs of a statement's names (norm, first_id) with a score of ``threshold`` or more, i before j.
+
+    Names of a statement with at most ``few`` of them are all paired, those of the others meet under each rare element.
+    """
     keys = first_elements(heads.select(F.col("norm").alias("text")), threshold, with_tokens=True).withColumnRenamed("text", "norm")
-    keyed = heads.select("statement_id", "norm", "first_id").join(keys, "norm").withColumn("key", F.explode("keys"))
-    side = lambda p: keyed.select("statement_id", "key", F.col("norm").alias(f"{p}_norm"), F.col("first_id").alias(p), F.col("keys").alias(f"{p}_keys"))
-    met = side("i").join(side("j"), ["statement_id", "key"]).filter((F.col("i") < F.col("j")) & share_first(F.col("i_keys"), F.col("j_keys"), F.col("key")))
-    pairs = staged(met.select("statement_id", "i", "j", F.col("j_norm").alias("a"), F.col("i_norm").alias("b")))
+    keyed = staged(growing(heads.select("statement_id", "norm", "first_id")).join(keys, "norm"))
+    many = keyed.groupBy("statement_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > few).select("statement_id")
+    side = lambda d, p, *by: growing(d.select(*by, F.col("norm").alias(f"{p}_norm"), F.col("first_id").alias(p), F.col("keys").alias(f"{p}_keys")))
+
+    def met(d: DataFrame, *by: str) -> DataFrame:
+        return side(d, "i", *by).join(side(d, "j", *by), list(by)).filter(F.col("i") < F.col("j"))
+
+    own, shared = F.col("i_keys"), F.col("j_keys")
+    close = met(keyed.join(many, "statement_id", "left_anti"), "statement_id").filter(F.arrays_overlap(own, shared))
+    far = met(keyed.join(many, "statement_id", "left_semi").withColumn("key", F.explode("keys")), "statement_id", "key").filter(share_first(own, shared, F.col("key")))
+    pair = ("statement_id", "i", "j", F.col("j_norm").alias("a"), F.col("i_norm").alias("b"))
+    pairs = staged(close.select(*pair).unionByName(far.select(*pair)))
     scored = name_scores(distinct_spread(pairs.select("a", "b")), threshold)
-    return pairs.join(scored, ["a", "b"]).select("statement_id", "i", "j", "score")
+    return growing(pairs).join(scored, ["a", "b"]).select("statement_id", "i", "j", "score")
 
 
 def followers(edges: DataFrame) -> DataFrame:
@@ -44,12 +55,12 @@ def followers(edges: DataFrame) -> DataFrame:
     left, found = edges.select("statement_id", "i", "j"), []
     while True:
         after = left.select("statement_id", F.col("j").alias("i")).distinct()
-        heads = left.select("statement_id", "i").distinct().join(after, ["statement_id", "i"], "left_anti")
-        follow = staged(left.join(heads, ["statement_id", "i"], "left_semi").select("statement_id", "j").distinct())
+        heads = growing(left.select("statement_id", "i").distinct()).join(after, ["statement_id", "i"], "left_anti")
+        follow = staged(growing(left).join(heads, ["statement_id", "i"], "left_semi").select("statement_id", "j").distinct())
         found.append(follow)
         if follow.isEmpty():
             break
-        left = staged(left.join(follow, ["statement_id", "j"], "left_anti").join(follow.withColumnRenamed("j", "i"), ["statement_id", "i"], "left_anti"))
+        left = staged(left.join(growing(follow), ["statement_id", "j"], "left_anti").join(growing(follow.withColumnRenamed("j", "i")), ["statement_id", "i"], "left_anti"))
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
@@ -68,11 +79,11 @@ def merge_counterparties(names: DataFrame, threshold: float = 0.82) -> DataFrame
     heads = staged(w.groupBy("statement_id", "norm").agg(F.min_by("beneficiary_name", "first_id").alias("name"), F.min("first_id").alias("first_id")))
     edges = staged(similar_names(heads, threshold))
     follow = staged(followers(edges))
-    led = edges.join(follow, ["statement_id", "j"], "left_semi").join(follow.withColumnRenamed("j", "i"), ["statement_id", "i"], "left_anti")
+    led = edges.join(growing(follow), ["statement_id", "j"], "left_semi").join(growing(follow.withColumnRenamed("j", "i")), ["statement_id", "i"], "left_anti")
     best = led.groupBy("statement_id", F.col("j").alias("first_id")).agg(F.max(F.struct("score", -F.col("i")))["col2"].alias("lead"))
     leads = heads.select("statement_id", (-F.col("first_id")).alias("lead"), F.col("name").alias("leader"))
-    found = heads.join(best.join(leads, ["statement_id", "lead"]), ["statement_id", "first_id"], "left").select("statement_id", "norm", F.coalesce("leader", "name").alias("counterparty"))
-    return w.join(found, ["statement_id", "norm"]).select("statement_id", "beneficiary_name", "counterparty")
+    found = growing(heads).join(best.join(growing(leads), ["statement_id", "lead"]), ["statement_id", "first_id"], "left").select("statement_id", "norm", F.coalesce("leader", "name").alias("counterparty"))
+    return growing(w).join(found, ["statement_id", "norm"]).select("statement_id", "beneficiary_name", "counterparty")
 
 
 def merge_by_tokens(names: DataFrame, threshold: float = 0.82) -> DataFrame:
@@ -92,7 +103,7 @@ def merge_by_tokens(names: DataFrame, threshold: float = 0.82) -> DataFrame:
 
 def assign_counterparties(named: DataFrame, merged: DataFrame) -> DataFrame:
     """Adds ``counterparty`` to transactions with a beneficiary name."""
-    return named.join(merged, ["statement_id", "beneficiary_name"], "left")
+    return named.join(growing(merged), ["statement_id", "beneficiary_name"], "left")
 
 
 def counterparty_financials(assigned: DataFrame) -> DataFrame:
@@ -116,7 +127,7 @@ def build_ledger(assigned: DataFrame) -> DataFrame:
         .groupBy("statement_id", "counterparty")
         .agg(F.min_by("beneficiary_type", "id").alias("beneficiary_type"), F.min_by("method", "id").alias("identification_method"), F.max("confidence").alias("highest_confidence"))
     )
-    return about.join(counterparty_financials(assigned), ["statement_id", "counterparty"])
+    return about.join(growing(counterparty_financials(assigned)), ["statement_id", "counterparty"])
 
 
 def identification_audit(assigned: DataFrame) -> DataFrame:

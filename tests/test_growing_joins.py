@@ -1,0 +1,51 @@
+"""Joins of tables that grow with the input: none of their sides is broadcast, and few or many rows meet alike."""
+
+import random
+from collections import Counter
+from difflib import SequenceMatcher
+
+import pytest
+
+from ledgerflow.operators import counterparties
+
+THRESHOLD = 0.82
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def names():
+    rnd = random.Random(5)
+    words = ["ALPHA", "ALPHB", "BETA", "TRADERS", "TRADER", "HOMES", "SONS"]
+    drawn = {(st, " ".join(rnd.choices(words, k=rnd.randint(1, 3)))) for st, n in ((1, 60), (2, 6), (3, 1)) for _ in range(n)}
+    return [(st, name, k) for k, (st, name) in enumerate(sorted(drawn))]
+
+
+@pytest.fixture(scope="module")
+def heads(spark, names):
+    return spark.createDataFrame(names, "statement_id long, norm string, first_id long")
+
+
+def alike(names):
+    def score(a, b):
+        s, t = set(a.split()), set(b.split())
+        return max(SequenceMatcher(None, a, b).ratio(), len(s & t) / max(len(s), len(t)))
+
+    pairs = ((st, i, j, score(b, a)) for st, a, i in names for su, b, j in names if st == su and i < j)
+    return Counter(p for p in pairs if p[3] >= THRESHOLD)
+
+
+@pytest.mark.parametrize("few", [0, 10, 1000])
+def test_names_of_large_and_small_statements_meet(heads, names, few):
+    got = counterparties.similar_names(heads, THRESHOLD, few=few)
+    assert Counter(map(tuple, got.collect())) == alike(names) and alike(names)
+
+
+def test_names_are_not_broadcast(heads, spark):
+    found = counterparties.similar_names(heads, THRESHOLD)
+    assert "Broadcast" not in plan(found)
+    merged = counterparties.merge_counterparties(heads.withColumnRenamed("norm", "beneficiary_name"), THRESHOLD)
+    assert "Broadcast" not in plan(merged)
+    assert "Broadcast" not in plan(counterparties.assign_counterparties(heads.withColumnRenamed("norm", "beneficiary_name"), merged))
