@@ -85,7 +85,10 @@ def may_reach(a: Column, b: Column, threshold: float) -> Column:
 
 
 def name_scores(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Adds ``score`` to pairs of normal forms (a, b) where it reaches ``threshold``: the greater of token share and sequence ratio."""
+    """Adds ``score`` to pairs of normal forms (a, b) where it reaches ``threshold``: the greater of token share and sequence ratio.
+
+    Pairs come from a table: a filter over ``distinct`` would move before it and look at every repeated pair.
+    """
     shared, can = token_overlap(F.col("a"), F.col("b")), may_reach(F.col("a"), F.col("b"), threshold)
     some = staged(pairs.withColumn("shared", shared).withColumn("can", can).filter((F.col("shared") >= threshold) | F.col("can")))
     score = ratio_from(threshold)("a", "b")

@@ -43,7 +43,7 @@ def similar_names(heads: DataFrame, threshold: float, few: int = 64) -> DataFram
     far = met(keyed.join(many, "statement_id", "left_semi").withColumn("key", F.explode("keys")), "statement_id", "key").filter(share_first(own, shared, F.col("key")))
     pair = ("statement_id", "i", "j", F.col("j_norm").alias("a"), F.col("i_norm").alias("b"))
     pairs = staged(close.select(*pair).unionByName(far.select(*pair)))
-    scored = name_scores(distinct_spread(pairs.select("a", "b")), threshold)
+    scored = name_scores(staged(distinct_spread(pairs.select("a", "b"))), threshold)
     return growing(pairs).join(scored, ["a", "b"]).select("statement_id", "i", "j", "score")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..functions.similar import distinct_spread, first_elements, may_reach, ratio_from, share_first
-from ..functions.staging import staged
+from ..functions.staging import growing, staged
 
 # Fixed values.
 REVERSAL_WORDS = ("REV", "REVERSAL", "RETURN", "BOUNCE", "DISHONOUR")
@@ -78,7 +78,8 @@ def is_probable() -> Column:
 
 
 def prepared(txns: DataFrame) -> DataFrame:
-    return with_anchors(txns).withColumn("clean", s.clean_narration(F.col("narration_raw")))
+    """The columns that the rules compare, and no others: what the caller derived beside them isn't computed, shuffled and written."""
+    return with_anchors(txns).withColumn("clean", s.clean_narration(F.col("narration_raw"))).select(*SIDE)
 
 
 def pairs_on(rows: DataFrame, i_keys: list[Column], j_keys: list[Column]) -> DataFrame:
@@ -87,13 +88,13 @@ def pairs_on(rows: DataFrame, i_keys: list[Column], j_keys: list[Column]) -> Dat
     on = F.col("i_statement_id") == F.col("j_statement_id")
     for a, b in zip(i_keys, j_keys, strict=True):
         on = on & a.eqNullSafe(b)
-    return i.join(j, on & (F.col("i_id") < F.col("j_id")))
+    return i.join(growing(j), on & (F.col("i_id") < F.col("j_id")))
 
 
 def exact_duplicates(rows: DataFrame) -> DataFrame:
     """Pairs (i, j) of a row and each exact duplicate of it; j's anchor is i."""
     i, j = side(rows, "i"), side(rows.filter("anchor is not null"), "j")
-    return i.join(j, (F.col("j_anchor") == F.col("i_id")) & (F.col("i_statement_id") == F.col("j_statement_id")))
+    return i.join(growing(j), (F.col("j_anchor") == F.col("i_id")) & (F.col("i_statement_id") == F.col("j_statement_id")))
 
 
 def reversal_pairs(rows: DataFrame) -> DataFrame:
@@ -132,38 +133,47 @@ def near_candidates(rows: DataFrame, days: int = 3) -> DataFrame:
     return p.filter(evaluated() & ~is_exact() & ~is_reversal() & ~is_probable()).drop("_k", "_m", "_b", "i_b", "j_b")
 
 
-def near_duplicate_pairs(rows: DataFrame, similarity: float = 0.90, days: int = 3) -> DataFrame:
+def near_duplicate_pairs(rows: DataFrame, similarity: float = 0.90, days: int = 3, few: int = 64) -> DataFrame:
     """Pairs at most ``days`` apart with an equal debit or credit whose lower-case narrations are alike by ``sequence_ratio``.
 
-    Rows of one date, narration and amounts are one group. Groups meet under a rare letter of their narrations and a
-    bucket of dates, never under an amount that both lack; similar texts are scored once, and rows are
-    paired last.
+    Rows of one date, narration and amounts are one group. Groups meet under a bucket of dates, and in statements with more than
+    ``few`` groups in a bucket also under a rare letter of their narrations; never under an amount that both lack. Similar texts are
+    scored once, and rows are paired last.
     """
     text = F.lower("narration_raw")
-    dated = rows.filter("txn_date is not null and length(narration_raw) > 0").withColumn("_lf_text", text)
+    dated = rows.select(*SIDE).filter("txn_date is not null and length(narration_raw) > 0").withColumn("_lf_text", text)
     same = Window.partitionBy("statement_id", "txn_date", "_lf_text", "debit", "credit")
     dated = staged(dated.withColumn("_lf_group", F.min("id").over(same)))
-    groups = dated.filter("id = _lf_group").select("statement_id", "txn_date", "debit", "credit", F.col("_lf_text").alias("text"), F.col("id").alias("g"))
-    keys = first_elements(groups.select("text"), similarity, with_tokens=False)
     bucket = F.call_function("div", F.datediff("txn_date", F.lit("1970-01-01").cast("date")), F.lit(days + 1))
-    keyed = groups.join(keys, "text").withColumn("b", bucket).withColumn("key", F.explode("keys"))
-    part = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("g", "text", "txn_date", "debit", "credit", "keys")]
-    i = keyed.select("statement_id", "key", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"), *part("i"))
-    j = keyed.select("statement_id", "key", "b", *part("j"))
+    groups = dated.filter("id = _lf_group").select("statement_id", "txn_date", "debit", "credit", F.col("_lf_text").alias("text"), F.col("id").alias("g"), bucket.alias("b"))
+    dense = groups.groupBy("statement_id", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > few).select("statement_id").distinct()
+    part = lambda p, *more: [F.col(c).alias(f"{p}_{c}") for c in ("g", "text", "txn_date", "debit", "credit", *more)]
     amount = F.col("i_debit").eqNullSafe(F.col("j_debit")) | F.col("i_credit").eqNullSafe(F.col("j_credit"))
     la, lb = F.length("i_text"), F.length("j_text")
     close = (F.abs(F.datediff("i_txn_date", "j_txn_date")) <= days) & amount & (F.least(la, lb) * (2 - similarity) >= F.greatest(la, lb) * similarity - 1e-6)
-    met = i.join(j, ["statement_id", "key", "b"]).filter((F.col("i_g") < F.col("j_g")) & close & share_first(F.col("i_keys"), F.col("j_keys"), F.col("key")))
-    met = staged(met.select("i_g", "j_g", "i_text", "j_text"))
+
+    def meet(d: DataFrame, *by: str) -> DataFrame:
+        more = ("keys",) if by else ()
+        i = d.select("statement_id", *by, F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"), *part("i", *more))
+        j = d.select("statement_id", *by, "b", *part("j", *more))
+        return growing(i).join(growing(j), ["statement_id", "b", *by]).filter((F.col("i_g") < F.col("j_g")) & close)
+
+    crowded = staged(groups.join(dense, "statement_id", "left_semi"))
+    keys = first_elements(crowded.select("text"), similarity, with_tokens=False)
+    keyed = growing(crowded).join(keys, "text").withColumn("key", F.explode("keys"))
+    few_met = meet(groups.join(dense, "statement_id", "left_anti"))
+    many_met = meet(keyed, "key").filter(share_first(F.col("i_keys"), F.col("j_keys"), F.col("key")))
+    pair = ("i_g", "j_g", "i_text", "j_text")
+    met = staged(few_met.select(*pair).unionByName(many_met.select(*pair)))
     # The ratio depends on which text comes first; rows of two groups may come in either order.
     score = ratio_from(similarity)
-    texts = distinct_spread(met.filter("i_text <> j_text").select("i_text", "j_text")).filter(may_reach(F.col("i_text"), F.col("j_text"), similarity)).withColumn("ahead", score("i_text", "j_text")).withColumn("behind", score("j_text", "i_text")).filter(F.greatest("ahead", "behind") >= similarity)
+    texts = staged(distinct_spread(met.filter("i_text <> j_text").select("i_text", "j_text"))).filter(may_reach(F.col("i_text"), F.col("j_text"), similarity)).withColumn("ahead", score("i_text", "j_text")).withColumn("behind", score("j_text", "i_text")).filter(F.greatest("ahead", "behind") >= similarity)
     alike = met.filter("i_text = j_text").select("i_g", "j_g", F.lit(1.0).alias("ahead"), F.lit(1.0).alias("behind"))
-    alike = alike.union(met.join(texts, ["i_text", "j_text"]).select("i_g", "j_g", "ahead", "behind"))
+    alike = alike.union(growing(met).join(texts, ["i_text", "j_text"]).select("i_g", "j_g", "ahead", "behind"))
     one = F.lit(1.0)
     alike = alike.union(groups.select(F.col("g").alias("i_g"), F.col("g").alias("j_g"), one, one))
     first, second = (dated.select(F.col("_lf_group").alias(g), F.struct(*[F.col(c) for c in SIDE]).alias(r)) for g, r in (("i_g", "p"), ("j_g", "q")))
-    both = alike.join(first, "i_g").join(second, "j_g").filter((F.col("p.id") != F.col("q.id")) & ((F.col("i_g") != F.col("j_g")) | (F.col("p.id") < F.col("q.id"))))
+    both = alike.join(growing(first), "i_g").join(growing(second), "j_g").filter((F.col("p.id") != F.col("q.id")) & ((F.col("i_g") != F.col("j_g")) | (F.col("p.id") < F.col("q.id"))))
     ahead = F.col("p.id") < F.col("q.id")
     pick = lambda c, p: F.when(ahead, F.col(f"p.{c}") if p == "i" else F.col(f"q.{c}")).otherwise(F.col(f"q.{c}") if p == "i" else F.col(f"p.{c}")).alias(f"{p}_{c}")
     pairs = both.select(*[pick(c, p) for p in "ij" for c in SIDE], F.when(ahead, F.col("ahead")).otherwise(F.col("behind")).alias("similarity"))

@@ -68,20 +68,27 @@ def check_date_gaps(txns: DataFrame, most: int = 7) -> DataFrame:
     return issue(g, "DATE_GAP", "HIGH", text, transaction=None, other=F.col("start"))
 
 
-def check_duplicates(txns: DataFrame) -> DataFrame:
-    """Reversals, exact, probable and near duplicates; the issue is the earlier row's and names the later one."""
+def check_duplicates(txns: DataFrame, codes: tuple[str, ...] | None = None) -> DataFrame:
+    """Reversals, exact, probable and near duplicates; the issue is the earlier row's and names the later one.
+
+    With ``codes`` only these kinds are looked for: near duplicates are found in steps of their own, which a filter on the result wouldn't save.
+    """
     rows = staged(d.prepared(txns))
 
     def of(pairs: DataFrame, code: str, severity: str, text: str, required: bool = False) -> DataFrame:
         p = pairs.select(F.col("i_statement_id").alias("statement_id"), F.col("i_id").alias("id"), "j_id", "j_source_row")
         return issue(p, code, severity, F.format_string(text, "j_source_row"), required, other=F.col("j_id"))
 
-    return (
-        of(d.reversal_pairs(rows), "REVERSAL_PAIR", "INFO", "Reversal pair with row %d")
-        .unionByName(of(d.exact_duplicates(rows), "EXACT_DUPLICATE", "HIGH", "Exact duplicate of row %d"))
-        .unionByName(of(d.probable_duplicate_pairs(rows), "PROBABLE_DUPLICATE", "HIGH", "Probable duplicate of row %d", True))
-        .unionByName(of(d.near_duplicate_pairs(rows), "NEAR_DUPLICATE", "MEDIUM", "Near-duplicate of row %d"))
-    )
+    kinds = {
+        "REVERSAL_PAIR": lambda c: of(d.reversal_pairs(rows), c, "INFO", "Reversal pair with row %d"),
+        "EXACT_DUPLICATE": lambda c: of(d.exact_duplicates(rows), c, "HIGH", "Exact duplicate of row %d"),
+        "PROBABLE_DUPLICATE": lambda c: of(d.probable_duplicate_pairs(rows), c, "HIGH", "Probable duplicate of row %d", True),
+        "NEAR_DUPLICATE": lambda c: of(d.near_duplicate_pairs(rows), c, "MEDIUM", "Near-duplicate of row %d"),
+    }
+    first, *more = [find(code) for code, find in kinds.items() if codes is None or code in codes]
+    for other in more:
+        first = first.unionByName(other)
+    return first
 
 
 def check_narrations(txns: DataFrame) -> DataFrame:
