@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,3 +48,12 @@ def growing(df: DataFrame) -> DataFrame:
     rows, and takes rows from ``explode`` for one each; either way it may broadcast millions.
     """
     return df.hint("merge")
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds ``name``: the ``value`` of each row, computed once.
+
+    The planner copies the expression of a plain column into filters and into later columns that use it; it
+    doesn't copy it out of ``explode``.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))

@@ -151,15 +151,19 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fixed_width_lines(txns: DataFrame) -> DataFrame:
-    """(file_id, line_no, text): the ledger as a fixed-width report, one file a statement."""
+def fixed_width_line() -> Column:
+    """A transaction as a line of a fixed-width report."""
     right = lambda c, n: F.lpad(F.coalesce(F.format_number(F.col(c).cast("decimal(18,2)"), 2), F.lit("")), n, " ")
     day = F.coalesce(F.date_format("txn_date", "dd-MM-yyyy"), F.lit(" " * 10))
-    text = F.concat(
+    return F.concat(
         F.lit(" "), day, F.lit("  "), day, F.rpad("reference", 16, " "), F.rpad(F.substring("narration_raw", 1, 58), 58, " "),
         right("debit", 15), right("credit", 21), right("balance", 20), F.col("balance_type"), F.lit(" "), F.lit("USER000001"),
     )
-    return txns.select(F.col("statement_id").cast("string").alias("file_id"), F.col("source_row").alias("line_no"), text.alias("text"))
+
+
+def fixed_width_lines(txns: DataFrame) -> DataFrame:
+    """(file_id, line_no, text): the ledger as a fixed-width report, one file a statement."""
+    return txns.select(F.col("statement_id").cast("string").alias("file_id"), F.col("source_row").alias("line_no"), fixed_width_line().alias("text"))
 
 
 def whole_files(lines: DataFrame, header: str = "GL. Date   Value Date") -> DataFrame:

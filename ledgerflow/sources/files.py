@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .. import schema
 from ..functions import scalars as s
-from ..functions.staging import staged
+from ..functions.staging import once, staged
 
 # Fixed values.
 FILE_TYPES = {"csv": ("csv", "xlsx", "xls"), "pdf": ("pdf",), "rpt": ("rpt",), "image": ("jpg", "jpeg", "png")}
@@ -153,9 +153,23 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     The reader begins at the first line of its range; ``part`` is where the range begins and ``_lf_p`` the number of the line in the
     file, from 0. Lines end in line feeds, carriage returns or both; bytes that aren't UTF-8 are replaced.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("_lf_id"), F.col("value").alias("text"))
-    lines = numbered_in_parts(raw, "file_id", "part", "_lf_id", "_lf_p")
-    return lines.select("file_id", "part", (F.col("_lf_p") - 1).alias("_lf_p"), "text")
+    return numbered_lines(ranges_of_files(spark.read.text(path)))
+
+
+def ranges_of_files(raw: DataFrame) -> DataFrame:
+    return raw.select(F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("part"), F.col("value").alias("text"))
+
+
+def numbered_lines(raw: DataFrame) -> DataFrame:
+    """(file_id, part, _lf_p, text) of ``ranges_of_files``, not yet moved between tasks.
+
+    A range is read by one task, so its rows have numbers without gaps; what is summed by file is one row a range.
+    """
+    raw = staged(raw.withColumn("_lf_id", F.monotonically_increasing_id()))
+    before = F.sum("_lf_n").over(Window.partitionBy("file_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = raw.groupBy("file_id", "part").agg(F.count(F.lit(1)).alias("_lf_n"), F.min("_lf_id").alias("_lf_first"))
+    parts = staged(parts.select("file_id", "part", (F.coalesce(before, F.lit(0)) - F.col("_lf_first")).alias("_lf_shift")))
+    return raw.join(parts, ["file_id", "part"]).select("file_id", "part", (F.col("_lf_id") + F.col("_lf_shift")).alias("_lf_p"), "text")
 
 
 def wide_line(text: Column) -> Column:
@@ -207,13 +221,13 @@ def parse_fixed_width(lines: DataFrame, layout: str | dict[str, tuple[int, int]]
     """
     places = LAYOUTS[layout] if isinstance(layout, str) else layout
     line = F.rtrim(F.regexp_replace("text", r"\s+$", ""))
-    w = lines.withColumn("_lf_line", line).filter((F.length("_lf_line") >= 100) & ~F.col("_lf_line").rlike(REPORT_LINES))
+    w = once(lines, "_lf_line", line).filter((F.length("_lf_line") >= 100) & ~F.col("_lf_line").rlike(REPORT_LINES))
 
     def field(name: str) -> Column:
         a, b = places[name]
         return F.when(F.length("_lf_line") >= b, s.strip(F.substring("_lf_line", a + 1, b - a))).otherwise("")
 
-    w = w.withColumn("txn_date", s.parse_date(field("gl_date"))).filter("txn_date is not null")
+    w = once(w, "txn_date", s.parse_date(field("gl_date"))).filter("txn_date is not null")
     extra = F.to_json(F.struct(field("value_date").alias("value_date"), field("instrument").alias("instrument_number"), field("entry_user").alias("entry_user_id"), F.col("text").alias("raw_line")))
     w = w.select(
         *[c for c in ("file_id", "part", "_lf_p") if c in w.columns],
@@ -265,8 +279,12 @@ def parse_rpt(files: DataFrame, layout: str = "corrected") -> DataFrame:
 
 def parse_report_files(spark: SparkSession, path: str | list[str], layout: str = "corrected") -> DataFrame:
     """Parsed rows of text files, each by its format, that are read, numbered and parsed in byte ranges: no task holds a file."""
-    lines = staged(read_lines(spark, path))
-    n = lines.join(detect_formats(lines), "file_id")
+    return parse_ranges(read_lines(spark, path), layout)
+
+
+def parse_ranges(lines: DataFrame, layout: str = "corrected") -> DataFrame:
+    """Parsed rows of lines numbered by file and byte range (file_id, part, _lf_p, text), each file by its format."""
+    n = lines.join(staged(detect_formats(lines)), "file_id")
     fixed = parse_fixed_width(n.filter("format = 'fixed'"), layout)
     cells = parse_delimited(n.filter("format in ('pipe', 'tab', 'multispace')"))
     return fixed.unionByName(cells).unionByName(parse_text_lines(n.filter("format = 'generic'")))

@@ -7,6 +7,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerflow.functions.staging import once
 from ledgerflow.sources import files
 
 
@@ -67,3 +68,20 @@ def test_files_in_ranges_equal_whole_files(spark, tmp_path, end):
     rows = lambda d: sorted(map(str, d.select(*columns).collect()))
     got, want = files.parse_report_files(small, str(tmp_path)), files.parse_rpt(files.read_text_files(spark, str(tmp_path)))
     assert rows(got) == rows(want) and want.count() > 1100
+
+
+def test_value_used_twice_is_computed_once(spark):
+    df = once(spark.range(3), "x", F.sha1(F.col("id").cast("string"))).filter("x <> ''").select(F.upper("x").alias("a"), F.length("x").alias("b"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("sha1") == 1 and df.count() == 3
+
+
+def test_lines_are_numbered_without_moving_them(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"line {k}\n" for k in range(50)))
+    small = spark.newSession()
+    small.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    small.conf.set("spark.sql.files.openCostInBytes", "1")
+    small.conf.set("spark.sql.files.maxPartitionNum", 2)
+    lines = files.read_lines(small, str(tmp_path))
+    assert "Window" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r["_lf_p"], r["text"]) for r in lines.collect())
+    assert got == [(k, f"line {k}") for k in range(50)] and lines.select("part").distinct().count() > 4
