@@ -192,17 +192,22 @@ def robust_date(words: Column, most_words: int = 4) -> Column:
         year = F.when(taken, F.concat(x["year"], letters(x["next"]))).when(short, F.concat(x["year"], F.lit("8"))).otherwise(x["year"])
         return x.withField("year", year).withField("trail", F.when(taken, F.regexp_replace(x["rest"], r"^.", "")).otherwise(x["trail"]))
 
-    def dated(x: Column) -> Column:
+    def mended(x: Column) -> Column:
         cases = [F.when(holds(x), F.struct(F.coalesce(year(x), F.lit("")).alias("year"), trail(x).alias("trail"))) for holds, year, trail in YEAR_RULES]
-        y = F.coalesce(*cases)
-        day = F.format_string("%04d-%02d-%02d", y["year"].try_cast("int"), number(x["month"], 12), number(x["day"], 31)).try_cast("date")
-        return F.struct(F.when(F.year(day) >= 2000, day).alias("txn_date"), y["trail"].alias("trail"), x["n"].alias("n_words"))
+        return x.withField("mended", F.coalesce(*cases))
+
+    def made(x: Column) -> Column:
+        day = F.format_string("%04d-%02d-%02d", x["mended"]["year"].try_cast("int"), number(x["month"], 12), number(x["day"], 31)).try_cast("date")
+        return F.struct(day.alias("txn_date"), x["mended"]["trail"].alias("trail"), x["n"].alias("n_words"))
 
     found = F.filter(F.sequence(F.lit(1), F.lit(most_words)), lambda n: n <= F.size(words))
     found = F.transform(found, lambda n: F.struct(n.alias("n"), F.array_join(F.slice(words, F.lit(1), n), "").alias("text")))
-    for step in (split, whole_year, dated):
+    # A step of its own for each value that the next one uses twice: within lambdas nothing is computed once for several uses.
+    # Words without a date go first: a cast that fails costs far more than one that succeeds.
+    found = F.filter(F.transform(found, split), lambda x: x["day"] != "")
+    for step in (whole_year, mended, made):
         found = F.transform(found, step)
-    return F.get(F.filter(found, lambda x: x["txn_date"].isNotNull()), 0)
+    return F.get(F.filter(found, lambda x: F.year(x["txn_date"]) >= 2000), 0)
 
 
 def extract_ocr_date(line: Column, window: int = 35, first_year: int = 2015, last_year: int = 2030) -> Column:
