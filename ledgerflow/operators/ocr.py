@@ -12,9 +12,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as s
-from ..functions.staging import staged
+from ..functions.staging import once, staged
 from ..functions.helpers import group_lines
 from ..sources.files import parsed, with_names
 from .balance import balance_suspect, correct_from_balance
@@ -92,38 +93,69 @@ def angle_variances(bin_px: float):
     return variances
 
 
+def page_words(words: DataFrame) -> DataFrame:
+    """(file_id, page_no, w): the words of each page as one array of structs, so that a page's words are exchanged once for all steps."""
+    return words.groupBy(*PAGE).agg(F.collect_list(F.struct(*[c for c in words.columns if c not in PAGE])).alias("w"))
+
+
+def with_angle(pages: DataFrame, bin_px: float = 4.0) -> DataFrame:
+    """Adds ``angle`` to pages of words (``w``); pages without text go."""
+    angles = [math.radians(-3.0 + 0.2 * k) for k in range(31)]
+    tans = F.array(*[F.tan(F.lit(a)) for a in angles])
+    found = pages.withColumn("_lf_t", F.filter("w", lambda x: F.trim(x["text"]) != "")).filter(F.size("_lf_t") > 0)
+    found = found.withColumn("_lf_v", angle_variances(bin_px)(F.col("_lf_t.left"), F.col("_lf_t.top"), tans))
+    best = F.array_max(F.transform("_lf_v", lambda v, k: F.struct(F.round(v, 9).alias("variance"), (-k).alias("k"))))
+    return found.withColumn("angle", F.get(F.array(*map(F.lit, angles)), -best["k"])).drop("_lf_t", "_lf_v")
+
+
 def skew_angle(words: DataFrame, bin_px: float = 4.0) -> DataFrame:
     """(file_id, page_no, angle): of 31 angles from -3 to 3 degrees the one under which the words' heights bunch most.
 
     The measure is the variance of the counts in bins of 4 px, empty bins included (words without a place are one more); ties go
     to the first. A page's words are exchanged once, not once for each angle.
     """
-    angles = [math.radians(-3.0 + 0.2 * k) for k in range(31)]
-    pages = words.filter(F.trim("text") != "").groupBy(*PAGE).agg(F.collect_list(F.struct("left", "top")).alias("w"))
-    tans = F.array(*[F.tan(F.lit(a)) for a in angles])
-    found = pages.withColumn("v", angle_variances(bin_px)(F.col("w.left"), F.col("w.top"), tans))
-    best = F.array_max(F.transform("v", lambda v, k: F.struct(F.round(v, 9).alias("variance"), (-k).alias("k"))))
-    return found.select(*PAGE, F.get(F.array(*map(F.lit, angles)), -best["k"]).alias("angle"))
+    return with_angle(page_words(words.select(*PAGE, "left", "top", "text").filter(F.trim("text") != "")), bin_px).select(*PAGE, "angle")
 
 
 def deskew_words(words: DataFrame) -> DataFrame:
     """Adds ``top_adj`` and ``bottom_adj``, the heights on the upright page."""
     shift = F.col("left") * F.tan("angle")
-    return words.join(skew_angle(words), list(PAGE)).withColumn("top_adj", F.col("top") - shift).withColumn("bottom_adj", F.col("top") + F.col("height") - shift).drop("angle")
+    turned = with_angle(page_words(words)).select(*PAGE, "angle", F.inline("w"))
+    return turned.withColumn("top_adj", F.col("top") - shift).withColumn("bottom_adj", F.col("top") + F.col("height") - shift).drop("angle")
 
 
-def group_words_into_lines(words: DataFrame) -> DataFrame:
-    """Adds ``line`` to deskewed words, numbered from the top by the mean height of each line's words."""
+def lines_of_page(top: np.ndarray, bottom: np.ndarray, height: np.ndarray, word_no: np.ndarray) -> np.ndarray:
+    """The line of each word, numbered from the top by the mean height of the words."""
+    order = np.lexsort((word_no, top))
+    line = np.empty(len(top), int)
+    line[order] = group_lines(top[order].tolist(), bottom[order].tolist(), height[order].tolist())
+    there = ~np.isnan(top)
+    with np.errstate(invalid="ignore"):
+        mean = np.bincount(line[there], top[there], line.max() + 1) / np.bincount(line[there], minlength=line.max() + 1)
+    return np.argsort(np.argsort(mean, kind="stable"))[line]
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def line_numbers(top: pd.Series, bottom: pd.Series, height: pd.Series, word_no: pd.Series, left: pd.Series, tan: pd.Series) -> pd.Series:
+    """The lines of a page's words, whose heights are first moved by ``left`` times ``tan``."""
+    floats = lambda v: np.asarray(v, dtype="float64")
+    out = []
+    for t, b, h, n, x, turn in zip(top, bottom, height, word_no, left, tan, strict=True):
+        shift = floats(x) * turn
+        out.append(lines_of_page(floats(t) - shift, floats(b) - shift, floats(h), np.asarray(n)).astype("int32"))
+    return pd.Series(out, dtype=object)
 
-    def assign(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["top_adj", "word_no"])
-        g["_line"] = group_lines(g["top_adj"].tolist(), g["bottom_adj"].tolist(), g["height"].tolist())
-        order = g.groupby("_line")["top_adj"].mean().sort_values(kind="stable").index
-        g["line"] = g["_line"].map({k: n for n, k in enumerate(order)}).astype("int32")
-        return g[["file_id", "page_no", "word_no", "line"]]
 
-    found = words.select(*PAGE, "word_no", "top_adj", "bottom_adj", "height").groupBy(*PAGE).applyInPandas(assign, "file_id string, page_no int, word_no int, line int")
-    return words.join(found, [*PAGE, "word_no"])
+def lined(pages: DataFrame, lines: Column) -> DataFrame:
+    """The words of pages, each with its ``line``."""
+    found = pages.withColumn("_lf_l", lines)
+    return found.withColumn("w", F.transform("w", lambda x, k: x.withField("line", F.get("_lf_l", k)))).select(*PAGE, F.inline("w"))
+
+
+def group_words_into_lines(words: DataFrame) -> DataFrame:
+    """Adds ``line`` to deskewed words, numbered from the top by the mean height of each line's words."""
+    w = F.col("w")
+    return lined(page_words(words), line_numbers(w["top_adj"], w["bottom_adj"], w["height"], w["word_no"], w["top_adj"], F.lit(0.0)))
 
 
 def zone_columns(words: DataFrame) -> DataFrame:
@@ -131,11 +163,11 @@ def zone_columns(words: DataFrame) -> DataFrame:
     by = (*PAGE, "line")
     one = F.struct("left", "word_no", "text")
     lines = words.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("w"), F.first("page_width").alias("width"))
-    lines = lines.withColumn("d", s.robust_date(F.transform(F.slice("w", 1, 4), lambda x: x["text"]))).filter("d.txn_date is not null")
+    lines = once(lines, "d", s.robust_date(F.transform(F.slice("w", 1, 4), lambda x: x["text"]))).filter("d.txn_date is not null")
     text = lambda c, sep: F.array_join(F.transform(c, lambda x: x["text"]), sep)
     lines = lines.withColumn("raw_line", text(F.col("w"), " ")).filter(~F.col("raw_line").rlike(SKIPPED_BOX_LINES))
     rest = F.slice("w", F.col("d.n_words") + 1, F.size("w"))
-    lines = lines.withColumn("rest", rest)
+    lines = once(lines, "rest", rest)
     edge = {k: F.floor(F.col("width") * F.lit(v / ZONE_WIDTH)) for k, v in ZONES.items()}
 
     def zone(low: Column | None, high: Column | None) -> Column:
@@ -143,24 +175,25 @@ def zone_columns(words: DataFrame) -> DataFrame:
         return F.filter("rest", inside)
 
     ref = s.strip(text(zone(None, edge["ref"]), " "))
-    lines = lines.withColumns(
-        {
-            "reference": F.when(F.coalesce("d.trail", F.lit("")) != "", F.col("d.trail")).otherwise(ref),
-            "narration_raw": s.strip(text(zone(edge["ref"], edge["particulars"]), " ")),
-            "debit_raw": text(zone(edge["particulars"], edge["debit"]), ""),
-            "credit_raw": text(zone(edge["debit"], edge["credit"]), ""),
-            "balance_raw": text(zone(edge["credit"], None), ""),
-        }
-    )
+    texts = {
+        "reference": F.when(F.coalesce("d.trail", F.lit("")) != "", F.col("d.trail")).otherwise(ref),
+        "narration_raw": s.strip(text(zone(edge["ref"], edge["particulars"]), " ")),
+        "debit_raw": text(zone(edge["particulars"], edge["debit"]), ""),
+        "credit_raw": text(zone(edge["debit"], edge["credit"]), ""),
+        "balance_raw": text(zone(edge["credit"], None), ""),
+    }
+    lines = once(lines, "z", F.struct(*[c.alias(name) for name, c in texts.items()])).select("*", "z.*")
+    amounts = F.struct(*[s.parse_amount_ocr(F.col(f"{c}_raw")).alias(c) for c in ("debit", "credit", "balance")])
+    lines = once(lines, "a", amounts)
     rows = lines.select(
         *PAGE,
         "line",
         F.col("d.txn_date").alias("txn_date"),
         "narration_raw",
         "reference",
-        s.parse_amount_ocr(F.col("debit_raw")).alias("debit"),
-        s.parse_amount_ocr(F.col("credit_raw")).alias("credit"),
-        s.parse_amount_ocr(F.col("balance_raw")).alias("balance"),
+        "a.debit",
+        "a.credit",
+        "a.balance",
         s.balance_type_ocr(F.col("balance_raw")).alias("balance_type"),
         s.extract_mode_ocr(F.concat_ws(" ", "reference", "narration_raw")).alias("txn_mode"),
         s.extract_counterparty_ocr(F.col("narration_raw")).alias("counterparty_name"),
@@ -172,7 +205,11 @@ def zone_columns(words: DataFrame) -> DataFrame:
 
 
 def parse_word_boxes(words: DataFrame) -> DataFrame:
-    return parsed(zone_columns(group_words_into_lines(deskew_words(words.filter(F.trim("text") != "")))))
+    """Parsed rows of recognised words; the angle and the lines of a page are found on one array of its words."""
+    words = words.filter(F.trim("text") != "").select(*PAGE, "word_no", "text", "left", "top", "height", "page_width")
+    w, bottom = F.col("w"), F.transform("w", lambda x: x["top"] + x["height"])
+    lines = line_numbers(w["top"], bottom, w["height"], w["word_no"], w["left"], F.tan("angle"))
+    return parsed(zone_columns(lined(with_angle(page_words(words)), lines)))
 
 
 def lines_from_words(words: DataFrame) -> DataFrame:
