@@ -143,7 +143,9 @@ def working_days(start: Column, end: Column) -> Column:
 def clean_narration(narration: Column) -> Column:
     """Without banking prefixes (in their order, anywhere, any case), white space collapsed."""
     x = F.coalesce(narration, F.lit(""))
-    return collapse(reduce(lambda c, p: F.regexp_replace(c, f"(?i){p}", ""), BANKING_PREFIXES, x))
+    # Most narrations have no prefix; one search then stands for ten replacements.
+    without = reduce(lambda c, p: F.regexp_replace(c, f"(?i){p}", ""), BANKING_PREFIXES, x)
+    return collapse(F.when(x.rlike("(?i)" + "|".join(BANKING_PREFIXES)), without).otherwise(x))
 
 
 def is_numeric_narration(narration: Column) -> Column:

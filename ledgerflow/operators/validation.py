@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
-from ..functions.staging import staged
+from ..functions.staging import once, staged
 from . import duplicates as d
 from .balance import check_balance, statement_order
 
@@ -57,8 +57,9 @@ def distinct_dates(txns: DataFrame) -> DataFrame:
 
 def date_gaps(txns: DataFrame, most: int = 7) -> DataFrame:
     """(statement_id, start, end, gap_days, working_days) of neighbouring dates over ``most`` working days apart."""
-    w = distinct_dates(txns).withColumn("end", F.lead("txn_date").over(Window.partitionBy("statement_id").orderBy("txn_date")))
-    w = w.withColumn("working_days", s.working_days(F.col("txn_date"), F.col("end"))).filter(F.col("end").isNotNull() & (F.col("working_days") > most))
+    # Of the rows of one date the last alone has a later one after it.
+    w = txns.filter("txn_date is not null").select("statement_id", "txn_date").withColumn("end", F.lead("txn_date").over(Window.partitionBy("statement_id").orderBy("txn_date"))).filter("end > txn_date")
+    w = w.withColumn("working_days", s.working_days(F.col("txn_date"), F.col("end"))).filter(F.col("working_days") > most)
     return w.select("statement_id", F.col("txn_date").alias("start"), "end", F.datediff("end", "txn_date").alias("gap_days"), "working_days")
 
 
@@ -73,7 +74,7 @@ def check_duplicates(txns: DataFrame, codes: tuple[str, ...] | None = None) -> D
 
     With ``codes`` only these kinds are looked for: near duplicates are found in steps of their own, which a filter on the result wouldn't save.
     """
-    rows = staged(d.prepared(txns))
+    rows = staged(d.compared(d.prepared(txns)))
 
     def of(pairs: DataFrame, code: str, severity: str, text: str, required: bool = False) -> DataFrame:
         p = pairs.select(F.col("i_statement_id").alias("statement_id"), F.col("i_id").alias("id"), "j_id", "j_source_row")
@@ -93,20 +94,28 @@ def check_duplicates(txns: DataFrame, codes: tuple[str, ...] | None = None) -> D
 
 def check_narrations(txns: DataFrame) -> DataFrame:
     """BLANK, SHORT, GENERIC or NUMERIC_ONLY narrations, the first that holds."""
-    n = s.strip(F.coalesce("narration_raw", F.lit("")))
+    w = once(txns, "_lf_text", s.strip(F.coalesce("narration_raw", F.lit(""))))
+    n = F.col("_lf_text")
     clean = s.clean_narration(n)
+    code = (
+        F.when(n == "", "BLANK_NARRATION")
+        .when(F.length(n) < 5, "SHORT_NARRATION")
+        .when(F.upper(clean).isin(*GENERIC_NARRATIONS), "GENERIC_NARRATION")
+        .when(s.is_numeric_narration(n), "NUMERIC_ONLY_NARRATION")
+    )
+    # The code alone is decided for every row; what an issue says is made for those that have one.
+    w = once(w, "_lf_code", code).filter("_lf_code is not null")
+    is_ = lambda *codes: F.col("_lf_code").isin(*codes)
     large = s.amount_or_zero(F.col("debit"), F.col("credit")) >= F.lit(LARGE_AMOUNT).cast(s.MONEY)
-    grave = F.when(large, "CRITICAL").otherwise("HIGH")
-    row = lambda code, sev, text, req: F.struct(F.lit(code).alias("code"), sev.alias("severity"), text.alias("message"), req.alias("required"))
-    no = F.lit(False)
-    k = (
-        F.when(n == "", row("BLANK_NARRATION", grave, F.lit("Blank narration"), large))
-        .when(F.length(n) < 5, row("SHORT_NARRATION", F.lit("MEDIUM"), F.concat(F.lit('Narration too short: "'), n, F.lit('"')), no))
-        .when(F.upper(clean).isin(*GENERIC_NARRATIONS), row("GENERIC_NARRATION", grave, F.concat(F.lit('Generic narration: "'), clean, F.lit('"')), no))
-        .when(s.is_numeric_narration(n), row("NUMERIC_ONLY_NARRATION", F.lit("MEDIUM"), F.concat(F.lit('Numeric-only narration: "'), n, F.lit('"')), no))
+    severity = F.when(is_("SHORT_NARRATION", "NUMERIC_ONLY_NARRATION"), "MEDIUM").when(large, "CRITICAL").otherwise("HIGH")
+    quoted = lambda text, of: F.concat(F.lit(f'{text}: "'), of, F.lit('"'))
+    message = (
+        F.when(is_("BLANK_NARRATION"), "Blank narration")
+        .when(is_("SHORT_NARRATION"), quoted("Narration too short", n))
+        .when(is_("GENERIC_NARRATION"), quoted("Generic narration", clean))
+        .otherwise(quoted("Numeric-only narration", n))
     )
-    w = txns.withColumn("k", k).filter("k is not null")
-    return issue(w, F.col("k.code"), F.col("k.severity"), F.col("k.message"), F.col("k.required"))
+    return issue(w, F.col("_lf_code"), severity, message, is_("BLANK_NARRATION") & large)
 
 
 def run_all_checks(txns: DataFrame) -> DataFrame:
