@@ -12,7 +12,7 @@ neighbour by its class:
   the class of most broadcast words with its ending.
 - Sweeps over all training texts: half of the broadcast words at a time move to the class in which the bigrams of
   classes, of all tokens, are likeliest given the classes of their neighbours. A sweep counts the classes
-  to either side of each word in tasks and adds them up by word.
+  to either side of each word in tasks and adds them up by blocks of words.
 - The rarer words then choose among classes alike, from their neighbours shuffled by word, their classes are
   joined to the texts, and the broadcast words are swept again.
 - A class is chosen beforehand as often as it has words: without that, words seen once or twice fit their own bigrams,
@@ -31,6 +31,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ UNSEEN = 1 << 16
 ALPHA = 0.5
 #: Slots for endings of words.
 ENDINGS = 1 << 16
+#: Broadcast words whose counts beside them are one row of an exchange.
+COUNTED = 1024
 #: Distinct words that a task adds up before it hands their counts on.
 DISTINCT = 500_000
 
@@ -84,8 +87,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 def numbers(w: list[bytes], ids: dict[bytes, int]) -> np.ndarray:
     """Ranks of words; the number of ranks for any other word."""
-    get, none = ids.get, len(ids)
-    return np.fromiter((get(x, none) for x in w), dtype=np.int64, count=len(w))
+    return np.fromiter(map(ids.get, w, repeat(len(ids))), dtype=np.int64, count=len(w))
 
 
 def word_counts(train: DataFrame, text: str) -> DataFrame:
@@ -231,18 +233,16 @@ def start_classes(top: list[bytes], cls: np.ndarray, classes: int) -> np.ndarray
     return np.where(found.any(axis=1), found.argmax(axis=1), found.sum(axis=0).argmax()).astype(np.uint8)
 
 
-def start_sizes(counts: DataFrame, top: list[bytes], starts: np.ndarray, classes: int) -> np.ndarray:
-    """By class the number of words of ``counts`` that start in it and aren't broadcast."""
+def slot_of(word: str) -> Column:
+    """``ending`` as a column."""
+    return F.crc32(F.substring(F.col(word).cast("binary"), -3, 3)) % ENDINGS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = np.zeros(classes, dtype=np.int64)
-        for b in batches:
-            sizes += np.bincount(starts[[ending(w.encode()) for w in b.column(0).to_pylist()]], minlength=classes)
-        yield pa.RecordBatch.from_pydict({"cls": pa.array(np.arange(classes)), "n": pa.array(sizes)})
 
+def start_sizes(counts: DataFrame, top: list[bytes], starts: np.ndarray, classes: int) -> np.ndarray:
+    """By class the number of words of ``counts`` that start in it and aren't broadcast."""
+    found = counts.groupBy(slot_of("word").alias("slot")).agg(F.count(F.lit(1)).alias("n")).toArrow()
     sizes = -np.bincount(starts[[ending(w) for w in top]], minlength=classes)
-    for r in counts.select("word").mapInArrow(run, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n")).collect():
-        sizes[r.cls] += r.n
+    np.add.at(sizes, starts[found["slot"].to_numpy()], found["n"].to_numpy())
     return sizes
 
 
@@ -250,8 +250,14 @@ Rare = Callable[[pa.Array], np.ndarray]
 
 
 def by_ending(starts: np.ndarray) -> Rare:
-    """Classes of rare words from their endings."""
-    return lambda words: starts[np.fromiter((ending(w.encode()) for w in words.flatten().to_pylist()), dtype=np.int64)]
+    """Classes of rare words from their endings: of lists of words, or of the slots that ``encoded`` made of them."""
+
+    def run(held: pa.Array) -> np.ndarray:
+        if pa.types.is_list(held.type):
+            return starts[np.fromiter((ending(w.encode()) for w in held.flatten().to_pylist()), dtype=np.int64)]
+        return starts[np.frombuffer(b"".join(held.to_pylist()), dtype=np.uint16)]
+
+    return run
 
 
 def joined_classes(shift: int, endings: np.ndarray) -> Rare:
@@ -277,8 +283,9 @@ def class_counts(texts: DataFrame, cls: np.ndarray, rare_of: Rare, k: int, part:
     their ranks, and counts of the ``k`` classes to the left and right (of none where ``part`` is null)."""
     h = len(cls) - 2
 
+    n = 0 if part is None else (h + 1 - part) // 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0 if part is None else (h + 1 - part) // 2
         near, pairs = np.zeros((n, 2 * k), dtype=np.int32), np.zeros(k * k, dtype=np.int64)
         cells = near.reshape(-1)
         for b in batches:
@@ -290,30 +297,35 @@ def class_counts(texts: DataFrame, cls: np.ndarray, rare_of: Rare, k: int, part:
                 row = i[at].astype(np.int64) // 2 * (2 * k)
                 np.add.at(cells, row + c[at - 1], 1)
                 np.add.at(cells, row + k + c[at + 1], 1)
-        yield pa.RecordBatch.from_pydict({"id": pa.array([-1], pa.int32()), "counts": pa.array([pairs.tobytes()], pa.binary())})
-        used = np.flatnonzero(near.any(axis=1))
-        for a in range(0, len(used), 4096):
-            i = used[a : a + 4096]
-            yield pa.RecordBatch.from_pydict({"id": pa.array(2 * i + part, pa.int32()), "counts": pa.array([near[x].tobytes() for x in i], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"block": pa.array([-1], pa.int32()), "counts": pa.array([pairs.tobytes()], pa.binary())})
+        for block in range(-(-n // COUNTED)):
+            some = near[block * COUNTED : (block + 1) * COUNTED]
+            if some.any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([some.tobytes()], pa.binary())})
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                one = np.frombuffer(x, dtype=np.int64 if i < 0 else np.int32).astype(np.int64)
+            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                one = np.frombuffer(x.as_buffer(), dtype=np.int64 if i < 0 else np.int32)
                 if i in found:
                     found[i] += one
                 else:
-                    found[i] = one
-        yield pa.RecordBatch.from_pydict({"id": pa.array(list(found), pa.int32()), "counts": pa.array([x.tobytes() for x in found.values()], pa.binary())})
-
-    schema = "id int, counts binary"
-    got = texts.mapInArrow(run, schema).repartition("id").mapInArrow(summed, schema).toArrow()
-    ids = got["id"].to_numpy()
-    rows = [np.frombuffer(x, dtype=np.int64) for x in got["counts"].to_pylist()]
-    pairs = next((x for i, x in zip(ids, rows, strict=True) if i < 0), np.zeros(k * k, dtype=np.int64)).reshape(k, k)
-    near = np.array([x for i, x in zip(ids, rows, strict=True) if i >= 0], dtype=np.float64).reshape(-1, 2 * k)
-    return pairs, ids[ids >= 0], near[:, :k], near[:, k:]
+                    found[i] = one.astype(np.int64)
+        for i, x in found.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "counts": pa.array([x.tobytes()], pa.binary())})
+
+    schema = "block int, counts binary"
+    got = texts.mapInArrow(run, schema).repartition("block").mapInArrow(summed, schema).toArrow()
+    pairs, near = np.zeros((k, k), dtype=np.int64), np.zeros((n, 2 * k))
+    for block, x in zip(got["block"].to_pylist(), got["counts"], strict=True):
+        one = np.frombuffer(x.as_buffer(), dtype=np.int64)
+        if block < 0:
+            pairs = one.reshape(k, k)
+        else:
+            near[block * COUNTED : (block + 1) * COUNTED] = one.reshape(-1, 2 * k)
+    used = np.flatnonzero(near.any(axis=1))
+    return pairs, 2 * used + (part or 0), near[used, :k], near[used, k:]
 
 
 def swept(texts: DataFrame, cls: np.ndarray, rare_of: Rare, sizes: np.ndarray, sweeps: int, settings: Settings, trace: list[float]) -> tuple[np.ndarray, np.ndarray]:
@@ -341,7 +353,7 @@ def swept(texts: DataFrame, cls: np.ndarray, rare_of: Rare, sizes: np.ndarray, s
 
 
 def rare_choices(texts: DataFrame, cls: np.ndarray, starts: np.ndarray, pairs: np.ndarray, kinds: np.ndarray, settings: Settings) -> DataFrame:
-    """(word, seen, start, cls) of each rare word, as a written table: its class at the start, and the likeliest one among its neighbours' classes."""
+    """(word, seen, start, cls) of each rare word of (ids, slots, word) or (ids, word), as a written table: its class at the start, and the likeliest one among its neighbours' classes."""
     k, h, rare_of = settings.classes, len(cls) - 2, by_ending(starts)
     choice = Choice.of(pairs, kinds)
     gain = choice.codes()
@@ -350,7 +362,7 @@ def rare_choices(texts: DataFrame, cls: np.ndarray, starts: np.ndarray, pairs: n
         for b in batches:
             i, c = all_classes(b.column(0), b.column(1), cls, rare_of)
             at = np.flatnonzero(i == h)
-            yield pa.RecordBatch.from_arrays([b.column(1).flatten(), pa.array(c[at - 1].astype(np.int32) * k + c[at + 1])], names=["word", "code"])
+            yield pa.RecordBatch.from_arrays([b.columns[-1].flatten(), pa.array(c[at - 1].astype(np.int32) * k + c[at + 1])], names=["word", "code"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -359,13 +371,13 @@ def rare_choices(texts: DataFrame, cls: np.ndarray, starts: np.ndarray, pairs: n
                 ends = np.concatenate([[0], np.cumsum(part.column(1).value_lengths().to_numpy())])
                 n = part.column(2).flatten().to_numpy()
                 best = (np.add.reduceat(gain[part.column(1).flatten().to_numpy()] * n[:, None], ends[:-1], axis=0) + choice.prior).argmax(axis=1)
-                start = starts[[ending(w.encode()) for w in part.column(0).to_pylist()]]
+                start = starts[part.column(3).to_numpy()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.add.reduceat(n, ends[:-1])), pa.array(start, pa.int32()), pa.array(best, pa.int32())], names=["word", "seen", "start", "cls"])
 
     # Rare words have no hot key: none has more rows than the least frequent of the broadcast ones.
     found = texts.mapInArrow(near, "word string, code int").repartition("word").groupBy("word", "code").agg(F.count(F.lit(1)).alias("n"))
     found = found.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("all"))  # at most classes ** 2 codes a word
-    return written(found.select("word", "all.code", "all.n").mapInArrow(choose, "word string, seen long, start int, cls int"))
+    return written(found.select("word", "all.code", "all.n", slot_of("word")).mapInArrow(choose, "word string, seen long, start int, cls int"))
 
 
 @dataclass
@@ -399,7 +411,7 @@ def first_classes(train: DataFrame, h: int, settings: Settings) -> np.ndarray:
         choice = Choice.of(flat.T @ pairs @ flat, np.bincount(one[:n], minlength=settings.end))
         found = cls.copy()
         for part in (0, 1):
-            _, ids, left, right = class_counts(train.select("_lf_lm.ids", F.col("_lf_lm.rare.word")), cls, lambda rare: settings.other, p, part)
+            _, ids, left, right = class_counts(train.select("_lf_lm.ids", "_lf_lm.slots"), cls, lambda rare: settings.other, p, part)
             found[ids] = np.where(ids < n, cls[ids], choice.best(left, right))
         cls = found
     cls[h] = 0
@@ -407,20 +419,20 @@ def first_classes(train: DataFrame, h: int, settings: Settings) -> np.ndarray:
 
 
 def encoded(df: DataFrame, text: str, hot: pa.Table, ends: int) -> DataFrame:
-    """Adds ``_lf_lm``: token and known counts, the sum of the log counts, the tokens' ranks as 32-bit numbers, and the rare words with their places.
+    """Adds ``_lf_lm``: token and known counts, the sum of the log counts, the tokens' ranks as 32-bit numbers, the rare words' slots of endings as 16-bit ones, and the rare words with their places.
 
     After the ranks of the broadcast words come that of any rare word and that of the end, which closes each text.
     """
     shared = df.sparkSession.sparkContext.broadcast((hot["word"].to_pylist(), hot["n"].to_numpy()))
-    schema = "n_tokens long, n_known long, logs double, ids binary, rare array<struct<at:int,word:string>>"
-    kind = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("ids", pa.binary()), ("rare", pa.list_(pa.struct([("at", pa.int32()), ("word", pa.string())])))])
+    schema = "n_tokens long, n_known long, logs double, ids binary, slots binary, rare array<struct<at:int,word:string>>"
+    kind = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("ids", pa.binary()), ("slots", pa.binary()), ("rare", pa.list_(pa.struct([("at", pa.int32()), ("word", pa.string())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, counts = shared.value
         ranks, h = {w.encode(): i for i, w in enumerate(top)}, len(top)
         logs = np.concatenate([np.log10(counts + 0.5), [0.0, np.log10(ends + 0.5)]])
         for b in batches:
-            n_tokens, n_known, sums, ids, at, rare, cuts = [], [], [], [], [np.empty(0, dtype=np.int64)], [], [0]
+            n_tokens, n_known, sums, ids, slots, at, rare, cuts = [], [], [], [], [], [np.empty(0, dtype=np.int64)], [], [0]
             for t in b.column(text).to_pylist():
                 w = tokens(t)
                 i = np.append(numbers(w, ranks), h + 1)
@@ -430,11 +442,13 @@ def encoded(df: DataFrame, text: str, hot: pa.Table, ends: int) -> DataFrame:
                 sums.append(float(logs[i].sum()))
                 ids.append(i.astype(np.int32).tobytes())
                 at.append(k)
-                rare += [w[x] for x in k]
+                held = [w[x] for x in k.tolist()]
+                slots.append(np.fromiter(map(ending, held), dtype=np.uint16, count=len(held)).tobytes())
+                rare += held
                 cuts.append(len(rare))
             places = pa.StructArray.from_arrays([pa.array(np.concatenate(at), pa.int32()), pa.array(rare, pa.binary()).cast(pa.string())], names=["at", "word"])
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), places)
-            made = pa.StructArray.from_arrays([pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(ids, pa.binary()), lists], names=[f.name for f in kind])
+            made = pa.StructArray.from_arrays([pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(ids, pa.binary()), pa.array(slots, pa.binary()), lists], names=[f.name for f in kind])
             yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, "_lf_lm"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_lf_lm", T.StructType.fromDDL(schema))]))
@@ -456,20 +470,19 @@ def fitted(df: DataFrame, train: Column, text: str, settings: Settings, carry_te
     learnt = texts.filter("_lf_train")
     cls = first_classes(learnt, len(top), settings)
     starts = start_classes(top, cls[: len(top)], settings.end)
-    plain = learnt.select("_lf_lm.ids", F.col("_lf_lm.rare.word"))
+    plain = learnt.select("_lf_lm.ids", "_lf_lm.slots")
     sizes = start_sizes(counts, top, starts, settings.end)
     cls, pairs = swept(plain, cls, by_ending(starts), sizes, settings.first_sweeps, settings, trace)
     own = np.bincount(cls[: len(top)], minlength=settings.end)
-    lexicon = rare_choices(plain, cls, starts, pairs, own + sizes, settings)
-    slot = F.crc32(F.substring(F.col("word").cast("binary"), -3, 3)) % ENDINGS  # as ``ending`` has it
-    code = F.col("at").cast("long") * (2 * UNSEEN) + F.coalesce(F.col("start") * 256 + F.col("cls"), slot + UNSEEN)
+    lexicon = rare_choices(learnt.select("_lf_lm.ids", "_lf_lm.slots", F.col("_lf_lm.rare.word")), cls, starts, pairs, own + sizes, settings)
+    code = F.col("at").cast("long") * (2 * UNSEEN) + F.coalesce(F.col("start") * 256 + F.col("cls"), slot_of("word") + UNSEEN)
     sums = (
         texts.select("_lf_row", F.inline("_lf_lm.rare"))
         .join(lexicon, "word", "left")
         .groupBy("_lf_row")  # of one text
         .agg(F.count("seen").alias("_lf_known"), F.sum(F.log10(F.coalesce("seen", F.lit(0)) + F.lit(0.5))).alias("_lf_logs"), F.sort_array(F.collect_list(code)).alias("_lf_rare"))
     )
-    texts = texts.withColumn("_lf_lm", F.col("_lf_lm").dropFields("rare"))
+    texts = texts.withColumn("_lf_lm", F.col("_lf_lm").dropFields("rare", "slots"))
     texts = written(texts.join(sums, "_lf_row", "left").drop("_lf_row"), "zstd")
     plain = texts.filter("_lf_train").select("_lf_lm.ids", "_lf_rare")
     chosen = class_counts(plain, cls, joined_classes(0, starts), settings.classes, None)[0]
