@@ -301,13 +301,17 @@ def class_counts(texts: DataFrame, cls: np.ndarray, rare_of: Rare, k: int, part:
         for block in range(-(-n // COUNTED)):
             some = near[block * COUNTED : (block + 1) * COUNTED]
             if some.any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([some.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([pa.compress(some.tobytes(), codec="zstd", asbytes=True)], pa.binary())})
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for b in batches:
             for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                one = np.frombuffer(x.as_buffer(), dtype=np.int64 if i < 0 else np.int32)
+                if i < 0:
+                    one = np.frombuffer(x.as_buffer(), dtype=np.int64)
+                else:  # mostly zeros
+                    cells = min(COUNTED, n - i * COUNTED) * 2 * k
+                    one = np.frombuffer(pa.decompress(x.as_buffer(), decompressed_size=4 * cells, codec="zstd"), dtype=np.int32)
                 if i in found:
                     found[i] += one
                 else:
