@@ -25,16 +25,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
+#: With it a query's shuffle files go when the query ends, not when the driver happens to collect its garbage.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, compression: str = "snappy", release: bool = False) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     This cuts the lineage, survives the loss of executors, and lets several
     later jobs read one computation. The folder is the cluster's checkpoint
-    folder, which its owner cleans.
+    folder, which its owner cleans. ``release``: the shuffle files of the write go
+    with it, where several such writes would else need the disk of all their exchanges at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerflow-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    before = spark.conf.get(RELEASE, None)
+    if release:
+        spark.conf.set(RELEASE, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        if release:
+            spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -112,7 +112,7 @@ def word_counts(train: DataFrame, text: str) -> DataFrame:
 
 def joined(ids: pa.Array, end: int) -> np.ndarray:
     """The tokens of all texts of a batch one after the other, an end before the first: each text stands between two ends."""
-    return np.concatenate([[end], np.frombuffer(b"".join(ids.to_pylist()), dtype=np.int32)])
+    return np.concatenate([np.array([end], dtype=np.int32), np.frombuffer(b"".join(ids.to_pylist()), dtype=np.int32)])
 
 
 def window_bigrams(train: DataFrame, n: int, h: int) -> np.ndarray:
@@ -125,7 +125,7 @@ def window_bigrams(train: DataFrame, n: int, h: int) -> np.ndarray:
         unit[h + 1] = n
         for b in batches:
             u = unit[joined(b.column(0), h + 1)]
-            np.add.at(table, u[:-1] * size + u[1:], 1)
+            np.add.at(table, u[:-1] * size + u[1:], np.int64(1))
         cells = np.flatnonzero(table)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(cells), "n": pa.array(table[cells])})
 
@@ -278,58 +278,77 @@ def all_classes(ids: pa.Array, rare: pa.Array, cls: np.ndarray, rare_of: Rare) -
     return i, c
 
 
-def class_counts(texts: DataFrame, cls: np.ndarray, rare_of: Rare, k: int, part: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Over (ids, rare) of all training texts: bigrams of classes; and of broadcast words of odd or even rank
-    their ranks, and counts of the ``k`` classes to the left and right (of none where ``part`` is null)."""
+def near_words(texts: DataFrame, cls: np.ndarray, rare_of: Rare, k: int, part: int | None) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Over (ids, rare) of all training texts: bigrams of classes; and by blocks of broadcast words of odd or even rank
+    their ranks, and counts of the ``k`` classes to the left and right (of none where ``part`` is null).
+
+    The counts reach the driver compressed, and one block of them at a time is unpacked.
+    """
     h = len(cls) - 2
 
     n = 0 if part is None else (h + 1 - part) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near, pairs = np.zeros((n, 2 * k), dtype=np.int32), np.zeros(k * k, dtype=np.int64)
-        cells = near.reshape(-1)
+        cells, one = near.reshape(-1), np.int32(1)  # a number of another type than the cells' is added ten times as slowly
         for b in batches:
             i, c = all_classes(b.column(0), b.column(1), cls, rare_of)
             c = c.astype(np.int64)
             pairs += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
             if n:
-                at = np.flatnonzero((i < h) & (i % 2 == part))
+                at = np.flatnonzero((i < h) & (i & 1 == part))
                 row = i[at].astype(np.int64) // 2 * (2 * k)
-                np.add.at(cells, row + c[at - 1], 1)
-                np.add.at(cells, row + k + c[at + 1], 1)
-        yield pa.RecordBatch.from_pydict({"block": pa.array([-1], pa.int32()), "counts": pa.array([pairs.tobytes()], pa.binary())})
+                np.add.at(cells, row + c[at - 1], one)
+                np.add.at(cells, row + k + c[at + 1], one)
+        yield pa.RecordBatch.from_pydict({"block": pa.array([-1], pa.int32()), "counts": pa.array([packed(pairs)], pa.binary())})
         for block in range(-(-n // COUNTED)):
             some = near[block * COUNTED : (block + 1) * COUNTED]
             if some.any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([pa.compress(some.tobytes(), codec="zstd", asbytes=True)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([packed(some)], pa.binary())})
+
+    def cells_of(block: int) -> int:
+        return k * k if block < 0 else min(COUNTED, n - block * COUNTED) * 2 * k
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for b in batches:
             for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if i < 0:
-                    one = np.frombuffer(x.as_buffer(), dtype=np.int64)
-                else:  # mostly zeros
-                    cells = min(COUNTED, n - i * COUNTED) * 2 * k
-                    one = np.frombuffer(pa.decompress(x.as_buffer(), decompressed_size=4 * cells, codec="zstd"), dtype=np.int32)
+                one = unpacked(x, np.int64 if i < 0 else np.int32, cells_of(i))
                 if i in found:
                     found[i] += one
                 else:
                     found[i] = one.astype(np.int64)
         for i, x in found.items():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "counts": pa.array([x.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "counts": pa.array([packed(x)], pa.binary())})
 
     schema = "block int, counts binary"
     got = texts.mapInArrow(run, schema).repartition("block").mapInArrow(summed, schema).toArrow()
-    pairs, near = np.zeros((k, k), dtype=np.int64), np.zeros((n, 2 * k))
-    for block, x in zip(got["block"].to_pylist(), got["counts"], strict=True):
-        one = np.frombuffer(x.as_buffer(), dtype=np.int64)
-        if block < 0:
-            pairs = one.reshape(k, k)
-        else:
-            near[block * COUNTED : (block + 1) * COUNTED] = one.reshape(-1, 2 * k)
-    used = np.flatnonzero(near.any(axis=1))
-    return pairs, 2 * used + (part or 0), near[used, :k], near[used, k:]
+    counts = dict(zip(got["block"].to_pylist(), got["counts"], strict=True))
+    pairs = unpacked(counts.pop(-1), np.int64, k * k).reshape(k, k) if counts else np.zeros((k, k), dtype=np.int64)
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for block in sorted(counts):
+            near = unpacked(counts[block], np.int64, cells_of(block)).reshape(-1, 2 * k).astype(np.float64)
+            used = np.flatnonzero(near.any(axis=1))
+            yield 2 * (block * COUNTED + used) + part, near[used, :k], near[used, k:]
+
+    return pairs, blocks()
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Most counts of a block are zero or small."""
+    return pa.compress(counts.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(counts: pa.Scalar, kind: type, cells: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(counts.as_buffer(), decompressed_size=cells * np.dtype(kind).itemsize, codec="zstd"), dtype=kind)
+
+
+def class_counts(texts: DataFrame, cls: np.ndarray, rare_of: Rare, k: int, part: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``near_words`` with all blocks in one."""
+    pairs, blocks = near_words(texts, cls, rare_of, k, part)
+    none = (np.empty(0, dtype=np.int64), np.empty((0, k)), np.empty((0, k)))
+    return pairs, *map(np.concatenate, zip(none, *blocks, strict=True))
 
 
 def swept(texts: DataFrame, cls: np.ndarray, rare_of: Rare, sizes: np.ndarray, sweeps: int, settings: Settings, trace: list[float]) -> tuple[np.ndarray, np.ndarray]:
@@ -341,7 +360,7 @@ def swept(texts: DataFrame, cls: np.ndarray, rare_of: Rare, sizes: np.ndarray, s
     k, h = settings.classes, len(cls) - 2
     old, old_pairs, still = None, None, 0
     for s in range(sweeps + 1):
-        pairs, ids, left, right = class_counts(texts, cls, rare_of, k, s % 2 if s < sweeps else None)
+        pairs, near = near_words(texts, cls, rare_of, k, s % 2 if s < sweeps else None)
         kinds = sizes + np.bincount(cls[:h], minlength=settings.end)
         value = likelihood(pairs, kinds)
         if old is not None and value < trace[-1]:
@@ -350,8 +369,9 @@ def swept(texts: DataFrame, cls: np.ndarray, rare_of: Rare, sizes: np.ndarray, s
         if s == sweeps or still == 2:
             break
         old, old_pairs = cls, pairs
-        cls = cls.copy()
-        cls[ids] = Choice.of(pairs, kinds).best(left, right)
+        cls, choice = cls.copy(), Choice.of(pairs, kinds)
+        for ids, left, right in near:
+            cls[ids] = choice.best(left, right)
         still = still + 1 if np.array_equal(cls, old) else 0
     return cls, pairs
 
@@ -381,7 +401,7 @@ def rare_choices(texts: DataFrame, cls: np.ndarray, starts: np.ndarray, pairs: n
     # Rare words have no hot key: none has more rows than the least frequent of the broadcast ones.
     found = texts.mapInArrow(near, "word string, code int").repartition("word").groupBy("word", "code").agg(F.count(F.lit(1)).alias("n"))
     found = found.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("all"))  # at most classes ** 2 codes a word
-    return written(found.select("word", "all.code", "all.n", slot_of("word")).mapInArrow(choose, "word string, seen long, start int, cls int"))
+    return written(found.select("word", "all.code", "all.n", slot_of("word")).mapInArrow(choose, "word string, seen long, start int, cls int"), release=True)
 
 
 @dataclass
@@ -415,8 +435,8 @@ def first_classes(train: DataFrame, h: int, settings: Settings) -> np.ndarray:
         choice = Choice.of(flat.T @ pairs @ flat, np.bincount(one[:n], minlength=settings.end))
         found = cls.copy()
         for part in (0, 1):
-            _, ids, left, right = class_counts(train.select("_lf_lm.ids", "_lf_lm.slots"), cls, lambda rare: settings.other, p, part)
-            found[ids] = np.where(ids < n, cls[ids], choice.best(left, right))
+            for ids, left, right in near_words(train.select("_lf_lm.ids", "_lf_lm.slots"), cls, lambda rare: settings.other, p, part)[1]:
+                found[ids] = np.where(ids < n, cls[ids], choice.best(left, right))
         cls = found
     cls[h] = 0
     return cls
@@ -463,7 +483,7 @@ RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 def fitted(df: DataFrame, train: Column, text: str, settings: Settings, carry_text: bool) -> tuple[Model, DataFrame, DataFrame]:
     """The whole model, the rare words' (word, seen, cls), and ``df`` with the classes of its texts, as a written table."""
-    counts = written(word_counts(df.filter(train), text))
+    counts = written(word_counts(df.filter(train), text), release=True)
     n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     ends = df.filter(train).count()
     hot = counts.orderBy(F.desc("n"), "word").limit(settings.hot_words).toArrow()
@@ -487,9 +507,9 @@ def fitted(df: DataFrame, train: Column, text: str, settings: Settings, carry_te
         .agg(F.count("seen").alias("_lf_known"), F.sum(F.log10(F.coalesce("seen", F.lit(0)) + F.lit(0.5))).alias("_lf_logs"), F.sort_array(F.collect_list(code)).alias("_lf_rare"))
     )
     texts = texts.withColumn("_lf_lm", F.col("_lf_lm").dropFields("rare", "slots"))
-    texts = written(texts.join(sums, "_lf_row", "left").drop("_lf_row"), "zstd")
+    texts = written(texts.join(sums, "_lf_row", "left").drop("_lf_row"), "zstd", release=True)
     plain = texts.filter("_lf_train").select("_lf_lm.ids", "_lf_rare")
-    chosen = class_counts(plain, cls, joined_classes(0, starts), settings.classes, None)[0]
+    chosen, _ = near_words(plain, cls, joined_classes(0, starts), settings.classes, None)
     new_sizes, once = np.zeros_like(sizes), np.zeros((2, settings.classes), dtype=np.int64)
     for r in lexicon.groupBy("start", "cls").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("seen") == 1).alias("once")).collect():
         new_sizes[r.cls] += r.n
