@@ -33,13 +33,17 @@ def filter_issues(issues: DataFrame, severity: str = "", resolution: str = "") -
     return out
 
 
-def attach_issues(txns: DataFrame, issues: DataFrame) -> DataFrame:
-    """Adds ``status`` (Flagged or Clean), ``issue_codes`` and ``issue_messages`` of all issues, resolved or not, in the order of their ids."""
-    row = F.struct("code", "issue_id", "message")
+def attach_issues(txns: DataFrame, issues: DataFrame, messages: bool = True) -> DataFrame:
+    """Adds ``status`` (Flagged or Clean), ``issue_codes`` and ``issue_messages`` of all issues, resolved or not, in the order of their codes and ids.
+
+    Without ``messages`` the codes alone are added, which needs no other column of the issues than their transaction's id.
+    """
+    row = F.struct("code", "issue_id", "message") if messages else F.struct("code")
     by = issues.filter("transaction_id is not null").groupBy(F.col("transaction_id").alias("id")).agg(F.array_sort(F.collect_list(row)).alias("l"))
-    by = by.select("id", F.array_join(F.transform("l", lambda x: x["code"]), ", ").alias("issue_codes"), F.array_join(F.transform("l", lambda x: x["message"]), "; ").alias("issue_messages"))
+    texts = {"issue_codes": ("code", ", ")} | ({"issue_messages": ("message", "; ")} if messages else {})
+    by = by.select("id", *[F.array_join(F.transform("l", lambda x, c=c: x[c]), between).alias(name) for name, (c, between) in texts.items()])
     out = txns.join(by, "id", "left")
-    return out.withColumn("status", F.when(F.col("issue_codes").isNull(), "Clean").otherwise("Flagged")).fillna("", ["issue_codes", "issue_messages"])
+    return out.withColumn("status", F.when(F.col("issue_codes").isNull(), "Clean").otherwise("Flagged")).fillna("", list(texts))
 
 
 def issues_by_transaction(issues: DataFrame, txns: DataFrame) -> DataFrame:
