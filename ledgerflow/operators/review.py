@@ -41,7 +41,7 @@ def attach_issues(txns: DataFrame, issues: DataFrame, messages: bool = True) ->
     row = F.struct("code", "issue_id", "message") if messages else F.struct("code")
     by = issues.filter("transaction_id is not null").groupBy(F.col("transaction_id").alias("id")).agg(F.array_sort(F.collect_list(row)).alias("l"))
     texts = {"issue_codes": ("code", ", ")} | ({"issue_messages": ("message", "; ")} if messages else {})
-    by = by.select("id", *[F.array_join(F.transform("l", lambda x, c=c: x[c]), between).alias(name) for name, (c, between) in texts.items()])
+    by = by.select("id", *[F.array_join(F.col(f"l.{c}"), between).alias(name) for name, (c, between) in texts.items()])
     out = txns.join(by, "id", "left")
     return out.withColumn("status", F.when(F.col("issue_codes").isNull(), "Clean").otherwise("Flagged")).fillna("", list(texts))
 

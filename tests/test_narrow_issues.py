@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.functions import scalars as s
 from ledgerflow.functions.similar import ratio_from
+from ledgerflow.operators import review
 from ledgerflow.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +48,13 @@ def test_prefixes_in_any_case_are_cleaned(spark):
     rows = [("by order of X",), ("TRANSFER TO  Y",), ("ſneft/z",), ("towardſ q",), ("beıng Q",), ("TRANUPI/SFER",), ("NEFT-RETURN",), (None,), ("",)]
     got = [r[0] for r in spark.createDataFrame(rows, "n string").coalesce(1).select(s.clean_narration(F.col("n"))).collect()]
     assert got == ["X", "Y", "ſz", "towardſ q", "beıng Q", "TRANSFER", "NEFT-RETURN", "", ""]
+
+
+def test_codes_are_attached_with_or_without_messages(spark):
+    issues = spark.createDataFrame([(1, "B", "i2", "two"), (1, "A", "i3", "three"), (1, "B", "i1", "one"), (None, "C", "i4", "")], "transaction_id long, code string, issue_id string, message string")
+    txns = spark.createDataFrame([(1,), (2,)], "id long")
+    full = {r.id: r for r in review.attach_issues(txns, issues).collect()}
+    assert (full[1].issue_codes, full[1].issue_messages, full[1].status) == ("A, B, B", "three; one; two", "Flagged")
+    assert (full[2].issue_codes, full[2].issue_messages, full[2].status) == ("", "", "Clean")
+    plain = review.attach_issues(txns, issues.select("transaction_id", "code"), messages=False)
+    assert {r.id: (r.issue_codes, r.status) for r in plain.collect()} == {1: ("A, B, B", "Flagged"), 2: ("", "Clean")}
